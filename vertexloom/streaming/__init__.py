@@ -1,0 +1 @@
+"""Every input of the covered feature set is a whole file or table, so there is no streaming operator."""
