@@ -35,9 +35,12 @@ def rows_of(columns, rows):
 def compare(spark, con, fn, sql, sf_dir):
     """None when equal, else what differs."""
     df = fn(spark, sf_dir)
+    began = time.time()
     names, got = rows_of(df.columns, [tuple(r) for r in df.collect()])
+    middle = time.time()
     cur = con.execute(sql)
     want_names, want = rows_of([d[0] for d in cur.description], cur.fetchall())
+    print(f"  [collect {middle - began:.1f}s, SQL {time.time() - middle:.1f}s]", end=" ")
     if names != want_names:
         return f"columns {names} / {want_names}"
     if len(got) != len(want):

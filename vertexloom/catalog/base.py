@@ -4,12 +4,13 @@ Two graphs are made from the given tables:
 * purchases: customers and parts, an edge for each part a customer ordered, weight = quantity in all;
 * vectors: the embedding rows as nodes with attributes and a label; each order links the row its
   customer number falls on with the row its order number falls on, weight = number of orders.
-Random choices are md5 draws, so each query can be stated in SQL as well.
+The edges are written once, as a user would have them on disk. Random choices are md5 draws, so each query can be stated in SQL as well.
 """
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators.graph import Graph
+from ..plans.lineage import cut
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -34,7 +35,7 @@ def purchases(spark: SparkSession, sf: str) -> Graph:
     lines = table(spark, sf, "lineitem").join(table(spark, sf, "orders"), F.expr("l_orderkey = o_orderkey"))
     edges = lines.groupBy(F.concat(F.lit("c"), "o_custkey").alias("src"), F.concat(F.lit("p"), "l_partkey").alias("dst")).agg(
         F.sum("l_quantity").alias("weight"))
-    return Graph(customer.union(part), edges)
+    return Graph(customer.union(part), cut(edges, "edges"))
 
 
 def vectors(spark: SparkSession, sf: str, directed: bool = False) -> Graph:
@@ -45,7 +46,7 @@ def vectors(spark: SparkSession, sf: str, directed: bool = False) -> Graph:
     dst = F.col(dst) if isinstance(dst, str) else dst
     edges = ends.filter("a <> b").groupBy(src.alias("src"), dst.alias("dst")).agg(F.count(F.lit(1)).cast("double").alias("weight"))
     nodes = table(spark, sf, "embeddings").select(F.col("vec_id").cast("string").alias("id"))
-    return Graph(nodes, edges, directed)
+    return Graph(nodes, cut(edges, "edges"), directed)
 
 
 def vector_attrs(spark: SparkSession, sf: str) -> DataFrame:

@@ -109,8 +109,8 @@ def _nearest_groups(distinct: DataFrame, k: int, probes: int | None, ties: bool,
                .filter("_hit = 1").drop("_hit").join(subs.withColumnRenamed("cell", "ccell"), "ccell")
                .withColumn("csub", F.explode(F.sequence(F.lit(0), F.col("subs") - 1))).drop("subs"))
     tasks = visited.select("qcell", "qsub", "ccell", "csub").distinct()
-    candidates = tasks.join(points.select(F.col("cell").alias("ccell"), F.col("sub").alias("csub"),
-                                          F.col("g").alias("cg"), F.col("vec").alias("c")), ["ccell", "csub"])
+    candidates = (tasks.toDF("kq", "ks", "cell", "sub").join(points, ["cell", "sub"])
+                  .select("kq", "ks", F.col("cell").alias("kc"), F.col("sub").alias("kt"), F.col("g").alias("cg"), F.col("vec").alias("c")))
 
     def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
@@ -120,8 +120,7 @@ def _nearest_groups(distinct: DataFrame, k: int, probes: int | None, ties: bool,
         rows, cols = _best(sim, order, k, ties)
         return pd.DataFrame({"qg": left["qg"].to_numpy()[rows], "cg": right["cg"].to_numpy()[cols], "sim": sim[rows, cols]})
 
-    by = ["qcell", "qsub", "ccell", "csub"]
-    found = visited.groupBy(*by).cogroup(candidates.groupBy(*by)).applyInPandas(compare, "qg string, cg string, sim double")
+    found = visited.groupBy("qcell", "qsub", "ccell", "csub").cogroup(candidates.groupBy("kq", "ks", "kc", "kt")).applyInPandas(compare, "qg string, cg string, sim double")
     best = Window.partitionBy("qg").orderBy(F.col("sim").desc(), *([] if ties else ["cg"]))
     rank = F.rank() if ties else F.row_number()
     return found.withColumn("_r", rank.over(best)).filter(F.col("_r") <= k).drop("_r")
@@ -175,4 +174,4 @@ def attr_topk_cutoff(attrs: DataFrame, k: int, column: str = "features", block_r
             .filter((F.col("_before") < k) & (F.col("sim") != 0)).select("qg", "cg", "sim"))
     cols = salted_join(kept, members.select(F.col("g").alias("cg"), F.col("id").alias("col")), ["cg"], ["qg"])
     return (salted_join(members.select(F.col("id").alias("row"), F.col("g").alias("qg")), cols.select("qg", "col", "sim"), ["qg"], ["row"])
-            .filter("row <> col"))
+            .filter("row <> col").select("row", "col", "sim"))

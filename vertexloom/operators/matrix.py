@@ -1,9 +1,12 @@
 """Matrices as tables: sparse ones are (row, col, value) cells, dense ones have a vector for each row."""
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import vectors as V
+from ..plans.lineage import cut
 from ..plans.skew import lookup, salted_join
 from .graph import Graph, avg_degree, degrees
 
@@ -116,10 +119,10 @@ def matmul(a: DataFrame, b: DataFrame, hot_products: int = HOT_PRODUCTS) -> Data
 
 def matpow(cells: DataFrame, k: int, top_per_row: int | None = None) -> DataFrame:
     """k-step product; `top_per_row` (off unless asked for) keeps only the largest cells of each row."""
-    from pyspark.sql import Window
+    cells = cut(cells, "cells")
     out = cells
-    for _ in range(k - 1):
-        out = matmul(out, cells)
+    for step in range(k - 1):
+        out = matmul(out if step == 0 else cut(out, "power"), cells)
         if top_per_row:
             best = Window.partitionBy("row").orderBy(F.col("value").desc(), "col")
             out = out.withColumn("_r", F.row_number().over(best)).filter(F.col("_r") <= top_per_row).drop("_r")
@@ -128,6 +131,7 @@ def matpow(cells: DataFrame, k: int, top_per_row: int | None = None) -> DataFram
 
 def log_ppmi(cells: DataFrame, n: int, col_sums: DataFrame | None = None) -> DataFrame:
     """max(0, log(value / column sum) - log(1/n)) for the non-zero cells; every other cell is 0."""
+    cells = cells if col_sums is not None else cut(cells, "cells")
     sums = col_sums if col_sums is not None else cells.groupBy("col").agg(F.sum("value").alias("_sum"))
     score = F.log(F.col("value") / F.col("_sum")) - F.log(F.lit(1.0 / n))
     return (lookup(cells, "col", sums, "col", {"_sum": "_sum"}, ["row"]).filter("value > 0")
@@ -140,8 +144,6 @@ def l2_normalize(emb: DataFrame, column: str = "vector") -> DataFrame:
 
 def standard_scale(attrs: DataFrame, fit_on: DataFrame, column: str = "features") -> DataFrame:
     """Centre and divide by the population deviation of the fitted rows; a constant column keeps its scale."""
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-    from pyspark.ml.stat import Summarizer
     got = (attrs.join(fit_on.select("id"), "id", "left_semi")
            .select(Summarizer.metrics("count", "mean", "variance").summary(array_to_vector(F.col(column))).alias("s"))
            .select("s.count", vector_to_array("s.mean").alias("mean"), vector_to_array("s.variance").alias("var")).first())

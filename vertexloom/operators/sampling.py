@@ -107,7 +107,7 @@ def neighbor_sample(adj: DataFrame, k: int, seed: int = 0) -> DataFrame:
     placed = cut(placed, "places")
     whole = placed.filter((F.col("n") >= k) & (F.col("pos") < k)).select("src", F.col("pos").alias("slot"), "dst")
     few = placed.filter(F.col("n") < k)
-    wanted = (few.filter("pos = 0").select("src", "n", F.explode(F.sequence(F.lit(0), F.lit(k - 1))).cast("bigint").alias("slot"))
+    wanted = (few.filter("pos = 0").select("src", "n", F.explode(F.sequence(F.lit(0), F.lit(k - 1)).cast("array<bigint>")).alias("slot"))
               .withColumn("pos", F.floor(unit("src", "slot", seed=f"{seed}|pad") * F.col("n"))))
     return whole.unionByName(wanted.join(few.drop("n"), ["src", "pos"]).select("src", "slot", "dst"))
 

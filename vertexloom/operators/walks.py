@@ -14,7 +14,7 @@ from .graph import Graph, induced_subgraph
 from .sampling import pick_table, positions, slot_of
 
 SEGMENT = 8
-_MEETS = F.expr("_at_key = _key AND _at_slot = _slot AND lo <= _t AND _t < hi")
+MEETS = "_at_key = _key AND _at_slot = _slot AND lo <= _t AND _t < hi"
 EVEN = "\u0000even"  # key of the rows that stand for "any node"
 
 
@@ -63,7 +63,7 @@ def _walk(nodes: DataFrame, steps: DataFrame, totals: DataFrame, num_walks: int,
             key, slot = F.when(anywhere, F.lit(EVEN)).otherwise(key), F.when(anywhere, node).otherwise(slot)
             point = F.when(anywhere, F.lit(0).cast("bigint")).otherwise(point)
         asked = state.withColumn("_t", point).withColumn("_at_key", key).withColumn("_at_slot", F.coalesce(slot, _nowhere()))
-        met = asked.join(moves, _MEETS, "left")
+        met = asked.join(moves, F.expr(MEETS), "left")
         moved = F.col("dst").isNotNull()
         state = met.select("round", "start", F.coalesce("dst", "cur").alias("cur"), F.col("next_total").alias("total"),
                            F.col("next_slots").alias("slots"), *[F.col(f"next_{c}").alias(c) for c in extra],
@@ -101,7 +101,7 @@ def weighted_walks(nodes: DataFrame, cells: DataFrame, even: DataFrame | None =
 
     `even` has (row, mass): the share of the row that leads to any node alike; `index` numbers the nodes.
     """
-    adj = cells.select(F.col("row").alias("src"), F.col("col").alias("dst"), F.col("value").alias("weight"))
+    adj = cut(cells.select(F.col("row").alias("src"), F.col("col").alias("dst"), F.col("value").alias("weight")), "cells")
     table, totals = weighted_steps(adj)
     into = _arrivals(adj)
     size = 0
@@ -143,7 +143,7 @@ def node2vec_walks(graph: Graph, p: float = 0.5, q: float = 0.5, num_walks: int
         asked = (state.withColumn("_t", F.floor(unit(*keys, seed=seed) * F.col("total")).cast("bigint"))
                  .withColumn("_at_key", F.col("cur"))
                  .withColumn("_at_slot", F.when(active, slot_of(F.col("_t"), F.col("total"), F.col("slots"))).otherwise(_nowhere())))
-        met = asked.join(moves, _MEETS, "left")
+        met = asked.join(moves, F.expr(MEETS), "left")
         # a walk that has no edge to look up asks for a key of its own, so these do not meet in one task
         alone = F.concat(F.lit("\u0000"), F.xxhash64("round", "start").cast("string"))
         met = (met.withColumn("_x", F.coalesce("dst", alone)).withColumn("_want", F.coalesce("prev", alone))
