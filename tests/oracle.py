@@ -69,7 +69,7 @@ def main():
             else:
                 problem, note = None, f"{queries[name](spark, sf_dir).count()} rows, no SQL"
         except Exception as error:  # noqa: BLE001
-            problem = note = f"{type(error).__name__}: {str(error)[:1500]}"
+            problem = note = f"{type(error).__name__}: {str(error)[:600]}"
         bad += problem is not None
         print(f"{name}: {time.time() - began:.1f}s {note}", flush=True)
     print(f"{bad} bad")

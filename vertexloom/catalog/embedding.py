@@ -1 +1,44 @@
-"""Queries."""
+"""Embedding methods end to end, with small settings."""
+
+from ..embeddings import experiment as X, gradient
+from ..operators.graph import degrees, node_split
+from ..operators.walks import walk_pairs
+from .base import exploded, query, rounded, vector_attrs, vector_labels, vectors
+
+WALKS = {"num_walks": 3, "walk_length": 16, "window": 4, "epochs": 3}
+OPTIONS = {
+    "attrpure": {}, "deepwalk": WALKS, "node2vec": {**WALKS, "walk_length": 12}, "abrw": WALKS, "attrcomb": WALKS, "grarep": {"kstep": 2}, "tadw": {"maxiter": 10},
+    "aane": {"maxiter": 2}, "line": {"epochs": 3}, "asne": {"epochs": 3}, "sagemean": {"epochs": 2, "samples": (10, 5), "max_degree": 20},
+    "sagegcn": {"epochs": 2, "samples": (10, 5), "max_degree": 20},
+}
+
+
+def _method(name):
+    def run(spark, sf):
+        return exploded(X.embed(name, vectors(spark, sf), vector_attrs(spark, sf), dim=16, **OPTIONS[name]).vectors)
+    return run
+
+
+for _name in OPTIONS:
+    query(_name)(_method(_name))
+
+
+@query("sgns_pairs")
+def sgns_pairs(spark, sf):
+    """Skip-gram on the walk pairs of the training subgraph."""
+    g = vectors(spark, sf)
+    pairs = walk_pairs(g, node_split(g.nodes, 0.0, 0.1, seed=1), 10, 5, seed=1)
+    return exploded(gradient.sgns_pairs(g.nodes, pairs, degrees(g), dim=16, epochs=3).vectors)
+
+
+@query("run_experiment")
+def run_experiment(spark, sf):
+    """Link prediction and node classification with reduced attributes."""
+    out = X.run_experiment(vectors(spark, sf), "attrpure", vector_attrs(spark, sf), vector_labels(spark, sf), dim=32)
+    return out.metrics.drop("prepare_seconds", "embed_seconds", "evaluate_seconds")
+
+
+@query("lp_experiment")
+def lp_experiment(spark, sf):
+    out = X.run_experiment(vectors(spark, sf), "attrpure", vector_attrs(spark, sf), task="lp", link_remove=0.1, dim=16)
+    return rounded(out.metrics.select("method", "positives", "negatives", "auc", "edges", "nodes", "isolates"), "auc")

@@ -1 +1,300 @@
-"""Queries."""
+"""Neighbourhood aggregation, scoring and run metrics."""
+
+from pyspark.sql import functions as F
+
+from ..functions.hashing import unit
+from ..operators import aggregate as A, evaluate as E, graph as G, sampling as S
+from ..operators.matrix import pair_similarity
+from ..plans.lineage import cut
+from ..plans.ranks import with_row_index
+from .base import P, V, X, exploded, h, part_labels, purchases, query, rounded, table, u, vector_attrs, vector_emb, vector_labels, vectors
+from .matrices import hash_matrix, hash_matrix_sql
+from .sampling import NEGATIVES, hit, line_sql, negatives, non_edge_sql, sample_sql
+
+# ---- aggregation: 10 sampled neighbours, fixed weights
+
+WIDTH, OUT, HID, K = 64, 8, 12, 10
+
+
+def _weights(mlp: int = 0) -> dict:
+    w = {"self": hash_matrix("self", WIDTH, OUT), "neigh": hash_matrix("neigh", HID if mlp else WIDTH, OUT), "all": hash_matrix("all", WIDTH, OUT)}
+    sizes = [WIDTH, *([20, HID] if mlp == 2 else [HID])]
+    w["mlp"] = [(hash_matrix(f"mlp{i}", a, b), hash_matrix(f"bias{i}", 1, b)[0]) for i, (a, b) in enumerate(zip(sizes, sizes[1:]))]
+    return w
+
+
+AGG = f"{V}, {X}, {sample_sql('sampled', 'v_adj', K, 41)}"
+
+
+def _times(name: str, source: str, matrix: str, rows: int, cols: int) -> str:
+    """CTE: rows of (id, i, value) times a fixed matrix."""
+    return (f"{name} AS (SELECT s.id, m.j AS i, sum(s.value * m.w) AS value FROM {source} s JOIN {hash_matrix_sql(matrix, rows, cols)} m "
+            f"ON m.i = s.i GROUP BY 1, 2)")
+
+
+def _dense(name: str, source: str, layer: int, rows: int, cols: int) -> str:
+    return (f"{_times(name + '_m', source, f'mlp{layer}', rows, cols)}, {name} AS (SELECT {name}_m.id, {name}_m.i, greatest(value + b.w, 0.0) AS value "
+            f"FROM {name}_m JOIN {hash_matrix_sql(f'bias{layer}', 1, cols)} b ON b.j = {name}_m.i)")
+
+
+def _near(name: str, source: str, how: str) -> str:
+    return f"{name} AS (SELECT src AS id, i, {how} AS value FROM sampled JOIN {source} s ON s.id = dst GROUP BY 1, 2)"
+
+
+SIDES = f"""SELECT id, i, round(greatest(value, 0.0), 6) AS value FROM own
+UNION ALL SELECT own.id, own.i + {OUT}, round(greatest(coalesce(near.value, 0.0), 0.0), 6) FROM own LEFT JOIN near USING (id, i)"""
+
+
+def _inputs(spark, sf):
+    return vector_emb(spark, sf), S.neighbor_sample(vectors(spark, sf).adj, K, seed=41)
+
+
+@query("agg_mean", f"""WITH {AGG}, {_near('m', 'xe', 'avg(s.value)')}, {_times('near', 'm', 'neigh', WIDTH, OUT)}, {_times('own', 'xe', 'self', WIDTH, OUT)} {SIDES}""")
+def agg_mean(spark, sf):
+    hidden, sampled = _inputs(spark, sf)
+    return exploded(A.agg_mean(hidden, sampled, _weights()))
+
+
+@query("agg_gcn", f"""WITH {AGG}, parts AS (SELECT src AS id, i, value FROM sampled JOIN xe ON xe.id = dst UNION ALL SELECT id, i, value FROM xe),
+m AS (SELECT id, i, sum(value) / {K + 1}.0::DOUBLE AS value FROM parts GROUP BY 1, 2), {_times('own', 'm', 'all', WIDTH, OUT)}
+SELECT id, i, round(greatest(value, 0.0), 6) AS value FROM own""")
+def agg_gcn(spark, sf):
+    hidden, sampled = _inputs(spark, sf)
+    return exploded(A.agg_gcn(hidden, sampled, _weights(), K))
+
+
+def _pool_sql(how: str, layers: int) -> str:
+    maps = _dense("d0", "xe", 0, WIDTH, 20 if layers == 2 else HID) + (", " + _dense("d1", "d0", 1, 20, HID) if layers == 2 else "")
+    return (f"WITH {AGG}, {maps}, {_near('pool', 'd1' if layers == 2 else 'd0', how)}, {_times('near', 'pool', 'neigh', HID, OUT)}, "
+            f"{_times('own', 'xe', 'self', WIDTH, OUT)} {SIDES}")
+
+
+@query("agg_maxpool", _pool_sql("max(s.value)", 1))
+def agg_maxpool(spark, sf):
+    return exploded(A.agg_maxpool(*_inputs(spark, sf), _weights(1)))
+
+
+@query("agg_meanpool", _pool_sql("avg(s.value)", 1))
+def agg_meanpool(spark, sf):
+    return exploded(A.agg_meanpool(*_inputs(spark, sf), _weights(1)))
+
+
+@query("agg_maxpool2", _pool_sql("max(s.value)", 2))
+def agg_maxpool2(spark, sf):
+    return exploded(A.agg_maxpool2(*_inputs(spark, sf), _weights(2)))
+
+
+@query("propagate")
+def propagate(spark, sf):
+    hidden, sampled = _inputs(spark, sf)
+    return exploded(A.propagate(hidden, sampled, A.make_weights("mean", [WIDTH, 16, 16]), [10, 5]))
+
+
+@query("infer_embeddings")
+def infer_embeddings(spark, sf):
+    hidden, sampled = _inputs(spark, sf)
+    return exploded(A.infer_embeddings(hidden, sampled, A.make_weights("gcn", [WIDTH, 32, 32]), [10, 5], "gcn", concat=False))
+
+
+# ---- link prediction
+
+LP = f"""{V}, order_of AS (SELECT src, dst, row_number() OVER (ORDER BY {h('src', 'dst', seed=51)}, src, dst) AS r, count(*) OVER () AS m FROM v_edges),
+removed AS (SELECT src, dst FROM order_of WHERE r <= floor(0.4::DOUBLE * m)),
+taken AS (SELECT floor(count(*) / 0.4::DOUBLE * 0.2::DOUBLE)::BIGINT AS k FROM removed),
+chosen AS (SELECT src, dst FROM (SELECT src, dst, row_number() OVER (ORDER BY {h('src', 'dst', seed='51|test')}, src, dst) AS r FROM removed), taken WHERE r <= k),
+{non_edge_sql('v_nodes', 'v_edges', '(SELECT k FROM taken)', 51)},
+test_set AS (SELECT src AS u, dst AS v, 1 AS label FROM chosen UNION ALL SELECT src, dst, 0 FROM non_edges)"""
+
+
+def _test_set(spark, sf):
+    g = vectors(spark, sf)
+    return E.lp_test_set(g, cut(G.node_index(g.nodes), "index"), 0.4, seed=51)[1]
+
+
+@query("lp_test_set", f"WITH {LP} SELECT u, v, label FROM test_set")
+def lp_test_set(spark, sf):
+    return _test_set(spark, sf)
+
+
+SCORED = f"""{LP}, {X}, scored AS (SELECT u, v, t.label, (list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))) + 1) / 2 AS score
+FROM test_set t JOIN x a ON a.id = u JOIN x b ON b.id = t.v)"""
+SCORED = SCORED.replace("SELECT u, v, t.label", "SELECT t.u, t.v, t.label")
+
+
+@query("lp_score", f"WITH {SCORED} SELECT u, v, label, round(score, 6) AS score FROM scored")
+def lp_score(spark, sf):
+    return rounded(E.lp_score(_test_set(spark, sf), vector_emb(spark, sf)), "score")
+
+
+AUC = """ranks AS (SELECT label, rank() OVER (ORDER BY s) + (count(*) OVER (PARTITION BY s) - 1) / 2.0::DOUBLE AS r FROM (SELECT label, round(score, 2) AS s FROM scored)),
+auc AS (SELECT sum(label)::BIGINT AS positives, sum(1 - label)::BIGINT AS negatives,
+  (sum(CASE WHEN label = 1 THEN r ELSE 0 END) - sum(label) * (sum(label) + 1) / 2.0::DOUBLE) / (sum(label) * sum(1 - label)) AS raw FROM ranks)"""
+
+
+@query("lp_auc", f"WITH {SCORED}, {AUC} SELECT positives, negatives, round(greatest(raw, 1 - raw), 6) AS auc FROM auc")
+def lp_auc(spark, sf):
+    """Scores to two digits, so that many are equal."""
+    scored = E.lp_score(_test_set(spark, sf), vector_emb(spark, sf)).withColumn("score", F.round("score", 2))
+    return rounded(E.lp_auc(scored), "auc")
+
+
+# ---- node classification
+
+SPLIT = f"""SELECT id, row_number() OVER (ORDER BY {h('id', seed=61)}, id) <= floor(0.5::DOUBLE * count(*) OVER ()) AS train FROM (SELECT 'p' || p_partkey AS id FROM part)"""
+
+
+@query("nc_split", SPLIT)
+def nc_split(spark, sf):
+    return E.nc_split(part_labels(spark, sf), 0.5, seed=61).select("id", "train")
+
+
+PL = """pl AS (SELECT 'p' || p_partkey AS id, p_type AS label FROM part UNION ALL SELECT 'p' || p_partkey, p_brand FROM part),
+classes AS (SELECT DISTINCT label FROM pl), ids AS (SELECT DISTINCT id FROM pl)"""
+
+
+@query("binarize_labels", f"""WITH {PL}, numbered AS (SELECT label, row_number() OVER (ORDER BY label) - 1 AS i FROM classes)
+SELECT ids.id, i, CASE WHEN pl.id IS NULL THEN 0 ELSE 1 END::DOUBLE AS value FROM ids CROSS JOIN numbered n LEFT JOIN pl ON pl.id = ids.id AND pl.label = n.label""")
+def binarize_labels(spark, sf):
+    return exploded(E.binarize_labels(part_labels(spark, sf)))
+
+
+@query("nc_fit")
+def nc_fit(spark, sf):
+    """Fit on all labelled vectors and score them."""
+    emb, labels = vector_emb(spark, sf), vector_labels(spark, sf)
+    classes = E.label_set(labels)
+    return rounded(E.nc_predict(emb, E.nc_fit(emb, labels, classes), classes), "prob")
+
+
+PRED = f"""{PL}, pr AS (SELECT ids.id, c.label, (pl.id IS NOT NULL)::INT AS truth,
+  (row_number() OVER (PARTITION BY ids.id ORDER BY {u('ids.id', 'c.label', seed=62)} DESC, c.label) <= 2)::INT AS pred
+  FROM ids CROSS JOIN classes c LEFT JOIN pl ON pl.id = ids.id AND pl.label = c.label)"""
+
+
+def _predictions(spark, sf):
+    labels = part_labels(spark, sf)
+    names = F.array(*[F.lit(c) for c in E.label_set(labels)])
+    probs = labels.select("id", F.explode(names).alias("label")).withColumn("prob", unit("id", "label", seed=62))
+    return E.nc_predict_topk(probs, labels)
+
+
+@query("nc_predict_topk", f"WITH {PRED} SELECT id, label, truth, pred FROM pr")
+def nc_predict_topk(spark, sf):
+    return _predictions(spark, sf)
+
+
+@query("f1_scores", f"""WITH {PRED}, by_label AS (SELECT label, sum(truth * pred) AS tp, sum(truth) AS t, sum(pred) AS p FROM pr GROUP BY 1),
+by_id AS (SELECT id, sum(truth * pred) AS tp, sum(truth) AS t, sum(pred) AS p FROM pr GROUP BY 1),
+f AS (SELECT *, CASE WHEN t + p > 0 THEN 2.0::DOUBLE * tp / (t + p) ELSE 0 END AS f1 FROM by_label)
+SELECT round(2.0::DOUBLE * sum(tp) / (sum(t) + sum(p)), 6) AS micro, round(avg(f1), 6) AS macro, round(sum(f1 * t) / sum(t), 6) AS weighted,
+  round((SELECT avg(CASE WHEN t + p > 0 THEN 2.0::DOUBLE * tp / (t + p) ELSE 0 END) FROM by_id), 6) AS samples FROM f""")
+def f1_scores(spark, sf):
+    return rounded(E.f1_scores(_predictions(spark, sf)), "micro", "macro", "weighted", "samples")
+
+
+# ---- pair losses: each edge against 5 drawn negatives
+
+SCORES = f"""{V}, {X}, {NEGATIVES},
+ng AS (SELECT src, dst, i, node FROM v_edges, (SELECT unnest(range(0, 5)) AS i), nline WHERE {hit('nline', u('src', 'dst', 'i', seed=71))}),
+ps AS (SELECT e.src, e.dst, list_dot_product(a.v, b.v) AS pos FROM v_edges e JOIN x a ON a.id = e.src JOIN x b ON b.id = e.dst),
+sc AS (SELECT ng.src, ng.dst, pos, list_dot_product(a.v, b.v) AS neg FROM ng JOIN ps USING (src, dst) JOIN x a ON a.id = ng.src JOIN x b ON b.id = node)"""
+
+
+def _scores(spark, sf):
+    """Positive scores (pair, pos), and (pair, pos, neg) for each negative."""
+    g, emb = vectors(spark, sf), vector_emb(spark, sf)
+    pair = F.concat_ws("|", "src", "dst").alias("pair")
+    pos = pair_similarity(g.edges.select(F.col("src").alias("u"), F.col("dst").alias("v")), emb, "dot", "vector").withColumnRenamed("sim", "pos")
+    drawn = negatives(g, 5, 71).select(F.col("src").alias("u"), F.col("node").alias("v"), pair)
+    neg = pair_similarity(drawn, emb, "dot", "vector").select("pair", F.col("sim").alias("neg"))
+    pos = cut(pos.select(F.concat_ws("|", "u", "v").alias("pair"), "pos"), "pos")
+    return pos, cut(neg.join(pos, "pair"), "scores")
+
+
+SOFT = "(ln(1 + exp(-abs({0}))) + greatest({0}, 0))"
+
+
+@query("mrr", f"""WITH {SCORES}, ranks AS (SELECT src, dst, 1 + sum((neg >= pos)::INT) AS r FROM sc GROUP BY 1, 2)
+SELECT round(avg(1.0::DOUBLE / r), 6) AS mrr FROM ranks""")
+def mrr(spark, sf):
+    return rounded(E.mrr(_scores(spark, sf)[1]), "mrr")
+
+
+@query("loss_xent", f"""WITH {SCORES}
+SELECT round((SELECT sum({SOFT.format('(-pos)')}) FROM ps) + 0.5::DOUBLE * (SELECT sum({SOFT.format('neg')}) FROM sc), 4) AS loss""")
+def loss_xent(spark, sf):
+    pos, scores = _scores(spark, sf)
+    return E.loss_xent(pos, scores, 0.5).select(F.round("loss", 4).alias("loss"))
+
+
+@query("loss_skipgram", f"""WITH {SCORES}, g AS (SELECT any_value(pos) AS pos, ln(sum(exp(neg))) AS l FROM sc GROUP BY src, dst)
+SELECT round(sum(pos - l), 4) AS loss FROM g""")
+def loss_skipgram(spark, sf):
+    return E.loss_skipgram(_scores(spark, sf)[1]).select(F.round("loss", 4).alias("loss"))
+
+
+@query("loss_hinge", f"WITH {SCORES} SELECT round(sum(greatest(neg - pos + 0.1::DOUBLE, 0)), 4) AS loss FROM sc")
+def loss_hinge(spark, sf):
+    return E.loss_hinge(_scores(spark, sf)[1]).select(F.round("loss", 4).alias("loss"))
+
+
+@query("loss_line", f"""WITH {SCORES}, s AS (SELECT 1.0::DOUBLE AS sign, pos AS dot FROM ps UNION ALL SELECT -1.0, neg FROM sc)
+SELECT round(avg({SOFT.format('(-sign * dot)')}), 6) AS loss FROM s""")
+def loss_line(spark, sf):
+    pos, scores = _scores(spark, sf)
+    rows = pos.select(F.lit(1.0).alias("sign"), F.col("pos").alias("dot")).union(scores.select(F.lit(-1.0), "neg"))
+    return rounded(E.loss_line(rows), "loss")
+
+
+@query("masked_metrics", f"""WITH z AS (SELECT vec_id::VARCHAR AS id, unnest(range(0, 10)) AS i, unnest(embedding[1:10])::DOUBLE AS z, label FROM embeddings),
+y AS (SELECT *, (label = i)::INT AS y, ({u('id', seed=81)} < 0.6)::INT AS m FROM z),
+r AS (SELECT id, any_value(m) AS m, sum(greatest(z, 0) - z * y + ln(1 + exp(-abs(z)))) AS logit, ln(sum(exp(z))) - sum(z * y) AS softmax,
+  (arg_max(i, z) = any_value(label))::INT AS hit, sum((z - y) * (z - y)) / 2 AS l2 FROM y GROUP BY 1)
+SELECT round(sum(logit * m) / greatest(sum(m), 1) / count(*), 9) AS logit_cross_entropy, round(sum(softmax * m) / greatest(sum(m), 1) / count(*), 9) AS softmax_cross_entropy,
+  round(sum(hit * m)::DOUBLE / sum(m), 6) AS accuracy, round(sum(l2 * m) / sum(m), 6) AS l2 FROM r""")
+def masked_metrics(spark, sf):
+    """The first ten components as predictions of the ten labels."""
+    rows = table(spark, sf, "embeddings").select(F.col("vec_id").cast("string").alias("id"), F.slice(F.col("embedding").cast("array<double>"), 1, 10).alias("preds"),
+                                                 F.col("label"))
+    rows = (G.label_onehot(rows, 10).withColumnRenamed("vector", "labels").join(rows.drop("label"), "id")
+            .withColumn("mask", (unit("id", seed=81) < 0.6).cast("int")))
+    out = E.masked_metrics(rows)
+    return out.select(*[F.round(c, 9).alias(c) for c in ("logit_cross_entropy", "softmax_cross_entropy")], *[F.round(c, 6).alias(c) for c in ("accuracy", "l2")])
+
+
+# ---- run metrics
+
+
+@query("best_epoch", """SELECT 'low' AS kind, run, epoch, metric FROM (SELECT o_orderpriority AS run, o_orderkey AS epoch, floor(o_totalprice / 1000) AS metric,
+  row_number() OVER (PARTITION BY o_orderpriority ORDER BY floor(o_totalprice / 1000), o_orderkey) AS r FROM orders) WHERE r = 1
+UNION ALL SELECT 'high', run, epoch, metric FROM (SELECT o_orderpriority AS run, o_orderkey AS epoch, floor(o_totalprice / 1000) AS metric,
+  row_number() OVER (PARTITION BY o_orderpriority ORDER BY floor(o_totalprice / 1000) DESC, o_orderkey) AS r FROM orders) WHERE r = 1""")
+def best_epoch(spark, sf):
+    """Each order priority as a run, each order as an epoch, its price in thousands as the metric."""
+    history = table(spark, sf, "orders").select(F.col("o_orderpriority").alias("run"), F.col("o_orderkey").alias("epoch"),
+                                                F.floor(F.col("o_totalprice") / 1000).cast("double").alias("metric"))
+    return (E.best_epoch(history).withColumn("kind", F.lit("low"))
+            .unionByName(E.best_epoch(history, lower_is_better=False).withColumn("kind", F.lit("high"))).select("kind", "run", "epoch", "metric"))
+
+
+@query("ema_metric", """WITH RECURSIVE hist AS MATERIALIZED (SELECT event_type AS run, row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS step, value AS metric FROM events),
+s AS (SELECT run, step, metric AS smoothed FROM hist WHERE step = 0
+  UNION ALL SELECT s.run, s.step + 1, s.smoothed - 0.01::DOUBLE * (s.smoothed - t.metric) FROM s JOIN hist t ON t.run = s.run AND t.step = s.step + 1)
+SELECT run, step, round(smoothed, 6) AS smoothed FROM s""")
+def ema_metric(spark, sf):
+    """Each event type as a run, its events in order as the steps."""
+    rows = table(spark, sf, "events").select(F.col("event_type").alias("run"), "event_id", F.col("value").alias("metric"))
+    placed = cut(with_row_index(rows, ["run", "event_id"], "i"), "history")
+    first = F.broadcast(placed.groupBy("run").agg(F.min("i").alias("first")))
+    return rounded(E.ema_metric(placed.join(first, "run").select("run", (F.col("i") - F.col("first")).alias("step"), "metric")), "smoothed")
+
+
+@query("run_summary", f"""WITH {P} SELECT (SELECT count(*) FROM p_edges) AS edges, (SELECT count(*) FROM p_nodes) AS nodes,
+(SELECT count(*) FROM p_nodes WHERE id NOT IN (SELECT src FROM p_adj)) AS isolates, false AS is_directed""")
+def run_summary(spark, sf):
+    return E.run_summary(purchases(spark, sf))
+
+
+@query("project_2d")
+def project_2d(spark, sf):
+    return rounded(E.project_2d(vector_emb(spark, sf)), "x", "y")

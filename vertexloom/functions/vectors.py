@@ -47,6 +47,12 @@ def times(col, matrix: np.ndarray) -> Column:
     return row_map(lambda x: x @ matrix)(col)
 
 
+def unit_rows(x: np.ndarray) -> np.ndarray:
+    """Rows divided by their length; zero rows stay zero."""
+    size = np.linalg.norm(x, axis=1, keepdims=True)
+    return x / np.where(size > 0, size, 1.0)
+
+
 def dot(a, b) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 

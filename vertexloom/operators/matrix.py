@@ -117,6 +117,12 @@ def matmul(a: DataFrame, b: DataFrame, hot_products: int = HOT_PRODUCTS) -> Data
             .groupBy("row", "col").agg(F.sum(F.col("_x") * F.col("_y")).alias("value")))
 
 
+def top_cells(cells: DataFrame, k: int) -> DataFrame:
+    """The k largest cells of each row, lower column first on ties."""
+    best = Window.partitionBy("row").orderBy(F.col("value").desc(), "col")
+    return cells.withColumn("_r", F.row_number().over(best)).filter(F.col("_r") <= k).drop("_r")
+
+
 def matpow(cells: DataFrame, k: int, top_per_row: int | None = None) -> DataFrame:
     """k-step product; `top_per_row` (off unless asked for) keeps only the largest cells of each row."""
     cells = cut(cells, "cells")
@@ -124,8 +130,7 @@ def matpow(cells: DataFrame, k: int, top_per_row: int | None = None) -> DataFram
     for step in range(k - 1):
         out = matmul(out if step == 0 else cut(out, "power"), cells)
         if top_per_row:
-            best = Window.partitionBy("row").orderBy(F.col("value").desc(), "col")
-            out = out.withColumn("_r", F.row_number().over(best)).filter(F.col("_r") <= top_per_row).drop("_r")
+            out = top_cells(out, top_per_row)
     return out
 
 
