@@ -8,7 +8,7 @@ from ..operators.graph import Graph
 from ..operators.linalg import flipped, matrix_sums, multiply, svd_cells, svd_features, zero_filled
 from ..operators.matrix import row_probdist
 from ..plans.lineage import cut
-from ..plans.skew import lookup
+from ..plans.skew import counted, lookup
 from .result import Embedding
 
 
@@ -62,8 +62,7 @@ def aane(graph: Graph, attrs: DataFrame | None, dim: int = 128, lambd: float = 0
     """
     cells = graph.adj.filter("src <> dst").select(F.col("src").alias("row"), F.col("dst").alias("col"), F.col("weight").alias("value"))
     cells = cut(cells, "cells")
-    by_row = cells.groupBy("row").agg(F.count(F.lit(1)).alias("n"))
-    by_col = cells.groupBy("col").agg(F.count(F.lit(1)).alias("n"))
+    by_row, by_col = counted(cells, "row"), counted(cells, "col")
     best = (cells.groupBy("col").agg(F.sum("value").alias("s")).orderBy(F.col("s").desc(), "col").limit(10 * dim).select("col"))
     start, _ = svd_cells(cells.join(F.broadcast(best), "col", "left_semi"), dim, power=0.0, seed=seed)
     state = zero_filled(graph.nodes, start, dim).select("id", F.col("vector").alias("h"), F.col("vector").alias("z"),

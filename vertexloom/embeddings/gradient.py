@@ -16,7 +16,7 @@ from ..operators.graph import Graph, double_edges, node_index, weighted_out_degr
 from ..operators.linalg import matrix_sums, random_vectors
 from ..operators.sampling import negative_table, slot_of
 from ..plans.lineage import cut
-from ..plans.skew import lookup
+from ..plans.skew import counted, lookup
 from .result import Embedding
 
 SHARED_NEGATIVES = 256
@@ -101,10 +101,8 @@ def pair_gradients(pairs: DataFrame, left: DataFrame, right: DataFrame, shared_i
     return parts.groupBy("side", "id").agg(V.sum_vectors("g").alias("g"), F.sum("loss").alias("loss"))
 
 
-def adam(table: DataFrame, grads: DataFrame, step: int, lr: float) -> DataFrame:
-    """(id, vector, moments) after one Adam step; a row without gradient counts as gradient 0."""
-    d = V.width(table, "vector")
-
+def adam(table: DataFrame, grads: DataFrame, d: int, step: int, lr: float) -> DataFrame:
+    """(id, vector of d values, moments) after one Adam step; a row without gradient counts as gradient 0."""
     def move(block, g):
         x, m, v = block[:, :d], block[:, d:2 * d], block[:, 2 * d:]
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
@@ -137,8 +135,8 @@ def collect_rows(ids: DataFrame, table: DataFrame) -> tuple[list, np.ndarray]:
     return [r.id for r in got], np.array([r.vector for r in got])
 
 
-def _ends(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    return tuple(cut(pairs.groupBy(c).agg(F.count(F.lit(1)).alias("n")), "ends") for c in ("u", "v"))
+def _ends(pairs: DataFrame) -> tuple:
+    return counted(pairs, "u"), counted(pairs, "v")
 
 
 def _batch(pairs: DataFrame, batches: int, index: int, seed) -> DataFrame:
@@ -175,10 +173,10 @@ def train_pairs(nodes: DataFrame, pairs: DataFrame, degree: DataFrame, dim: int,
         g = cut(pair_gradients(part, h, c, ids, mat, negatives, logistic, bias, counts), "grads")
         history.append((step, g.agg(F.sum("loss")).first()[0] / total * batches))
         if shared_table:
-            h = c = cut(adam(h, g.groupBy("id").agg(V.sum_vectors("g").alias("g")), step, lr), "h")
+            h = c = cut(adam(h, g.groupBy("id").agg(V.sum_vectors("g").alias("g")), dim, step, lr), "h")
         else:
-            h = cut(adam(h, g.filter("side = 0"), step, lr), "h")
-            c = cut(adam(c, g.filter("side = 1"), step, lr), "c")
+            h = cut(adam(h, g.filter("side = 0"), dim, step, lr), "h")
+            c = cut(adam(c, g.filter("side = 1"), width, step, lr), "c")
     return Embedding(h.select("id", "vector"), history)
 
 
@@ -241,8 +239,8 @@ def asne(graph: Graph, attrs: DataFrame, dim: int = 128, alpha: float = 1.0, epo
         history.append((step, g.agg(F.sum("loss")).first()[0] / total * batches))
         left = g.filter("side = 0")
         gp = matrix_sums(left.join(feats, "id"), ["features", "g"], lambda x, gz: [alpha * x.T @ gz[:, half:]], [(m, half)])[0]
-        own = cut(adam(own, left.select("id", F.slice("g", 1, half).alias("g")), step, learning_rate), "in")
-        out = cut(adam(out, g.filter("side = 1"), step, learning_rate), "out")
+        own = cut(adam(own, left.select("id", F.slice("g", 1, half).alias("g")), half, step, learning_rate), "in")
+        out = cut(adam(out, g.filter("side = 1"), dim + 1, step, learning_rate), "out")
         p, pm, pv = adam_matrix(p, pm, pv, gp, step, learning_rate)
     total_vec = F.zip_with("vector", F.slice("_out", 1, dim), lambda a, b: a + b)
     vectors = inputs(own, p).join(out.select("id", F.col("vector").alias("_out")), "id").select("id", total_vec.alias("vector"))

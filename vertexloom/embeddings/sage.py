@@ -16,7 +16,7 @@ from ..operators.linalg import hash_uniform, matrix_sums
 from ..operators.matrix import standard_scale
 from ..operators.sampling import negative_table, neighbor_sample, neighbor_subsample, subset
 from ..plans.lineage import cut
-from ..plans.skew import lookup
+from ..plans.skew import EVEN, counted, lookup
 from .gradient import _drawn, _ends, adam_matrix, collect_rows, logistic, pair_gradients
 from .result import Embedding
 
@@ -64,7 +64,8 @@ class _Pass:
         far = neighbor_subsample(sampled, self.k_far, f"{seed}|1")
         self.m = V.width(feats, "vector")
         zeros = F.array_repeat(F.lit(0.0), self.m)
-        mean0 = over_neighbors(feats, self.near, V.mean_vectors).withColumnRenamed("vector", "_m0")
+        self.counts = counted(self.near, "dst")
+        mean0 = over_neighbors(feats, self.near, V.mean_vectors, self.counts).withColumnRenamed("vector", "_m0")
         mean1 = over_neighbors(feats, far, V.mean_vectors).withColumnRenamed("vector", "_m1")
         base = feats.join(mean0, "id", "left").join(mean1, "id", "left")
         self.base = cut(base.select("id", "vector", F.coalesce("_m0", zeros).alias("_m0"), F.coalesce("_m1", zeros).alias("_m1"),
@@ -80,7 +81,7 @@ class _Pass:
         width = w0["all"].shape[1] if "all" in w0 else 2 * w0["self"].shape[1]
         rows = self.base.withColumn("_h", V.row_map2(first)(F.concat("vector", "_m0", "_m1"), "_key"))
         rows = cut(rows.select("id", "vector", "_m0", "_m1", "_key", F.slice("_h", 1, width).alias("_h0"), F.slice("_h", width + 1, width).alias("_h1")), "layer")
-        mean = over_neighbors(rows.select("id", F.col("_h1").alias("vector")), self.near, V.mean_vectors).withColumnRenamed("vector", "_mean")
+        mean = over_neighbors(rows.select("id", F.col("_h1").alias("vector")), self.near, V.mean_vectors, self.counts).withColumnRenamed("vector", "_mean")
         rows = rows.join(mean, "id", "left").withColumn("_mean", F.coalesce("_mean", F.array_repeat(F.lit(0.0), width)))
 
         def second(block, key):
@@ -120,7 +121,7 @@ class _Pass:
         rows = cut(rows.select("id", "vector", "_m0", "_m1", "_key", "_h1", F.slice("_d", 1, width).alias("_d0"),
                                F.slice("_d", width + 1, width).alias("_dm")), "back")
         # each sampled neighbour gets its share of the mean's gradient
-        sent = lookup(self.near, "src", rows, "id", {"_dm": "_dm"}, ["dst", "slot"])
+        sent = lookup(self.near, "src", rows, "id", {"_dm": "_dm"}, ["dst", "slot"], counts=EVEN)  # k rows for each src
         got = sent.groupBy(F.col("dst").alias("id")).agg(V.sum_vectors("_dm").alias("_d1"))
         rows = rows.join(got, "id", "left").withColumn("_d1", F.coalesce("_d1", F.array_repeat(F.lit(0.0), width)))
 

@@ -21,9 +21,9 @@ def glorot(rows: int, cols: int, rng: np.random.Generator) -> np.ndarray:
     return rng.uniform(-limit, limit, (rows, cols))
 
 
-def over_neighbors(values: DataFrame, sampled: DataFrame, how) -> DataFrame:
+def over_neighbors(values: DataFrame, sampled: DataFrame, how, counts=None) -> DataFrame:
     """(id, vector): `how` (a vector aggregate) over the vectors of the sampled neighbours."""
-    rows = lookup(sampled, "dst", values, "id", {"vector": "vector"}, ["src", "slot"])
+    rows = lookup(sampled, "dst", values, "id", {"vector": "vector"}, ["src", "slot"], counts=counts)
     return rows.groupBy(F.col("src").alias("id")).agg(how("vector").alias("vector"))
 
 

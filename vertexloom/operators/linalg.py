@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions import vectors as V
 from ..functions.hashing import draw
 from ..plans.lineage import cut
-from ..plans.skew import lookup
+from ..plans.skew import counted, lookup
 
 MAX_COLUMNS = 4096
 _BUCKETS = 32
@@ -163,10 +163,9 @@ def svd_cells(cells: DataFrame, k: int, power: float = 1.0, iterations: int = 2,
     Rows without cells are left out (their vector is zero).
     """
     cells = cut(cells.select("row", "col", "value").filter("value > 0"), "cells")
-    by_col = cells.groupBy("col").agg(F.count(F.lit(1)).alias("n"))
-    by_row = cells.groupBy("row").agg(F.count(F.lit(1)).alias("n"))
-    back, cols = flipped(cells), cells.select("col").distinct()
-    width = min(k + oversample, cols.count(), by_row.count())
+    by_col, by_row = counted(cells, "col"), counted(cells, "row")
+    back, cols = flipped(cells), cut(cells.select("col").distinct(), "cols")
+    width = min(k + oversample, cols.count(), cells.select("row").distinct().count())
     if k > width:
         raise ValueError(f"{k} components wanted from a matrix of rank at most {width}")
     side = random_vectors(cols, width, f"{seed}|svd", key="col")

@@ -13,7 +13,7 @@ from ..plans.skew import lookup
 from .graph import Graph, induced_subgraph
 from .sampling import pick_table, positions, slot_of
 
-SEGMENT = 8
+SEGMENT = 8  # steps between two cuts
 MEETS = "_at_key = _key AND _at_slot = _slot AND lo <= _t AND _t < hi"
 EVEN = "\u0000even"  # key of the rows that stand for "any node"
 
@@ -62,7 +62,7 @@ def _walk(nodes: DataFrame, steps: DataFrame, totals: DataFrame, num_walks: int,
             node = F.floor(unit("round", "start", F.lit(step), F.lit("node"), seed=seed) * F.lit(index_size)).cast("bigint")
             key, slot = F.when(anywhere, F.lit(EVEN)).otherwise(key), F.when(anywhere, node).otherwise(slot)
             point = F.when(anywhere, F.lit(0).cast("bigint")).otherwise(point)
-        asked = state.withColumn("_t", point).withColumn("_at_key", key).withColumn("_at_slot", F.coalesce(slot, _nowhere()))
+        asked = state.select("*", point.alias("_t"), key.alias("_at_key"), F.coalesce(slot, _nowhere()).alias("_at_slot"))
         met = asked.join(moves, F.expr(MEETS), "left")
         moved = F.col("dst").isNotNull()
         state = met.select("round", "start", F.coalesce("dst", "cur").alias("cur"), F.col("next_total").alias("total"),
@@ -140,19 +140,19 @@ def node2vec_walks(graph: Graph, p: float = 0.5, q: float = 0.5, num_walks: int
         passes += 1
         keys = ("round", "start", "step", "attempt")
         active = F.col("slots").isNotNull() & (F.col("step") < walk_length)
-        asked = (state.withColumn("_t", F.floor(unit(*keys, seed=seed) * F.col("total")).cast("bigint"))
-                 .withColumn("_at_key", F.col("cur"))
-                 .withColumn("_at_slot", F.when(active, slot_of(F.col("_t"), F.col("total"), F.col("slots"))).otherwise(_nowhere())))
+        point = F.floor(unit(*keys, seed=seed) * F.col("total")).cast("bigint")
+        asked = state.select("*", point.alias("_t"), F.col("cur").alias("_at_key"),
+                             F.when(active, slot_of(point, F.col("total"), F.col("slots"))).otherwise(_nowhere()).alias("_at_slot"))
         met = asked.join(moves, F.expr(MEETS), "left")
         # a walk that has no edge to look up asks for a key of its own, so these do not meet in one task
         alone = F.concat(F.lit("\u0000"), F.xxhash64("round", "start").cast("string"))
-        met = (met.withColumn("_x", F.coalesce("dst", alone)).withColumn("_want", F.coalesce("prev", alone))
+        met = (met.select("*", F.coalesce("dst", alone).alias("_x"), F.coalesce("prev", alone).alias("_want"))
                .join(links, (F.col("_x") == F.col("_from")) & (F.col("_want") == F.col("_to")), "left"))
         bias = (F.when(F.col("prev").isNull(), F.lit(top)).when(F.col("dst") == F.col("prev"), F.lit(1.0 / p))
                 .when(F.col("_to").isNotNull(), F.lit(1.0)).otherwise(F.lit(1.0 / q)))
         taken = F.col("dst").isNotNull() & (unit(*keys, F.lit("accept"), seed=seed) * top < bias)
         refused = F.col("dst").isNotNull() & ~taken
-        met = met.withColumn("_ok", taken).withColumn("_no", refused)
+        met = met.select("*", taken.alias("_ok"), refused.alias("_no"))
         state = met.select(
             "round", "start", F.when(F.col("_ok"), F.col("step") + 1).otherwise(F.col("step")).alias("step"),
             F.when(F.col("_no"), F.col("attempt") + 1).otherwise(F.lit(0)).alias("attempt"),

@@ -2,7 +2,10 @@
 
 from pyspark.sql import DataFrame, functions as F
 
+from .lineage import cut
+
 HOT_ROWS = 1_000_000
+EVEN = "even"  # as counts: the keys were counted and none is hot
 
 
 def hot_keys(counts: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> DataFrame:
@@ -14,28 +17,35 @@ def hot_keys(counts: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> Da
         *keys, F.ceil(F.col("n") / F.lit(hot_rows)).cast("int").alias("_parts"))
 
 
+def counted(left: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> DataFrame | str:
+    """Row counts by key for joins that are made again and again: the hot keys' rows, or EVEN."""
+    counts = cut(left.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > hot_rows), "hot")
+    return EVEN if counts.isEmpty() else counts
+
+
 def salted_join(left: DataFrame, right: DataFrame, keys: list[str], spread: list[str], how: str = "inner",
-                counts: DataFrame | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
+                counts: DataFrame | str | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Equi-join in which a hot key of the left side is spread over several tasks.
 
     The rows of a hot key get a salt from the `spread` columns and the matching right rows are copied
-    once for each salt. `counts` has the keys and their left row count `n` when it is known already.
+    once for each salt. `counts` has the keys and their left row count `n` when it is known already,
+    or is EVEN when no key is hot.
     """
+    if isinstance(counts, str):
+        return left.join(right, keys, how)
     if counts is None:
         counts = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     hot = F.broadcast(hot_keys(counts, keys, hot_rows))
     parts = F.coalesce(F.col("_parts"), F.lit(1))
-    salted = (left.join(hot, keys, "left")
-              .withColumn("_salt", F.pmod(F.xxhash64(*spread), parts).cast("int")).drop("_parts"))
-    copies = (right.join(hot, keys, "left")
-              .withColumn("_salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts"))
+    salted = left.join(hot, keys, "left").select(*left.columns, F.pmod(F.xxhash64(*spread), parts).cast("int").alias("_salt"))
+    copies = right.join(hot, keys, "left").select(*right.columns, F.explode(F.sequence(F.lit(0), parts - 1)).alias("_salt"))
     return salted.join(copies, keys + ["_salt"], how).drop("_salt")
 
 
 def lookup(left: DataFrame, key: str, right: DataFrame, right_key: str, take: dict[str, str], spread: list[str],
-           how: str = "inner", counts: DataFrame | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
+           how: str = "inner", counts: DataFrame | str | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Add columns of a one-row-per-key table; `take` maps right column to new name."""
     small = right.select(F.col(right_key).alias(key), *[F.col(c).alias(n) for c, n in take.items()])
-    if counts is not None:
+    if isinstance(counts, DataFrame):
         counts = counts.select(F.col(counts.columns[0]).alias(key), "n")
     return salted_join(left, small, [key], spread, how, counts, hot_rows)
