@@ -7,9 +7,10 @@ from ..operators import aggregate as A, evaluate as E, graph as G, sampling as S
 from ..operators.matrix import pair_similarity
 from ..plans.lineage import cut
 from ..plans.ranks import with_row_index
+from ..plans.skew import lookup
 from .base import P, V, X, exploded, h, part_labels, purchases, query, rounded, table, u, vector_attrs, vector_emb, vector_labels, vectors
 from .matrices import hash_matrix, hash_matrix_sql
-from .sampling import NEGATIVES, hit, line_sql, negatives, non_edge_sql, sample_sql
+from .sampling import NEGATIVES, hit, negatives, non_edge_sql, sample_sql
 
 # ---- aggregation: 10 sampled neighbours, fixed weights
 
@@ -285,8 +286,9 @@ def ema_metric(spark, sf):
     """Each event type as a run, its events in order as the steps."""
     rows = table(spark, sf, "events").select(F.col("event_type").alias("run"), "event_id", F.col("value").alias("metric"))
     placed = cut(with_row_index(rows, ["run", "event_id"], "i"), "history")
-    first = F.broadcast(placed.groupBy("run").agg(F.min("i").alias("first")))
-    return rounded(E.ema_metric(placed.join(first, "run").select("run", (F.col("i") - F.col("first")).alias("step"), "metric")), "smoothed")
+    first = placed.groupBy("run").agg(F.min("i").alias("first"), F.count(F.lit(1)).alias("n"))
+    rows = lookup(placed, "run", first, "run", {"first": "first"}, ["i"], counts=first.select("run", "n"))
+    return rounded(E.ema_metric(rows.select("run", (F.col("i") - F.col("first")).alias("step"), "metric")), "smoothed")
 
 
 @query("run_summary", f"""WITH {P} SELECT (SELECT count(*) FROM p_edges) AS edges, (SELECT count(*) FROM p_nodes) AS nodes,

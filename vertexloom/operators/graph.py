@@ -165,8 +165,8 @@ def double_edges(graph: Graph, attrs: DataFrame) -> DataFrame:
 def induced_subgraph(graph: Graph, keep: DataFrame) -> Graph:
     """Edges with both ends in the node set."""
     ids = keep.select("id")
-    edges = (graph.edges.join(ids.withColumnRenamed("id", "src"), "src", "left_semi")
-             .join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi"))
+    edges = salted_join(graph.edges, ids.withColumnRenamed("id", "src"), ["src"], ["dst"], "left_semi")
+    edges = salted_join(edges, ids.withColumnRenamed("id", "dst"), ["dst"], ["src"], "left_semi").select(*graph.edges.columns)
     return Graph(ids, edges, graph.directed)
 
 
@@ -213,7 +213,7 @@ def drop_isolated_edges(pairs: DataFrame, flags: DataFrame, train_deg: DataFrame
 def prune_pairs(pairs: DataFrame, flags: DataFrame) -> DataFrame:
     """Pairs whose second node is neither test nor validation."""
     held = flags.filter(F.col("test") | F.col("val")).select(F.col("id").alias("dst"))
-    return pairs.join(held, "dst", "left_anti").select(*pairs.columns)
+    return salted_join(pairs, held, ["dst"], ["src"], "left_anti").select(*pairs.columns)
 
 
 def train_nodes(flags: DataFrame, train_deg: DataFrame) -> DataFrame:

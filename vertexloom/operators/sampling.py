@@ -14,8 +14,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions.hashing import SPAN, draw, unit
 from ..plans.lineage import cut
 from ..plans.ranks import first_k, with_row_index
-from ..plans.skew import lookup, salted_join
-from .graph import Graph, canonical, endpoints
+from ..plans.skew import salted_join
+from .graph import Graph, canonical
 
 BUCKET_ROWS = 100_000
 SLOT_BLOCK = 4096
@@ -54,16 +54,15 @@ def pick_table(df: DataFrame, group: list[str], item: list[str], weight: str, se
     sums = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), F.sum(weight).alias("_sum"))
     rows = _in_buckets(rows, group, item, sums, seed).withColumn(
         "_mass", F.greatest(F.round(F.col(weight) / F.col("_sum") * float(SPAN)).cast("bigint"), F.lit(1)))
+    rows = cut(rows.select(*group, *item, "n", "_h", "_b", "_mass"), "masses")
     masses = rows.groupBy(*group, "_b").agg(F.sum("_mass").alias("_size"))
     earlier = Window.partitionBy(*group).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     starts = masses.select(*group, "_b", F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_start"))
-    totals = (masses.groupBy(*group).agg(F.sum("_size").alias("total"))
-              .join(sums.select(*group, F.col("n").alias("slots")), group))
+    totals = cut(rows.groupBy(*group).agg(F.sum("_mass").alias("total"), F.count(F.lit(1)).alias("slots")), "totals")
     inside = Window.partitionBy(*group, "_b").orderBy("_h", *item).rowsBetween(Window.unboundedPreceding, 0)
     line = (rows.join(starts, group + ["_b"]).withColumn("hi", F.col("_start") + F.sum("_mass").over(inside))
-            .withColumn("lo", F.col("hi") - F.col("_mass")).select(*group, *item, "n", "lo", "hi"))
-    counts = sums.select(*group, "n")
-    line = salted_join(line.drop("n"), totals, group, item, counts=counts)
+            .withColumn("lo", F.col("hi") - F.col("_mass")).select(*group, *item, "lo", "hi"))
+    line = salted_join(line, totals, group, item, counts=totals.select(*group, F.col("slots").alias("n")))
     first = slot_of(F.col("lo"), F.col("total"), F.col("slots"))
     last = slot_of(F.col("hi") - 1, F.col("total"), F.col("slots"))
     line = cut(line.withColumn("_first", first).withColumn("_last", last).drop("total", "slots"), "line")
@@ -78,11 +77,13 @@ def pick_table(df: DataFrame, group: list[str], item: list[str], weight: str, se
 
 def weighted_choice(draws: DataFrame, table: DataFrame, totals: DataFrame, group: list[str], u) -> DataFrame:
     """One item for each row of `draws`, chosen by u in [0, 1) from the row's group."""
-    rows = salted_join(draws.withColumn("_u", u), totals, group, [c for c in draws.columns if c not in group])
+    spread = [c for c in draws.columns if c not in group]
+    rows = salted_join(draws.withColumn("_u", u), totals, group, spread)
     rows = rows.withColumn("_t", F.floor(F.col("_u") * F.col("total"))).withColumn(
         "slot", slot_of(F.col("_t"), F.col("total"), F.col("slots"))).drop("total", "slots", "_u")
-    return (rows.join(table, group + ["slot"]).filter((F.col("lo") <= F.col("_t")) & (F.col("_t") < F.col("hi")))
-            .drop("_t", "slot", "lo", "hi"))
+    # a group with few items and very many draws is hot here as well
+    met = salted_join(rows, table, group + ["slot"], spread)
+    return met.filter((F.col("lo") <= F.col("_t")) & (F.col("_t") < F.col("hi"))).drop("_t", "slot", "lo", "hi")
 
 
 def _choose_global(draws: DataFrame, table: DataFrame, totals: DataFrame, u) -> DataFrame:
@@ -203,8 +204,3 @@ def subset(items: DataFrame, keys: list[str], size: int, seed: int = 0) -> DataF
     """A random subset of the given size (all rows when there are fewer)."""
     keyed = items.withColumn("_h", draw(*keys, seed=seed))
     return keyed.filter(first_k(keyed, size, "_h", keys)).drop("_h")
-
-
-__all__ = ["endpoints", "positions", "pick_table", "weighted_choice", "neighbor_sample", "neighbor_subsample",
-           "khop_support", "negative_table", "negative_sample", "negative_sample_loguniform", "edge_sample",
-           "sample_non_edges", "minibatches", "subset", "numbers", "lookup"]

@@ -2,7 +2,8 @@
 
 The neighbours of a node are rows, not an array. Each row carries what the next step needs to know
 about the node it leads to, and a step asks for one (node, slot) only, so the walkers that stand on a
-hub are spread over as many keys as the hub has neighbours.
+hub are spread over as many keys as the hub has neighbours. Where very heavy weights hold many walkers
+on one edge, adaptive execution splits that key (the step row is the single-row side).
 """
 
 from pyspark.sql import DataFrame, functions as F

@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..operators.graph import Graph, canonical
+from ..operators.graph import Graph, canonical, edge_train_mask
 
 NODE_LINK = ("nodes array<struct<id:string,val:boolean,test:boolean>>,"
              "links array<struct<source:string,target:string>>")
@@ -77,12 +77,8 @@ def read_node_link_json(spark: SparkSession, path: str, lines: bool = False) ->
     nodes = (doc.select(F.explode("nodes").alias("n")).select("n.id", "n.val", "n.test")
              .filter(F.col("val").isNotNull() & F.col("test").isNotNull()).distinct())
     links = doc.select(F.explode("links").alias("l")).select(F.col("l.source").alias("src"), F.col("l.target").alias("dst"))
-    held = F.col("val") | F.col("test")
-    edges = (canonical(links, False).distinct()
-             .join(nodes.select(F.col("id").alias("src"), held.alias("_s")), "src")
-             .join(nodes.select(F.col("id").alias("dst"), held.alias("_d")), "dst")
-             .select("src", "dst", (F.col("_s") | F.col("_d")).alias("train_removed")))
-    return nodes, edges
+    plain = Graph(nodes.select("id"), canonical(links, False).distinct())
+    return nodes, edge_train_mask(plain, nodes)
 
 
 def read_id_map(spark: SparkSession, path: str) -> DataFrame:
