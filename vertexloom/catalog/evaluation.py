@@ -8,9 +8,9 @@ from ..operators.matrix import pair_similarity
 from ..plans.lineage import cut
 from ..plans.ranks import with_row_index
 from ..plans.skew import lookup
-from .base import P, V, X, exploded, h, part_labels, purchases, query, rounded, table, u, vector_attrs, vector_emb, vector_labels, vectors
+from .base import P, V, X, exploded, h, part_labels, purchases, query, rounded, table, u, vector_emb, vector_labels, vectors
 from .matrices import hash_matrix, hash_matrix_sql
-from .sampling import NEGATIVES, hit, negatives, non_edge_sql, sample_sql
+from .sampling import NEGATIVES, hit, negatives, non_edge_sql, sample_sql, subsample_sql
 
 # ---- aggregation: 10 sampled neighbours, fixed weights
 
@@ -85,16 +85,34 @@ def agg_maxpool2(spark, sf):
     return exploded(A.agg_maxpool2(*_inputs(spark, sf), _weights(2)))
 
 
-@query("propagate")
+def _layer(name: str, self_rows: str, near_rows: str, edges: str, layer: int, rows: int, act: bool) -> str:
+    """CTEs of one mean layer over the sampled edges."""
+    keep = "greatest({0}, 0.0)" if act else "{0}"
+    return f"""{name}_m AS (SELECT src AS id, i, avg(s.value) AS value FROM {edges} JOIN {near_rows} s ON s.id = dst GROUP BY 1, 2),
+{_times(name + '_n', name + '_m', f'neigh{layer}', rows, OUT)}, {_times(name + '_s', self_rows, f'self{layer}', rows, OUT)},
+{name} AS (SELECT id, i, {keep.format('value')} AS value FROM {name}_s
+  UNION ALL SELECT o.id, o.i + {OUT}, {keep.format('coalesce(n.value, 0.0)')} FROM {name}_s o LEFT JOIN {name}_n n ON n.id = o.id AND n.i = o.i)"""
+
+
+TWO_LAYERS = f"""{AGG}, {subsample_sql('near0', 'sampled', 3, '0|0')}, {subsample_sql('near1', 'sampled', 5, '0|1')},
+{_layer('h0', 'xe', 'xe', 'near0', 0, WIDTH, True)}, {_layer('h1', 'xe', 'xe', 'near1', 0, WIDTH, True)}, {_layer('z', 'h0', 'h1', 'near0', 1, 2 * OUT, False)}"""
+
+
+def _two_layers():
+    return [{n: hash_matrix(f"{n}{layer}", rows, OUT) for n in ("self", "neigh")} for layer, rows in ((0, WIDTH), (1, 2 * OUT))]
+
+
+@query("propagate", f"WITH {TWO_LAYERS} SELECT id, i, round(value, 6) AS value FROM z")
 def propagate(spark, sf):
     hidden, sampled = _inputs(spark, sf)
-    return exploded(A.propagate(hidden, sampled, A.make_weights("mean", [WIDTH, 16, 16]), [10, 5]))
+    return exploded(A.propagate(hidden, sampled, _two_layers(), [5, 3]))
 
 
-@query("infer_embeddings")
+@query("infer_embeddings", f"""WITH {TWO_LAYERS}, size AS (SELECT id, sqrt(sum(value * value)) AS s FROM z GROUP BY 1)
+SELECT id, i, round(CASE WHEN s > 0 THEN value / s ELSE value END, 6) AS value FROM z JOIN size USING (id)""")
 def infer_embeddings(spark, sf):
     hidden, sampled = _inputs(spark, sf)
-    return exploded(A.infer_embeddings(hidden, sampled, A.make_weights("gcn", [WIDTH, 32, 32]), [10, 5], "gcn", concat=False))
+    return exploded(A.infer_embeddings(hidden, sampled, _two_layers(), [5, 3]))
 
 
 # ---- link prediction

@@ -160,6 +160,19 @@ def pca(spark, sf):
     return exploded(linalg.pca(vector_attrs(spark, sf), 16))
 
 
+@query("truncated_svd_norms", f"WITH {X} SELECT id, round(sqrt(list_dot_product(v, v)), 6) AS norm FROM x")
+def truncated_svd_norms(spark, sf):
+    """With all components the rows keep their length."""
+    return cut(linalg.truncated_svd(vector_attrs(spark, sf), 64)[0], "svd").select("id", F.round(VV.norm(F.col("vector")), 6).alias("norm"))
+
+
+@query("pca_norms", f"""WITH {X}, mean AS (SELECT i, avg(value) AS m FROM xe GROUP BY 1)
+SELECT id, round(sqrt(sum((value - m) * (value - m))), 6) AS norm FROM xe JOIN mean USING (i) GROUP BY 1""")
+def pca_norms(spark, sf):
+    """With all components the rows keep their distance from the mean."""
+    return cut(linalg.pca(vector_attrs(spark, sf), 64), "pca").select("id", F.round(VV.norm(F.col("vector")), 6).alias("norm"))
+
+
 @query("svd_scaled")
 def svd_scaled(spark, sf):
     return exploded(linalg.svd_scaled(transition(vectors(spark, sf)), 16))

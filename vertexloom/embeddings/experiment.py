@@ -10,7 +10,7 @@ from ..operators.graph import Graph, node_index
 from ..plans.lineage import cut
 from ..sources.writers import write_embeddings
 from .factor import aane, tadw
-from .gradient import asne, line, sgns_pairs
+from .gradient import asne, line
 from .result import Embedding
 from .sage import sagegcn, sagemean
 from .spectral import attrpure, grarep
@@ -68,6 +68,3 @@ def run_experiment(graph: Graph, method: str, attrs: DataFrame | None = None, la
     took["evaluate"] = time.time() - began
     summary = run_summary(graph, took).withColumn("_one", F.lit(0))
     return Run(vectors, scores.join(summary, "_one").drop("_one").withColumn("method", F.lit(method)))
-
-
-__all__ = ["METHODS", "Run", "embed", "run_experiment", "sgns_pairs"]

@@ -75,11 +75,12 @@ def aane(graph: Graph, attrs: DataFrame | None, dim: int = 128, lambd: float = 0
     else:
         state = state.join(attrs.select("id", V.unit_vector("features").alias("x")), "id")
     state = cut(state, "state")
+    m = 0 if mode == "pure" else V.width(state, "x")
     history = []
 
-    def update(state: DataFrame, own: str, other: str, sign: float) -> tuple[DataFrame, float]:
+    def update(state: DataFrame, own: str, other: str, sign: float) -> DataFrame:
         """New value of column `own` from column `other`; sign -1 is the step for H, +1 the step for Z."""
-        shapes = [(dim, dim)] + ([] if mode == "pure" else [(V.width(state, "x"), dim)])
+        shapes = [(dim, dim)] + ([] if mode == "pure" else [(m, dim)])
         sums = matrix_sums(state, [other] + ([] if mode == "pure" else ["x"]),
                            (lambda z: [z.T @ z]) if mode == "pure" else (lambda z, x: [z.T @ z, x.T @ z]), shapes)
         values, axes = np.linalg.eigh((sums[0] + sums[0].T) / 2)

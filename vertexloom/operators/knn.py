@@ -16,10 +16,10 @@ from ..functions import vectors as V
 from ..functions.hashing import draw
 from ..plans.lineage import cut
 from ..plans.ranks import first_k
-from ..plans.skew import lookup, salted_join
+from ..plans.skew import salted_join
 
 MAX_PIVOTS = 1024
-BLOCK_ROWS = 4096
+BLOCK_ROWS = 2048
 DIGITS = 9  # similarities that agree to this many digits are ties, broken by id
 
 
