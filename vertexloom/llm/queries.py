@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..catalog.base import table
-from . import decontaminate, exact_dedup
+from . import decontaminate, exact_dedup, near_dedup, repeats
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -21,6 +21,20 @@ def query(name: str, sql: str | None = None):
 LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
+@query("op3_near_dedup", f"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({LOWERED}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, w[i:i + least(len(w), 2) - 1] AS g FROM d, unnest(range(1, greatest(len(w) - 1, 1) + 1)) AS t(i) WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE 100 * c >= 80 * (x.n + y.n - c)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, min(r.b) AS component_id, d.doc_id = min(r.b) AS kept
+FROM d JOIN r ON d.doc_id = r.a LEFT JOIN n USING (doc_id) GROUP BY d.doc_id, n.n""")
+def op3(spark, sf):
+    return near_dedup.near_groups(table(spark, sf, "documents"), width=2)
+
+
 @query("op5_decontamination", f"""
 WITH d AS (SELECT doc_id, regexp_extract_all({LOWERED}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
 i AS (SELECT item_id, regexp_extract_all({LOWERED}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark),
@@ -45,3 +59,20 @@ g AS (SELECT t, min(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY t
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_sha256 FROM d JOIN g USING (t)""")
 def op6(spark, sf):
     return exact_dedup.exact_groups(table(spark, sf, "documents"))
+
+
+@query("op8_suffix_dedup", """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, p, md5_number(substr(h, (2 * p + 1)::INT, 800)) AS k FROM d, unnest(range(0, (len(h) // 2 - 399)::BIGINT)) AS t(p) WHERE len(h) >= 800),
+r AS (SELECT doc_id, p FROM w WHERE k IN (SELECT k FROM w GROUP BY k HAVING count(*) > 1)),
+b AS (SELECT *, CASE WHEN p <= lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 400 THEN 0 ELSE 1 END AS new FROM r),
+s AS (SELECT doc_id, min(p) AS a, max(p) + 400 AS z FROM (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY p) AS g FROM b) GROUP BY doc_id, g),
+e AS (SELECT doc_id, a, z, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before, row_number() OVER (PARTITION BY doc_id ORDER BY a DESC) AS back FROM s),
+k AS (SELECT doc_id, string_agg(substr(h, (2 * before + 1)::INT, (2 * (a - before))::INT) || CASE WHEN back = 1 THEN substr(h, (2 * z + 1)::INT) ELSE '' END, '' ORDER BY a) AS kept,
+             sum(z - a) AS n_removed, count(*) AS n_spans FROM e JOIN d USING (doc_id) GROUP BY 1)
+SELECT doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+       sha256(unhex(coalesce(kept, h))) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)""")
+def op8(spark, sf):
+    found = repeats.remove_repeats(table(spark, sf, "documents"))
+    return found.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"),
+                        F.expr("cast(size(removed) / 2 as bigint)").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
