@@ -96,10 +96,10 @@ class _Block:
         self.numbers[row_of(np.concatenate([[0], np.cumsum(self.lengths)])), runs(self.lengths)] = numbers
 
     def find(self, terms, counts, places, first, slop):
-        """(phrase, start) of every occurrence, start being the place at which the phrase would begin."""
+        """(phrase, low, end) of every occurrence: the places of its first word and after its last."""
         starts = np.concatenate([[0], np.cumsum(counts)])
         if not len(self.vocabulary) or not len(terms):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+            return (np.zeros(0, np.int64),) * 3
         at = np.minimum(np.searchsorted(terms, self.vocabulary), len(terms) - 1)
         known = terms[at] == self.vocabulary
         here = np.where(known, counts[at], 0)
@@ -113,17 +113,19 @@ class _Block:
         start = places[np.repeat(starts[rarest], counts[rarest]) + runs(counts[rarest])] - rank[:, 0]
         keys = (np.repeat(np.arange(len(terms)), counts) << 32) | places  # in order, as places are within a word
         row = np.searchsorted(first, start + rank[:, 0], "right") - 1
+        low = start + rank[:, 0]
+        high = low
         for k in range(1, self.numbers.shape[1]):
             need = self.lengths[phrase] > k
-            want = (at[self.numbers[phrase, rank[:, k]]] << 32) | np.maximum(start + rank[:, k] - slop, 0)
-            found = np.minimum(np.searchsorted(keys, want), len(keys) - 1)
-            ok = ~need | ((keys[found] >= want) & (keys[found] <= ((want >> 32) << 32) + start + rank[:, k] + slop))
-            phrase, start, rank, row = phrase[ok], start[ok], rank[ok], row[ok]
-        if slop == 0:
-            inside = (start >= first[row]) & (start + self.lengths[phrase] <= first[row + 1])
-        else:  # the words found may stand in a neighbour; the whole stretch has to lie in the text of the rarest word
-            inside = (start - slop >= first[row]) & (start + self.lengths[phrase] + slop <= first[row + 1])
-        return phrase[inside], start[inside]
+            place = start + rank[:, k]
+            term = at[self.numbers[phrase, rank[:, k]]] << 32
+            want = term | np.maximum(place - slop, first[row])
+            found = keys[np.minimum(np.searchsorted(keys, want), len(keys) - 1)]
+            ok = ~need | ((found >= want) & (found <= (term | np.minimum(place + slop, first[row + 1] - 1))))
+            there = np.where(need, found - term, low)
+            low, high = np.minimum(low, there), np.maximum(high, there)
+            phrase, start, rank, row, low, high = phrase[ok], start[ok], rank[ok], row[ok], low[ok], high[ok]
+        return phrase, low, high + 1
 
 
 def _search(index: DataFrame, block: _Block, slop: int, all_rows: bool) -> DataFrame:
@@ -140,14 +142,13 @@ def _search(index: DataFrame, block: _Block, slop: int, all_rows: bool) -> DataF
                 total = np.concatenate([[0], np.cumsum(gaps)])
                 places = total[1:] - np.repeat(total[ends - counts], counts)
                 first = batch.column("first")[r].values.to_numpy().astype(np.int64)
-                phrase, start = block.find(terms, counts, places, first, slop)
-                row = np.searchsorted(first, start, "right") - 1 if slop == 0 else np.searchsorted(first, np.maximum(start, 0), "right") - 1
+                phrase, start, end = block.find(terms, counts, places, first, slop)
+                row = np.searchsorted(first, start, "right") - 1
                 order = np.lexsort((start, row))
                 ranges: dict[int, list[int]] = {}
                 items: dict[int, set[str]] = {}
-                for p, s, d in zip(phrase[order].tolist(), start[order].tolist(), row[order].tolist()):
-                    mine, a = ranges.setdefault(d, []), s - int(first[d])
-                    b = a + int(block.lengths[p])
+                for p, s, e, d in zip(phrase[order].tolist(), start[order].tolist(), end[order].tolist(), row[order].tolist()):
+                    mine, a, b = ranges.setdefault(d, []), s - int(first[d]), e - int(first[d])
                     if mine and a <= mine[-1]:
                         mine[-1] = max(mine[-1], b)
                     else:
@@ -169,7 +170,7 @@ def search(index: DataFrame, wanted: DataFrame, slop: int = 0, block_phrases: in
 
     `wanted` has the phrases. With slop 0 they have to stand word for word; with more, each word may stand up to
     `slop` places from where it should, counted from the phrase's rarest word in the segment, and a hit is the
-    stretch that the phrase would take. Phrases are read `block_phrases` at a time.
+    stretch from the first to the last of the words found. Phrases are read `block_phrases` at a time.
     """
     wanted = cut(wanted, "phrases")
     blocks = max(1, -(-wanted.count() // block_phrases))

@@ -8,11 +8,17 @@ j + uniform; a place keeps its least value. As a value of level j is less than j
 the first level after which no place is empty, which for long documents is one of the first few. The places of a
 signature are drawn without replacement, so their agreement varies less than that of independent hashes.
 
-Documents with equal sets are one class, and only a class's document with the smallest id goes on. A bucket (a band
-on which several of them agree) never gives all its pairs: its members are compared with its first member, and then
-with 1, 2, 4, .. further ones, but only where they aren't in the same group yet; so in a group of copies almost
-all drop out at once, and no link between different groups is missed. With the default 40 bands of 5 rows, a pair
-of similarity 0.8 shares no bucket with probability (1 - 0.8^5)^40 = 1.3e-7; more similar pairs still more rarely.
+Documents with equal sets are one class, and only a class's document with the smallest id goes on. A bucket is what
+agrees on a band. Its pairs are never listed; links are confirmed on the full sets in three rounds, and each round leaves
+out what the rounds before have joined:
+1. each document with the first document of one of its buckets;
+2. in buckets that still hold several groups, each document with the bucket's first one and with one that is picked by a hash,
+   where the two are in different groups. In a group of near copies, hardly any document is left alone after that;
+3. the exact rest. Of buckets up to SMALL documents, all pairs that are in different groups. Larger buckets are put
+   together where they share documents; those outside the largest group of such a cluster are looked up, in blocks, in an
+   inverted index by all documents of the cluster, and only links come out.
+So every pair that shares a bucket is confirmed or in one group. With the default 40 bands of 5 rows, a pair of similarity 0.8
+shares no bucket with probability (1 - 0.8^5)^40 = 1.3e-7; more similar pairs still more rarely.
 
 Null and empty texts and texts of white space only have no words and are linked with nothing. Rows with a null id
 are returned with a null group and stay. Rows that share an id count as one document. No rows give no rows.
@@ -20,13 +26,15 @@ are returned with a null group and stay. Rows that share an id count as one docu
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from ..plans.lineage import cut
-from .buffers import NON_SPACE, RangeHash, flat, list_array, lower, mix, row_of, slices, words
+from .buffers import NON_SPACE, RangeHash, flat, list_array, lower, mix, row_of, runs as runs_of, slices, words
 from .components import components
 
 WIDTH, SIMILARITY, BANDS, ROWS = 5, 80, 40, 5
+#: Buckets up to this size list their pairs in the last round; documents of a part in which one is picked; of the blocks of a cluster.
+SMALL, PART, QUERY_BLOCK, MEMBER_BLOCK = 32, 64, 500, 2000
 _U = np.uint64
 EMPTY = _U(2**64 - 1)
 
@@ -143,49 +151,28 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     classes = cut(signed.filter("n > 0 and id is not null").groupBy("set_a", "set_b").agg(F.min("id").alias("rep")), "classes")
     reps = signed.join(classes.withColumnRenamed("rep", "id"), ["set_a", "set_b", "id"])
     entries = reps.select(F.explode("bands").alias("key"), "id", "n")
-    firsts = entries.groupBy("key").agg(F.min("id").alias("head"), F.count(F.lit(1)).alias("size")).filter("size > 1").select("key", "head")
+    firsts = entries.groupBy("key").agg(F.min("id").alias("head"), F.count(F.lit(1)).alias("size")).filter("size > 1")
     buckets = cut(entries.join(firsts, "key").distinct(), "buckets")
-
+    sizes = cut(buckets.select("id", "n").distinct(), "sizes")
+    sets = cut(_sets(docs.join(sizes, "id", "left_semi"), width).dropDuplicates(["id"]), "sets")
     close = F.expr(f"100 * least(n, m) >= {similarity} * greatest(n, m)")
-    sizes = buckets.select(F.col("id").alias("head"), F.col("n").alias("m")).distinct()
-    stars = cut(buckets.filter("id <> head").select("head", "id", "n").distinct().join(sizes, "head").filter(close)
-                .select(F.col("head").alias("a"), F.col("id").alias("b")), "stars")
-    wanted = buckets.select("id").distinct()
-    sets = cut(_sets(docs.join(wanted, "id", "left_semi"), width).dropDuplicates(["id"]), "sets")
-
-    first = stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    links = cut(_confirmed(first, sets, similarity), "links")
-    groups = components(links)
-
-    def apart(pairs: DataFrame) -> DataFrame:
-        for end in ("a", "b"):
-            pairs = pairs.join(groups.select(F.col("b").alias(end), F.col("a").alias(f"{end}_group")), end, "left")
-        return pairs.filter("coalesce(a_group, a) <> coalesce(b_group, b)").select("a", "b")
-
-    def extend(pairs: DataFrame) -> None:
-        nonlocal links, groups
-        new = cut(_confirmed(pairs, sets, similarity), "links")
-        if not new.isEmpty():
-            links = links.union(new)
-            groups = components(links)
-
-    extend(apart(stars.join(first, ["a", "b"], "left_anti")))
-    reach = 1
-    while True:
-        # buckets of three and more members that are still in several groups
-        member = buckets.join(groups.select(F.col("b").alias("id"), F.col("a").alias("up")), "id", "left").select("key", "id", "n", F.coalesce("up", "id").alias("up"))
-        open_keys = member.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("up").alias("low"), F.max("up").alias("high")).filter(
-            f"size > {reach} + 1 and low <> high").select("key", "size")
-        if reach == 1:
-            open_keys = cut(open_keys, "open")
-            if open_keys.isEmpty():
-                break
-            ranked = cut(_ranked(buckets.join(open_keys.select("key"), "key", "left_semi").select("key", "id", "n")), "ranked")
-        elif ranked.filter(f"place >= {reach}").isEmpty():
-            break
-        heads = ranked.filter(f"place >= {reach if reach > 1 else 0} and place < {2 * reach}").select("key", F.col("id").alias("a"), F.col("n").alias("m"), F.col("place").alias("head_place"))
-        extend(apart(ranked.join(heads, "key").filter("place > head_place").filter(close).select("a", F.col("id").alias("b")).distinct()))
-        reach *= 2
+
+    first = buckets.filter("id <> head").groupBy(F.col("id").alias("b")).agg(F.min("head").alias("a"), F.first("n").alias("n"))
+    first = cut(first.join(sizes.select(F.col("id").alias("a"), F.col("n").alias("m")), "a").filter(close).select("a", "b"), "first")
+    groups = components(_confirmed(first, sets, similarity))
+
+    held = _still_apart(buckets, groups, 1)
+    chief = held.groupBy("key", "part").agg(F.min(F.struct(F.xxhash64("id", "key"), F.col("id").alias("a"), F.col("n").alias("m"), F.col("up").alias("a_up"))).alias("c")).select("key", "part", "c.a", "c.m", "c.a_up")
+    heads = held.filter("id = head").select("key", F.col("id").alias("a"), F.col("n").alias("m"), F.col("up").alias("a_up"))
+    met = held.join(chief, ["key", "part"]).select("id", "n", "up", "a", "m", "a_up").union(held.join(heads, "key").select("id", "n", "up", "a", "m", "a_up"))
+    second = met.filter("up <> a_up").filter(close).select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
+    groups = _with_links(groups, _confirmed(second.join(first, ["a", "b"], "left_anti"), sets, similarity))
+
+    held = _still_apart(buckets, groups, 2)
+    few = held.filter(F.col("size") <= SMALL)
+    other = few.select("key", F.col("id").alias("b"), F.col("n").alias("m"), F.col("up").alias("b_up"))
+    third = few.join(other, (few["key"] == other["key"]) & F.expr("id < b and up <> b_up") & close).select(F.col("id").alias("a"), "b").distinct()
+    groups = _with_links(groups, _confirmed(third, sets, similarity).union(_clustered(held.filter(F.col("size") > SMALL), sets, similarity)))
 
     of_set = signed.select("id", "n", "set_a", "set_b").join(classes, ["set_a", "set_b"], "left")
     found = of_set.join(groups.select(F.col("b").alias("rep"), F.col("a").alias("up")), "rep", "left")
@@ -194,13 +181,68 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                         F.coalesce(F.col("id") == group, F.lit(True)).alias("kept"))
 
 
-def _ranked(members: DataFrame) -> DataFrame:
-    """0-based place of each member in its bucket. A large bucket is ranked in ranges of its ids, not in one task."""
-    ranges = members.select("key", "id", "n", F.pmod(F.xxhash64("id"), F.lit(64)).alias("part"))
-    inside = ranges.withColumn("local", F.row_number().over(Window.partitionBy("key", "part").orderBy("id")) - 1)
-    sizes = ranges.groupBy("key", "part").agg(F.count(F.lit(1)).alias("size"))
-    before = F.coalesce(F.sum("size").over(Window.partitionBy("key").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return inside.join(sizes.select("key", "part", before.alias("before")), ["key", "part"]).select("key", "id", "n", (F.col("before") + F.col("local")).alias("place"))
+def _still_apart(buckets: DataFrame, groups: DataFrame, least: int) -> DataFrame:
+    """(key, head, size, id, n, up, part) of the buckets of more than `least` members that hold several groups; up is a member's group."""
+    member = buckets.join(groups.select(F.col("b").alias("id"), F.col("a").alias("up")), "id", "left").withColumn("up", F.coalesce("up", "id"))
+    several = member.groupBy("key").agg(F.min("up").alias("low"), F.max("up").alias("high")).filter("low <> high").select("key")
+    parts = F.ceil(F.col("size") / PART).cast("int")
+    return cut(member.filter(F.col("size") > least).join(several, "key").withColumn("part", F.pmod(F.xxhash64("id"), parts).cast("int")), "apart")
+
+
+def _with_links(groups: DataFrame, links: DataFrame) -> DataFrame:
+    links = cut(links, "links")
+    return groups if links.isEmpty() else components(groups.select("a", "b").union(links))
+
+
+def _clustered(held: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
+    """The links (a, b) between different groups among documents that large buckets put together."""
+    kind = sets.schema["id"].dataType.simpleString()
+    if held.isEmpty():
+        return sets.sparkSession.createDataFrame([], f"a {kind}, b {kind}")
+    together = components(held.select(F.col("head").alias("a"), F.col("id").alias("b")))
+    member = held.select("id", "up").distinct().join(together.select(F.col("b").alias("id"), F.col("a").alias("cluster")), "id", "left")
+    member = cut(member.withColumn("cluster", F.coalesce("cluster", "id")), "clusters")
+    counts = member.groupBy("cluster", "up").agg(F.count(F.lit(1)).alias("c"))
+    largest = counts.groupBy("cluster").agg(F.max(F.struct("c", "up")).alias("top"), F.sum("c").alias("all")).select(
+        "cluster", F.col("top.up").alias("main"), F.ceil((F.col("all") - F.col("top.c")) / QUERY_BLOCK).cast("int").alias("q"), F.ceil(F.col("all") / MEMBER_BLOCK).cast("int").alias("p"))
+    rows = member.join(largest, "cluster").join(sets, "id")
+    spot = lambda count: F.pmod(F.xxhash64("id"), count).cast("int")
+    every = lambda count: F.explode(F.sequence(F.lit(0), count - 1))
+    asked = rows.filter("up <> main").withColumns({"asked": F.lit(1), "q": spot(F.col("q"))}).withColumn("p", every(F.col("p")))
+    asking = rows.filter("q > 0").withColumns({"asked": F.lit(0), "p": spot(F.col("p"))}).withColumn("q", every(F.col("q")))
+    dealt = asked.unionByName(asking).select("cluster", "q", "p", "asked", "id", "up", "elements").repartition("cluster", "q", "p")
+
+    def look_up(batches):
+        key, index, block = None, None, []
+        for batch in batches:
+            found = []
+            for row in batch.to_pylist():
+                mine, own = (row["cluster"], row["q"], row["p"]), np.frombuffer(row["elements"], np.uint64)
+                if mine != key:
+                    key, index, block = mine, None, []
+                if row["asked"]:  # these come first
+                    block.append((row["id"], row["up"], own))
+                    continue
+                if not block:
+                    continue
+                index = index or _inverted(block)
+                elements, owner, size = index
+                low, high = np.searchsorted(elements, own, "left"), np.searchsorted(elements, own, "right")
+                same = np.bincount(owner[np.repeat(low, high - low) + runs_of(high - low)], minlength=len(block))
+                for i in np.flatnonzero(100 * same >= similarity * (len(own) + size - same)).tolist():
+                    if block[i][1] != row["up"]:
+                        found.append((row["id"], block[i][0]))
+            yield pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(zip(*found) if found else [[], []], (batch.column("id"),) * 2)], names=["a", "b"])
+
+    return dealt.sortWithinPartitions("cluster", "q", "p", F.col("asked").desc()).mapInArrow(look_up, f"a {kind}, b {kind}")
+
+
+def _inverted(block):
+    """Elements in order with the place in the block of the document that has each, and the documents' sizes."""
+    sizes = np.array([len(x) for _, _, x in block])
+    elements = np.concatenate([x for _, _, x in block])
+    order = np.argsort(elements, kind="stable")
+    return elements[order], np.repeat(np.arange(len(block)), sizes)[order], sizes
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

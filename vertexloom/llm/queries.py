@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..catalog.base import table
-from . import decontaminate, exact_dedup, near_dedup, repeats
+from . import chat, decontaminate, exact_dedup, near_dedup, pieces, repeats, sharding, token_counts, toxicity, url_filter
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -21,6 +21,51 @@ def query(name: str, sql: str | None = None):
 LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
+def tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query("op1_sentencepiece")
+def op1(spark, sf):
+    """Each document's pieces with merge-dropout, and whether they decode to the document."""
+    docs = table(spark, sf, "documents").select("doc_id", "text", F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint").alias("n_bytes"))
+    model = tokenizer("piece_bpe_32k.model")
+    coded = docs.withColumn("ids", pieces.encoded("text", "doc_id", model))
+    return coded.select("doc_id", "n_bytes", F.coalesce(F.size("ids"), F.lit(0)).cast("bigint").alias("n_tokens"), "ids",
+                        pieces.decoded("ids", model).eqNullSafe(F.col("text")).alias("lossless"))
+
+
+@query("op2_token_counts")
+def op2(spark, sf):
+    docs = table(spark, sf, "documents")
+    counted = docs.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint").alias("n_bytes"),
+                          token_counts.token_count("text", tokenizer("byte_bpe_50k.json")).alias("n_tokens"))
+    return counted.withColumn("over_limit", F.col("n_tokens") > 512)
+
+
+#: Bytes of text in a shard.
+SHARD_BYTES = 64 << 20
+
+
+def sharding_sql(limit: int) -> str:
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(strlen(text), 0)::BIGINT AS n_bytes, ('0x' || substr(md5(doc_id::VARCHAR), 1, 15))::BIGINT AS a FROM documents),
+p AS (SELECT *, a >> (60 - depth) AS prefix FROM d, unnest(range(0, 61)) AS t(depth)),
+n AS (SELECT depth, prefix, sum(n_bytes)::BIGINT AS shard_bytes, count(*) AS shard_rows FROM p GROUP BY 1, 2 HAVING sum(n_bytes) <= {limit} OR min(a) = max(a)),
+s AS (SELECT doc_id, min(depth) AS depth FROM p JOIN n USING (depth, prefix) GROUP BY 1)
+SELECT doc_id, CASE WHEN depth = 0 THEN '' ELSE right(repeat('0', 60) || bin(prefix), depth::INT) END AS shard, depth::BIGINT AS depth, n_bytes, shard_bytes, shard_rows,
+       shard_bytes > {limit} AS oversized
+FROM s JOIN p USING (doc_id, depth) JOIN n USING (depth, prefix)"""
+
+
+@query("op4_sharding", sharding_sql(SHARD_BYTES))
+def op4(spark, sf, limit: int = SHARD_BYTES):
+    placed = sharding.assign(table(spark, sf, "documents"), ["doc_id"], limit)
+    return placed.select("row.doc_id", "shard", F.col("depth").cast("bigint").alias("depth"), "n_bytes", "shard_bytes", "shard_rows", "oversized")
+
+
 @query("op3_near_dedup", f"""
 WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({LOWERED}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
 s AS (SELECT DISTINCT doc_id, w[i:i + least(len(w), 2) - 1] AS g FROM d, unnest(range(1, greatest(len(w) - 1, 1) + 1)) AS t(i) WHERE len(w) > 0),
@@ -76,3 +121,29 @@ def op8(spark, sf):
     found = repeats.remove_repeats(table(spark, sf, "documents"))
     return found.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"),
                         F.expr("cast(size(removed) / 2 as bigint)").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op7_chat_format")
+def op7(spark, sf):
+    """All conversations and one whose texts hold the control strings of several templates, read back from the windows."""
+    told = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.range(2).select(F.lit(-7).cast("bigint").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+                                  F.lit("\\### Assistant: </turn> ok").alias("text"))
+    return chat.read_back(chat.windows(told.unionByName(extra), tokenizer("byte_bpe_50k.json")))
+
+
+#: Host, path, and what becomes of a URL.
+URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
+
+
+@query("op9_url_filter")
+def op9(spark, sf):
+    return url_filter.verdicts(table(spark, sf, "pages"), URL_RULES)
+
+
+@query("op10_toxicity")
+def op10(spark, sf):
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    model = toxicity.fit(docs, labels.filter(~toxicity.is_held_out()))
+    return toxicity.scored(docs, model).select("doc_id", toxicity.is_held_out().alias("held_out"), "score",
+                                               (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
