@@ -1,12 +1,10 @@
 """Gradients by finite differences, objectives, and quality on planted communities."""
 
-import os
-
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from vertexloom.embeddings import experiment as X, factor, gradient, sage, spectral
+from vertexloom.embeddings import blocks, experiment as X, factor, gradient, sage, spectral
 from vertexloom.functions.hashing import unit
 from vertexloom.operators import aggregate as A, evaluate as E
 from vertexloom.operators.graph import Graph
@@ -31,21 +29,17 @@ def planted(spark):
     return Graph(cut(nodes.select("id")), cut(edges)), attrs, labels
 
 
-WALKS = {"num_walks": 4, "walk_length": 12, "window": 3, "epochs": 6, "learning_rate": 0.2}
+WALKS = {"num_walks": 4, "walk_length": 12, "window": 3, "epochs": 10}
 SETTINGS = {
     "attrpure": {"dim": 8}, "grarep": {"dim": 16, "kstep": 2}, "tadw": {"dim": 8}, "aane": {"dim": 8, "maxiter": 2},
     "deepwalk": {"dim": 16, **WALKS}, "node2vec": {"dim": 16, **WALKS}, "abrw": {"dim": 16, "topk": 8, **WALKS}, "attrcomb": {"dim": 16, **WALKS},
-    "line": {"dim": 16, "epochs": 12, "learning_rate": 0.2}, "asne": {"dim": 16, "epochs": 10, "learning_rate": 0.2},
+    "line": {"dim": 16, "epochs": 40, "passes": 20}, "asne": {"dim": 16, "epochs": 40, "passes": 20},
     "sagemean": {"dim": 16, "epochs": 4, "samples": (8, 5), "learning_rate": 0.03},
     "sagegcn": {"dim": 16, "epochs": 4, "samples": (8, 5), "learning_rate": 0.03},
 }
 
 
-# FULL_TESTS=1 runs every method; each kind of job is covered without it
-TRIED = X.METHODS if os.environ.get("FULL_TESTS") else ["attrpure", "grarep", "tadw", "abrw", "sagemean"]
-
-
-@pytest.mark.parametrize("method", TRIED)
+@pytest.mark.parametrize("method", X.METHODS)
 def test_better_than_chance(spark, planted, method):
     g, attrs, labels = planted
     run = X.run_experiment(g, method, attrs, labels, link_remove=0.15, label_reserved=0.5, **SETTINGS[method])
@@ -58,7 +52,7 @@ def test_better_than_chance(spark, planted, method):
 
 def test_losses_go_down(spark, planted):
     g, attrs, _ = planted
-    for out in (factor.tadw(g, attrs, 8, maxiter=6), gradient.line(g, 8, 2, epochs=4), gradient.asne(g, attrs, 8, epochs=4)):
+    for out in (factor.tadw(g, attrs, 8, maxiter=6), gradient.line(g, 8, 1, epochs=6, passes=2), gradient.line(g, 8, 2, epochs=6, passes=2), gradient.asne(g, attrs, 8, epochs=6, passes=2)):
         losses = [x for _, x in out.history]
         assert losses[-1] < losses[0]
     tadw = [x for _, x in factor.tadw(g, attrs, 8, maxiter=6).history]
@@ -154,6 +148,31 @@ def test_grarep_of_lone_nodes(spark):
         assert np.allclose(a @ a.T, b @ b.T, atol=1e-6)
 
 
+def test_grarep_of_directed_dead_ends(spark):
+    edges = [("a", "c"), ("a", "e"), ("a", "g"), ("b", "d"), ("b", "e"), ("c", "b"), ("c", "h"), ("d", "b"), ("d", "c"), ("d", "g"), ("e", "d"), ("e", "g"), ("e", "h"),
+             ("f", "b"), ("f", "c"), ("f", "e")]
+    g = graph(spark, edges, directed=True)
+    got = by_id(spectral.grarep(g, 4, 2).vectors, "vector")
+    names = sorted(got)
+    adj = np.zeros((8, 8))
+    for u, v in edges:
+        adj[names.index(u), names.index(v)] = 1
+    adj[adj.sum(1) == 0] = 1.0
+    adj = adj / adj.sum(1, keepdims=True)
+    power, mat = np.eye(8), np.array([got[n] for n in names])
+    for k in range(2):
+        power = power @ adj
+        with np.errstate(divide="ignore", invalid="ignore"):
+            p = np.log(power / power.sum(0)) - np.log(1 / 8)
+        p[~(p > 0)] = 0
+        u, s, _ = np.linalg.svd(p)
+        assert s[1] > s[2] * 1.05
+        r = u[:, :2] * np.sqrt(s[:2])
+        b = r / np.maximum(np.linalg.norm(r, axis=1, keepdims=True), 1e-300)
+        part = mat[:, 2 * k:2 * k + 2]
+        assert np.allclose(part @ part.T, b @ b.T, atol=1e-5)
+
+
 def numeric(f, x, eps=1e-6):
     out = np.zeros_like(x)
     for i in np.ndindex(x.shape):
@@ -168,14 +187,53 @@ def numeric(f, x, eps=1e-6):
 def test_pair_gradients_by_differences():
     rng = np.random.default_rng(0)
     a, w = rng.normal(size=(4, 3)), rng.random(4) + 0.5
-    for bias, step, more in ((False, gradient.logistic, {}), (True, gradient.logistic, {}),
-                             (True, gradient.sampled_softmax(5, {"p": 3, "q": 7}, 20), {"v_idx": np.array([1.0, 3, 5, 9])})):
+    for bias in (False, True):
         b, n = rng.normal(size=(4, 3 + bias)), rng.normal(size=(2, 3 + bias))
-        run = lambda a, b, n: step(a, b, w, n, ["p", "q"], ["r", "p", "s", "t"], 5.0, bias, **more)
+        run = lambda a, b, n: gradient.logistic(a, b, w, n, ["p", "q"], ["r", "p", "s", "t"], 5.0, bias)
         ga, gb, gn, _ = run(a, b, n)
         assert np.allclose(ga, numeric(lambda x: run(x, b, n)[3].sum(), a), atol=1e-6)
         assert np.allclose(gb, numeric(lambda x: run(a, x, n)[3].sum(), b), atol=1e-6)
         assert np.allclose(gn, numeric(lambda x: run(a, b, x)[3].sum(), n), atol=1e-6)
+    b, n = rng.normal(size=(4, 3)), rng.normal(size=(4, 2, 3))
+    hit = np.array([[False, True], [False, False], [True, False], [False, False]])
+    for run, n in ((lambda a, b, n: blocks.logistic_batch(a, b, n, w), n),
+                   (lambda a, b, n: blocks.softmax_batch(a, b, n, w, np.array([0.2, 0.3, 0.1, 0.5]), np.array([0.4, 0.6]), hit), rng.normal(size=(2, 3)))):
+        _, ga, gb, gn = run(a, b, n)
+        assert np.allclose(ga, numeric(lambda x: run(x, b, n)[0], a), atol=1e-6)
+        assert np.allclose(gb, numeric(lambda x: run(a, x, n)[0], b), atol=1e-6)
+        assert np.allclose(gn, numeric(lambda x: run(a, b, x)[0], n), atol=1e-6)
+
+
+@pytest.mark.parametrize("shared", [False, True])
+def test_every_pair_is_used_once_a_visit(spark, monkeypatch, shared):
+    """Six buckets and small tasks: all pairs meet, no table row is in two tasks of a round."""
+    monkeypatch.setattr(blocks, "PAIRS", 40)
+    nodes = spark.range(60).selectExpr("CAST(id AS string) AS id")
+    pairs = spark.range(900).selectExpr("CAST(id % 60 AS string) AS u", "CAST(id * 7 % 59 AS string) AS v", "1.0D AS w").distinct()
+    laid = blocks.Blocks(pairs, 60, shared, nodes=10)
+    assert laid.buckets >= 6 and laid.parts > 1
+    table = nodes.select("id", F.lit(1.0).alias("w"), F.array(F.lit(0.0), F.lit(0.0)).alias("x"))
+    state = blocks.side_rows(table, blocks.LEFT, laid.buckets)
+    if not shared:
+        state = state.unionByName(blocks.side_rows(table, blocks.RIGHT, laid.buckets))
+
+    def work(left, right, u, v, w, rng, matrix):
+        np.add.at(left[0][:, 0], u, 1.0)
+        np.add.at(right[0][:, 1], v, 1.0)
+        return 0.0, len(u), None
+    out, history, _ = blocks.run_blocks(state, laid, 1, work, 0)
+    used = {k: by_id(out.filter(F.col("kind") == k), "x") for k in (0, 1)}
+    rows = [(r.u, r.v) for r in pairs.collect()]
+    for name in {u for u, _ in rows}:
+        assert used[0][name][0] == sum(u == name for u, _ in rows)
+        assert used[0 if shared else 1][name][1] == sum(v == name for _, v in rows)
+
+
+def test_line_by_labels(spark, planted):
+    g, _, labels = planted
+    plain, picked = gradient.line(g, 8, 2, epochs=4, passes=2), gradient.line(g, 8, 2, epochs=4, passes=2, labels=labels)
+    scores = [E.nc_evaluate(x.vectors, labels, 0.5).first().micro for x in (plain, picked)]
+    assert scores[1] >= scores[0]
 
 
 @pytest.mark.parametrize("kind,dropout", [("mean", 0.0), ("gcn", 0.3)])

@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from vertexloom.operators import graph as G, matrix as M, sampling as S
 from vertexloom.plans import ranks, skew
@@ -70,13 +71,14 @@ def test_validate(spark):
 def test_salted_join_equals_plain_join(spark):
     left = spark.range(1000).selectExpr("IF(id % 3 = 0, 'hot', CAST(id AS string)) AS k", "id AS x")
     right = left.select("k").distinct().selectExpr("k", "length(k) AS y")
-    got = skew.salted_join(left, right, ["k"], ["x"], hot_rows=20)
+    counts = left.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+    got = skew.salted_join(left, right, ["k"], ["x"], counts=counts, hot_rows=20)
     assert pairs(got, "k", "x", "y") == pairs(left.join(right, "k"), "k", "x", "y")
     hot = skew.hot_keys(left.groupBy("k").count().withColumnRenamed("count", "n"), ["k"], 20).collect()
     assert [(h.k, h._parts) for h in hot] == [("hot", 17)]
-    outer = skew.salted_join(left, right.filter("k <> 'hot'"), ["k"], ["x"], "left", hot_rows=20)
+    outer = skew.salted_join(left, right.filter("k <> 'hot'"), ["k"], ["x"], "left", counts=counts, hot_rows=20)
     assert outer.count() == 1000 and outer.filter("y IS NULL").count() == 334
-    many = skew.salted_join(left, left.selectExpr("k", "x AS z"), ["k"], ["x"], hot_rows=20)
+    many = skew.salted_join(left, left.selectExpr("k", "x AS z"), ["k"], ["x"], counts=counts, hot_rows=20)
     assert many.count() == left.join(left.selectExpr("k", "x AS z"), "k").count()
 
 

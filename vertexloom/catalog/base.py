@@ -4,7 +4,7 @@ Two graphs are made from the given tables:
 * purchases: customers and parts, an edge for each part a customer ordered, weight = quantity in all;
 * vectors: the embedding rows as nodes with attributes and a label; each order links the row its
   customer number falls on with the row its order number falls on, weight = number of orders.
-The edges are written once, as a user would have them on disk. Random choices are md5 draws, so each query can be stated in SQL as well.
+The edges are written once, as a user would have them on disk, where a query reads them several times. Random choices are md5 draws, so each query can be stated in SQL as well.
 """
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -29,16 +29,16 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def purchases(spark: SparkSession, sf: str) -> Graph:
+def purchases(spark: SparkSession, sf: str, store: bool = True) -> Graph:
     customer = table(spark, sf, "customer").select(F.concat(F.lit("c"), "c_custkey").alias("id"))
     part = table(spark, sf, "part").select(F.concat(F.lit("p"), "p_partkey").alias("id"))
     lines = table(spark, sf, "lineitem").join(table(spark, sf, "orders"), F.expr("l_orderkey = o_orderkey"))
     edges = lines.groupBy(F.concat(F.lit("c"), "o_custkey").alias("src"), F.concat(F.lit("p"), "l_partkey").alias("dst")).agg(
         F.sum("l_quantity").alias("weight"))
-    return Graph(customer.union(part), cut(edges, "edges"))
+    return Graph(customer.union(part), cut(edges, "edges") if store else edges)
 
 
-def vectors(spark: SparkSession, sf: str, directed: bool = False) -> Graph:
+def vectors(spark: SparkSession, sf: str, directed: bool = False, store: bool = True) -> Graph:
     n = table(spark, sf, "embeddings").count()
     ends = table(spark, sf, "orders").select((F.col("o_custkey") % n).cast("string").alias("a"), (F.col("o_orderkey") % n).cast("string").alias("b"))
     src, dst = ("a", "b") if directed else (F.least("a", "b"), F.greatest("a", "b"))
@@ -46,7 +46,7 @@ def vectors(spark: SparkSession, sf: str, directed: bool = False) -> Graph:
     dst = F.col(dst) if isinstance(dst, str) else dst
     edges = ends.filter("a <> b").groupBy(src.alias("src"), dst.alias("dst")).agg(F.count(F.lit(1)).cast("double").alias("weight"))
     nodes = table(spark, sf, "embeddings").select(F.col("vec_id").cast("string").alias("id"))
-    return Graph(nodes, cut(edges, "edges"), directed)
+    return Graph(nodes, cut(edges, "edges") if store else edges, directed)
 
 
 def vector_attrs(spark: SparkSession, sf: str) -> DataFrame:

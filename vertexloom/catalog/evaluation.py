@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..functions.hashing import unit
+from ..functions.vectors import sum_vectors
 from ..operators import aggregate as A, evaluate as E, graph as G, sampling as S
 from ..operators.matrix import pair_similarity
 from ..plans.lineage import cut
@@ -177,12 +178,19 @@ def binarize_labels(spark, sf):
     return exploded(E.binarize_labels(part_labels(spark, sf)))
 
 
-@query("nc_fit")
+@query("nc_fit", "SELECT label::VARCHAR AS label, (SELECT count(*) FROM embeddings) AS n, true AS optimal, true AS probabilities FROM (SELECT DISTINCT label FROM embeddings)")
 def nc_fit(spark, sf):
-    """Fit on all labelled vectors and score them."""
+    """Fit on all labelled vectors: the gradient of each label's model vanishes, and its scores are probabilities."""
     emb, labels = vector_emb(spark, sf), vector_labels(spark, sf)
     classes = E.label_set(labels)
-    return rounded(E.nc_predict(emb, E.nc_fit(emb, labels, classes), classes), "prob")
+    weights = E.nc_fit(emb, labels, classes)
+    probs = cut(E.nc_predict(emb, weights, classes), "probs").join(labels, "id").join(emb, "id")
+    error = F.col("prob") - F.array_contains("labels", F.col("label")).cast("double")
+    sums = probs.groupBy("label").agg(sum_vectors(F.transform(F.concat("vector", F.array(F.lit(1.0))), lambda x: x * error)).alias("g"), F.count(F.lit(1)).alias("n"),
+                                      F.bool_and((F.col("prob") > 0) & (F.col("prob") < 1)).alias("probabilities"))
+    own = spark.createDataFrame([(c, weights[:, i].tolist()) for i, c in enumerate(classes)], "label string, w array<double>")
+    worst = F.array_max(F.zip_with("w", "g", lambda w, g: F.abs(w + g)))
+    return sums.join(own, "label").select("label", "n", (worst < 1e-5).alias("optimal"), "probabilities")
 
 
 PRED = f"""{PL}, pr AS (SELECT ids.id, c.label, (pl.id IS NOT NULL)::INT AS truth,
@@ -265,17 +273,16 @@ def loss_line(spark, sf):
     return rounded(E.loss_line(rows), "loss")
 
 
-@query("masked_metrics", f"""WITH z AS (SELECT vec_id::VARCHAR AS id, unnest(range(0, 10)) AS i, unnest(embedding[1:10])::DOUBLE AS z, label FROM embeddings),
+@query("masked_metrics", f"""WITH z AS (SELECT vec_id::VARCHAR AS id, unnest(range(0, 64)) AS i, unnest(embedding)::DOUBLE AS z, label FROM embeddings),
 y AS (SELECT *, (label = i)::INT AS y, ({u('id', seed=81)} < 0.6)::INT AS m FROM z),
 r AS (SELECT id, any_value(m) AS m, sum(greatest(z, 0) - z * y + ln(1 + exp(-abs(z)))) AS logit, ln(sum(exp(z))) - sum(z * y) AS softmax,
   (arg_max(i, z) = any_value(label))::INT AS hit, sum((z - y) * (z - y)) / 2 AS l2 FROM y GROUP BY 1)
 SELECT round(sum(logit * m) / greatest(sum(m), 1) / count(*), 9) AS logit_cross_entropy, round(sum(softmax * m) / greatest(sum(m), 1) / count(*), 9) AS softmax_cross_entropy,
   round(sum(hit * m)::DOUBLE / sum(m), 6) AS accuracy, round(sum(l2 * m) / sum(m), 6) AS l2 FROM r""")
 def masked_metrics(spark, sf):
-    """The first ten components as predictions of the ten labels."""
-    rows = table(spark, sf, "embeddings").select(F.col("vec_id").cast("string").alias("id"), F.slice(F.col("embedding").cast("array<double>"), 1, 10).alias("preds"),
-                                                 F.col("label"))
-    rows = (G.label_onehot(rows, 10).withColumnRenamed("vector", "labels").join(rows.drop("label"), "id")
+    """The components as predictions of 64 labels, of which the data use ten."""
+    rows = table(spark, sf, "embeddings").select(F.col("vec_id").cast("string").alias("id"), F.col("embedding").cast("array<double>").alias("preds"), F.col("label"))
+    rows = (G.label_onehot(rows, 64).withColumnRenamed("vector", "labels").join(rows.drop("label"), "id")
             .withColumn("mask", (unit("id", seed=81) < 0.6).cast("int")))
     out = E.masked_metrics(rows)
     return out.select(*[F.round(c, 9).alias(c) for c in ("logit_cross_entropy", "softmax_cross_entropy")], *[F.round(c, 6).alias(c) for c in ("accuracy", "l2")])
@@ -315,6 +322,13 @@ def run_summary(spark, sf):
     return E.run_summary(purchases(spark, sf))
 
 
-@query("project_2d")
+@query("project_2d", """SELECT count(*) AS n, true AS centred, true AS uncorrelated, true AS ordered, true AS within FROM embeddings""")
 def project_2d(spark, sf):
-    return rounded(E.project_2d(vector_emb(spark, sf)), "x", "y")
+    """The two axes: mean 0, no correlation, falling variance, and no more variance than the vectors have."""
+    flat = cut(E.project_2d(vector_emb(spark, sf)), "flat")
+    parts = exploded(vector_emb(spark, sf)).groupBy("i").agg(F.var_pop("value").alias("v")).agg(F.sum("v").alias("whole"))
+    sums = flat.agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("mx"), F.avg("y").alias("my"), F.covar_pop("x", "y").alias("xy"), F.var_pop("x").alias("xx"), F.var_pop("y").alias("yy"))
+    near = lambda c: F.abs(F.col(c)) < 1e-9
+    return sums.withColumn("_one", F.lit(0)).join(parts.withColumn("_one", F.lit(0)), "_one").select(
+        "n", (near("mx") & near("my")).alias("centred"), near("xy").alias("uncorrelated"), (F.col("xx") >= F.col("yy")).alias("ordered"),
+        (F.col("xx") + F.col("yy") <= F.col("whole") + 1e-6).alias("within"))

@@ -10,12 +10,12 @@ INDEX = "node_idx AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS idx FROM
 
 @query("node_mapping", f"WITH {P}, {INDEX.format(n='p_nodes')} SELECT id, idx FROM node_idx")
 def node_mapping(spark, sf):
-    return G.node_index(purchases(spark, sf).nodes)
+    return G.node_index(purchases(spark, sf, store=False).nodes)
 
 
 @query("add_edge_weight", f"WITH {P} SELECT src, dst, 2.5::DOUBLE AS weight FROM p_edges")
 def add_edge_weight(spark, sf):
-    return G.add_edge_weight(purchases(spark, sf), 2.5).edges
+    return G.add_edge_weight(purchases(spark, sf, store=False), 2.5).edges
 
 
 REMOVED = f"""ranked AS (SELECT src, dst, row_number() OVER (ORDER BY {h('src', 'dst', seed=5)}, src, dst) AS r, count(*) OVER () AS m FROM p_edges)"""
@@ -44,7 +44,7 @@ def attr_matrix(spark, sf):
 
 @query("graph_counts", f"WITH {P} SELECT 'nodes' AS name, count(*) AS value FROM p_nodes UNION ALL SELECT 'edges', count(*) FROM p_edges")
 def graph_counts(spark, sf):
-    return G.graph_counts(purchases(spark, sf))
+    return G.graph_counts(purchases(spark, sf, store=False))
 
 
 @query("graph_density", f"""WITH {P}, {V}, nm AS (SELECT (SELECT count(*) FROM p_nodes) AS n, (SELECT count(*) FROM p_edges) AS m),
@@ -91,7 +91,7 @@ def degrees(spark, sf):
 
 @query("avg_degree", f"WITH {P} SELECT round(2.0::DOUBLE * (SELECT count(*) FROM p_edges) / (SELECT count(*) FROM p_nodes), 6) AS avg_degree")
 def avg_degree(spark, sf):
-    return rounded(G.avg_degree(purchases(spark, sf)), "avg_degree")
+    return rounded(G.avg_degree(purchases(spark, sf, store=False)), "avg_degree")
 
 
 @query("weighted_out_degree", f"""WITH {P}
@@ -121,7 +121,7 @@ def flags_of(spark, sf, g):
 
 @query("node_split", f"WITH {V}, {FLAGS} SELECT id, test, val FROM flags")
 def node_split(spark, sf):
-    return flags_of(spark, sf, vectors(spark, sf))
+    return flags_of(spark, sf, vectors(spark, sf, store=False))
 
 
 @query("induced_subgraph", f"""WITH {V}, {FLAGS}, keep AS (SELECT id FROM flags WHERE NOT test AND NOT val)

@@ -92,10 +92,14 @@ def attr_topk_cutoff(spark, sf):
     return rounded(knn.attr_topk_cutoff(vector_attrs(spark, sf), 10), "sim")
 
 
-@query("attr_knn_lsh")
+@query("attr_knn_lsh", """SELECT count(*) AS n, true AS full_rows, true AS recall_holds FROM embeddings""")
 def attr_knn_lsh(spark, sf):
-    """Approximate top-k: only the nearest cell of each query is searched."""
-    return knn.attr_knn(vector_attrs(spark, sf), 10, probes=1)
+    """Approximate top-k, four cells searched for each query: every row gets its neighbours, and at least half are the exact ones
+    (these vectors have no clusters that cells could follow)."""
+    attrs = vector_attrs(spark, sf)
+    found, exact = cut(knn.attr_knn(attrs, 10, probes=4), "near"), knn.attr_knn(attrs, 10).select("row", "col", F.lit(1).alias("right"))
+    rows = found.join(exact, ["row", "col"], "left").groupBy("row").agg(F.count(F.lit(1)).alias("k"), F.count("right").alias("right"))
+    return rows.agg(F.count(F.lit(1)).alias("n"), (F.min("k") == 9).alias("full_rows"), (F.sum("right") >= 0.5 * F.sum("k")).alias("recall_holds"))
 
 
 @query("deg2beta", f"""WITH {P} SELECT id, round(pow(1 + pow(count(src)::DOUBLE, 2.71828), -1 / 2.71828), 6) AS beta
@@ -150,14 +154,26 @@ def log_ppmi(spark, sf):
     return rounded(M.log_ppmi(M.matpow(transition(g), 2), g.nodes.count()), "value")
 
 
-@query("truncated_svd")
+AXES = "SELECT unnest(range(0, 64)) AS i, true AS orthogonal, true AS ordered, (SELECT round(sum(value * value), 4) FROM {0}) AS total"
+
+
+def _axes(spark, vectors, width: int):
+    """Whether the columns of the result are orthogonal, fall in length and hold the whole sum of squares: a row for each column."""
+    g = linalg.gram(cut(vectors, "axes"), "vector")
+    size = np.diag(g)
+    off = np.abs(g - np.diag(size)).max(1)
+    return spark.createDataFrame([(i, bool(off[i] < 1e-6 * max(size[0], 1.0)), bool(i == 0 or size[i] <= size[i - 1] * (1 + 1e-9)), round(float(size.sum()), 4)) for i in range(width)],
+                                 "i bigint, orthogonal boolean, ordered boolean, total double")
+
+
+@query("truncated_svd", f"WITH {X} {AXES.format('xe')}")
 def truncated_svd(spark, sf):
-    return exploded(linalg.truncated_svd(vector_attrs(spark, sf), 16)[0])
+    return _axes(spark, linalg.truncated_svd(vector_attrs(spark, sf), 64)[0], 64)
 
 
-@query("pca")
+@query("pca", f"""WITH {X}, mean AS (SELECT i, avg(value) AS m FROM xe GROUP BY 1), ce AS (SELECT value - m AS value FROM xe JOIN mean USING (i)) {AXES.format('ce')}""")
 def pca(spark, sf):
-    return exploded(linalg.pca(vector_attrs(spark, sf), 16))
+    return _axes(spark, linalg.pca(vector_attrs(spark, sf), 64), 64)
 
 
 @query("truncated_svd_norms", f"WITH {X} SELECT id, round(sqrt(list_dot_product(v, v)), 6) AS norm FROM x")
@@ -173,15 +189,20 @@ def pca_norms(spark, sf):
     return cut(linalg.pca(vector_attrs(spark, sf), 64), "pca").select("id", F.round(VV.norm(F.col("vector")), 6).alias("norm"))
 
 
-@query("svd_scaled")
+@query("svd_scaled", f"WITH {V} SELECT DISTINCT src AS id, 16 AS width, true AS unit FROM v_adj")
 def svd_scaled(spark, sf):
-    return exploded(linalg.svd_scaled(transition(vectors(spark, sf)), 16))
+    """A row of unit length for each node with neighbours."""
+    out = cut(linalg.svd_scaled(transition(vectors(spark, sf)), 16), "scaled")
+    return out.select("id", F.size("vector").alias("width"), (F.abs(VV.norm(F.col("vector")) - 1) < 1e-9).alias("unit"))
 
 
-@query("svd_features")
+@query("svd_features", f"WITH {X} SELECT 'as they are' AS kind, id, i, round(value, 6) AS value FROM xe UNION ALL SELECT 'shorter', id, 20, 1 FROM x")
 def svd_features(spark, sf):
-    """The embedding width is below the usual limit of 200, so the limit is set to 20 here."""
-    return exploded(linalg.svd_features(vector_attrs(spark, sf), 20), "features")
+    """With the usual limit of 200 the attributes are used as they are; with 20, each row has 20 values and is no longer than it was."""
+    attrs = vector_attrs(spark, sf)
+    short = cut(linalg.svd_features(attrs, 20), "short").join(attrs.select("id", VV.norm(F.col("features")).alias("n")), "id")
+    short = short.select(F.lit("shorter").alias("kind"), "id", F.size("features").cast("bigint").alias("i"), (VV.norm(F.col("features")) <= F.col("n") + 1e-9).cast("double").alias("value"))
+    return exploded(linalg.svd_features(attrs), "features").select(F.lit("as they are").alias("kind"), "id", "i", "value").unionByName(short)
 
 
 @query("l2_normalize", f"WITH {X} SELECT id, i, round(value / norm, 6) AS value FROM (SELECT id, sqrt(list_dot_product(v, v)) AS norm FROM x) JOIN xe USING (id)")

@@ -1,9 +1,8 @@
 """Gradient-trained embeddings on vertex tables.
 
-A step joins the pairs with the vectors of both ends, sums the gradients by node (first inside each
-Arrow batch, then map-side, then across the cluster) and updates the tables with Adam. The negative
-samples of a step are one bounded set that all pairs share: its few vectors travel with the task, and
-each pair scores against all of them. Tables are written after each step.
+LINE, skip-gram and the attributed model make mini-batch steps on blocks of their pairs (see blocks). The sampled
+neighbourhood model needs the whole graph for each of its steps: `pair_gradients` joins the pairs of a batch with the
+vectors of both ends and sums the gradients by node, inside each Arrow batch first, then map-side, then across the cluster.
 """
 
 import numpy as np
@@ -11,24 +10,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import vectors as V
-from ..functions.hashing import draw, unit
-from ..operators.graph import Graph, double_edges, node_index, weighted_out_degree
-from ..operators.linalg import matrix_sums, random_vectors
-from ..operators.sampling import negative_table, slot_of
+from ..functions.hashing import unit
+from ..operators.graph import Graph, weighted_out_degree
+from ..operators.linalg import random_vectors
+from ..operators.sampling import slot_of
 from ..plans.lineage import cut
 from ..plans.skew import counted, lookup
+from . import blocks
+from .blocks import sigmoid, softplus
 from .result import Embedding
 
-SHARED_NEGATIVES = 256
-
-
-def softplus(x: np.ndarray) -> np.ndarray:
-    return np.logaddexp(0.0, x)
-
-
-def sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * (1.0 + np.tanh(0.5 * x))
-
 
 def logistic(a, b, w, shared, shared_ids, v, neg_weight, bias):
     """Loss and gradients of log-sigmoid scores with shared negatives (weight neg_weight in all)."""
@@ -43,30 +34,6 @@ def logistic(a, b, w, shared, shared_ids, v, neg_weight, bias):
     return (ga[:, :-1] if bias else ga), ds[:, None] * a1, dt.T @ a1, loss
 
 
-def sampled_softmax(tries: int, index: dict, n: int):
-    """Softmax over the true class and the shared ones, each corrected by its expected count.
-
-    Class numbers are drawn log-uniformly; a shared class that is the true one is left out.
-    """
-    def expected(idx):
-        p = np.log((idx + 2.0) / (idx + 1.0)) / np.log(n + 1.0)
-        return -np.expm1(tries * np.log1p(-p))
-
-    def step(a, b, w, shared, shared_ids, v, neg_weight, bias, v_idx=None):
-        a1 = np.column_stack([a, np.ones(len(a))])
-        s = np.sum(a1 * b, axis=1) - np.log(expected(v_idx))
-        t = a1 @ shared.T - np.log(expected(np.array([index[i] for i in shared_ids], float)))[None, :]
-        t = np.where(np.asarray(v)[:, None] == np.asarray(shared_ids)[None, :], -np.inf, t)
-        z = np.column_stack([s, t])
-        top = z.max(1, keepdims=True)
-        e = np.exp(z - top)
-        prob = e / e.sum(1, keepdims=True)
-        loss = w * (np.log(e.sum(1)) + top[:, 0] - s)
-        ds, dt = w * (prob[:, 0] - 1.0), w[:, None] * prob[:, 1:]
-        return (ds[:, None] * b + dt @ shared)[:, :-1], ds[:, None] * a1, dt.T @ a1, loss
-    return step
-
-
 def _by_id(ids: np.ndarray, grads: np.ndarray):
     """Sum the gradient rows of equal ids."""
     names, place = np.unique(ids.astype(str), return_inverse=True)
@@ -76,7 +43,7 @@ def _by_id(ids: np.ndarray, grads: np.ndarray):
 
 
 def pair_gradients(pairs: DataFrame, left: DataFrame, right: DataFrame, shared_ids: list, shared: np.ndarray, neg_weight: float,
-                   step, bias: bool, counts: tuple, extra: str | None = None) -> DataFrame:
+                   step, bias: bool, counts: tuple) -> DataFrame:
     """(side, id, g, loss): summed gradients for the u side (0) and the v side (1) of pairs (u, v, w)."""
     rows = lookup(pairs, "u", left, "id", {"vector": "_a"}, ["v"], counts=counts[0])
     rows = lookup(rows, "v", right, "id", {"vector": "_b"}, ["u"], counts=counts[1])
@@ -86,9 +53,8 @@ def pair_gradients(pairs: DataFrame, left: DataFrame, right: DataFrame, shared_i
             if not batch.num_rows:
                 continue
             u, v = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
-            more = {"v_idx": batch.column(5).to_numpy(zero_copy_only=False).astype(float)} if extra else {}
             ga, gb, gn, loss = step(V.to_numpy(batch.column(3)), V.to_numpy(batch.column(4)), batch.column(2).to_numpy(zero_copy_only=False),
-                                    shared, shared_ids, v, neg_weight, bias, **more)
+                                    shared, shared_ids, v, neg_weight, bias)
             ids_a, sum_a = _by_id(u, ga)
             ids_b, sum_b = _by_id(np.concatenate([v, np.array(shared_ids, dtype=object)]), np.vstack([gb, gn]))
             part = np.zeros(len(ids_a))
@@ -96,32 +62,15 @@ def pair_gradients(pairs: DataFrame, left: DataFrame, right: DataFrame, shared_i
             yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(ids_a), np.int32)), pa.array(ids_a), V.to_arrow(sum_a), pa.array(part)], names=["side", "id", "g", "loss"])
             yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(ids_b), np.int32)), pa.array(ids_b), V.to_arrow(sum_b), pa.array(np.zeros(len(ids_b)))], names=["side", "id", "g", "loss"])
 
-    columns = ["u", "v", "w", "_a", "_b"] + ([extra] if extra else [])
-    parts = rows.select(*columns).mapInArrow(grads, "side int, id string, g array<double>, loss double")
+    parts = rows.select("u", "v", "w", "_a", "_b").mapInArrow(grads, "side int, id string, g array<double>, loss double")
     return parts.groupBy("side", "id").agg(V.sum_vectors("g").alias("g"), F.sum("loss").alias("loss"))
 
 
-def adam(table: DataFrame, grads: DataFrame, d: int, step: int, lr: float) -> DataFrame:
-    """(id, vector of d values, moments) after one Adam step; a row without gradient counts as gradient 0."""
-    def move(block, g):
-        x, m, v = block[:, :d], block[:, d:2 * d], block[:, 2 * d:]
-        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        x = x - lr * (m / (1 - 0.9 ** step)) / (np.sqrt(v / (1 - 0.999 ** step)) + 1e-8)
-        return np.hstack([x, m, v])
-    rows = table.join(grads.select("id", "g"), "id", "left")
-    new = V.row_map2(move)(F.concat("vector", "moments"), F.coalesce("g", F.array_repeat(F.lit(0.0), d)))
-    return rows.select("id", new.alias("n")).select("id", F.slice("n", 1, d).alias("vector"), F.slice("n", d + 1, 2 * d).alias("moments"))
-
-
 def adam_matrix(x, m, v, g, step, lr):
     m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
     return x - lr * (m / (1 - 0.9 ** step)) / (np.sqrt(v / (1 - 0.999 ** step)) + 1e-8), m, v
 
 
-def with_moments(emb: DataFrame, dim: int) -> DataFrame:
-    return emb.select("id", "vector", F.array_repeat(F.lit(0.0), 2 * dim).alias("moments"))
-
-
 def _drawn(table: DataFrame, size, count: int, seed) -> DataFrame:
     """Ids of `count` negatives from a guide table."""
     draws = table.sparkSession.range(count).select(F.floor(unit("id", seed=seed) * F.lit(size.total)).cast("bigint").alias("_t"))
@@ -139,111 +88,162 @@ def _ends(pairs: DataFrame) -> tuple:
     return counted(pairs, "u"), counted(pairs, "v")
 
 
-def _batch(pairs: DataFrame, batches: int, index: int, seed) -> DataFrame:
-    if batches == 1:
-        return pairs
-    return pairs.filter(F.pmod(draw("u", "v", seed=f"{seed}|batch"), F.lit(batches)) == index)
+def _started(nodes: DataFrame, dim: int, seed, scale: float, degree: DataFrame, power: float, bias: bool = False) -> DataFrame:
+    """(id, w, x): vectors with the state 0 behind them, and degree^power as weight among the negatives."""
+    start = random_vectors(nodes, dim, seed, scale)
+    x = F.concat("vector", F.array(F.lit(0.0))) if not bias else F.concat("vector", F.array(F.lit(0.0), F.lit(0.0)))
+    known = start.join(degree.select("id", F.pow(F.greatest(F.col("degree").cast("double"), F.lit(0.0)), F.lit(power)).alias("w")), "id", "left")
+    return known.select("id", F.coalesce("w", F.lit(0.0)).alias("w"), x.alias("x"))
+
+
+def _logistic_work(dim: int, width: int, negatives: int, rate: float, batch_size: int, passes: int):
+    """Mini-batches of logistic_batch on the rows of a task; width - dim is 1 with a bias."""
+    def work(left, right, u, v, w, rng, matrix):
+        (h, _), (c, weight) = left, right
+        alone = h is c
+        hx, hs, cx, cs = h[:, :dim], h[:, dim], c[:, :width], c[:, width]
+        line, total = np.cumsum(weight), 0.0
+        w = w / w.mean()
+        for _ in range(passes):
+            mixed = rng.permutation(len(u))
+            for start in range(0, len(u), batch_size):
+                at = mixed[start:start + batch_size]
+                a, b = hx[u[at]], cx[v[at]]
+                a = np.column_stack([a, np.ones(len(a))]) if width > dim else a
+                drawn = np.searchsorted(line, rng.random((len(at), negatives)) * line[-1], "right") if line[-1] > 0 else rng.integers(0, len(c), (len(at), negatives))
+                drawn = np.minimum(drawn, len(c) - 1)
+                loss, da, db, dn = blocks.logistic_batch(a, b, cx[drawn], w[at])
+                total += loss
+                away, there = np.concatenate([v[at], drawn.ravel()]), np.vstack([db, dn.reshape(-1, width)])
+                if alone:
+                    blocks.adagrad(hx, hs, np.concatenate([u[at], away]), np.vstack([da[:, :dim], there]), rate)
+                else:
+                    blocks.adagrad(hx, hs, u[at], da[:, :dim], rate)
+                    blocks.adagrad(cx, cs, away, there, rate)
+        return total, float(len(u) * passes), None
+
+    return work
+
+
+def _visits(epochs: int, passes: int) -> tuple[int, int]:
+    """Rounds over all blocks and passes of each visit; together `epochs` passes over the pairs, or one round more."""
+    passes = max(1, min(passes, epochs))
+    return -(-epochs // passes), passes
 
 
 def train_pairs(nodes: DataFrame, pairs: DataFrame, degree: DataFrame, dim: int, epochs: int, negatives: float, lr: float,
-                batches: int = 1, shared_table: bool = False, bias: bool = False, shared: int = SHARED_NEGATIVES, seed: int = 0,
+                batch_size: int = 128, passes: int = 5, shared_table: bool = False, bias: bool = False, seed: int = 0,
                 power: float = 0.75, scale: float | None = None) -> Embedding:
-    """Log-sigmoid training on weighted pairs (u, v, w) with negatives drawn by degree^power.
+    """Log-sigmoid training on weighted pairs (u, v, w), each against `negatives` nodes drawn by degree^power for each batch.
 
-    shared_table: both ends use the same vectors; otherwise v has a context table (with a bias if asked).
+    shared_table: both ends use the same vectors; otherwise v has a context table (with a bias if asked). A block is used
+    `passes` times whenever its buckets meet; the history has the loss of one pair for each visit to all blocks.
     """
     scale = scale or 1.0 / np.sqrt(dim)
-    pairs = cut(pairs.select("u", "v", F.col("w").cast("double").alias("w")), "pairs")
-    counts = _ends(pairs)
-    guide, totals = negative_table(degree, power)
-    guide, size = cut(guide, "guide"), totals.first()
-    h = cut(with_moments(random_vectors(nodes, dim, f"{seed}|h", scale), dim), "h")
+    nodes = cut(nodes.select("id"), "nodes")
+    laid = blocks.Blocks(pairs, nodes.count(), shared_table, seed=seed)
     width = dim + (1 if bias else 0)
-    c = h
+    state = blocks.side_rows(_started(nodes, dim, f"{seed}|h", scale, degree, power), blocks.LEFT, laid.buckets)
     if not shared_table:
-        start = random_vectors(nodes, dim, f"{seed}|c", scale)
-        if bias:
-            start = start.withColumn("vector", F.concat("vector", F.array(F.lit(0.0))))
-        c = cut(with_moments(start, width), "c")
-    total = pairs.agg(F.sum("w")).first()[0]
-    history = []
-    for step in range(1, epochs * batches + 1):
-        part = _batch(pairs, batches, (step - 1) % batches, seed)
-        ids, mat = collect_rows(_drawn(guide, size, shared, f"{seed}|{step}"), c)
-        g = cut(pair_gradients(part, h, c, ids, mat, negatives, logistic, bias, counts), "grads")
-        history.append((step, g.agg(F.sum("loss")).first()[0] / total * batches))
-        if shared_table:
-            h = c = cut(adam(h, g.groupBy("id").agg(V.sum_vectors("g").alias("g")), dim, step, lr), "h")
-        else:
-            h = cut(adam(h, g.filter("side = 0"), dim, step, lr), "h")
-            c = cut(adam(c, g.filter("side = 1"), width, step, lr), "c")
-    return Embedding(h.select("id", "vector"), history)
-
-
-def line(graph: Graph, dim: int = 128, order: int = 3, epochs: int = 10, negative_ratio: int = 5, learning_rate: float = 0.05,
-         batches: int = 1, seed: int = 0) -> Embedding:
-    """Order 1: linked nodes have like vectors; order 2: like contexts; order 3: both, half the width each."""
+        state = state.unionByName(blocks.side_rows(_started(nodes, dim, f"{seed}|c", scale, degree, power, bias), blocks.RIGHT, laid.buckets))
+    visits, passes = _visits(epochs, passes)
+    work = _logistic_work(dim, width, max(1, round(negatives)), lr, batch_size, passes)
+    state, history, _ = blocks.run_blocks(state, laid, visits, work, seed)
+    return Embedding(blocks.table_of(state, blocks.LEFT, dim), history)
+
+
+def line(graph: Graph, dim: int = 128, order: int = 3, epochs: int = 100, negative_ratio: int = 5, learning_rate: float = 0.05,
+         batch_size: int = 128, passes: int = 5, seed: int = 0, labels: DataFrame | None = None, clf_ratio: float = 0.5, best: str = "micro") -> Embedding:
+    """Order 1: linked nodes have like vectors; order 2: like contexts; order 3: both, half the width each.
+
+    With `labels` (off by default) a classifier is scored after each visit to all pairs, on `clf_ratio` of the labelled nodes, and the
+    vectors of the visit with the best `best` F1 are the result.
+    """
+    if order not in (1, 2, 3):
+        raise ValueError("order is 1, 2 or 3")
+    if labels is not None:
+        return _best_by_labels(graph, dim, order, epochs, negative_ratio, learning_rate, batch_size, passes, seed, labels, clf_ratio, best)
     if order == 3:
-        one = line(graph, dim // 2, 1, epochs, negative_ratio, learning_rate, batches, seed)
-        two = line(graph, dim // 2, 2, epochs, negative_ratio, learning_rate, batches, f"{seed}|2")
+        one = line(graph, dim // 2, 1, epochs, negative_ratio, learning_rate, batch_size, passes, seed)
+        two = line(graph, dim // 2, 2, epochs, negative_ratio, learning_rate, batch_size, passes, f"{seed}|2")
         both = one.vectors.join(two.vectors.withColumnRenamed("vector", "_b"), "id").select("id", F.concat("vector", "_b").alias("vector"))
         return Embedding(both, [(s, a + b) for (s, a), (_, b) in zip(one.history, two.history)])
     pairs = graph.adj.select(F.col("src").alias("u"), F.col("dst").alias("v"), F.col("weight").alias("w"))
     degree = weighted_out_degree(graph).select("id", F.col("out_weight").alias("degree"))
-    return train_pairs(graph.nodes, pairs, degree, dim, epochs, negative_ratio, learning_rate, batches, shared_table=order == 1, seed=seed)
+    return train_pairs(graph.nodes, pairs, degree, dim, epochs, negative_ratio, learning_rate, batch_size, passes, shared_table=order == 1, seed=seed)
+
+
+def _best_by_labels(graph, dim, order, epochs, negative_ratio, learning_rate, batch_size, passes, seed, labels, clf_ratio, best) -> Embedding:
+    """Runs of 1, 2, 3, .. visits differ in their last visits only, as all draws are seeded; each is scored, the best one kept."""
+    from ..operators.evaluate import best_epoch, nc_evaluate
+
+    visits, each = _visits(epochs, passes)
+    scored, made = [], {}
+    for visit in range(1, visits + 1):
+        made[visit] = line(graph, dim, order, visit * each, negative_ratio, learning_rate, batch_size, each, seed)
+        scored.append(("line", visit, float(nc_evaluate(cut(made[visit].vectors, "scored"), labels, clf_ratio, seed).first()[best])))
+    table = graph.nodes.sparkSession.createDataFrame(scored, "run string, epoch bigint, metric double")
+    return made[best_epoch(table, lower_is_better=False).first().epoch]
 
 
 def sgns_pairs(nodes: DataFrame, pairs: DataFrame, degree: DataFrame, dim: int = 128, epochs: int = 10, negatives: float = 20.0,
-               learning_rate: float = 0.05, batches: int = 1, seed: int = 0) -> Embedding:
+               learning_rate: float = 0.05, batch_size: int = 128, passes: int = 5, seed: int = 0) -> Embedding:
     """Skip-gram on node pairs (src, dst[, n]) with a context table and a context bias."""
     weight = F.col("n") if "n" in pairs.columns else F.lit(1.0)
     grouped = pairs.groupBy(F.col("src").alias("u"), F.col("dst").alias("v")).agg(F.sum(weight).alias("w"))
-    return train_pairs(nodes, grouped, degree, dim, epochs, negatives, learning_rate, batches, bias=True, seed=seed)
-
-
-def asne(graph: Graph, attrs: DataFrame, dim: int = 128, alpha: float = 1.0, epochs: int = 10, n_neg_samples: int = 10,
-         learning_rate: float = 0.05, batches: int = 1, seed: int = 0) -> Embedding:
-    """[own vector, alpha * attributes.P] of a node predicts its neighbours by sampled softmax.
-
-    The result adds the output vector of each node to its input side, matched by id.
+    return train_pairs(nodes, grouped, degree, dim, epochs, negatives, learning_rate, batch_size, passes, bias=True, seed=seed)
+
+
+def _softmax_work(half: int, dim: int, m: int, alpha: float, samples: int, rate: float, batch_size: int, passes: int):
+    """Mini-batches of softmax_batch; a left row is its own vector, its state and its attributes, the matrix maps attributes."""
+    def work(left, right, u, v, w, rng, matrix):
+        (h, _), (c, _) = left, right
+        own, state, attrs = h[:, :half], h[:, half], h[:, half + 1:half + 1 + m]
+        out, out_state = c[:, :dim + 1], c[:, dim + 1]
+        p, p_state, total, n = matrix.copy(), np.zeros(m), 0.0, len(c)
+        for _ in range(passes):
+            mixed = rng.permutation(len(u))
+            for start in range(0, len(u), batch_size):
+                at = mixed[start:start + batch_size]
+                x = attrs[u[at]]
+                a = np.column_stack([own[u[at]], alpha * (x @ p), np.ones(len(at))])
+                tries, classes = 0, np.zeros(0, np.int64)
+                while len(classes) < min(samples, n):
+                    tries += samples
+                    classes = np.unique(np.concatenate([classes, blocks.log_uniform(n, samples, rng)]))
+                loss, da, db, dc = blocks.softmax_batch(a, out[v[at]], out[classes], w[at], blocks.expected_count(v[at], n, tries),
+                                                        blocks.expected_count(classes, n, tries), v[at][:, None] == classes[None, :])
+                total += loss
+                blocks.adagrad(p, p_state, np.arange(m), alpha * x.T @ da[:, half:dim], rate)
+                blocks.adagrad(own, state, u[at], da[:, :half], rate)
+                blocks.adagrad(out, out_state, np.concatenate([v[at], classes]), np.vstack([db, dc]), rate)
+        return total, float(len(u) * passes), p
+
+    return work
+
+
+def asne(graph: Graph, attrs: DataFrame, dim: int = 128, alpha: float = 1.0, epochs: int = 100, n_neg_samples: int = 10,
+         learning_rate: float = 0.05, batch_size: int = 128, passes: int = 5, seed: int = 0) -> Embedding:
+    """[own vector, alpha * attributes.P] of a node predicts its neighbours by sampled softmax among the nodes of a bucket.
+
+    The result adds the output vector of each node to its input side, matched by id. The tasks of a round start from one P, and
+    their results are averaged.
     """
     half = dim // 2
-    index = cut(node_index(graph.nodes), "index")
-    n = index.count()
-    feats = cut(attrs.select("id", F.col("features")), "features")
+    feats = cut(attrs.select("id", F.col("features").cast("array<double>").alias("features")), "features")
     m = V.width(feats, "features")
-    pairs = double_edges(graph, attrs).select(F.col("src").alias("u"), F.col("dst").alias("v"), F.lit(1.0).alias("w"))
-    pairs = cut(lookup(pairs, "v", index, "id", {"idx": "v_idx"}, ["u"]), "pairs")
-    total = pairs.count()
-    counts = _ends(pairs)
-    own = cut(with_moments(random_vectors(graph.nodes, half, f"{seed}|in", uniform=True), half), "in")
-    out = random_vectors(graph.nodes, dim, f"{seed}|out", 1.0 / np.sqrt(dim)).withColumn("vector", F.concat("vector", F.array(F.lit(0.0))))
-    out = cut(with_moments(out, dim + 1), "out")
+    both = graph.edges.select("src", "dst")
+    pairs = both.union(both.select("dst", "src")).distinct().select(F.col("src").alias("u"), F.col("dst").alias("v"), F.lit(1.0).alias("w"))
+    laid = blocks.Blocks(pairs, graph.nodes.count(), False, seed=seed)
+    zero = F.array(F.lit(0.0))
+    own = random_vectors(graph.nodes, half, f"{seed}|in", uniform=True).join(feats, "id").select(
+        "id", F.lit(0.0).alias("w"), F.concat("vector", zero, "features").alias("x"))
+    out = random_vectors(graph.nodes, dim, f"{seed}|out", 1.0 / np.sqrt(dim)).select("id", F.lit(0.0).alias("w"), F.concat("vector", zero, zero).alias("x"))
+    state = blocks.side_rows(own, blocks.LEFT, laid.buckets).unionByName(blocks.side_rows(out, blocks.RIGHT, laid.buckets))
     p = np.random.default_rng(seed).uniform(-1, 1, (m, half))
-    pm, pv = np.zeros_like(p), np.zeros_like(p)
-
-    def inputs(own, p):
-        return own.select("id", "vector").join(feats, "id").select(
-            "id", F.concat("vector", V.times(F.col("features"), alpha * p)).alias("vector"))
-    history, rng = [], np.random.default_rng(seed + 1)
-    for step in range(1, epochs * batches + 1):
-        classes, tries = set(), 0
-        while len(classes) < min(n_neg_samples, n):
-            tries += 1
-            classes.add(min(int(np.exp(rng.random() * np.log(n + 1.0))) - 1, n - 1))
-        chosen = cut(index.filter(F.col("idx").isin(sorted(classes))), "classes")
-        ids, mat = collect_rows(chosen.select("id"), out)
-        numbers = {r.id: r.idx for r in chosen.collect()}
-        part = _batch(pairs, batches, (step - 1) % batches, seed)
-        g = cut(pair_gradients(part, inputs(own, p), out, ids, mat, 1.0, sampled_softmax(tries, numbers, n), True, counts, "v_idx"), "grads")
-        history.append((step, g.agg(F.sum("loss")).first()[0] / total * batches))
-        left = g.filter("side = 0")
-        gp = matrix_sums(left.join(feats, "id"), ["features", "g"], lambda x, gz: [alpha * x.T @ gz[:, half:]], [(m, half)])[0]
-        own = cut(adam(own, left.select("id", F.slice("g", 1, half).alias("g")), half, step, learning_rate), "in")
-        out = cut(adam(out, g.filter("side = 1"), dim + 1, step, learning_rate), "out")
-        p, pm, pv = adam_matrix(p, pm, pv, gp, step, learning_rate)
-    total_vec = F.zip_with("vector", F.slice("_out", 1, dim), lambda a, b: a + b)
-    vectors = inputs(own, p).join(out.select("id", F.col("vector").alias("_out")), "id").select("id", total_vec.alias("vector"))
+    visits, passes = _visits(epochs, passes)
+    state, history, p = blocks.run_blocks(state, laid, visits, _softmax_work(half, dim, m, alpha, n_neg_samples, learning_rate, batch_size, passes), seed, p)
+    side = blocks.table_of(state, blocks.LEFT, half).join(feats, "id").select("id", F.concat("vector", V.times(F.col("features"), alpha * p)).alias("vector"))
+    there = blocks.table_of(state, blocks.RIGHT, dim).withColumnRenamed("vector", "_out")
+    vectors = side.join(there, "id").select("id", F.zip_with("vector", "_out", lambda a, b: a + b).alias("vector"))
     return Embedding(vectors, history)
-
-

@@ -18,6 +18,19 @@ def attrpure(attrs: DataFrame, dim: int = 128, mode: str = "pca") -> Embedding:
     return Embedding(dim_reduction(attrs, dim, mode))
 
 
+def _with_dead_ends(moved: DataFrame, before: DataFrame, empty: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
+    """Adds what rows held on nodes without successor, which goes to all nodes alike: such a row has n cells from then on.
+
+    Rows and nodes meet by blocks of nodes, so a row's cells are made in as many tasks as there are blocks.
+    """
+    held = before.join(empty.withColumnRenamed("row", "col"), "col", "left_semi").groupBy("row").agg(F.sum("value").alias("_held"))
+    blocks = max(1, n // 10_000)
+    spread = held.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    placed = nodes.select(F.col("id").alias("col"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("_block"))
+    even = spread.join(placed, "_block").select("row", "col", (F.col("_held") / n).alias("value"))
+    return moved.unionByName(even).groupBy("row", "col").agg(F.sum("value").alias("value"))
+
+
 def grarep(graph: Graph, dim: int = 128, kstep: int = 4, seed: int = 0, top_per_row: int | None = None) -> Embedding:
     """For k = 1..kstep: positive log of the k-step transition matrix, its SVD, unit rows; side by side.
 
@@ -32,14 +45,13 @@ def grarep(graph: Graph, dim: int = 128, kstep: int = 4, seed: int = 0, top_per_
                               graph.nodes.select(F.col("id").alias("row")))
     one, empty = cut(one, "step"), cut(empty, "empty")
     n0 = empty.count()
-    if n0 and graph.directed:
-        raise ValueError("a directed graph with nodes that have no successor is not supported here")
     power = one
     even = graph.nodes.select(F.col("id").alias("col"), F.lit(1.0 / n).alias("value")) if n0 else None
     out = None
     for k in range(1, kstep + 1):
         if k > 1:
-            power = cut(matmul(power, one), "power")
+            power = _with_dead_ends(matmul(power, one), power, empty, graph.nodes, n) if n0 and graph.directed else matmul(power, one)
+            power = cut(power, "power")
             if top_per_row:
                 power = cut(top_cells(power, top_per_row), "power")
             if n0:

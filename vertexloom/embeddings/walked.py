@@ -13,7 +13,7 @@ from .result import Embedding
 
 
 def skipgram(nodes: DataFrame, walks: DataFrame, dim: int = 128, window: int = 10, epochs: int = 10, negatives: float = 5.0,
-             learning_rate: float = 0.1, batches: int = 1, seed: int = 0) -> Embedding:
+             learning_rate: float = 0.05, batch_size: int = 1024, passes: int = 5, seed: int = 0) -> Embedding:
     """Skip-gram with negative sampling on the pairs of the walks.
 
     Equal pairs are counted first, so an epoch reads each distinct pair once however often it was walked.
@@ -22,7 +22,7 @@ def skipgram(nodes: DataFrame, walks: DataFrame, dim: int = 128, window: int = 1
              .agg(F.count(F.lit(1)).alias("w")))
     pairs = cut(pairs, "pairs")
     seen = walks.select(F.explode("path").alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("degree"))
-    return train_pairs(nodes, pairs, seen, dim, epochs, negatives, learning_rate, batches, seed=seed)
+    return train_pairs(nodes, pairs, seen, dim, epochs, negatives, learning_rate, batch_size, passes, seed=seed)
 
 
 def deepwalk(graph: Graph, dim: int = 128, num_walks: int = 10, walk_length: int = 80, window: int = 10, seed: int = 0, **train) -> Embedding:

@@ -1,12 +1,15 @@
 """Link prediction, node classification, pair losses and run metrics."""
 
+import math
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import vectors as V
 from ..functions.hashing import draw
 from ..plans.lineage import cut
-from ..plans.ranks import first_k, running_sum
+from ..plans.ranks import first_k, running_sum, with_row_index
 from .graph import Graph, remove_edges
 from .linalg import matrix_sums, pca
 from .matrix import pair_similarity
@@ -60,54 +63,84 @@ def nc_split(labels: DataFrame, train_share: float, seed: int = 0) -> DataFrame:
     return keyed.withColumn("train", first_k(keyed, int(train_share * labels.count()), "_h", ["id"])).drop("_h")
 
 
+def label_index(labels: DataFrame) -> DataFrame:
+    """(label, class): every label with its place in the sorted list."""
+    return with_row_index(labels.select(F.explode("labels").alias("label")).distinct(), ["label"], "class")
+
+
 def label_set(labels: DataFrame) -> list[str]:
-    """The sorted label names (an error beyond 10,000: labels are classes, not ids)."""
-    names = [r.label for r in labels.select(F.explode("labels").alias("label")).distinct().limit(10_001).collect()]
-    if len(names) > 10_000:
-        raise ValueError("more than 10,000 labels")
-    return sorted(names)
+    """The sorted label names."""
+    return sorted(r.label for r in labels.select(F.explode("labels").alias("label")).distinct().collect())
 
 
 def binarize_labels(labels: DataFrame, classes: list[str] | None = None) -> DataFrame:
     """(id, vector) of 0/1 over the sorted label set of all rows."""
-    names = F.array(*[F.lit(c) for c in (classes or label_set(labels))])
-    return labels.select("id", F.transform(names, lambda c: F.array_contains("labels", c).cast("int")).alias("vector"))
+    if classes is not None:
+        names = F.array(*[F.lit(c) for c in classes])
+        return labels.select("id", F.transform(names, lambda c: F.array_contains("labels", c).cast("int")).alias("vector"))
+    coded, n = class_lists(labels), label_index(labels).count()
+    return coded.select("id", F.transform(F.sequence(F.lit(0), F.lit(max(n - 1, 0))), lambda i: F.array_contains("classes", i.cast("bigint")).cast("int")).alias("vector"))
+
+
+def class_lists(labels: DataFrame, index: DataFrame | None = None) -> DataFrame:
+    """(id, classes): the numbers of each row's labels, in order."""
+    index = label_index(labels) if index is None else index
+    pairs = labels.select("id", F.explode("labels").alias("label")).join(index, "label")
+    found = pairs.groupBy("id").agg(F.array_sort(F.collect_set("class")).alias("classes"))
+    return labels.select("id").join(found, "id", "left").select("id", F.coalesce("classes", F.array().cast("array<bigint>")).alias("classes"))
+
+
+def _truth(lists, start: int, stop: int) -> np.ndarray:
+    """0/1 of the classes start..stop for the rows of an Arrow column of class numbers."""
+    out = np.zeros((len(lists), stop - start))
+    rows = np.repeat(np.arange(len(lists)), np.asarray(lists.value_lengths()))
+    found = np.asarray(lists.flatten())
+    inside = (found >= start) & (found < stop)
+    out[rows[inside], found[inside] - start] = 1.0
+    return out
 
 
-def nc_fit(emb: DataFrame, labels: DataFrame, classes: list[str], c: float = 1.0, max_iter: int = 30, tol: float = 1e-8) -> np.ndarray:
+def nc_fit(emb: DataFrame, labels: DataFrame, classes: list[str] | int, c: float = 1.0, max_iter: int = 30, tol: float = 1e-8) -> np.ndarray:
     """One logistic model for each label, all fitted together: (width + 1) x labels, the last row the intercept.
 
     Minimises |w|^2 / 2 + c * sum of log losses with the intercept in |w|, by Newton steps. A pass over
-    the rows sums the gradients and Hessians of a group of labels; only these sums reach the driver.
+    the rows sums the gradients and Hessians of a group of labels; only these sums reach the driver, once. `labels` has
+    the names of each row, with `classes` as their sorted list, or the column `classes` of class numbers, with their count.
     """
-    rows = cut(emb.join(binarize_labels(labels, classes).withColumn("y", F.col("vector").cast("array<double>")).drop("vector"), "id"), "train")
+    if not isinstance(classes, int):
+        spark = emb.sparkSession
+        index = spark.createDataFrame([(x, i) for i, x in enumerate(classes)], "label string, class bigint")
+        labels, classes = class_lists(labels, index), len(classes)
+    rows = cut(emb.select("id", "vector").join(labels.select("id", "classes"), "id"), "train")
     d = V.width(rows, "vector") + 1
-    group = max(1, min(len(classes), 4_000_000 // (d * d)))
-    out = np.zeros((d, len(classes)))
-    for start in range(0, len(classes), group):
-        part = slice(start, min(start + group, len(classes)))
-        w = np.zeros((d, part.stop - part.start))
+    group = max(1, min(classes, 4_000_000 // (d * d)))
+    out = np.zeros((d, classes))
+    for start in range(0, classes, group):
+        stop = min(start + group, classes)
+        w = np.zeros((d, stop - start))
         for _ in range(max_iter):
-            def sums(x, y, w=w, part=part):
-                x1 = np.column_stack([x, np.ones(len(x))])
+            def sums(x, lists, w=w, start=start, stop=stop):
+                x1, y = np.column_stack([x, np.ones(len(x))]), _truth(lists, start, stop)
                 p = 1.0 / (1.0 + np.exp(-np.clip(x1 @ w, -40, 40)))
                 s = p * (1 - p)
-                return [x1.T @ (p - y[:, part]), np.stack([(x1 * s[:, [j]]).T @ x1 for j in range(w.shape[1])])]
-            grad, hess = matrix_sums(rows, ["vector", "y"], sums, [w.shape, (w.shape[1], d, d)])
+                return [x1.T @ (p - y), np.stack([(x1 * s[:, [j]]).T @ x1 for j in range(w.shape[1])])]
+            grad, hess = matrix_sums(rows, ["vector", "classes"], sums, [w.shape, (w.shape[1], d, d)], raw=("classes",))
             step = np.stack([np.linalg.solve(np.eye(d) + c * hess[j], w[:, j] + c * grad[:, j]) for j in range(w.shape[1])], axis=1)
             w = w - step
             if np.abs(step).max() < tol:
                 break
-        out[:, part] = w
+        out[:, start:stop] = w
     return out
 
 
+def _probabilities(x: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    return 1.0 / (1.0 + np.exp(-np.clip(x @ weights[:-1] + weights[-1], -40, 40)))
+
+
 def nc_predict(emb: DataFrame, weights: np.ndarray, classes: list[str]) -> DataFrame:
     """(id, label, prob) of every node and label."""
-    def prob(x):
-        return 1.0 / (1.0 + np.exp(-np.clip(x @ weights[:-1] + weights[-1], -40, 40)))
     names = F.array(*[F.lit(c) for c in classes])
-    return (emb.select("id", V.row_map(prob)("vector").alias("p")).select("id", F.posexplode("p").alias("i", "prob"))
+    return (emb.select("id", V.row_map(lambda x: _probabilities(x, weights))("vector").alias("p")).select("id", F.posexplode("p").alias("i", "prob"))
             .select("id", F.element_at(names, F.col("i") + 1).alias("label"), "prob"))
 
 
@@ -120,30 +153,50 @@ def nc_predict_topk(probs: DataFrame, labels: DataFrame) -> DataFrame:
                     (F.col("_r") <= F.size("labels")).cast("int").alias("pred")))
 
 
-def f1_scores(predictions: DataFrame) -> DataFrame:
-    """One row (micro, macro, samples, weighted); an undefined score is 0."""
-    def counts(*by):
-        return predictions.groupBy(*by).agg(F.sum(F.col("truth") * F.col("pred")).alias("tp"), F.sum("truth").alias("t"), F.sum("pred").alias("p"))
-
-    def f1(tp="tp", t="t", p="p"):
-        return F.coalesce(F.try_divide(2.0 * F.col(tp), F.col(t) + F.col(p)), F.lit(0.0))
-    by_label = counts("label").withColumn("f1", f1())
-    overall = by_label.agg(F.sum("tp").alias("tp"), F.sum("t").alias("t"), F.sum("p").alias("p"), F.avg("f1").alias("macro"),
-                           F.coalesce(F.try_divide(F.sum(F.col("f1") * F.col("t")), F.sum("t")), F.lit(0.0)).alias("weighted"))
-    samples = counts("id").agg(F.avg(f1()).alias("samples"))
-    from_labels = overall.select(F.lit(0).alias("_one"), f1().alias("micro"), "macro", "weighted")
-    return from_labels.join(samples.withColumn("_one", F.lit(0)), "_one").select("micro", "macro", "samples", "weighted")
+def nc_chosen(emb: DataFrame, lists: DataFrame, weights: np.ndarray) -> DataFrame:
+    """(id, class, truth, pred) of the true and the chosen classes alone: of a row with k true ones, the k most likely (the
+    lower number on ties). The other classes of a row are 0 in both and count nowhere."""
+    def choose(batches):
+        for batch in batches:
+            for a in range(0, batch.num_rows, 256):
+                part = batch.slice(a, 256)
+                prob, out = _probabilities(V.to_numpy(part.column("vector")), weights), []
+                for name, p, truth in zip(part.column("id").to_pylist(), prob, part.column("classes").to_pylist()):
+                    k, truth = len(truth), set(truth)
+                    edge = np.partition(p, len(p) - k)[len(p) - k] if 0 < k < len(p) else -np.inf
+                    at = np.flatnonzero(p >= edge) if k else np.zeros(0, np.int64)
+                    chosen = set(at[np.argsort(-p[at], kind="stable")][:k].tolist())
+                    out += [(name, c, int(c in truth), int(c in chosen)) for c in sorted(truth | chosen)]
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out) if out else [[]] * 4, (pa.string(), pa.int64(), pa.int32(), pa.int32()))],
+                                                 names=["id", "class", "truth", "pred"])
+
+    rows = emb.select("id", "vector").join(lists.select("id", "classes"), "id")
+    return rows.mapInArrow(choose, "id string, class bigint, truth int, pred int")
+
+
+def f1_scores(predictions: DataFrame, label: str = "label") -> DataFrame:
+    """One row (micro, macro, samples, weighted); an undefined score is 0. One pass sums by label and by id."""
+    tp, t, p = F.col("tp"), F.col("t"), F.col("p")
+    f1 = F.coalesce(F.try_divide(2.0 * tp, t + p), F.lit(0.0))
+    side = F.explode(F.array(F.struct(F.lit(True).alias("by_label"), F.col(label).cast("string").alias("key")),
+                             F.struct(F.lit(False).alias("by_label"), F.col("id").cast("string").alias("key"))))
+    sums = predictions.select("truth", "pred", side.alias("side")).groupBy("side.by_label", "side.key").agg(
+        F.sum(F.col("truth") * F.col("pred")).alias("tp"), F.sum("truth").alias("t"), F.sum("pred").alias("p"))
+    each = sums.select("by_label", "tp", "t", "p", f1.alias("f1"))
+    total = each.agg(*(F.sum(F.when(F.col("by_label"), F.col(c))).alias(c) for c in ("tp", "t", "p")), F.avg(F.when(F.col("by_label"), F.col("f1"))).alias("macro"),
+                     F.sum(F.when(F.col("by_label"), F.col("f1") * F.col("t"))).alias("_weighted"), F.avg(F.when(~F.col("by_label"), F.col("f1"))).alias("samples"))
+    return total.select(f1.alias("micro"), "macro", "samples", F.coalesce(F.try_divide("_weighted", "t"), F.lit(0.0)).alias("weighted"))
 
 
 def nc_evaluate(emb: DataFrame, labels: DataFrame, train_share: float, seed: int = 0, c: float = 1.0) -> DataFrame:
-    """Split, fit, predict and score; returns the F1 row."""
-    classes = label_set(labels)
+    """Split, fit, predict and score; returns the F1 row. Labels are numbers from a table; their names reach neither the driver nor a plan."""
+    index = cut(label_index(labels), "classes")
+    n = index.count()
     split = cut(nc_split(labels, train_share, seed), "split")
+    lists = cut(class_lists(labels, index).join(split.select("id", "train"), "id"), "lists")
     emb = cut(emb.select("id", "vector"), "emb")
-    weights = nc_fit(emb, split.filter("train"), classes, c)
-    test = split.filter(~F.col("train"))
-    probs = nc_predict(emb.join(test.select("id"), "id", "left_semi"), weights, classes)
-    return f1_scores(nc_predict_topk(probs, test))
+    weights = nc_fit(emb, lists.filter("train"), n, c)
+    return f1_scores(nc_chosen(emb, lists.filter(~F.col("train")), weights), "class")
 
 
 # ---- pair losses; positives (batch, pos) and negatives (batch, pos_id, neg) as score columns
@@ -216,29 +269,34 @@ def best_epoch(history: DataFrame, lower_is_better: bool = True) -> DataFrame:
             .select("run", F.col("b.epoch").alias("epoch"), F.col("b.metric").alias("metric")))
 
 
-def ema_metric(history: DataFrame, rate: float = 0.01) -> DataFrame:
-    """(run, step, smoothed): s starts at the first value, then s -= rate * (s - x).
+def _decayed_sum(rows: DataFrame, q: float) -> DataFrame:
+    """(run, i, t) with t_i = x_i + q * t_(i-1), from rows (run, i, x) with i = 0, 1, 2, ...
 
-    Steps are numbered 0, 1, 2, ... With x_0 as start, s_t is a weighted sum that a running sum gives
-    directly: s_t = q^t * (x_0 + sum over i of rate * x_i / q^i). It is taken in blocks of steps, so
-    that the powers stay in range and no task holds a whole run.
+    Rows are taken in blocks, within which t is a running sum of x / q^place times q^place; the powers stay in range as a
+    block ends where q^-place reaches e^600. The blocks' last values are rows of the same kind with q^length, and so on.
     """
-    q = 1.0 - rate
-    block = 1000
-    rows = history.withColumn("_i", F.col("step"))
-    rows = rows.withColumn("_b", F.floor(F.col("_i") / block)).withColumn("_j", F.col("_i") % block)
-    in_block = Window.partitionBy("run", "_b").orderBy("_i").rowsBetween(Window.unboundedPreceding, 0)
-    grow = F.pow(F.lit(q), F.col("_j").cast("double"))
-    gain = F.when(F.col("_i") == 0, F.col("metric")).otherwise(rate * F.col("metric") / grow)
-    rows = rows.withColumn("_part", grow * F.sum(gain).over(in_block))
-    ends = rows.groupBy("run", "_b").agg(F.max_by("_part", "_i").alias("_end"), F.count(F.lit(1)).alias("_n"))
-    carried = F.aggregate(
-        F.array_sort(F.collect_list(F.struct("_b", "_end", "_n")).over(Window.partitionBy("run").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))),
-        F.lit(0.0), lambda s, e: s * F.pow(F.lit(q), e["_n"].cast("double")) + e["_end"])
-    before = ends.select("run", "_b", carried.alias("_before"))
-    decay = F.pow(F.lit(q), F.col("_j").cast("double") + 1.0)
-    return (rows.join(before, ["run", "_b"])
-            .select("run", "step", (F.col("_part") + F.col("_before") * decay).alias("smoothed")))
+    fall = -math.log(q) if q > 0 else math.inf
+    length = max(1, min(1000, int(600 / fall) if fall > 0 else 1000))
+    last = rows.agg(F.max("i")).first()[0]
+    rows = rows.withColumn("g", F.floor(F.col("i") / length)).withColumn("j", (F.col("i") % length).cast("double"))
+    here = Window.partitionBy("run", "g").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    power = F.pow(F.lit(q), F.col("j")) if length > 1 else F.lit(1.0)
+    rows = rows.withColumn("own", power * F.sum(F.col("x") / power).over(here))
+    if last is None or last < length:
+        return rows.select("run", "i", F.col("own").alias("t"))
+    ends = rows.groupBy("run", F.col("g").alias("i")).agg(F.max_by("own", "i").alias("x"))
+    # after a block that ends for its powers, what came before it is less than e^-600 of what it adds
+    ends = _decayed_sum(cut(ends, "ends"), q ** length) if length == 1000 else ends.withColumnRenamed("x", "t")
+    before = ends.select("run", (F.col("i") + 1).alias("g"), F.col("t").alias("before"))
+    return rows.join(before, ["run", "g"], "left").select(
+        "run", "i", (F.col("own") + F.coalesce("before", F.lit(0.0)) * F.lit(q) * power).alias("t"))
+
+
+def ema_metric(history: DataFrame, rate: float = 0.01) -> DataFrame:
+    """(run, step, smoothed): s starts at the first value, then s -= rate * (s - x). Steps are numbered 0, 1, 2, ..."""
+    x = F.when(F.col("step") == 0, F.col("metric")).otherwise(rate * F.col("metric"))
+    sums = _decayed_sum(history.select("run", F.col("step").alias("i"), x.alias("x")), 1.0 - rate)
+    return sums.select("run", F.col("i").alias("step"), F.col("t").alias("smoothed"))
 
 
 def run_summary(graph: Graph, seconds: dict[str, float] | None = None) -> DataFrame:

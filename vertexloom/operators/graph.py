@@ -141,8 +141,7 @@ def common_neighbors(graph: Graph, pairs: DataFrame) -> DataFrame:
     few_u = F.col("_nu") <= F.col("_nv")
     sides = sized.select("u", "v", F.when(few_u, F.col("u")).otherwise(F.col("v")).alias("few"),
                          F.when(few_u, F.col("v")).otherwise(F.col("u")).alias("many"))
-    listed = salted_join(sides, graph.adj.select(F.col("src").alias("few"), F.col("dst").alias("neighbor")),
-                         ["few"], ["many"])
+    listed = salted_join(sides, graph.adj.select(F.col("src").alias("few"), F.col("dst").alias("neighbor")), ["few"], ["many"])
     there = graph.adj.select(F.col("src").alias("many"), F.col("dst").alias("neighbor"))
     return (listed.join(there, ["many", "neighbor"], "left_semi")
             .filter((F.col("neighbor") != F.col("u")) & (F.col("neighbor") != F.col("v"))).select("u", "v", "neighbor"))

@@ -2,14 +2,14 @@
 
 Equal vectors are handled once: all copies share one ranking, and only the k lowest ids of a vector
 can ever be ranked, so a vector with very many copies costs no more than any other. The distinct
-vectors are put into cells around a bounded number of pivots and the cells into blocks of bounded
-size. A query visits a cell only when the triangle inequality allows a point there to be among its k
+vectors are put into cells around about sqrt(n) pivots and the cells into blocks of bounded size. A query visits a cell only when the triangle inequality allows a point there to be among its k
 nearest (exact), or only its `probes` nearest cells (approximate). Each task compares one block of
 queries with one block of candidates.
 """
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import vectors as V
@@ -23,6 +23,16 @@ BLOCK_ROWS = 2048
 DIGITS = 9  # similarities that agree to this many digits are ties, broken by id
 
 
+def _shown():
+    """The similarity to DIGITS digits; one that would be 0 by that is given as it is."""
+    return F.when(F.col("sim") == 0, F.col("raw")).otherwise(F.col("sim"))
+
+
+def _hits(mask: np.ndarray) -> pa.Array:
+    """The columns that are true in each row."""
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(mask.sum(1))]).astype(np.int32)), pa.array(np.nonzero(mask)[1].astype(np.int32)))
+
+
 def _distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum((x * x).sum(1)[:, None] + (pivots * pivots).sum(1)[None, :] - 2.0 * x @ pivots.T, 0.0))
 
@@ -51,14 +61,14 @@ def _points(attrs: DataFrame, column: str):
 
 def _nearest_groups(distinct: DataFrame, k: int, probes: int | None, ties: bool, block_rows: int, seed: int,
                     max_pivots: int) -> DataFrame:
-    """(qg, cg, sim): for each distinct vector the k most similar distinct vectors, itself among them."""
+    """(qg, cg, sim, raw): for each distinct vector the k most similar distinct vectors, itself among them; sim is raw to DIGITS digits, and ranks."""
     distinct = cut(distinct, "distinct")
     n = distinct.count()
     keyed = distinct.withColumn("_h", draw("g", seed=seed))
-    want = int(min(max_pivots, max(1, n // (8 * k))))
+    want = int(min(max(max_pivots, n ** 0.5), max(1, n // (8 * k))))
     pivots = np.array([r.vec for r in keyed.filter(first_k(keyed, want, "_h", ["g"])).select("vec").collect()])
     if not len(pivots):
-        return distinct.select(F.col("g").alias("qg"), F.col("g").alias("cg"), F.lit(1.0).alias("sim"))
+        return distinct.select(F.col("g").alias("qg"), F.col("g").alias("cg"), F.lit(1.0).alias("sim"), F.lit(1.0).alias("raw"))
 
     def place(x):
         d = _distances(x, pivots)
@@ -94,19 +104,27 @@ def _nearest_groups(distinct: DataFrame, k: int, probes: int | None, ties: bool,
             with np.errstate(divide="ignore", invalid="ignore"):
                 plane = np.where(between[cell] > 0, (d * d - near * near) / (2 * between[cell]), 0.0)
             least = np.maximum(np.maximum(d - hi, lo - d), plane)
-            return ((least <= reach + 1e-6) & used).astype(float)
-        mask = V.row_map2(visits)("vec", F.array(F.col("cell").cast("double"), F.col("reach")))
+            return (least <= reach + 1e-6) & used
+
+        @F.arrow_udf("array<int>")
+        def cells(vec: pa.Array, own: pa.Array) -> pa.Array:
+            return _hits(visits(V.to_numpy(vec), V.to_numpy(own))) if len(vec) else pa.array([], pa.list_(pa.int32()))
+        mask = cells("vec", F.array(F.col("cell").cast("double"), F.col("reach")))
     else:
         queries = points
 
         def nearest(x):
             d = np.where(used, _distances(x, pivots), np.inf)
-            return (d <= np.sort(d, axis=1)[:, [min(probes, int(used.sum())) - 1]]).astype(float)
-        mask = V.row_map(nearest)("vec")
+            return d <= np.sort(d, axis=1)[:, [min(probes, int(used.sum())) - 1]]
+
+        @F.arrow_udf("array<int>")
+        def cells(vec: pa.Array) -> pa.Array:
+            return _hits(nearest(V.to_numpy(vec))) if len(vec) else pa.array([], pa.list_(pa.int32()))
+        mask = cells("vec")
 
     visited = (queries.select(F.col("g").alias("qg"), F.col("vec").alias("q"), F.col("cell").alias("qcell"),
-                              F.col("sub").alias("qsub"), F.posexplode(mask).alias("ccell", "_hit"))
-               .filter("_hit = 1").drop("_hit").join(subs.withColumnRenamed("cell", "ccell"), "ccell")
+                              F.col("sub").alias("qsub"), F.explode(mask).alias("ccell"))
+               .join(subs.withColumnRenamed("cell", "ccell"), "ccell")
                .withColumn("csub", F.explode(F.sequence(F.lit(0), F.col("subs") - 1))).drop("subs"))
     tasks = visited.select("qcell", "qsub", "ccell", "csub").distinct()
     candidates = (tasks.toDF("kq", "ks", "cell", "sub").join(points, ["cell", "sub"])
@@ -114,13 +132,14 @@ def _nearest_groups(distinct: DataFrame, k: int, probes: int | None, ties: bool,
 
     def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
-            return pd.DataFrame({"qg": [], "cg": [], "sim": []})
-        sim = np.round(np.stack(left["q"].to_numpy()) @ np.stack(right["c"].to_numpy()).T, DIGITS)
+            return pd.DataFrame({"qg": [], "cg": [], "sim": [], "raw": []})
+        raw = np.stack(left["q"].to_numpy()) @ np.stack(right["c"].to_numpy()).T
+        sim = np.round(raw, DIGITS)
         order = right["cg"].argsort().argsort().to_numpy()
         rows, cols = _best(sim, order, k, ties)
-        return pd.DataFrame({"qg": left["qg"].to_numpy()[rows], "cg": right["cg"].to_numpy()[cols], "sim": sim[rows, cols]})
+        return pd.DataFrame({"qg": left["qg"].to_numpy()[rows], "cg": right["cg"].to_numpy()[cols], "sim": sim[rows, cols], "raw": raw[rows, cols]})
 
-    found = visited.groupBy("qcell", "qsub", "ccell", "csub").cogroup(candidates.groupBy("kq", "ks", "kc", "kt")).applyInPandas(compare, "qg string, cg string, sim double")
+    found = visited.groupBy("qcell", "qsub", "ccell", "csub").cogroup(candidates.groupBy("kq", "ks", "kc", "kt")).applyInPandas(compare, "qg string, cg string, sim double, raw double")
     best = Window.partitionBy("qg").orderBy(F.col("sim").desc(), *([] if ties else ["cg"]))
     rank = F.rank() if ties else F.row_number()
     return found.withColumn("_r", rank.over(best)).filter(F.col("_r") <= k).drop("_r")
@@ -128,9 +147,11 @@ def _nearest_groups(distinct: DataFrame, k: int, probes: int | None, ties: bool,
 
 def _grouped(points: DataFrame):
     """Distinct vectors (g = lowest id, vec) and the members (id, g)."""
-    groups = points.groupBy("vec").agg(F.min("id").alias("g"), F.count(F.lit(1)).alias("n"))
-    members = salted_join(points, groups.select("vec", "g"), ["vec"], ["id"], counts=groups.select("vec", "n"))
-    return groups, cut(members.select("id", "g"), "members")
+    keyed = points.withColumns({"_a": F.xxhash64("vec"), "_b": F.xxhash64(F.reverse("vec"), F.lit(1))})  # 128 bits stand for the vector
+    groups = keyed.groupBy("_a", "_b").agg(F.min("id").alias("g"), F.count(F.lit(1)).alias("n"))
+    members = cut(salted_join(keyed.select("id", "_a", "_b"), groups.select("_a", "_b", "g"), ["_a", "_b"], ["id"], counts=groups.select("_a", "_b", "n")).select("id", "g"), "members")
+    sizes = groups.select("g", "n")
+    return points.join(sizes, points["id"] == sizes["g"]).select("vec", "g", "n"), members
 
 
 def attr_knn(attrs: DataFrame, k: int, probes: int | None = None, column: str = "features",
@@ -152,9 +173,9 @@ def attr_knn(attrs: DataFrame, k: int, probes: int | None = None, column: str =
         skipped = F.when(F.col("sim") < 0.5, len(none_ids)).when(F.col("sim") == 0.5, before).otherwise(0)
     ranked = (near.join(low, "cg")
               .withColumn("_r", F.row_number().over(Window.partitionBy("qg").orderBy(F.col("sim").desc(), "col")))
-              .filter(F.col("_r") <= k).filter(F.col("_r") + skipped <= k).select("qg", "col", "sim"))
+              .filter(F.col("_r") <= k).filter(F.col("_r") + skipped <= k).select("qg", "col", _shown().alias("sim"), (F.col("raw") != 0).alias("near")))
     return (salted_join(members.select(F.col("id").alias("row"), F.col("g").alias("qg")), ranked, ["qg"], ["row"])
-            .filter((F.col("row") != F.col("col")) & (F.col("sim") != 0)).select("row", "col", "sim"))
+            .filter((F.col("row") != F.col("col")) & F.col("near")).select("row", "col", "sim"))
 
 
 def attr_topk_cutoff(attrs: DataFrame, k: int, column: str = "features", block_rows: int = BLOCK_ROWS,
@@ -168,10 +189,10 @@ def attr_topk_cutoff(attrs: DataFrame, k: int, column: str = "features", block_r
     blanks = none.count()
     if blanks:  # nodes without attributes have similarity 0 to all and can hold the k-th place
         near = near.unionByName(groups.select(F.col("g").alias("qg"), F.lit(None).cast("string").alias("cg"),
-                                              F.lit(0.0).alias("sim"), F.lit(blanks).cast("bigint").alias("copies")))
+                                              F.lit(0.0).alias("sim"), F.lit(0.0).alias("raw"), F.lit(blanks).cast("bigint").alias("copies")))
     above = Window.partitionBy("qg").orderBy(F.col("sim").desc()).rangeBetween(Window.unboundedPreceding, 0)
     kept = (near.withColumn("_before", F.sum("copies").over(above) - F.sum("copies").over(Window.partitionBy("qg", "sim")))
-            .filter((F.col("_before") < k) & (F.col("sim") != 0)).select("qg", "cg", "sim"))
+            .filter((F.col("_before") < k) & (F.col("raw") != 0)).select("qg", "cg", _shown().alias("sim")))
     cols = salted_join(kept, members.select(F.col("g").alias("cg"), F.col("id").alias("col")), ["cg"], ["qg"])
     return (salted_join(members.select(F.col("id").alias("row"), F.col("g").alias("qg")), cols.select("qg", "col", "sim"), ["qg"], ["row"])
             .filter("row <> col").select("row", "col", "sim"))

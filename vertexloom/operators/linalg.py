@@ -13,28 +13,32 @@ from ..functions.hashing import draw
 from ..plans.lineage import cut
 from ..plans.skew import counted, lookup
 
-MAX_COLUMNS = 4096
-_BUCKETS = 32
+#: Up to this many columns the whole Gram matrix is summed up; wider rows go through subspace iteration.
+GRAM_COLUMNS = 1024
+_TILE = 1 << 16
 
 
-def matrix_sums(df: DataFrame, columns: list[str], fn, shapes: list[tuple]) -> list[np.ndarray]:
+def matrix_sums(df: DataFrame, columns: list[str], fn, shapes: list[tuple], raw: tuple = ()) -> list[np.ndarray]:
     """Sum over all rows of the small matrices fn(*blocks) returns for a block of rows.
 
-    `columns` are array columns, which reach fn as 2-D blocks. Each task sends one row.
+    `columns` are array columns, which reach fn as 2-D blocks, and as Arrow columns where named in `raw`. Each task sends one sum.
     """
     def partial(batches):
         total = None
         for batch in batches:
             if batch.num_rows:
-                got = np.concatenate([np.asarray(m, float).ravel() for m in fn(*[V.to_numpy(c) for c in batch.columns])])
+                got = np.concatenate([np.asarray(m, float).ravel() for m in fn(*[c if n in raw else V.to_numpy(c) for n, c in zip(columns, batch.columns)])])
                 total = got if total is None else total + got
         if total is not None:
             yield pa.RecordBatch.from_arrays([V.to_arrow(total[None, :])], names=["s"])
 
+    # long sums are cut into tiles, so that no task adds up whole ones of many tasks; the driver gets every tile once
+    whole = sum(int(np.prod(s)) for s in shapes)
+    tiles = F.sequence(F.lit(0), F.lit(max(whole - 1, 0)), F.lit(_TILE))
     parts = df.select(*columns).mapInArrow(partial, "s array<double>")
-    sums = (parts.groupBy(F.pmod(F.spark_partition_id(), F.lit(_BUCKETS)).alias("b")).agg(V.sum_vectors("s").alias("s"))
-            .select("s").collect())
-    flat = np.sum([np.array(r.s) for r in sums], axis=0) if sums else np.zeros(sum(int(np.prod(s)) for s in shapes))
+    pieces = parts.select(F.explode(F.transform(tiles, lambda t: F.struct(t.alias("t"), F.slice("s", t + 1, F.lit(_TILE)).alias("s")))).alias("p"))
+    sums = pieces.groupBy("p.t").agg(V.sum_vectors("p.s").alias("s")).orderBy("t").collect() if whole else []
+    flat = np.concatenate([np.array(r.s) for r in sums]) if sums else np.zeros(whole)
     out, at = [], 0
     for shape in shapes:
         size = int(np.prod(shape))
@@ -64,26 +68,50 @@ def _axes(matrix: np.ndarray, k: int):
 
 def _checked_width(df: DataFrame, column: str, k: int) -> int:
     cols = V.width(df, column)
-    if cols > MAX_COLUMNS:
-        raise ValueError(f"{cols} columns: use svd_cells on the (row, col, value) form")
     if k > cols:
         raise ValueError(f"{k} components wanted from {cols} columns")
     return cols
 
 
+def _wide_axes(attrs: DataFrame, column: str, cols: int, k: int, mean: np.ndarray, iterations: int = 12, oversample: int = 20, seed: int = 0):
+    """Squared singular values and right vectors of the rows less `mean`, by randomised subspace iteration.
+
+    A pass multiplies the columns-by-columns product with a few vectors: sum of x (x Q) over the rows. Only that
+    columns-by-(k + oversample) sum reaches the driver.
+    """
+    width = min(k + oversample, cols)
+    q = np.linalg.qr(np.random.default_rng(seed).standard_normal((cols, width)))[0]
+    values = vectors = None
+    for _ in range(iterations):
+        product = matrix_sums(attrs, [column], lambda x, q=q: [(x - mean).T @ ((x - mean) @ q)], [(cols, width)])[0]
+        small = q.T @ product
+        found, mix = np.linalg.eigh((small + small.T) / 2)
+        order = np.argsort(-found)[:k]
+        before, values, vectors = values, np.maximum(found[order], 0.0), q @ mix[:, order]
+        if before is not None and np.allclose(before, values, rtol=1e-12, atol=0):
+            break
+        q = np.linalg.qr(product)[0]
+    return values, _fixed_signs(vectors)
+
+
 def truncated_svd(attrs: DataFrame, k: int, column: str = "features") -> tuple[DataFrame, np.ndarray]:
     """(id, vector = U*S) with k components, not centred, and the singular values."""
-    _checked_width(attrs, column, k)
-    values, axes = _axes(gram(attrs, column), k)
+    cols = _checked_width(attrs, column, k)
+    values, axes = _axes(gram(attrs, column), k) if cols <= GRAM_COLUMNS else _wide_axes(attrs, column, cols, k, np.zeros(cols))
     return attrs.select("id", V.times(F.col(column), axes).alias("vector")), np.sqrt(values)
 
 
 def pca(attrs: DataFrame, k: int, column: str = "features") -> DataFrame:
     """(id, vector): centred rows on the k axes of largest variance."""
     cols = _checked_width(attrs, column, k)
-    total, outer, n = matrix_sums(attrs, [column], lambda x: [x.sum(0), x.T @ x, np.array([len(x)])], [(cols,), (cols, cols), (1,)])
-    mean = total / n[0]
-    _, axes = _axes(outer - n[0] * np.outer(mean, mean), k)
+    if cols <= GRAM_COLUMNS:
+        total, outer, n = matrix_sums(attrs, [column], lambda x: [x.sum(0), x.T @ x, np.array([len(x)])], [(cols,), (cols, cols), (1,)])
+        mean = total / n[0]
+        _, axes = _axes(outer - n[0] * np.outer(mean, mean), k)
+    else:
+        total, n = matrix_sums(attrs, [column], lambda x: [x.sum(0), np.array([len(x)])], [(cols,), (1,)])
+        mean = total / n[0]
+        _, axes = _wide_axes(attrs, column, cols, k, mean)
     return attrs.select("id", V.row_map(lambda x: (x - mean) @ axes)(F.col(column)).alias("vector"))
 
 
@@ -133,12 +161,13 @@ def random_vectors(ids: DataFrame, dim: int, seed, scale: float = 1.0, uniform:
 
 
 def multiply(cells: DataFrame, vectors: DataFrame, counts: DataFrame | None = None) -> DataFrame:
-    """(id, vector) = sum over a row's cells of value * vector of the column; values are not negative.
+    """(id, vector) = sum over a row's cells of value * vector of the column, of either sign.
 
-    Rows without a positive cell are left out.
+    Rows without a cell other than 0 are left out.
     """
-    rows = lookup(cells.filter("value > 0"), "col", vectors, "id", {"vector": "vector"}, ["row"], counts=counts)
-    return rows.groupBy(F.col("row").alias("id")).agg(V.sum_vectors("vector", F.col("value")).alias("vector"))
+    rows = lookup(cells.filter("value <> 0"), "col", vectors, "id", {"vector": "vector"}, ["row"], counts=counts)
+    scaled = F.transform("vector", lambda x: x * F.col("value"))
+    return rows.groupBy(F.col("row").alias("id")).agg(V.sum_vectors(scaled).alias("vector"))
 
 
 def flipped(cells: DataFrame) -> DataFrame:
@@ -157,12 +186,12 @@ def _orthonormal(rows: DataFrame, name: str) -> DataFrame:
 
 def svd_cells(cells: DataFrame, k: int, power: float = 1.0, iterations: int = 2, oversample: int = 10,
               seed: int = 0) -> tuple[DataFrame, np.ndarray]:
-    """(id, vector = U * S^power) of a sparse matrix with non-negative cells, and S.
+    """(id, vector = U * S^power) of a sparse matrix, and S.
 
     Randomised subspace iteration: each pass is a join of the cells with a narrow vector table.
     Rows without cells are left out (their vector is zero).
     """
-    cells = cut(cells.select("row", "col", "value").filter("value > 0"), "cells")
+    cells = cut(cells.select("row", "col", "value").filter("value <> 0"), "cells")
     by_col, by_row = counted(cells, "col"), counted(cells, "row")
     back, cols = flipped(cells), cut(cells.select("col").distinct(), "cols")
     width = min(k + oversample, cols.count(), cells.select("row").distinct().count())

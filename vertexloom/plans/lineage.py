@@ -33,4 +33,16 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     """
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the table behind a result of cut() that nothing reads any more; other frames are left alone."""
+    path = getattr(df, "_scratch", None)
+    if path is None:
+        return
+    jvm = df.sparkSession._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(place, True)

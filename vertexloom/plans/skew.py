@@ -5,15 +5,14 @@ from pyspark.sql import DataFrame, functions as F
 from .lineage import cut
 
 HOT_ROWS = 1_000_000
+#: The most keys that are split by a salt: the hottest. A key after these has less than a thousandth of all rows.
+HOT_KEYS = 1000
 EVEN = "even"  # as counts: the keys were counted and none is hot
 
 
 def hot_keys(counts: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Keys with more than hot_rows rows and the number of parts each is split into.
-
-    There are at most (all rows / hot_rows) of them, so the result is small whatever the data.
-    """
-    return counts.filter(F.col("n") > hot_rows).select(
+    """The keys with more than hot_rows rows, HOT_KEYS at most, and the number of parts each is split into."""
+    return counts.filter(F.col("n") > hot_rows).orderBy(F.col("n").desc()).limit(HOT_KEYS).select(
         *keys, F.ceil(F.col("n") / F.lit(hot_rows)).cast("int").alias("_parts"))
 
 
@@ -27,14 +26,12 @@ def salted_join(left: DataFrame, right: DataFrame, keys: list[str], spread: list
                 counts: DataFrame | str | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Equi-join in which a hot key of the left side is spread over several tasks.
 
-    The rows of a hot key get a salt from the `spread` columns and the matching right rows are copied
-    once for each salt. `counts` has the keys and their left row count `n` when it is known already,
-    or is EVEN when no key is hot.
+    Where `counts` is known (the keys with their left row count `n`), the rows of a hot key get a salt from the `spread`
+    columns and the matching right rows are copied once for each salt. Without counts, or when they are EVEN, this is a plain
+    join: adaptive execution measures the shuffled partitions and splits a hot one, which costs no second pass over the left side.
     """
-    if isinstance(counts, str):
+    if counts is None or isinstance(counts, str):
         return left.join(right, keys, how)
-    if counts is None:
-        counts = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     hot = F.broadcast(hot_keys(counts, keys, hot_rows))
     parts = F.coalesce(F.col("_parts"), F.lit(1))
     salted = left.join(hot, keys, "left").select(*left.columns, F.pmod(F.xxhash64(*spread), parts).cast("int").alias("_salt"))
