@@ -28,8 +28,9 @@ from .buffers import flat, list_array, mix, runs, slices
 
 SPACE = "▁"
 RATE, SEED = 0.1, 17
+_COMMON = 512
 LONGEST = 62  # symbols of a segment that takes part in the rounds
-_NONE = np.iinfo(np.int64).max
+_NONE = np.iinfo(np.int32).max
 _SEGMENT = re.compile(rf" *[^ {SPACE}]+|{SPACE}| +")
 _U = np.uint64
 _MASK = 2**64 - 1
@@ -108,9 +109,10 @@ class Vocabulary:
         self.sizes = np.array([len(x) for x in raw], np.int64)
         self.starts = np.cumsum(self.sizes) - self.sizes
         self.data = np.frombuffer(b"".join(raw), np.uint8)
-        order = np.unique([-self.scores[i] for i in plain])
-        self.rank = np.full(n, -1, np.int64)  # equal scores have equal ranks
-        self.rank[plain] = np.searchsorted(order, [-self.scores[i] for i in plain])
+        # by piece: the place of its score among all scores, with six bits for a place in a segment; the last entry is that of no piece
+        worse = np.unique([-self.scores[i] for i in plain])
+        self.order = np.full(n + 1, _NONE, np.int32)
+        self.order[plain] = np.searchsorted(worse, [-self.scores[i] for i in plain]) << 6
         self.pairs = PairTable({(self.ids[p[:k]], self.ids[p[k:]]): i for p, i in self.ids.items() for k in range(1, len(p)) if p[:k] in self.ids and p[k:] in self.ids})
         # symbols of single characters: the piece, or n + the code point where there is none
         self.symbols = np.arange(0x110000, dtype=np.int32) + n
@@ -119,6 +121,18 @@ class Vocabulary:
                 self.symbols[ord(p)] = i
         self.symbols[ord(" ")] = self.ids.get(SPACE, n + ord(" "))
         self.size = n
+        # the pairs of common characters, which are most of those that a text starts with
+        self.common = self.pairs(np.repeat(self.symbols[:_COMMON], _COMMON), np.tile(self.symbols[:_COMMON], _COMMON))
+
+    def starting_pairs(self, points: np.ndarray, symbols: np.ndarray) -> np.ndarray:
+        """The piece of each character with the next one, or -1; of the last one, -1."""
+        out = np.full(len(points), -1, np.int32)
+        if len(points) > 1:
+            a, b = points[:-1], points[1:]
+            out[:-1] = self.common[np.minimum(a, _COMMON - 1) * np.uint32(_COMMON) + np.minimum(b, _COMMON - 1)]
+            rare = np.flatnonzero((a >= _COMMON) | (b >= _COMMON))
+            out[rare] = self.pairs(symbols[rare], symbols[rare + 1])
+        return out
 
     def final(self, symbol: str) -> list[int]:
         i = self.ids.get(symbol)
@@ -197,8 +211,7 @@ class Encoder:
         place = mix(mix(keys.astype(np.int64).view(np.uint64), self.seed)[row] + (np.arange(len(start)) - first[row]).astype(np.uint64))
         symbols = known.symbols[points]
         symbols[literal] = known.size + ord(SPACE)
-        pair = np.full(len(points), -1, np.int32)
-        pair[:-1] = known.pairs(symbols[:-1], symbols[1:])
+        pair = known.starting_pairs(points, symbols)
         pair[start[1:] - 1] = -1
         alive = np.ones(len(points), bool)
         widths = [2, 3, 4, 5, 6, 7, 8, 9, 10, 12, 14, 17, 22, 32, LONGEST]
@@ -223,59 +236,56 @@ class Encoder:
         return [ids[s] if s in ids else n + ord(s) for s in self.vocabulary.merged(segment.replace(" ", SPACE), skip)]
 
     def _rounds(self, symbols, pair, alive, start, size, place, wide):
-        """All agendas of segments of up to `wide` symbols; the results go into symbols and alive."""
-        known = self.vocabulary
-        if not len(start):
+        """All agendas of segments of up to `wide` symbols; the results go into symbols and alive.
+
+        Row i of the matrices is the i-th symbol of each segment, a column is a segment; they are addressed as flat arrays.
+        """
+        known, n = self.vocabulary, len(start)
+        if not n:
             return
-        lane = np.arange(wide)[:, None]
-        inside = lane < size
-        at = np.where(inside, start + lane, start)
+        lane = np.arange(wide, dtype=np.int64)[:, None]
+        at = start + np.minimum(lane, size - 1)
         symbol = symbols[at]
-        piece = np.where(lane < size - 1, pair[at], -1)
-        best = np.where(piece >= 0, known.rank[piece] << 6 | lane, _NONE)
+        piece = np.where(lane < size - 1, pair[at], np.int32(-1))
+        best = known.order[piece] | lane.astype(np.int32)
         after = np.where(lane < size - 1, lane + 1, wide).astype(np.int8)
-        before = np.broadcast_to(lane - 1, at.shape).astype(np.int8)
-        column = np.arange(len(start))
-        origin = start.copy()
+        before = np.ascontiguousarray(np.broadcast_to(lane - 1, at.shape).astype(np.int8))
         while True:
             top = best.min(0)
-            going = top != _NONE
-            if not going.any():
+            c = np.flatnonzero(top != _NONE)
+            if not len(c):
                 break
-            if going.mean() < 0.75:
-                symbol, piece, best, after, before = (x[:, going] for x in (symbol, piece, best, after, before))
-                place, origin, top = place[going], origin[going], top[going]
-                column = np.arange(len(top))
-                c = column
-            else:
-                c = column[going]
-                top = top[going]
-            left = top & 63
-            right = after[left, c].astype(np.int64)
-            made = piece[left, c]
-            best[left, c] = _NONE
+            top = top[c]
+            if len(c) < 0.8 * n:
+                symbol, piece, best, after, before = (x[:, c] for x in (symbol, piece, best, after, before))
+                place, start, n = place[c], start[c], len(c)
+                c = np.arange(n)
+            s_, p_, b_, a_, f_ = (x.reshape(-1) for x in (symbol, piece, best, after, before))
+            left = (top & 63).astype(np.int64)
+            li = left * n + c
+            right, made = a_[li].astype(np.int64), p_[li]
+            b_[li] = _NONE
             if self.limit:
                 key = (left << 40) ^ (right << 20) ^ made
-                taken = (mix(place[c] ^ key.view(np.uint64)) >> _U(32)) >= _U(self.limit)
-                c, left, right, made = c[taken], left[taken], right[taken], made[taken]
-            symbol[left, c] = made
-            best[right, c] = _NONE
-            symbols[origin[c] + left] = made
-            alive[origin[c] + right] = False
-            following, previous = after[right, c].astype(np.int64), before[left, c].astype(np.int64)
-            after[left, c] = following
-            some = following < wide
-            d, l, f = c[some], left[some], following[some]
-            before[f, d] = l
-            self._candidate(symbol, piece, best, l, f, d)
-            some = previous >= 0
-            d, l, f = c[some], previous[some], left[some]
-            self._candidate(symbol, piece, best, l, f, d)
-
-    def _candidate(self, symbol, piece, best, left, right, c):
-        made = self.vocabulary.pairs(symbol[left, c], symbol[right, c])
-        piece[left, c] = made
-        best[left, c] = np.where(made >= 0, self.vocabulary.rank[made] << 6 | left, _NONE)
+                taken = np.flatnonzero((mix(place[c] ^ key.view(np.uint64)) >> _U(32)) >= _U(self.limit))
+                c, left, right, made, li = c[taken], left[taken], right[taken], made[taken], li[taken]
+            ri = right * n + c
+            s_[li] = made
+            b_[ri] = _NONE
+            where = start[c]
+            symbols[where + left] = made
+            alive[where + right] = False
+            following, previous = a_[ri], f_[li]
+            a_[li] = following
+            some = np.flatnonzero(following < wide)
+            fi = following[some].astype(np.int64) * n + c[some]
+            f_[fi] = left[some]
+            other = np.flatnonzero(previous >= 0)
+            prior = previous[other].astype(np.int64)
+            first, second = np.concatenate([li[some], prior * n + c[other]]), np.concatenate([fi, li[other]])
+            fresh = known.pairs(s_[first], s_[second])
+            p_[first] = fresh
+            b_[first] = known.order[fresh] | np.concatenate([left[some], prior]).astype(np.int32)
 
     def _with_bytes(self, symbols: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Characters without a piece become the pieces of their bytes."""
