@@ -257,7 +257,7 @@ class Encoder:
                 break
             top = top[c]
             if len(c) < 0.8 * n:
-                symbol, piece, best, after, before = (x[:, c] for x in (symbol, piece, best, after, before))
+                symbol, piece, best, after, before = (x.take(c, 1) for x in (symbol, piece, best, after, before))  # in row order, so that reshape gives views
                 place, start, n = place[c], start[c], len(c)
                 c = np.arange(n)
             s_, p_, b_, a_, f_ = (x.reshape(-1) for x in (symbol, piece, best, after, before))
