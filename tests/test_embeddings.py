@@ -1,10 +1,13 @@
 """Gradients by finite differences, objectives, and quality on planted communities."""
 
+import inspect
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from vertexloom.embeddings import blocks, experiment as X, factor, gradient, sage, spectral
+from vertexloom.catalog.embedding import OPTIONS
+from vertexloom.embeddings import blocks, experiment as X, factor, gradient, sage, spectral, walked
 from vertexloom.functions.hashing import unit
 from vertexloom.operators import aggregate as A, evaluate as E
 from vertexloom.operators.graph import Graph
@@ -50,6 +53,14 @@ def test_better_than_chance(spark, planted, method):
     assert widths == {SETTINGS[method]["dim"] * (2 if method == "tadw" else 1)}
 
 
+@pytest.mark.parametrize("method", ["deepwalk", "node2vec", "abrw", "attrcomb", "grarep", "aane"])
+def test_registered_at_the_defaults(method):
+    """The queries take nothing off the operators' own walks, windows, steps and iterations."""
+    usual = inspect.signature({**X.STRUCTURE, **X.WITH_ATTRIBUTES}[method]).parameters
+    train = inspect.signature(walked.skipgram).parameters
+    assert all(value == (usual.get(k) or train[k]).default for k, value in OPTIONS[method].items())
+
+
 def test_losses_go_down(spark, planted):
     g, attrs, _ = planted
     for out in (factor.tadw(g, attrs, 8, maxiter=6), gradient.line(g, 8, 1, epochs=6, passes=2), gradient.line(g, 8, 2, epochs=6, passes=2), gradient.asne(g, attrs, 8, epochs=6, passes=2)):

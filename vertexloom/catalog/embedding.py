@@ -1,8 +1,9 @@
 """Embedding methods end to end.
 
-The walks, epochs and widths are smaller than published ones (10 walks of 80 steps, 100 epochs, 128 values), so that a query takes
-seconds on the small tables. A query gives a row for each node: the width of its vector, whether all values are finite, and, where the
-method has a training loss, whether the last one is below the first; the vectors themselves can't be stated in SQL.
+The walk methods, grarep and aane run at the operators' defaults (10 walks of 80 steps, window 10, K = 4, 10 iterations); the width
+is the SQL's, 16 in place of 128. line and asne make 10 epochs of 100. A query gives a row for each node: the width of its vector, whether
+all values are finite, and, where the method has a training loss, whether the last one is below the first; the vectors themselves
+can't be stated in SQL.
 """
 
 from pyspark.sql import functions as F
@@ -13,10 +14,9 @@ from ..operators.walks import walk_pairs
 from .base import V, X as VECTORS, h, query, rounded, vector_attrs, vector_labels, vectors
 from .sampling import non_edge_sql
 
-WALKS = {"num_walks": 3, "walk_length": 16, "window": 4, "epochs": 10}
 OPTIONS = {
-    "attrpure": {}, "deepwalk": WALKS, "node2vec": {**WALKS, "walk_length": 12}, "abrw": WALKS, "attrcomb": WALKS, "grarep": {"kstep": 2}, "tadw": {"maxiter": 10},
-    "aane": {"maxiter": 2}, "line": {"epochs": 10}, "asne": {"epochs": 10}, "sagemean": {"epochs": 2, "samples": (10, 5), "max_degree": 20},
+    "attrpure": {}, "deepwalk": {}, "node2vec": {}, "abrw": {}, "attrcomb": {}, "grarep": {}, "tadw": {"maxiter": 10},
+    "aane": {}, "line": {"epochs": 10}, "asne": {"epochs": 10}, "sagemean": {"epochs": 2, "samples": (10, 5), "max_degree": 20},
     "sagegcn": {"epochs": 2, "samples": (10, 5), "max_degree": 20},
 }
 #: Methods whose history is a loss that training lowers.
