@@ -274,6 +274,38 @@ def test_sage_backward_by_differences(spark, planted, kind, dropout):
         assert got[layer][name][at] == pytest.approx((ends[0] - ends[1]) / 2e-5, rel=1e-3, abs=1e-4)
 
 
+class Still(sage._Pass):
+    """No layers and no gradients."""
+
+    def __init__(self, feats, *rest):
+        self.rows = feats.withColumn("_out", F.col("vector"))
+
+    def forward(self, weights):
+        return self.rows
+
+    def backward(self, rows, weights, grads):
+        return [{n: np.zeros_like(w[n]) for n in sage._names(w)} for w in weights]
+
+
+def test_sage_steps_follow_the_edges(spark, planted, monkeypatch):
+    """By default a step for each batch_size training edges, together all of them, each against negatives of its own."""
+    g, attrs, _ = planted
+    seeds, parts = [], []
+    one = spark.createDataFrame([("0", [0.0], 1.0)], "id string, g array<double>, loss double")
+    monkeypatch.setattr(sage, "_Pass", Still)
+    monkeypatch.setattr(sage, "_drawn", lambda guide, size, count, seed: seeds.append(seed))
+    monkeypatch.setattr(sage, "collect_rows", lambda ids, table: ([], None))
+    monkeypatch.setattr(sage, "_loss", lambda rows, pairs, *rest: parts.append(pairs.count()) or one)
+    monkeypatch.setattr(sage, "infer_embeddings", lambda feats, *rest: feats)
+    n = g.edges.count()
+    sage.sage(g, attrs, dim=4, epochs=1, val_perc=0.0)
+    assert sum(parts) == n and len(parts) == -(-n // 512)
+    seeds.clear(), parts.clear()
+    sage.sage(g, attrs, dim=4, epochs=2, val_perc=0.0, batch_size=150)
+    assert sum(parts) == 2 * n and len(parts) == 2 * -(-n // 150) and len(set(seeds)) == len(parts)
+    assert OPTIONS["sagemean"] == OPTIONS["sagegcn"] == {}
+
+
 def test_f1_of_the_perfect_embedding(spark, planted):
     _, attrs, labels = planted
     emb = E.binarize_labels(labels).select("id", F.col("vector").cast("array<double>").alias("vector"))

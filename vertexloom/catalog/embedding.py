@@ -1,6 +1,6 @@
 """Embedding methods end to end.
 
-The walk methods, grarep and aane run at the operators' defaults (10 walks of 80 steps, window 10, K = 4, 10 iterations); the width
+The walk methods, grarep, aane, sagemean and sagegcn run at the operators' defaults (10 walks of 80 steps, window 10, K = 4, 10 iterations, samples of 25 and 10); the width
 is the SQL's, 16 in place of 128. line and asne make 10 epochs of 100. A query gives a row for each node: the width of its vector, whether
 all values are finite, and, where the method has a training loss, whether the last one is below the first; the vectors themselves
 can't be stated in SQL.
@@ -16,8 +16,7 @@ from .sampling import non_edge_sql
 
 OPTIONS = {
     "attrpure": {}, "deepwalk": {}, "node2vec": {}, "abrw": {}, "attrcomb": {}, "grarep": {}, "tadw": {"maxiter": 10},
-    "aane": {}, "line": {"epochs": 10}, "asne": {"epochs": 10}, "sagemean": {"epochs": 2, "samples": (10, 5), "max_degree": 20},
-    "sagegcn": {"epochs": 2, "samples": (10, 5), "max_degree": 20},
+    "aane": {}, "line": {"epochs": 10}, "asne": {"epochs": 10}, "sagemean": {}, "sagegcn": {},
 }
 #: Methods whose history is a loss that training lowers.
 TRAINED = ("deepwalk", "node2vec", "abrw", "attrcomb", "line", "asne", "tadw", "sagemean", "sagegcn")

@@ -1,4 +1,4 @@
-"""Two-layer sampled-neighbourhood model, trained on edges with shared negatives.
+"""Two-layer sampled-neighbourhood model, trained on mini-batches of edges, each with its own shared negatives.
 
 Node tables hold the layer inputs, means over sampled neighbours are joins, and the weight gradients
 are sums of small matrices. The backward pass uses the same sampled edges the other way round. Only
@@ -145,9 +145,11 @@ def _loss(rows: DataFrame, pairs: DataFrame, ids, mat, neg_weight, counts) -> Da
 
 def sage(graph: Graph, attrs: DataFrame, kind: str = "mean", dim: int = 128, samples: tuple = (25, 10), max_degree: int = 100,
          epochs: int = 10, learning_rate: float = 0.01, dropout: float = 0.0, weight_decay: float = 1e-6, neg_sample_size: int = 20,
-         val_perc: float = 0.1, batches: int = 1, validate_batch_size: int | None = None, seed: int = 0) -> Embedding:
+         val_perc: float = 0.1, batches: int | None = None, batch_size: int = 512, validate_batch_size: int | None = None, seed: int = 0) -> Embedding:
     """kind mean: own and neighbour parts side by side; kind gcn: one mean over both.
 
+    An epoch deals the training edges into batches of about `batch_size`, and each makes one step against `neg_sample_size` negatives
+    drawn anew; `batches` sets their number instead. Each step passes over all nodes, so an epoch's work grows with nodes x edges.
     The validation edges (an end is a validation node) choose the epoch whose weights make the result.
     `history` has (epoch, training loss); the validation losses are in `val_history`.
     """
@@ -171,6 +173,7 @@ def sage(graph: Graph, attrs: DataFrame, kind: str = "mean", dim: int = 128, sam
     n_train, n_val = train_pairs.count(), val_pairs.count()
     if not n_train:
         raise ValueError("no training edge")
+    batches = batches or -(-n_train // batch_size)
     train_counts, val_counts = _ends(train_pairs), _ends(val_pairs)
     guide, totals = negative_table(degree)
     guide, size = cut(guide, "guide"), totals.first()
@@ -191,7 +194,7 @@ def sage(graph: Graph, attrs: DataFrame, kind: str = "mean", dim: int = 128, sam
             ids, mat = collect_rows(_drawn(guide, size, neg_sample_size, f"{seed}|{step}"), rows.select("id", F.col("_out").alias("vector")))
             g = _loss(rows, part, ids, mat, float(neg_sample_size), train_counts)
             total = max(n_train / batches, 1.0)
-            losses += g.agg(F.sum("loss")).first()[0] / total / batches
+            losses += (g.agg(F.sum("loss")).first()[0] or 0.0) / total / batches
             grads = run.backward(rows, weights, g)
             new = []
             for w, gw, mw in zip(weights, grads, moments):
