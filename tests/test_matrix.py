@@ -68,6 +68,15 @@ def test_approximate_recall(spark):
     assert len(got & set(want)) / len(want) > 0.6
 
 
+def test_recall_of_nine_tenths_without_clusters(spark):
+    """The number of cells follows from the recall, where a fixed few lose neighbours."""
+    rows = [(f"n{i}", list(map(float, v))) for i, v in enumerate(np.random.default_rng(3).normal(size=(300, 8)))]
+    attrs = attr_table(spark, rows)
+    want = set(brute_knn(rows, 5))
+    shares = [len({(r.row, r.col) for r in knn.attr_knn(attrs, 5, **how).collect()} & want) / len(want) for how in ({"probes": 1}, {"recall": 0.9})]
+    assert shares[0] < 0.9 <= shares[1], shares
+
+
 def test_beta_of_lone_and_blank_nodes(spark):
     g = graph(spark, [("a", "b")], lone=["c", "d"])
     sims = knn.attr_knn(attr_table(spark, [("a", [1, 0]), ("b", [1, 1]), ("c", [0, 1]), ("d", [0, 0])]), 4)

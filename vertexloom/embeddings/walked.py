@@ -37,9 +37,9 @@ def node2vec(graph: Graph, dim: int = 128, p: float = 0.5, q: float = 0.5, num_w
 
 
 def abrw(graph: Graph, attrs: DataFrame, dim: int = 128, topk: int = 30, beta: float = 0.2, beta_mode: int = 1, alpha: float = 2.71828,
-         num_walks: int = 10, walk_length: int = 80, window: int = 10, probes: int | None = None, seed: int = 0, **train) -> Embedding:
-    """Walks on the mix of neighbours and attribute-similar nodes; `probes` makes the similarity search approximate."""
-    similar = cut(attr_knn(attrs, topk, probes, seed=seed), "similar")
+         num_walks: int = 10, walk_length: int = 80, window: int = 10, probes: int | None = None, seed: int = 0, recall: float | None = None, **train) -> Embedding:
+    """Walks on the mix of neighbours and attribute-similar nodes; `recall` or `probes` makes the similarity search approximate."""
+    similar = cut(attr_knn(attrs, topk, probes, seed=seed, recall=recall), "similar")
     cells, even = biased_transition(graph, similar, beta_mode, beta, alpha)
     walks = cut(weighted_walks(graph.nodes, cells, cut(even, "even"), cut(node_index(graph.nodes), "index"), num_walks, walk_length, seed), "walks")
     return skipgram(graph.nodes, walks, dim, window, seed=seed, **train)

@@ -3,7 +3,8 @@
 Equal vectors are handled once: all copies share one ranking, and only the k lowest ids of a vector
 can ever be ranked, so a vector with very many copies costs no more than any other. The distinct
 vectors are put into cells around about sqrt(n) pivots and the cells into blocks of bounded size. A query visits a cell only when the triangle inequality allows a point there to be among its k
-nearest (exact), or only its `probes` nearest cells (approximate). Each task compares one block of
+nearest (exact), or only its nearest cells (approximate): `probes` of them, or as many as a sample of queries needs for
+`recall`. Each task compares one block of
 queries with one block of candidates.
 """
 
@@ -20,6 +21,7 @@ from ..plans.skew import salted_join
 
 MAX_PIVOTS = 1024
 BLOCK_ROWS = 2048
+RECALL_SAMPLE = 500  # queries whose exact neighbours tell how many cells a recall needs
 DIGITS = 9  # similarities that agree to this many digits are ties, broken by id
 
 
@@ -59,8 +61,42 @@ def _points(attrs: DataFrame, column: str):
     return values.filter(~zero).withColumn("vec", V.unit_vector("vec")), values.filter(zero).select("id")
 
 
+def probes_for(points: DataFrame, pivots: np.ndarray, used: np.ndarray, k: int, recall: float, seed: int) -> int:
+    """The least number of cells that finds `recall` of the k nearest of a sample of queries, two standard errors of the sample added.
+
+    points: (g, vec, cell). The sample has RECALL_SAMPLE distinct vectors, or all if there are no more; it is compared with every point.
+    """
+    keyed = points.withColumn("_h", draw("g", seed=f"{seed}|recall"))
+    picked = sorted(keyed.filter(first_k(keyed, RECALL_SAMPLE, "_h", ["g"])).select("g", "vec").collect(), key=lambda r: r.g)
+    names, asked = [r.g for r in picked], np.array([r.vec for r in picked])
+
+    def nearest(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            sim = np.round(asked @ V.to_numpy(batch.column("vec")).T, DIGITS)
+            g = batch.column("g").to_numpy(zero_copy_only=False).astype(str)
+            rows, cols = _best(sim, g.argsort().argsort(), k, False)
+            yield pa.RecordBatch.from_arrays([pa.array(rows.astype(np.int32)), pa.array(g[cols]), pa.array(sim[rows, cols]),
+                                              batch.column("cell").take(pa.array(cols))], names=["q", "g", "sim", "cell"])
+
+    found = points.select("g", "vec", "cell").mapInArrow(nearest, "q int, g string, sim double, cell int")
+    best = Window.partitionBy("q").orderBy(F.col("sim").desc(), "g")
+    found = found.withColumn("_r", F.row_number().over(best)).filter(F.col("_r") <= k).select("q", "g", "cell").collect()
+    found = [r for r in found if r.g != names[r.q]]  # every query finds itself
+    d = np.where(used, _distances(asked, pivots), np.inf)
+    need, query = np.array([1 + (d[r.q] < d[r.q, r.cell]).sum() for r in found], int), np.array([r.q for r in found], int)
+    sizes, most = np.maximum(np.bincount(query, minlength=len(asked)), 1), int(used.sum())
+    for probes in range(1, most):
+        share = np.bincount(query, need <= probes, len(asked)) / sizes
+        spread = 2.0 * share.std() / np.sqrt(len(share)) if len(share) == RECALL_SAMPLE else 0.0
+        if share.mean() - spread >= recall:
+            return probes
+    return most
+
+
 def _nearest_groups(distinct: DataFrame, k: int, probes: int | None, ties: bool, block_rows: int, seed: int,
-                    max_pivots: int) -> DataFrame:
+                    max_pivots: int, recall: float | None = None) -> DataFrame:
     """(qg, cg, sim, raw): for each distinct vector the k most similar distinct vectors, itself among them; sim is raw to DIGITS digits, and ranks."""
     distinct = cut(distinct, "distinct")
     n = distinct.count()
@@ -86,6 +122,8 @@ def _nearest_groups(distinct: DataFrame, k: int, probes: int | None, ties: bool,
     subs = F.broadcast(distinct.sparkSession.createDataFrame(list(blocks.items()), "cell int, subs int"))
     points = cut(placed.join(subs, "cell").withColumn("sub", F.pmod(F.xxhash64("g"), F.col("subs")).cast("int")).drop("subs"), "points")
 
+    if recall is not None:
+        probes = probes_for(points, pivots, used, k, recall, seed)
     if probes is None:
         def radius(pdf: pd.DataFrame) -> pd.DataFrame:
             x = np.stack(pdf["vec"].to_numpy())
@@ -155,15 +193,16 @@ def _grouped(points: DataFrame):
 
 
 def attr_knn(attrs: DataFrame, k: int, probes: int | None = None, column: str = "features",
-             block_rows: int = BLOCK_ROWS, seed: int = 0, max_pivots: int = MAX_PIVOTS) -> DataFrame:
+             block_rows: int = BLOCK_ROWS, seed: int = 0, max_pivots: int = MAX_PIVOTS, recall: float | None = None) -> DataFrame:
     """(row, col, sim): cosine similarity to the k nearest nodes, the node itself counted but left out.
 
+    Exact by default. `probes` searches so many cells and promises no recall; `recall` finds the number of cells by probes_for.
     A node without attributes lies at distance 1 of every other, that is at similarity 0.5, and takes
     its place in the ranking, but has no row and no column in the result.
     """
     points, none = _points(attrs, column)
     groups, members = _grouped(points)
-    near = _nearest_groups(groups.select("g", "vec"), k, probes, False, block_rows, seed, max_pivots)
+    near = _nearest_groups(groups.select("g", "vec"), k, probes, False, block_rows, seed, max_pivots, recall)
     in_group = Window.partitionBy("g").orderBy("id")
     low = members.withColumn("_r", F.row_number().over(in_group)).filter(F.col("_r") <= k).select(F.col("g").alias("cg"), F.col("id").alias("col"))
     none_ids = [r.id for r in none.orderBy("id").limit(k).collect()]
