@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..catalog.base import table
-from . import chat, decontaminate, exact_dedup, near_dedup, pieces, repeats, sharding, token_counts, toxicity, url_filter
+from . import chat, conversation_repair, decontaminate, exact_dedup, hard_negatives, lattice_lm, near_dedup, pieces, repeats, sharding, token_counts, toxicity, url_filter
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -147,3 +147,29 @@ def op10(spark, sf):
     model = toxicity.fit(docs, labels.filter(~toxicity.is_held_out()))
     return toxicity.scored(docs, model).select("doc_id", toxicity.is_held_out().alias("held_out"), "score",
                                                (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
+@query("op12_conversation_repair")
+def op12(spark, sf):
+    told = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    return conversation_repair.repair_report(conversation_repair.damaged(told))
+
+
+@query("op13_lm_scoring")
+def op13(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text", "lang")
+    return lattice_lm.lm_scores(docs, ~lattice_lm.is_held_out(), tokenizer("piece_bpe_32k.model"))
+
+
+@query("op11_hard_negatives", """
+WITH e AS (SELECT vec_id, (CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END) AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+           FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, list_dot_product(a.v, b.v)::BIGINT AS score
+      FROM e a JOIN e b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT * FROM (SELECT anchor_id, id AS positive_id, score AS positive_score, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) AS r FROM s WHERE same) WHERE r <= 5),
+n AS (SELECT p.*, s.id AS negative_id, s.score AS negative_score, row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.id)::INT AS rank
+      FROM p JOIN s USING (anchor_id) WHERE NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5""")
+def op11(spark, sf):
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(hard_negatives.prepared(table(spark, sf, "embeddings"), label), F.col("id") % 100 == 0)
