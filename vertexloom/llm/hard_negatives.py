@@ -14,7 +14,7 @@ Cells are kept in blocks of about BLOCK rows, and anchors in groups of about GRO
 very many equal vectors is so many blocks, and each hands on k rows for an anchor at most.
 
 Defined cases: rows with a null id, label or vector, or with a null or non-finite component take no part; of vectors of different length, missing components are 0; an id is
-a key (a row with the anchor's id is never its partner); components and scores that leave the range of a long raise an error; equal scores go by the smaller id; anchors
+a key (a row with the anchor's id is never its partner); components and scores (an anchor's with itself included) that leave the range of a long raise an error; equal scores go by the smaller id; anchors
 without a positive or a row in a window give no rows, an empty table gives none; columns but id, label and vector are not read.
 """
 
@@ -247,7 +247,7 @@ def search(index: Index, anchors: DataFrame, k: int, low: int = 0, high: int = 1
         if groups == 1:
             members = members.withColumn("_group", F.lit(0).cast("long"))
         else:
-            members = members.join(asking.select("block", "_group").distinct(), "block")
+            members = members.join(cut(asking.select("block", F.col("_group")).distinct(), "asked-blocks"), "block")
         met = asking.groupBy("block", "_group").cogroup(members.groupBy("block", "_group")).applyInArrow(_meeting(index.width, k, low, high, same), FOUND)
         found = cut(_first(found.drop("rank").unionByName(met), k), "found")
         ends = asked.filter("block = -1 AND next IS NOT NULL").select("anchor", "label", "x", F.explode("wants").alias("want"), "visited", "next")
@@ -268,7 +268,8 @@ def mine(rows: DataFrame, anchor: Column, positives: int = POSITIVES, negatives:
     chosen = cut(index.rows.filter(anchor).select(F.col("id").alias("anchor"), "label", "x"), "anchors")
     near = search(index, chosen.withColumn("wants", F.array(F.lit(0).cast("long"))), positives)
     pairs = cut(near.select("anchor", F.col("id").alias("positive"), F.col("score").alias("want")), "positives")
-    wants = pairs.filter(F.col("want") * low <= F.col("want") * high).groupBy("anchor")  # a window below 0 is empty.agg(F.collect_set("want").alias("wants"))
+    windows = pairs.filter(F.col("want") * low <= F.col("want") * high)  # below 0 there is none
+    wants = windows.groupBy("anchor").agg(F.collect_set("want").alias("wants"))
     hard = search(index, chosen.join(wants, "anchor"), negatives, low, high, same=False)
     return pairs.join(hard, ["anchor", "want"]).select(
         F.col("anchor").alias("anchor_id"), F.col("positive").alias("positive_id"), "rank", F.col("id").alias("negative_id"),

@@ -227,6 +227,19 @@ def _known_words(model: Model) -> DataFrame:
     return cut(model.words.mapInArrow(run, "word string, n long, logs array<double>"), "scored-words")
 
 
+def _usual(words: DataFrame) -> DataFrame:
+    """The words with n training tokens or more, for the least n (a power of 2 ** (1 / 8)) that leaves at most FREQUENT of them: no sort is needed."""
+    words = words.filter((F.col("n") > 0) & (F.octet_length("word") <= FREQUENT_BYTES))
+    step = F.floor(8 * F.log2("n")).cast("long")
+    bars, total = [], 0
+    for r in sorted(words.groupBy(step.alias("step")).count().collect(), key=lambda r: -r.step):  # some 300 rows at most
+        total += r["count"]
+        if total > FREQUENT:
+            break
+        bars.append(r.step)
+    return words.filter(step >= bars[-1]) if bars else words.limit(0)
+
+
 def _reading(frequent, k: int, base_of):
     """A task's texts: what their frequent words add, and the other words with their numbers."""
     def run(batches):
@@ -269,7 +282,7 @@ def scored(docs: DataFrame, model: Model, train: Column, text: str = "text", doc
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score): scores are log10 of probabilities."""
     k, divisor = len(model.tokens), float(model.n_train + model.n_kinds + 1)
     words = _known_words(model)
-    usual = words.filter((F.col("n") > 0) & (F.octet_length("word") <= FREQUENT_BYTES)).orderBy(F.desc("n"), "word").limit(FREQUENT).toArrow().combine_chunks()
+    usual = _usual(words).toArrow().combine_chunks()
     names = as_binary(usual.column("word")).to_pylist()
     frequent = docs.sparkSession.sparkContext.broadcast((names, usual.column("n").to_numpy(), _matrix(usual.column("logs"), k) if names else np.zeros((0, k))))
     kind = docs.schema[doc_id].dataType.simpleString()
