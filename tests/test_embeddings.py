@@ -3,6 +3,7 @@
 import inspect
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -11,7 +12,6 @@ from vertexloom.embeddings import blocks, experiment as X, factor, gradient, sag
 from vertexloom.functions.hashing import unit
 from vertexloom.operators import aggregate as A, evaluate as E
 from vertexloom.operators.graph import Graph
-from vertexloom.operators.sampling import neighbor_sample
 from vertexloom.plans.lineage import cut
 
 from .graphs import by_id, graph
@@ -247,62 +247,54 @@ def test_line_by_labels(spark, planted):
     assert scores[1] >= scores[0]
 
 
-@pytest.mark.parametrize("kind,dropout", [("mean", 0.0), ("gcn", 0.3)])
-def test_sage_backward_by_differences(spark, planted, kind, dropout):
-    g, attrs, _ = planted
-    feats = cut(attrs.select("id", F.slice("features", 1, 4).alias("vector")))
-    sampled = cut(neighbor_sample(g.adj, 6, seed=1))
-    run = sage._Pass(feats, sampled, (4, 3), 7, dropout)
-    weights = A.make_weights(kind, [4, 3, 3], kind == "mean", seed=2)
-    pairs = cut(g.edges.select(F.col("src").alias("u"), F.col("dst").alias("v"), F.lit(1.0).alias("w")))
-    counts = gradient._ends(pairs)
-    shared = ["3", "5"]
-
-    def loss(w, back=False):
-        rows = run.forward(w)
-        mat = np.array([v for _, v in sorted(by_id(rows.filter(F.col("id").isin(shared)), "_out").items())])
-        grads = sage._loss(rows, pairs, shared, mat, 2.0, counts)
-        return run.backward(rows, w, grads) if back else grads.agg(F.sum("loss")).first()[0]
-    got = loss(weights, back=True)
-    for layer, name, at in ((0, sage._names(weights[0])[0], (1, 2)), (0, sage._names(weights[0])[-1], (2, 1)), (1, sage._names(weights[1])[-1], (0, 1))):
-        ends = []
-        for eps in (1e-5, -1e-5):
-            moved = [dict(w) for w in weights]
-            moved[layer][name] = moved[layer][name].copy()
-            moved[layer][name][at] += eps
-            ends.append(loss(moved))
-        assert got[layer][name][at] == pytest.approx((ends[0] - ends[1]) / 2e-5, rel=1e-3, abs=1e-4)
-
-
-class Still(sage._Pass):
-    """No layers and no gradients."""
+def support_rows(edges, negatives, near, feats, means, leaf_means):
+    """Rows of one batch as a task gets them."""
+    schema = pa.schema([("task", pa.int64()), ("batch_id", pa.int64()), ("kind", pa.int32()), ("a", pa.string()), ("b", pa.string()), ("slot", pa.int64()), ("x", pa.list_(pa.float64()))])
+    rows = [(sage.EDGE, u, v, None, None) for u, v in edges] + [(sage.NEGATIVE, n, None, i, None) for i, n in enumerate(negatives)]
+    rows += [(sage.NEAR, a, b, i, None) for a, bs in near.items() for i, b in enumerate(bs)]
+    rows += [(sage.ROOT, a, None, None, [*feats[a], *means[a]]) for a in feats] + [(sage.LEAF, b, None, None, [*feats[b], *leaf_means[b]]) for b in {b for bs in near.values() for b in bs}]
+    return pa.Table.from_pylist([dict(zip(schema.names, (0, 0, *r))) for r in rows], schema=schema)
 
-    def __init__(self, feats, *rest):
-        self.rows = feats.withColumn("_out", F.col("vector"))
 
-    def forward(self, weights):
-        return self.rows
-
-    def backward(self, rows, weights, grads):
-        return [{n: np.zeros_like(w[n]) for n in sage._names(w)} for w in weights]
-
-
-def test_sage_steps_follow_the_edges(spark, planted, monkeypatch):
-    """By default a step for each batch_size training edges, together all of them, each against negatives of its own."""
+@pytest.mark.parametrize("kind,dropout", [("mean", 0.0), ("gcn", 0.3)])
+def test_sage_gradients_by_differences(kind, dropout):
+    rng = np.random.default_rng(3)
+    names = "abcdef"
+    feats, means, leaf_means = ({n: rng.normal(size=4) for n in names} for _ in range(3))
+    near = {"a": "bcb", "b": "aac", "c": "dab", "d": "ccc", "e": "aba"}  # f has no neighbours
+    s = sage.Support(support_rows(["ab", "bc", "cf", "ab"], ["e", "a"], near, feats, means, leaf_means), 3)
+    weights = A.make_weights(kind, [4, 3, 3], kind == "mean", seed=2)
+    run = lambda w, back=False: sage.support_step(s, w, 5, 2.0, np.random.default_rng(7), dropout, back)
+    _, got = run(weights, True)
+    for layer in (0, 1):
+        for name in sage._names(weights[layer]):
+            for at in np.ndindex(weights[layer][name].shape):
+                ends = []
+                for eps in (1e-5, -1e-5):
+                    moved = [dict(w) for w in weights]
+                    moved[layer][name] = moved[layer][name].copy()
+                    moved[layer][name][at] += eps
+                    ends.append(run(moved)[0])
+                assert got[layer][name][at] == pytest.approx((ends[0] - ends[1]) / 2e-5, rel=1e-3, abs=1e-5)
+
+
+def test_sage_support_of_a_batch(spark, planted, monkeypatch):
+    """Each edge is in one batch; a batch has its ends, its negatives, their k neighbours and the features of all of these, and no more."""
     g, attrs, _ = planted
-    seeds, parts = [], []
-    one = spark.createDataFrame([("0", [0.0], 1.0)], "id string, g array<double>, loss double")
-    monkeypatch.setattr(sage, "_Pass", Still)
-    monkeypatch.setattr(sage, "_drawn", lambda guide, size, count, seed: seeds.append(seed))
-    monkeypatch.setattr(sage, "collect_rows", lambda ids, table: ([], None))
-    monkeypatch.setattr(sage, "_loss", lambda rows, pairs, *rest: parts.append(pairs.count()) or one)
-    monkeypatch.setattr(sage, "infer_embeddings", lambda feats, *rest: feats)
-    n = g.edges.count()
-    sage.sage(g, attrs, dim=4, epochs=1, val_perc=0.0)
-    assert sum(parts) == n and len(parts) == -(-n // 512)
-    seeds.clear(), parts.clear()
-    sage.sage(g, attrs, dim=4, epochs=2, val_perc=0.0, batch_size=150)
-    assert sum(parts) == 2 * n and len(parts) == 2 * -(-n // 150) and len(set(seeds)) == len(parts)
+    seen = []
+    real = sage.Samples.support
+    monkeypatch.setattr(sage.Samples, "support", lambda self, edges, negatives, seed: seen.append((edges.collect(), negatives.collect(), real(self, edges, negatives, seed).collect())) or real(self, edges, negatives, seed))
+    sage.sage(g, attrs, dim=4, epochs=1, samples=(4, 3), val_perc=0.0, batch_size=50, neg_sample_size=6)
+    (edges, negatives, rows), n = seen[0], g.edges.count()
+    assert len(edges) == n and len({r.batch_id for r in edges}) == -(-n // 50) and len(negatives) == 6 * -(-n // 50)
+    assert len({r.id for r in negatives}) > 10
+    for batch in {r.batch_id for r in edges}:
+        mine = [r for r in rows if r.batch_id == batch]
+        ends = {x for r in edges if r.batch_id == batch for x in (r.u, r.v)} | {r.id for r in negatives if r.batch_id == batch}
+        near = [r for r in mine if r.kind == sage.NEAR]
+        assert {r.a for r in mine if r.kind == sage.ROOT} == ends and {r.a for r in near} <= ends and {r.slot for r in near} == {0, 1, 2}
+        assert {r.a for r in mine if r.kind == sage.LEAF} == {r.b for r in near} and all(r.task == batch // sage.STEPS for r in mine)
+        assert len([r for r in mine if r.kind == sage.ROOT]) == len(ends)
     assert OPTIONS["sagemean"] == OPTIONS["sagegcn"] == {}
 
 

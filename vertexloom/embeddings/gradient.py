@@ -1,8 +1,8 @@
 """Gradient-trained embeddings on vertex tables.
 
-LINE, skip-gram and the attributed model make mini-batch steps on blocks of their pairs (see blocks). The sampled
-neighbourhood model needs the whole graph for each of its steps: `pair_gradients` joins the pairs of a batch with the
-vectors of both ends and sums the gradients by node, inside each Arrow batch first, then map-side, then across the cluster.
+LINE, skip-gram (against negatives or down a Huffman tree) and the attributed model make mini-batch steps on blocks of their pairs (see blocks).
+`pair_gradients` joins the pairs of a batch with the vectors of both ends and sums the gradients by node, inside each Arrow batch first, then
+map-side, then across the cluster.
 """
 
 import numpy as np
@@ -11,10 +11,10 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions import vectors as V
 from ..functions.hashing import unit
-from ..operators.graph import Graph, weighted_out_degree
+from ..operators.graph import Graph, node_index, weighted_out_degree
 from ..operators.linalg import random_vectors
-from ..operators.sampling import slot_of
-from ..plans.lineage import cut
+from ..operators.sampling import negative_sample_loguniform, pick_table, slot_of
+from ..plans.lineage import cut, discard
 from ..plans.skew import counted, lookup
 from . import blocks
 from .blocks import sigmoid, softplus
@@ -89,38 +89,83 @@ def _ends(pairs: DataFrame) -> tuple:
 
 
 def _started(nodes: DataFrame, dim: int, seed, scale: float, degree: DataFrame, power: float, bias: bool = False) -> DataFrame:
-    """(id, w, x): vectors with the state 0 behind them, and degree^power as weight among the negatives."""
+    """(id, w, x): vectors with the state 0 behind them, and degree^power as weight; scale 0 starts from 0."""
     start = random_vectors(nodes, dim, seed, scale)
     x = F.concat("vector", F.array(F.lit(0.0))) if not bias else F.concat("vector", F.array(F.lit(0.0), F.lit(0.0)))
     known = start.join(degree.select("id", F.pow(F.greatest(F.col("degree").cast("double"), F.lit(0.0)), F.lit(power)).alias("w")), "id", "left")
     return known.select("id", F.coalesce("w", F.lit(0.0)).alias("w"), x.alias("x"))
 
 
-def _logistic_work(dim: int, width: int, negatives: int, rate: float, batch_size: int, passes: int):
+def pool_by_weight(weights: DataFrame) -> blocks.Pool:
+    """Negatives in proportion to w of (id, w); uniform ones if there is no weight."""
+    if weights.filter("w > 0").isEmpty():
+        weights = weights.withColumn("w", F.lit(1.0))
+    guide, totals = pick_table(weights.select(F.lit(0).alias("all"), F.col("id").alias("node"), "w"), ["all"], ["node"], "w")
+    guide, size = cut(guide.drop("all"), "guide"), totals.first()
+    return blocks.Pool(lambda count, seed: _drawn(guide, size, count, seed))
+
+
+def _batches(t: blocks.Task, batch_size: int | None, passes: int):
+    """Pairs of a step, in a new order for each pass; without a size some 64 steps a pass, of 64 to 1,024 pairs."""
+    size = batch_size or min(1024, max(64, len(t.u) // 64))
+    for _ in range(passes):
+        mixed = t.rng.permutation(len(t.u))
+        for start in range(0, len(t.u), size):
+            yield mixed[start:start + size]
+
+
+def _logistic_work(dim: int, width: int, negatives: int, rate: float, batch_size: int | None, passes: int):
     """Mini-batches of logistic_batch on the rows of a task; width - dim is 1 with a bias."""
-    def work(left, right, u, v, w, rng, matrix):
-        (h, _), (c, weight) = left, right
+    def work(t):
+        h, c = t.left[0], t.right[0]
         alone = h is c
         hx, hs, cx, cs = h[:, :dim], h[:, dim], c[:, :width], c[:, width]
-        line, total = np.cumsum(weight), 0.0
-        w = w / w.mean()
-        for _ in range(passes):
-            mixed = rng.permutation(len(u))
-            for start in range(0, len(u), batch_size):
-                at = mixed[start:start + batch_size]
-                a, b = hx[u[at]], cx[v[at]]
-                a = np.column_stack([a, np.ones(len(a))]) if width > dim else a
-                drawn = np.searchsorted(line, rng.random((len(at), negatives)) * line[-1], "right") if line[-1] > 0 else rng.integers(0, len(c), (len(at), negatives))
-                drawn = np.minimum(drawn, len(c) - 1)
-                loss, da, db, dn = blocks.logistic_batch(a, b, cx[drawn], w[at])
-                total += loss
-                away, there = np.concatenate([v[at], drawn.ravel()]), np.vstack([db, dn.reshape(-1, width)])
-                if alone:
-                    blocks.adagrad(hx, hs, np.concatenate([u[at], away]), np.vstack([da[:, :dim], there]), rate)
-                else:
-                    blocks.adagrad(hx, hs, u[at], da[:, :dim], rate)
-                    blocks.adagrad(cx, cs, away, there, rate)
-        return total, float(len(u) * passes), None
+        total = 0.0
+        for at in _batches(t, batch_size, passes):
+            a, b = hx[t.u[at]], cx[t.v[at]]
+            a = np.column_stack([a, np.ones(len(a))]) if width > dim else a
+            drawn = t.pool[t.rng.integers(0, len(t.pool), (len(at), negatives))]
+            loss, da, db, dn = blocks.logistic_batch(a, b, cx[drawn], t.w[at])
+            total += loss
+            away, there = np.concatenate([t.v[at], drawn.ravel()]), np.vstack([db, dn.reshape(-1, width)])
+            if alone:
+                blocks.adagrad(hx, hs, np.concatenate([t.u[at], away]), np.vstack([da[:, :dim], there]), rate)
+            else:
+                blocks.adagrad(hx, hs, t.u[at], da[:, :dim], rate)
+                blocks.adagrad(cx, cs, away, there, rate)
+        return total, float(len(t.u) * passes), None
+
+    return work
+
+
+def _padded(rows: list[list[int]]) -> np.ndarray:
+    out = np.zeros((len(rows), max(map(len, rows), default=0)), np.int64)
+    for i, row in enumerate(rows):
+        out[i, :len(row)] = row
+    return out
+
+
+def _tree_work(dim: int, rate: float, batch_size: int | None, passes: int, top: tuple):
+    """Mini-batches of path_batch. Right row j of a bucket is inner node j of the bucket's own tree over its nodes' visits; `top` has for each bucket its
+    way down the tree over the buckets, whose inner nodes are the rows of the matrix."""
+    def work(t):
+        (h, _), (c, visits) = t.left, t.right
+        hx, hs, upper = h[:, :dim], h[:, dim], len(t.matrix)
+        table, state = np.vstack([t.matrix[:, :dim], c[:, :dim]]), np.concatenate([t.matrix[:, dim], c[:, dim]])
+        paths, turns = blocks.huffman(visits)
+        first, turned = (x[t.bucket] for x in top)
+        paths = _padded([first + [upper + p for p in path] for path in paths])
+        turns = _padded([turned + turn for turn in turns])
+        total = 0.0
+        for at in _batches(t, batch_size, passes):
+            way, sign = paths[t.v[at]], turns[t.v[at]].astype(float)
+            loss, da, dn = blocks.path_batch(hx[t.u[at]], table[way], sign, t.w[at])
+            total += loss
+            blocks.adagrad(hx, hs, t.u[at], da, rate)
+            on = sign != 0
+            blocks.adagrad(table, state, way[on], dn[on], rate)
+        c[:, :dim], c[:, dim] = table[upper:], state[upper:]
+        return total, float(len(t.u) * passes), np.column_stack([table[:upper], state[:upper]])
 
     return work
 
@@ -132,23 +177,36 @@ def _visits(epochs: int, passes: int) -> tuple[int, int]:
 
 
 def train_pairs(nodes: DataFrame, pairs: DataFrame, degree: DataFrame, dim: int, epochs: int, negatives: float, lr: float,
-                batch_size: int = 128, passes: int = 5, shared_table: bool = False, bias: bool = False, seed: int = 0,
-                power: float = 0.75, scale: float | None = None) -> Embedding:
-    """Log-sigmoid training on weighted pairs (u, v, w), each against `negatives` nodes drawn by degree^power for each batch.
+                batch_size: int | None = 128, passes: int = 5, shared_table: bool = False, bias: bool = False, seed: int = 0,
+                power: float = 0.75, scale: float | None = None, context_scale: float | None = None, hs: bool = False, bucket_nodes: int = blocks.NODES, on_visit=None) -> Embedding:
+    """Log-sigmoid training on weighted pairs (u, v, w), each against `negatives` nodes drawn by degree^power from all nodes for each batch.
 
     shared_table: both ends use the same vectors; otherwise v has a context table (with a bias if asked). A block is used
-    `passes` times whenever its buckets meet; the history has the loss of one pair for each visit to all blocks.
+    `passes` times whenever its buckets meet; the history has the loss of one pair for each visit to all blocks. hs: v is told by its way down a Huffman
+    tree over `degree`, one tree in each bucket and one over the buckets, in place of negatives.
+    on_visit(visit, vectors, loss) may read the vectors after each visit.
     """
-    scale = scale or 1.0 / np.sqrt(dim)
+    scale = 1.0 / np.sqrt(dim) if scale is None else scale
+    context_scale = scale if context_scale is None else context_scale
+    if hs and (shared_table or bias):
+        raise ValueError("a tree has neither shared vectors nor biases")
     nodes = cut(nodes.select("id"), "nodes")
-    laid = blocks.Blocks(pairs, nodes.count(), shared_table, seed=seed)
+    laid = blocks.Blocks(pairs, nodes.count(), shared_table, bucket_nodes, seed=seed)
     width = dim + (1 if bias else 0)
-    state = blocks.side_rows(_started(nodes, dim, f"{seed}|h", scale, degree, power), blocks.LEFT, laid.buckets)
+    left = cut(_started(nodes, dim, f"{seed}|h", scale, degree, 1.0 if hs else power), "start")
+    state = blocks.side_rows(left, blocks.LEFT, laid.buckets)
     if not shared_table:
-        state = state.unionByName(blocks.side_rows(_started(nodes, dim, f"{seed}|c", scale, degree, power, bias), blocks.RIGHT, laid.buckets))
+        right = left.select("id", "w", F.array_repeat(F.lit(0.0), width + 1).alias("x")) if hs or not context_scale else _started(nodes, dim, f"{seed}|c", context_scale, degree, power, bias)
+        state = state.unionByName(blocks.side_rows(right, blocks.RIGHT, laid.buckets))
     visits, passes = _visits(epochs, passes)
-    work = _logistic_work(dim, width, max(1, round(negatives)), lr, batch_size, passes)
-    state, history, _ = blocks.run_blocks(state, laid, visits, work, seed)
+    watch = (lambda visit, table, loss: on_visit(visit, blocks.table_of(table, blocks.LEFT, dim), loss)) if on_visit else None
+    if hs:
+        sums = {r.bucket: r.w for r in state.filter(F.col("kind") == blocks.LEFT).groupBy("bucket").agg(F.sum("w").alias("w")).collect()}  # a row for each bucket
+        top = blocks.huffman(np.array([sums.get(b, 0.0) for b in range(laid.buckets)]))
+        work, matrix, pool = _tree_work(dim, lr, batch_size, passes, top), np.zeros((laid.buckets - 1, dim + 1)), None
+    else:
+        work, matrix, pool = _logistic_work(dim, width, max(1, round(negatives)), lr, batch_size, passes), None, pool_by_weight(left.select("id", "w"))
+    state, history, _ = blocks.run_blocks(state, laid, visits, work, seed, matrix, pool, watch)
     return Embedding(blocks.table_of(state, blocks.LEFT, dim), history)
 
 
@@ -157,33 +215,40 @@ def line(graph: Graph, dim: int = 128, order: int = 3, epochs: int = 100, negati
     """Order 1: linked nodes have like vectors; order 2: like contexts; order 3: both, half the width each.
 
     With `labels` (off by default) a classifier is scored after each visit to all pairs, on `clf_ratio` of the labelled nodes, and the
-    vectors of the visit with the best `best` F1 are the result.
+    vectors of the visit with the best `best` F1 are the result. The vectors of each visit are written once, as training goes on.
     """
     if order not in (1, 2, 3):
         raise ValueError("order is 1, 2 or 3")
-    if labels is not None:
-        return _best_by_labels(graph, dim, order, epochs, negative_ratio, learning_rate, batch_size, passes, seed, labels, clf_ratio, best)
-    if order == 3:
-        one = line(graph, dim // 2, 1, epochs, negative_ratio, learning_rate, batch_size, passes, seed)
-        two = line(graph, dim // 2, 2, epochs, negative_ratio, learning_rate, batch_size, passes, f"{seed}|2")
-        both = one.vectors.join(two.vectors.withColumnRenamed("vector", "_b"), "id").select("id", F.concat("vector", "_b").alias("vector"))
-        return Embedding(both, [(s, a + b) for (s, a), (_, b) in zip(one.history, two.history)])
+    made = {}
     pairs = graph.adj.select(F.col("src").alias("u"), F.col("dst").alias("v"), F.col("weight").alias("w"))
     degree = weighted_out_degree(graph).select("id", F.col("out_weight").alias("degree"))
-    return train_pairs(graph.nodes, pairs, degree, dim, epochs, negative_ratio, learning_rate, batch_size, passes, shared_table=order == 1, seed=seed)
-
-
-def _best_by_labels(graph, dim, order, epochs, negative_ratio, learning_rate, batch_size, passes, seed, labels, clf_ratio, best) -> Embedding:
-    """Runs of 1, 2, 3, .. visits differ in their last visits only, as all draws are seeded; each is scored, the best one kept."""
+    halves = {1: (1,), 2: (2,), 3: (1, 2)}[order]
+    for which in halves:
+        def keep(visit, vectors, loss, which=which):
+            made[visit, which] = cut(vectors, "visit")
+        out = train_pairs(graph.nodes, pairs, degree, dim // len(halves), epochs, negative_ratio, learning_rate, batch_size, passes, shared_table=which == 1,
+                          seed=f"{seed}|2" if order == 3 and which == 2 else seed, on_visit=keep if labels is not None else None)
+        made["last", which], made["history", which] = out.vectors, out.history
+
+    def joined(visit):
+        parts = [made[visit, which] for which in halves]
+        if len(parts) == 1:
+            return parts[0]
+        return parts[0].join(parts[1].withColumnRenamed("vector", "_b"), "id").select("id", F.concat("vector", "_b").alias("vector"))
+
+    history = [(steps[0][0], sum(x for _, x in steps)) for steps in zip(*(made["history", which] for which in halves))]
+    if labels is None:
+        return Embedding(joined("last"), history)
     from ..operators.evaluate import best_epoch, nc_evaluate
 
-    visits, each = _visits(epochs, passes)
-    scored, made = [], {}
-    for visit in range(1, visits + 1):
-        made[visit] = line(graph, dim, order, visit * each, negative_ratio, learning_rate, batch_size, each, seed)
-        scored.append(("line", visit, float(nc_evaluate(cut(made[visit].vectors, "scored"), labels, clf_ratio, seed).first()[best])))
+    scored = [("line", visit, float(nc_evaluate(joined(visit), labels, clf_ratio, seed).first()[best])) for visit, _ in history]
     table = graph.nodes.sparkSession.createDataFrame(scored, "run string, epoch bigint, metric double")
-    return made[best_epoch(table, lower_is_better=False).first().epoch]
+    chosen = best_epoch(table, lower_is_better=False).first().epoch
+    for visit, _ in history:
+        for which in halves:
+            if visit != chosen:
+                discard(made[visit, which])
+    return Embedding(joined(chosen), history)
 
 
 def sgns_pairs(nodes: DataFrame, pairs: DataFrame, degree: DataFrame, dim: int = 128, epochs: int = 10, negatives: float = 20.0,
@@ -194,37 +259,36 @@ def sgns_pairs(nodes: DataFrame, pairs: DataFrame, degree: DataFrame, dim: int =
     return train_pairs(nodes, grouped, degree, dim, epochs, negatives, learning_rate, batch_size, passes, bias=True, seed=seed)
 
 
-def _softmax_work(half: int, dim: int, m: int, alpha: float, samples: int, rate: float, batch_size: int, passes: int):
-    """Mini-batches of softmax_batch; a left row is its own vector, its state and its attributes, the matrix maps attributes."""
-    def work(left, right, u, v, w, rng, matrix):
-        (h, _), (c, _) = left, right
+def _softmax_work(half: int, dim: int, m: int, alpha: float, samples: int, rate: float, batch_size: int, passes: int, n: int):
+    """Mini-batches of softmax_batch; a left row is its own vector, its state and its attributes, the matrix maps attributes, and the weight of a
+    right row is its number among all n classes."""
+    def work(t):
+        (h, _), (c, number) = t.left, t.right
         own, state, attrs = h[:, :half], h[:, half], h[:, half + 1:half + 1 + m]
         out, out_state = c[:, :dim + 1], c[:, dim + 1]
-        p, p_state, total, n = matrix.copy(), np.zeros(m), 0.0, len(c)
-        for _ in range(passes):
-            mixed = rng.permutation(len(u))
-            for start in range(0, len(u), batch_size):
-                at = mixed[start:start + batch_size]
-                x = attrs[u[at]]
-                a = np.column_stack([own[u[at]], alpha * (x @ p), np.ones(len(at))])
-                tries, classes = 0, np.zeros(0, np.int64)
-                while len(classes) < min(samples, n):
-                    tries += samples
-                    classes = np.unique(np.concatenate([classes, blocks.log_uniform(n, samples, rng)]))
-                loss, da, db, dc = blocks.softmax_batch(a, out[v[at]], out[classes], w[at], blocks.expected_count(v[at], n, tries),
-                                                        blocks.expected_count(classes, n, tries), v[at][:, None] == classes[None, :])
-                total += loss
-                blocks.adagrad(p, p_state, np.arange(m), alpha * x.T @ da[:, half:dim], rate)
-                blocks.adagrad(own, state, u[at], da[:, :half], rate)
-                blocks.adagrad(out, out_state, np.concatenate([v[at], classes]), np.vstack([db, dc]), rate)
-        return total, float(len(u) * passes), p
+        p, p_state, total, kinds = t.matrix.copy(), np.zeros(m), 0.0, len(np.unique(t.pool))
+        for at in _batches(t, batch_size, passes):
+            u, v, w = t.u[at], t.v[at], t.w[at]
+            x = attrs[u]
+            a = np.column_stack([own[u], alpha * (x @ p), np.ones(len(at))])
+            tries, classes = 0, np.zeros(0, np.int64)
+            while len(classes) < min(samples, kinds):
+                tries += samples
+                classes = np.unique(np.concatenate([classes, t.pool[t.rng.integers(0, len(t.pool), samples)]]))
+            loss, da, db, dc = blocks.softmax_batch(a, out[v], out[classes], w, blocks.expected_count(number[v], n, tries),
+                                                    blocks.expected_count(number[classes], n, tries), v[:, None] == classes[None, :])
+            total += loss
+            blocks.adagrad(p, p_state, np.arange(m), alpha * x.T @ da[:, half:dim], rate)
+            blocks.adagrad(own, state, u, da[:, :half], rate)
+            blocks.adagrad(out, out_state, np.concatenate([v, classes]), np.vstack([db, dc]), rate)
+        return total, float(len(t.u) * passes), p
 
     return work
 
 
 def asne(graph: Graph, attrs: DataFrame, dim: int = 128, alpha: float = 1.0, epochs: int = 100, n_neg_samples: int = 10,
          learning_rate: float = 0.05, batch_size: int = 128, passes: int = 5, seed: int = 0) -> Embedding:
-    """[own vector, alpha * attributes.P] of a node predicts its neighbours by sampled softmax among the nodes of a bucket.
+    """[own vector, alpha * attributes.P] of a node predicts its neighbours by sampled softmax among all nodes, log-uniform by their number.
 
     The result adds the output vector of each node to its input side, matched by id. The tasks of a round start from one P, and
     their results are averaged.
@@ -234,15 +298,20 @@ def asne(graph: Graph, attrs: DataFrame, dim: int = 128, alpha: float = 1.0, epo
     m = V.width(feats, "features")
     both = graph.edges.select("src", "dst")
     pairs = both.union(both.select("dst", "src")).distinct().select(F.col("src").alias("u"), F.col("dst").alias("v"), F.lit(1.0).alias("w"))
-    laid = blocks.Blocks(pairs, graph.nodes.count(), False, seed=seed)
+    index = cut(node_index(graph.nodes), "index")
+    n = index.count()
+    laid = blocks.Blocks(pairs, n, False, seed=seed)
     zero = F.array(F.lit(0.0))
     own = random_vectors(graph.nodes, half, f"{seed}|in", uniform=True).join(feats, "id").select(
         "id", F.lit(0.0).alias("w"), F.concat("vector", zero, "features").alias("x"))
-    out = random_vectors(graph.nodes, dim, f"{seed}|out", 1.0 / np.sqrt(dim)).select("id", F.lit(0.0).alias("w"), F.concat("vector", zero, zero).alias("x"))
+    out = random_vectors(graph.nodes, dim, f"{seed}|out", 1.0 / np.sqrt(dim)).join(index, "id").select("id", F.col("idx").cast("double").alias("w"), F.concat("vector", zero, zero).alias("x"))
     state = blocks.side_rows(own, blocks.LEFT, laid.buckets).unionByName(blocks.side_rows(out, blocks.RIGHT, laid.buckets))
     p = np.random.default_rng(seed).uniform(-1, 1, (m, half))
     visits, passes = _visits(epochs, passes)
-    state, history, p = blocks.run_blocks(state, laid, visits, _softmax_work(half, dim, m, alpha, n_neg_samples, learning_rate, batch_size, passes), seed, p)
+    work = _softmax_work(half, dim, m, alpha, n_neg_samples, learning_rate, batch_size, passes, n)
+    pool = blocks.Pool(lambda count, key: negative_sample_loguniform(graph.nodes.sparkSession.range(count).withColumnRenamed("id", "i"), n, ["i"], key).join(
+        index, F.col("class") == F.col("idx")).select("id"))
+    state, history, p = blocks.run_blocks(state, laid, visits, work, seed, p, pool)
     side = blocks.table_of(state, blocks.LEFT, half).join(feats, "id").select("id", F.concat("vector", V.times(F.col("features"), alpha * p)).alias("vector"))
     there = blocks.table_of(state, blocks.RIGHT, dim).withColumnRenamed("vector", "_out")
     vectors = side.join(there, "id").select("id", F.zip_with("vector", "_out", lambda a, b: a + b).alias("vector"))

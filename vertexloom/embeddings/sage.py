@@ -1,25 +1,32 @@
-"""Two-layer sampled-neighbourhood model, trained on mini-batches of edges, each with its own shared negatives.
+"""Two-layer sampled-neighbourhood model, trained on mini-batches of edges with their sampled support.
 
-Node tables hold the layer inputs, means over sampled neighbours are joins, and the weight gradients
-are sums of small matrices. The backward pass uses the same sampled edges the other way round. Only
-the weights are kept on the driver.
+The means over the second hop's features don't depend on the weights: each epoch makes them once, as joins, for its own samples. A batch of edges is then
+a small graph that fits one task: the ends and its own negatives, their k sampled neighbours, and for each of these nodes its features beside the
+mean over its own sample. An epoch's batches are dealt to tasks of STEPS batches; a task takes them one after another, each a step of Adam,
+and holds one at a time. TASKS tasks make a round: they start from the same weights, and what they end with is averaged by their edges. So the work of an epoch
+grows with its edges times the size of a sample, never with nodes times edges, and only weights pass the driver.
 """
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import vectors as V
-from ..functions.hashing import draw
 from ..operators.aggregate import infer_embeddings, make_weights, over_neighbors, relu
 from ..operators.graph import Graph, drop_isolated_edges, edge_train_mask, node_split, train_degree
-from ..operators.linalg import hash_uniform, matrix_sums
 from ..operators.matrix import standard_scale
-from ..operators.sampling import negative_table, neighbor_sample, neighbor_subsample, subset
-from ..plans.lineage import cut
+from ..operators.sampling import minibatches, negative_sample, negative_table, neighbor_sample, neighbor_subsample, subset
+from ..plans.lineage import cut, discard
 from ..plans.skew import EVEN, counted, lookup
-from .gradient import _drawn, _ends, adam_matrix, collect_rows, logistic, pair_gradients
+from .gradient import adam_matrix, logistic
 from .result import Embedding
 
+#: Batches that a task takes one after another, and tasks of a round.
+STEPS, TASKS = 16, 64
+#: Rows of a batch in the order they come: edges, negatives, sampled neighbours, and features of the batch's nodes and of their neighbours.
+EDGE, NEGATIVE, NEAR, ROOT, LEAF = range(5)
+ROWS = "task bigint, batch_id bigint, kind int, a string, b string, slot bigint, x array<double>"
+
 
 def combine(own, mean, w, k):
     """Input of the activation from a node's own vector and the mean of its k sampled neighbours."""
@@ -42,114 +49,184 @@ def _names(w):
     return ["all"] if "all" in w else ["self", "neigh"]
 
 
-def _mask(key, width, salt, dropout):
-    """Dropout mask from the row's key: the forward and the backward pass see the same one."""
-    if not dropout:
-        return 1.0
-    return (hash_uniform(key[:, 0].astype(np.int64) + salt, width) < 1.0 - dropout) / (1.0 - dropout)
-
-
-def _inputs(block, key, m, dropout):
-    """Own vector and the two means of m columns each, with dropout."""
-    return [block[:, i * m:(i + 1) * m] * _mask(key, m, i, dropout) for i in range(3)]
-
-
-class _Pass:
-    """Forward and backward pass for fixed sampled neighbours."""
-
-    def __init__(self, feats: DataFrame, sampled: DataFrame, samples: tuple, seed, dropout: float):
-        self.k_near, self.k_far = samples[1], samples[0]
-        self.dropout = dropout
-        self.near = cut(neighbor_subsample(sampled, self.k_near, f"{seed}|0"), "near")
-        far = neighbor_subsample(sampled, self.k_far, f"{seed}|1")
-        self.m = V.width(feats, "vector")
-        zeros = F.array_repeat(F.lit(0.0), self.m)
-        self.counts = counted(self.near, "dst")
-        mean0 = over_neighbors(feats, self.near, V.mean_vectors, self.counts).withColumnRenamed("vector", "_m0")
-        mean1 = over_neighbors(feats, far, V.mean_vectors).withColumnRenamed("vector", "_m1")
-        base = feats.join(mean0, "id", "left").join(mean1, "id", "left")
-        self.base = cut(base.select("id", "vector", F.coalesce("_m0", zeros).alias("_m0"), F.coalesce("_m1", zeros).alias("_m1"),
-                                    F.array(draw("id", seed=f"{seed}|drop").cast("double")).alias("_key")), "base")
-
-    def forward(self, weights) -> DataFrame:
-        """(id, vector, _m0, _m1, _key, _h0, _h1, _mean, _z, _out)."""
-        w0, w1, kn, kf, m, drop = weights[0], weights[1], self.k_near, self.k_far, self.m, self.dropout
-
-        def first(block, key):
-            x, m0, m1 = _inputs(block, key, m, drop)
-            return np.hstack([relu(combine(x, m0, w0, kn)), relu(combine(x, m1, w0, kf))])
-        width = w0["all"].shape[1] if "all" in w0 else 2 * w0["self"].shape[1]
-        rows = self.base.withColumn("_h", V.row_map2(first)(F.concat("vector", "_m0", "_m1"), "_key"))
-        rows = cut(rows.select("id", "vector", "_m0", "_m1", "_key", F.slice("_h", 1, width).alias("_h0"), F.slice("_h", width + 1, width).alias("_h1")), "layer")
-        mean = over_neighbors(rows.select("id", F.col("_h1").alias("vector")), self.near, V.mean_vectors, self.counts).withColumnRenamed("vector", "_mean")
-        rows = rows.join(mean, "id", "left").withColumn("_mean", F.coalesce("_mean", F.array_repeat(F.lit(0.0), width)))
-
-        def second(block, key):
-            own, near = block[:, :width] * _mask(key, width, 3, drop), block[:, width:] * _mask(key, width, 4, drop)
-            return combine(own, near, w1, kn)
-        rows = rows.withColumn("_z", V.row_map2(second)(F.concat("_h0", "_mean"), "_key"))
-        self.width = width
-        return cut(rows.withColumn("_out", V.unit_vector("_z")), "forward")
-
-    def backward(self, rows: DataFrame, weights, grads: DataFrame) -> list[dict]:
-        """Weight gradients from the gradients (id, g) of the unit output vectors."""
-        w0, w1, kn, kf, width, m, drop = weights[0], weights[1], self.k_near, self.k_far, self.width, self.m, self.dropout
-        rows = rows.join(grads.select("id", "g"), "id", "left")
-        out = w1["all"].shape[1] if "all" in w1 else 2 * w1["self"].shape[1]
-        rows = rows.withColumn("g", F.coalesce("g", F.array_repeat(F.lit(0.0), out)))
-
-        def through_norm(z, g):
-            size = np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-12)
-            unit = z / size
-            return (g - unit * np.sum(unit * g, axis=1, keepdims=True)) / size
-        rows = cut(rows.withColumn("_dz", V.row_map2(through_norm)("_z", "g")), "back")
-
-        def masked(block, key):
-            a, b = _mask(key, width, 3, drop), _mask(key, width, 4, drop)
-            return block[:, :width] * a, block[:, width:2 * width] * b, a, b
-
-        def top(block, key, dz):
-            own, near, _, _ = masked(block, key)
-            return combine_back(own, near, w1, kn, dz)[0]
-        g1 = matrix_sums(rows.withColumn("_hm", F.concat("_h0", "_mean")), ["_hm", "_key", "_dz"], top, [w1[n].shape for n in _names(w1)])
-
-        def inner(block, key):
-            own, near, a, b = masked(block, key)
-            _, d_own, d_near = combine_back(own, near, w1, kn, block[:, 2 * width:])
-            return np.hstack([d_own * a * (block[:, :width] > 0), d_near * b])
-        rows = rows.withColumn("_d", V.row_map2(inner)(F.concat("_h0", "_mean", "_dz"), "_key"))
-        rows = cut(rows.select("id", "vector", "_m0", "_m1", "_key", "_h1", F.slice("_d", 1, width).alias("_d0"),
-                               F.slice("_d", width + 1, width).alias("_dm")), "back")
-        # each sampled neighbour gets its share of the mean's gradient
-        sent = lookup(self.near, "src", rows, "id", {"_dm": "_dm"}, ["dst", "slot"], counts=EVEN)  # k rows for each src
-        got = sent.groupBy(F.col("dst").alias("id")).agg(V.sum_vectors("_dm").alias("_d1"))
-        rows = rows.join(got, "id", "left").withColumn("_d1", F.coalesce("_d1", F.array_repeat(F.lit(0.0), width)))
-
-        def bottom(block, key, d):
-            x, m0, m1 = _inputs(block, key, m, drop)
-            h1 = block[:, 3 * m:]
-            a = combine_back(x, m0, w0, kn, d[:, :width])[0]
-            b = combine_back(x, m1, w0, kf, d[:, width:] / kn * (h1 > 0))[0]
-            return [p + q for p, q in zip(a, b)]
-        packed = rows.select(F.concat("vector", "_m0", "_m1", "_h1").alias("_x"), "_key", F.concat("_d0", "_d1").alias("_d"))
-        g0 = matrix_sums(packed, ["_x", "_key", "_d"], bottom, [w0[n].shape for n in _names(w0)])
-        return [dict(zip(_names(w0), g0)), dict(zip(_names(w1), g1))]
-
-
-def _loss(rows: DataFrame, pairs: DataFrame, ids, mat, neg_weight, counts) -> DataFrame:
-    """Loss gradients by node for unit vectors on both ends."""
-    out = rows.select("id", F.col("_out").alias("vector"))
-    both = pair_gradients(pairs, out, out, ids, mat, neg_weight, logistic, False, counts)
-    return cut(both.groupBy("id").agg(V.sum_vectors("g").alias("g"), F.sum("loss").alias("loss")), "grads")
+class Support:
+    """A batch as arrays: the features of its nodes and of their neighbours, and the places of edges, negatives and neighbours among them."""
+
+    def __init__(self, rows: pa.Table, k: int):
+        kind = rows.column("kind").to_numpy()
+        a, b = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("a", "b"))
+
+        def part(which):
+            at = np.flatnonzero(kind == which)
+            return at[np.argsort(a[at].astype(str), kind="stable")]
+        root, leaf = part(ROOT), part(LEAF)
+        ids, leaves = a[root].astype(str), a[leaf].astype(str)
+        column = rows.column("x").combine_chunks() if isinstance(rows.column("x"), pa.ChunkedArray) else rows.column("x")
+        self.roots, self.leaves = V.to_numpy(column.take(pa.array(root))), V.to_numpy(column.take(pa.array(leaf)))
+        self.leaves = self.leaves if len(leaf) else np.zeros((0, self.roots.shape[1]))
+        edges, away, near = (np.flatnonzero(kind == which) for which in (EDGE, NEGATIVE, NEAR))
+        edges = edges[np.lexsort((b[edges].astype(str), a[edges].astype(str)))]
+        slot = rows.column("slot").to_numpy(zero_copy_only=False)
+        self.u, self.v = np.searchsorted(ids, a[edges].astype(str)), np.searchsorted(ids, b[edges].astype(str))
+        self.negatives = np.searchsorted(ids, a[away[np.argsort(slot[away].astype(np.int64), kind="stable")]].astype(str))
+        self.near = np.full((len(ids), k), -1, np.int64)
+        self.near[np.searchsorted(ids, a[near].astype(str)), slot[near].astype(np.int64)] = np.searchsorted(leaves, b[near].astype(str))
+
+
+def _sums(at: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
+    out = np.zeros((n, rows.shape[1]))
+    np.add.at(out, at, rows)
+    return out
+
+
+def support_step(s: Support, weights: list[dict], k_far: int, neg_weight: float, rng=None, dropout: float = 0.0, back: bool = True):
+    """Loss of a batch, summed over its edges, and the gradients of both layers' weights."""
+    w0, w1, k = weights[0], weights[1], s.near.shape[1]
+    m = s.roots.shape[1] // 2
+
+    def dropped(x):
+        keep = (rng.random(x.shape) < 1.0 - dropout) / (1.0 - dropout) if dropout else 1.0
+        return x * keep, keep
+    (x, _), (mean_x, _) = dropped(s.roots[:, :m]), dropped(s.roots[:, m:])
+    (y, _), (mean_y, _) = dropped(s.leaves[:, :m]), dropped(s.leaves[:, m:])
+    h0, h1 = relu(combine(x, mean_x, w0, k)), relu(combine(y, mean_y, w0, k_far))
+    has = s.near >= 0  # a node without neighbours has none in any slot
+    mean = np.einsum("rkd->rd", np.where(has[:, :, None], h1[np.maximum(s.near, 0)], 0.0)) / k if len(h1) else np.zeros_like(h0)
+    (own, keep_own), (near, keep_near) = dropped(h0), dropped(mean)
+    z = combine(own, near, w1, k)
+    size = np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-12)
+    out = z / size
+    ga, gb, gn, loss = logistic(out[s.u], out[s.v], np.ones(len(s.u)), out[s.negatives], None, None, neg_weight, False)
+    if not back:
+        return loss.sum(), None
+    g = _sums(np.concatenate([s.u, s.v, s.negatives]), np.vstack([ga, gb, gn]), len(out))
+    dz = (g - out * np.sum(out * g, axis=1, keepdims=True)) / size
+    top, d_own, d_near = combine_back(own, near, w1, k, dz)
+    d0 = d_own * keep_own * (h0 > 0)
+    bottom = combine_back(x, mean_x, w0, k, d0)[0]
+    if len(h1):
+        row, slot = np.nonzero(has)
+        d1 = _sums(s.near[row, slot], (d_near * keep_near)[row] / k, len(h1)) * (h1 > 0)
+        bottom = [p + q for p, q in zip(bottom, combine_back(y, mean_y, w0, k_far, d1)[0])]
+    return loss.sum(), [dict(zip(_names(w0), bottom)), dict(zip(_names(w1), top))]
+
+
+def _flat(weights, moments) -> np.ndarray:
+    return np.concatenate([x.ravel() for w, mo in zip(weights, moments) for n in _names(w) for x in (w[n], *mo[n])])
+
+
+def _unflat(flat: np.ndarray, like) -> tuple[list, list]:
+    weights, moments, at = [], [], 0
+    for w in like:
+        got = {}
+        for n in _names(w):
+            size = w[n].size
+            got[n] = [flat[at + i * size:at + (i + 1) * size].reshape(w[n].shape) for i in range(3)]
+            at += 3 * size
+        weights.append({n: x[0] for n, x in got.items()})
+        moments.append({n: (x[1], x[2]) for n, x in got.items()})
+    return weights, moments
+
+
+def _batches_of(batches):
+    """(task, batch, rows) of a stream in this order."""
+    held, key = [], None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        task, number = batch.column("task").to_numpy(), batch.column("batch_id").to_numpy()
+        bounds = np.flatnonzero(np.diff(task, prepend=-1) | np.diff(number, prepend=-1))
+        for lo, hi in zip(bounds, np.append(bounds[1:], len(task))):
+            now = (int(task[lo]), int(number[lo]))
+            if held and now != key:
+                yield key, pa.Table.from_batches(held).combine_chunks()
+                held = []
+            key = now
+            held.append(batch.slice(lo, hi - lo))
+    if held:
+        yield key, pa.Table.from_batches(held).combine_chunks()
+
+
+def _training(weights, moments, step: int, k: int, k_far: int, neg_weight: float, rate: float, decay: float, dropout: float, seed, back: bool):
+    """A row for each task: loss, edges, steps and, after training, the weights with their moments."""
+    def run(batches):
+        task, now, mo, sums = None, weights, moments, [0.0, 0, 0]
+
+        def row():
+            x = _flat(now, mo) if back else np.zeros(1)
+            return pa.RecordBatch.from_arrays([pa.array([sums[0]]), pa.array([float(sums[1])]), pa.array([sums[2]], pa.int64()), V.to_arrow(x[None, :])], names=["loss", "n", "steps", "x"])
+
+        for (t, number), rows in _batches_of(batches):
+            if t != task:
+                if task is not None:
+                    yield row()
+                task, now, mo, sums = t, weights, moments, [0.0, 0, 0]
+            s = Support(rows, k)
+            rng = np.random.default_rng([ord(c) for c in f"{seed}|{number}"])
+            loss, grads = support_step(s, now, k_far, neg_weight, rng, dropout, back)
+            sums = [sums[0] + loss, sums[1] + len(s.u), sums[2] + 1]
+            if not back:
+                continue
+            moved, moments_now = [], []
+            for w, g, m in zip(now, grads, mo):
+                new = {n: adam_matrix(w[n], *m[n], np.clip((g[n] + decay * w[n]) / max(len(s.u), 1), -5.0, 5.0), step + sums[2], rate) for n in _names(w)}
+                moved.append({n: x[0] for n, x in new.items()})
+                moments_now.append({n: x[1:] for n, x in new.items()})
+            now, mo = moved, moments_now
+        if task is not None:
+            yield row()
+
+    return run
+
+
+class Samples:
+    """An epoch's samples: k neighbours of each node, and for each node its features beside the means over k and over k_far neighbours."""
+
+    def __init__(self, feats: DataFrame, sampled: DataFrame, samples: tuple, seed):
+        self.near = cut(neighbor_subsample(sampled, samples[1], f"{seed}|0"), "near")
+        far = neighbor_subsample(sampled, samples[0], f"{seed}|1")
+        zeros = F.array_repeat(F.lit(0.0), V.width(feats, "vector"))
+
+        def beside(near, counts):
+            mean = over_neighbors(feats, near, V.mean_vectors, counts).withColumnRenamed("vector", "_mean")
+            return cut(feats.join(mean, "id", "left").select("id", F.concat("vector", F.coalesce("_mean", zeros)).alias("x")), "features")
+        self.root, self.leaf = beside(self.near, counted(self.near, "dst")), beside(far, None)
+
+    def support(self, batches: DataFrame, negatives: DataFrame, seed) -> DataFrame:
+        """Rows of ROWS from edges (batch_id, u, v) and draws (batch_id, slot, id)."""
+        task = F.floor(F.col("batch_id") / STEPS).alias("task")
+        nodes = cut(batches.select("batch_id", F.col("u").alias("id")).union(batches.select("batch_id", F.col("v").alias("id"))).union(negatives.select("batch_id", "id")).distinct(), "batch-nodes")
+        # a node has k rows in `near`; a hub is in many batches, which spread it
+        met = cut(lookup_all(nodes, self.near), "batch-near")
+        leaves = met.select("batch_id", F.col("dst").alias("id")).distinct()
+        none, no_x, no_slot = F.lit(None).cast("string"), F.lit(None).cast("array<double>"), F.lit(None).cast("bigint")
+        parts = [
+            batches.select(task, "batch_id", F.lit(EDGE).alias("kind"), F.col("u").alias("a"), F.col("v").alias("b"), no_slot.alias("slot"), no_x.alias("x")),
+            negatives.select(task, "batch_id", F.lit(NEGATIVE).alias("kind"), F.col("id").alias("a"), none.alias("b"), "slot", no_x.alias("x")),
+            met.select(task, "batch_id", F.lit(NEAR).alias("kind"), F.col("src").alias("a"), F.col("dst").alias("b"), "slot", no_x.alias("x")),
+            *[lookup(ids, "id", table, "id", {"x": "x"}, ["batch_id"], counts=EVEN).select(task, "batch_id", F.lit(kind).alias("kind"), F.col("id").alias("a"), none.alias("b"), no_slot.alias("slot"), "x")
+              for ids, table, kind in ((nodes, self.root, ROOT), (leaves, self.leaf, LEAF))]]
+        rows = parts[0]
+        for p in parts[1:]:
+            rows = rows.unionByName(p)
+        return rows.repartition("task").sortWithinPartitions("task", "batch_id", "kind", "a", "slot")
+
+    def drop(self) -> None:
+        for table in (self.near, self.root, self.leaf):
+            discard(table)
+
+
+def lookup_all(nodes: DataFrame, near: DataFrame) -> DataFrame:
+    """The sampled neighbours (batch_id, src, slot, dst) of the nodes of each batch."""
+    return nodes.withColumnRenamed("id", "src").join(near, "src").select("batch_id", "src", "slot", "dst")
 
 
 def sage(graph: Graph, attrs: DataFrame, kind: str = "mean", dim: int = 128, samples: tuple = (25, 10), max_degree: int = 100,
          epochs: int = 10, learning_rate: float = 0.01, dropout: float = 0.0, weight_decay: float = 1e-6, neg_sample_size: int = 20,
-         val_perc: float = 0.1, batches: int | None = None, batch_size: int = 512, validate_batch_size: int | None = None, seed: int = 0) -> Embedding:
+         val_perc: float = 0.1, batch_size: int = 512, validate_batch_size: int | None = None, seed: int = 0) -> Embedding:
     """kind mean: own and neighbour parts side by side; kind gcn: one mean over both.
 
-    An epoch deals the training edges into batches of about `batch_size`, and each makes one step against `neg_sample_size` negatives
-    drawn anew; `batches` sets their number instead. Each step passes over all nodes, so an epoch's work grows with nodes x edges.
+    An epoch deals the training edges in a new order into batches of `batch_size`, and each makes one step against `neg_sample_size` negatives of its own.
     The validation edges (an end is a validation node) choose the epoch whose weights make the result.
     `history` has (epoch, training loss); the validation losses are in `val_history`.
     """
@@ -161,56 +238,56 @@ def sage(graph: Graph, attrs: DataFrame, kind: str = "mean", dim: int = 128, sam
     masked = cut(edge_train_mask(graph, flags), "edges")
     kept = graph.with_edges(masked.filter(~F.col("train_removed")).drop("train_removed"))
     degree = cut(train_degree(graph, flags), "degree")
-    train_edges, _ = drop_isolated_edges(graph.edges.select("src", "dst"), flags, degree)
-
-    def weighted(edges):
-        return cut(edges.select(F.col("src").alias("u"), F.col("dst").alias("v"), F.lit(1.0).alias("w")), "pairs")
-    train_pairs = weighted(train_edges)
+    train_edges = cut(drop_isolated_edges(graph.edges.select("src", "dst"), flags, degree)[0].select(F.col("src").alias("u"), F.col("dst").alias("v")), "pairs")
     val_edges = masked.filter("train_removed").select("src", "dst")
     if validate_batch_size:
         val_edges = subset(val_edges, ["src", "dst"], validate_batch_size, seed)
-    val_pairs = weighted(val_edges)
-    n_train, n_val = train_pairs.count(), val_pairs.count()
+    val_edges = cut(val_edges.select(F.col("src").alias("u"), F.col("dst").alias("v")), "pairs")
+    n_train, n_val = train_edges.count(), val_edges.count()
     if not n_train:
         raise ValueError("no training edge")
-    batches = batches or -(-n_train // batch_size)
-    train_counts, val_counts = _ends(train_pairs), _ends(val_pairs)
     guide, totals = negative_table(degree)
-    guide, size = cut(guide, "guide"), totals.first()
+    table = cut(guide, "guide"), cut(totals, "totals")
     sampled = cut(neighbor_sample(kept.adj, max_degree, seed), "sampled")
     full = cut(neighbor_sample(graph.adj, max_degree, f"{seed}|full"), "sampled")
     weights = make_weights(kind, [V.width(feats, "vector"), layer, layer], concat, seed=seed)
     moments = [{n: (np.zeros_like(w[n]), np.zeros_like(w[n])) for n in _names(w)} for w in weights]
-    check = _Pass(feats, full, samples, f"{seed}|val", 0.0) if n_val else None
+    k, k_far, neg_weight = samples[1], samples[0], float(neg_sample_size)
+
+    def dealt(edges, n, epoch, key):
+        """(batches, draws): edges with their batch, negatives with theirs."""
+        rows = cut(minibatches(edges, ["u", "v"], batch_size, epoch, seed).select("batch_id", "u", "v"), "batches")
+        slots = rows.sparkSession.range(-(-n // batch_size)).select(F.col("id").alias("batch_id"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(neg_sample_size - 1).cast("bigint"))).alias("number"))
+        return rows, cut(negative_sample(slots, degree, ["batch_id", "number"], f"{seed}|{key}", table=table).select("batch_id", F.col("number").alias("slot"), F.col("node").alias("id")), "draws")
+
+    def passed(rows, back, step=0, key=""):
+        run = _training(weights, moments, step, k, k_far, neg_weight, learning_rate, weight_decay, dropout if back else 0.0, f"{seed}|{key}", back)
+        made = rows.mapInArrow(run, "loss double, n double, steps bigint, x array<double>")
+        return made.agg(F.sum("loss").alias("loss"), F.sum("n").alias("n"), F.max("steps").alias("steps"), V.mean_vectors("x", F.col("n")).alias("x")).first()
+
+    check = None
+    if n_val:
+        held = Samples(feats, full, samples, f"{seed}|val")
+        check = cut(held.support(*dealt(val_edges, n_val, 0, "val"), f"{seed}|val"), "validation").repartition("task").sortWithinPartitions("task", "batch_id", "kind", "a", "slot")
+        held.drop()
     history, val_history, best, best_weights, step = [], [], np.inf, weights, 0
+    n_batches, each = -(-n_train // batch_size), STEPS * TASKS
     for epoch in range(1, epochs + 1):
-        run = _Pass(feats, sampled, samples, f"{seed}|{epoch}", dropout)
-        losses = 0.0
-        for b in range(batches):
-            step += 1
-            part = train_pairs if batches == 1 else train_pairs.filter(
-                F.pmod(draw("u", "v", seed=f"{seed}|{epoch}"), F.lit(batches)) == b)
-            rows = run.forward(weights)
-            ids, mat = collect_rows(_drawn(guide, size, neg_sample_size, f"{seed}|{step}"), rows.select("id", F.col("_out").alias("vector")))
-            g = _loss(rows, part, ids, mat, float(neg_sample_size), train_counts)
-            total = max(n_train / batches, 1.0)
-            losses += (g.agg(F.sum("loss")).first()[0] or 0.0) / total / batches
-            grads = run.backward(rows, weights, g)
-            new = []
-            for w, gw, mw in zip(weights, grads, moments):
-                moved = {}
-                for name in _names(w):
-                    grad = np.clip((gw[name] + weight_decay * w[name]) / total, -5.0, 5.0)
-                    moved[name], m1, m2 = adam_matrix(w[name], *mw[name], grad, step, learning_rate)
-                    mw[name] = (m1, m2)
-                new.append(moved)
-            weights = new
-        history.append((epoch, losses))
-        score = losses
-        if check:
-            rows = check.forward(weights)
-            ids, mat = collect_rows(_drawn(guide, size, neg_sample_size, f"{seed}|val"), rows.select("id", F.col("_out").alias("vector")))
-            score = _loss(rows, val_pairs, ids, mat, float(neg_sample_size), val_counts).agg(F.sum("loss")).first()[0] / n_val
+        drawn = Samples(feats, sampled, samples, f"{seed}|{epoch}")
+        edges, negatives = dealt(train_edges, n_train, epoch, epoch)
+        loss = 0.0
+        for first in range(0, n_batches, each):
+            part = F.col("batch_id").between(first, first + each - 1)
+            got = passed(drawn.support(edges.filter(part), negatives.filter(part), f"{seed}|{epoch}"), True, step, epoch)
+            weights, moments = _unflat(np.array(got.x), weights)
+            loss, step = loss + got.loss, step + got.steps
+        for x in (edges, negatives):
+            discard(x)
+        drawn.drop()
+        history.append((epoch, loss / n_train))
+        score = history[-1][1]
+        if check is not None:
+            score = passed(check, False).loss / n_val
             val_history.append((epoch, score))
         if score < best:
             best, best_weights = score, weights

@@ -13,8 +13,8 @@ from .result import Embedding
 
 
 def skipgram(nodes: DataFrame, walks: DataFrame, dim: int = 128, window: int = 10, epochs: int = 10, negatives: float = 5.0,
-             learning_rate: float = 0.05, batch_size: int = 1024, passes: int = 5, seed: int = 0) -> Embedding:
-    """Skip-gram with negative sampling on the pairs of the walks.
+             learning_rate: float = 0.05, batch_size: int | None = None, passes: int = 5, hs: bool = False, seed: int = 0) -> Embedding:
+    """Skip-gram on the pairs of the walks, with negative sampling or (hs) hierarchical softmax. Vectors start small and contexts from 0.
 
     Equal pairs are counted first, so an epoch reads each distinct pair once however often it was walked.
     """
@@ -22,12 +22,12 @@ def skipgram(nodes: DataFrame, walks: DataFrame, dim: int = 128, window: int = 1
              .agg(F.count(F.lit(1)).alias("w")))
     pairs = cut(pairs, "pairs")
     seen = walks.select(F.explode("path").alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("degree"))
-    return train_pairs(nodes, pairs, seen, dim, epochs, negatives, learning_rate, batch_size, passes, seed=seed)
+    return train_pairs(nodes, pairs, seen, dim, epochs, negatives, learning_rate, batch_size, passes, seed=seed, scale=0.5 / dim, context_scale=0.0, hs=hs)
 
 
-def deepwalk(graph: Graph, dim: int = 128, num_walks: int = 10, walk_length: int = 80, window: int = 10, seed: int = 0, **train) -> Embedding:
+def deepwalk(graph: Graph, dim: int = 128, num_walks: int = 10, walk_length: int = 80, window: int = 10, seed: int = 0, hs: bool = True, **train) -> Embedding:
     walks = cut(deepwalk_walks(graph, num_walks, walk_length, seed), "walks")
-    return skipgram(graph.nodes, walks, dim, window, seed=seed, **train)
+    return skipgram(graph.nodes, walks, dim, window, hs=hs, seed=seed, **train)
 
 
 def node2vec(graph: Graph, dim: int = 128, p: float = 0.5, q: float = 0.5, num_walks: int = 10, walk_length: int = 80,
