@@ -4,13 +4,14 @@ Hashes of byte ranges are polynomial: with S the running sum of T[byte] * P^posi
 hashes to (S[end] - S[start]) * P^-start, whatever its place in the buffer. `mix` spreads the bits.
 """
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 512 << 10
 
 _WHITE = np.zeros(256, bool)
 _WHITE[[0x20, *range(0x09, 0x0E)]] = True
@@ -66,7 +67,7 @@ def _powers(n: int, salt: int):
         size = (n // 65536 + 1) * 65536
         base = int(mix(np.array([salt], np.uint64), 77)[0]) | 1
         got = tuple(np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(size - 1, b, np.uint64))]) for b in (base, pow(base, -1, 1 << 64)))
-        if size <= 8 * SLICE_BYTES:
+        if size <= 2 * SLICE_BYTES:  # 16 MB for each salt; the powers of a longer buffer are made anew
             _cache["p", salt] = got
     return got[0][:n], got[1][:n]
 
@@ -86,8 +87,23 @@ def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[bounds[0] : bounds[-1]], bounds - bounds[0]
 
 
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def release() -> None:
+    """Free memory goes back to the system: a Python worker outlives its task and waits for the next one with what it holds."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Runs of whole rows of about `limit` bytes of text; a longer text is a run of its own."""
+    """Runs of whole rows of about `limit` bytes of text; a longer text is a run of its own. After the last one, memory is released."""
+    yield from _slices(batches, text, limit)
+    release()
+
+
+def _slices(batches, text, limit):
     for batch in batches:
         if not batch.num_rows:
             continue

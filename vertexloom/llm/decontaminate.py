@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from ..plans.lineage import cut
 from .buffers import WORD, RangeHash, flat, lower, row_of, runs, slices, words
 
-SEGMENT_BYTES = 4 << 20
+SEGMENT_BYTES = 1 << 20
 #: Phrases that one search pass sends to the executors; more are searched in several passes.
 BLOCK_PHRASES = 200_000
 

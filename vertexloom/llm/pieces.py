@@ -217,7 +217,7 @@ class Encoder:
         widths = [2, 3, 4, 5, 6, 7, 8, 9, 10, 12, 14, 17, 22, 32, LONGEST]
         for narrow, wide in zip([1, *widths], widths):
             chosen = np.flatnonzero((size > narrow) & (size <= wide))
-            for part in np.array_split(chosen, len(chosen) // 100_000 + 1):
+            for part in np.array_split(chosen, len(chosen) // 20_000 + 1):
                 self._rounds(symbols, pair, alive, start[part], size[part], place[part], wide)
         for i in np.flatnonzero(size > LONGEST).tolist():
             a, b = int(start[i]), int(start[i] + size[i])
