@@ -107,7 +107,10 @@ def op6(spark, sf):
 
 
 @query("op8_suffix_dedup", """
-WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+WITH v AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+t AS (SELECT DISTINCT doc_id, md5_number(array_to_string(w[i:i + 50], ' ')) AS g FROM v, unnest(range(1, len(w) - 49)) AS u(i)),
+shared AS (SELECT g FROM t GROUP BY g HAVING count(*) > 1),
+d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
 w AS (SELECT doc_id, p, md5_number(substr(h, (2 * p + 1)::INT, 800)) AS k FROM d, unnest(range(0, (len(h) // 2 - 399)::BIGINT)) AS t(p) WHERE len(h) >= 800),
 r AS (SELECT doc_id, p FROM w WHERE k IN (SELECT k FROM w GROUP BY k HAVING count(*) > 1)),
 b AS (SELECT *, CASE WHEN p <= lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 400 THEN 0 ELSE 1 END AS new FROM r),
@@ -116,11 +119,11 @@ e AS (SELECT doc_id, a, z, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a)
 k AS (SELECT doc_id, string_agg(substr(h, (2 * before + 1)::INT, (2 * (a - before))::INT) || CASE WHEN back = 1 THEN substr(h, (2 * z + 1)::INT) ELSE '' END, '' ORDER BY a) AS kept,
              sum(z - a) AS n_removed, count(*) AS n_spans FROM e JOIN d USING (doc_id) GROUP BY 1)
 SELECT doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
-       sha256(unhex(coalesce(kept, h))) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)""")
+       sha256(unhex(coalesce(kept, h))) AS kept_sha256, doc_id IN (SELECT doc_id FROM t JOIN shared USING (g)) AS shares_passage FROM d LEFT JOIN k USING (doc_id)""")
 def op8(spark, sf):
     found = repeats.remove_repeats(table(spark, sf, "documents"))
     return found.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"),
-                        F.expr("cast(size(removed) / 2 as bigint)").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+                        F.expr("cast(size(removed) / 2 as bigint)").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), "shares_passage")
 
 
 @query("op7_chat_format")

@@ -12,6 +12,9 @@ alone after a pass is dropped; the groups that are left after the last pass are
 * Further digits. There the windows are sorted by four digits of a quarter of the width each. A digit with very many
   different spans is not sorted in one task: its windows become rows with a 128-bit hash, counted before the shuffle.
 
+`passage_sharers` runs the same passes on texts whose words are written as 32 bits each, to find documents that share a run of words with another one: there a group
+counts only if it has windows of two documents, and only windows that begin with a word.
+
 Bytes are compared by hashes of 128 bits in all. Null and empty texts, and texts shorter than `width`, keep all
 their bytes; repeated rows (also with null ids) repeat each other's bytes; no rows give no rows. Each row of the
 input gives one row. `docs` has to be a table or another plan that gives its rows in the same partitions each time.
@@ -19,12 +22,16 @@ input gives one row. `docs` has to be a table or another plan that gives its row
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.functions import arrow_udf
 
-from ..plans.lineage import cut
-from .buffers import RangeHash, as_binary, flat, mix, runs, slices
+from ..plans.lineage import cut, discard
+from .buffers import NON_SPACE, RangeHash, as_binary, flat, mix, runs, slices, words
 
 WIDTH, GRAM = 400, 64
+#: Words of a passage, and the bytes that a word is written in.
+PASSAGE, CODE = 51, 4
 #: Different spans of one digit that are sorted in one task.
 LOCAL_SPANS = 2000
 _PLACE = 28  # bits for the place of a gram in a slice of texts
@@ -94,7 +101,7 @@ def _spans(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     lists = wanted.groupBy("tag").agg(F.collect_list(F.struct("place", "low", "high", "digit", "alone", "many")).alias("runs"))
 
     def cut_out(batches):
-        for batch in batches:
+        for batch in slices(batches, "text"):
             rows = []
             texts, lists = as_binary(batch.column("text")), batch.column("runs")
             for tag, text, mine in zip(batch.column("tag").to_pylist(), texts, lists.to_pylist()):
@@ -119,8 +126,8 @@ def _windows(batch: pa.RecordBatch):
     return data, row, bounds[:-1][row] + runs(count), high, count
 
 
-def repeated_windows(batch: pa.RecordBatch, width: int) -> np.ndarray:
-    """For every window of the batch (see _windows) whether the same bytes start in another run of the same digit.
+def repeated_windows(batch: pa.RecordBatch, width: int, across: bool = False) -> np.ndarray:
+    """For every window of the batch (see _windows) whether the same bytes start in another run (across: of another row) of the same digit.
 
     Radix sort from the most significant digit: `group` is the place in the order so far; windows alone in theirs drop out.
     """
@@ -136,6 +143,12 @@ def repeated_windows(batch: pa.RecordBatch, width: int) -> np.ndarray:
         _, number, size = np.unique(group, return_inverse=True, return_counts=True)
         several = size[number] > 1
         alive, group = alive[several], group[several]
+    if across and len(alive):
+        tag, (_, number) = batch.column("tag").to_numpy()[row[alive]], np.unique(group, return_inverse=True)
+        least, most = np.full(number.max() + 1, np.iinfo(np.int64).max), np.full(number.max() + 1, -1, np.int64)
+        np.minimum.at(least, number, tag)
+        np.maximum.at(most, number, tag)
+        alive = alive[(least < most)[number]]
     out = np.zeros(len(row), bool)
     out[alive] = True
     return out
@@ -155,7 +168,7 @@ def _covered(batch: pa.RecordBatch, hit: np.ndarray, width: int) -> pa.RecordBat
     return pa.RecordBatch.from_arrays([pa.array(batch.column("tag").to_numpy()[row[first]]), pa.array(at[first]), pa.array(at[last] + width)], names=["tag", "a", "b"])
 
 
-def _sorted_locally(spans: DataFrame, width: int) -> DataFrame:
+def _sorted_locally(spans: DataFrame, width: int, across: bool) -> DataFrame:
     def sort(batches):
         rest = None
         for batch in batches:
@@ -175,14 +188,14 @@ def _sorted_locally(spans: DataFrame, width: int) -> DataFrame:
         while a < len(edges) - 1:  # whole digits, about LOCAL_SPANS rows at a time
             b = max(a + 1, int(np.searchsorted(edges, edges[a] + LOCAL_SPANS, "right")) - 1)
             part = table.slice(edges[a], edges[b] - edges[a]).combine_chunks().to_batches()[0]
-            yield _covered(part, repeated_windows(part, width), width)
+            yield _covered(part, repeated_windows(part, width, across), width)
             a = b
 
     ordered = spans.filter("not many").repartition("digit").sortWithinPartitions("digit")
     return ordered.mapInArrow(sort, "tag bigint, a bigint, b bigint")
 
 
-def _counted(spans: DataFrame, width: int) -> DataFrame:
+def _counted(spans: DataFrame, width: int, across: bool) -> DataFrame:
     """The same for digits with many spans: windows as rows."""
     def spread(batches):
         for batch in batches:
@@ -195,24 +208,55 @@ def _counted(spans: DataFrame, width: int) -> DataFrame:
                                                   pa.array(part.column("alone").to_numpy(zero_copy_only=False)[row])], names=["h", "g", "tag", "a", "alone"])
 
     rows = spans.filter("many").mapInArrow(spread, "h bigint, g bigint, tag bigint, a bigint, alone boolean")
-    twice = rows.groupBy("h", "g").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h", "g")
+    # written first: a join with an aggregate of the same stage can't be split where one key has most rows
+    twice = cut(rows.groupBy("h", "g").agg(_several(across).alias("several")).filter("several").select("h", "g"), "twice")
     return rows.filter("alone").join(twice, ["h", "g"]).select("tag", "a", (F.col("a") + width).alias("b"))
 
 
-def repeated_ranges(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """(tag, a, b): byte ranges, which may overlap, of the rows (tag, text) that repeated windows cover."""
+def _several(across: bool):
+    return F.min("tag") < F.max("tag") if across else F.count(F.lit(1)) > 1
+
+
+def repeated_ranges(docs: DataFrame, width: int = WIDTH, across: bool = False) -> DataFrame:
+    """(tag, a, b): byte ranges, which may overlap, of the rows (tag, text) that repeated windows cover.
+
+    across: windows that another row has. Of spans that only one row has, several times, one stands for all then.
+    """
     if width < 2 * GRAM:
         raise ValueError(f"width has to be at least {2 * GRAM} bytes")
     stated = first_digits(docs, width)
-    shared = stated.groupBy("digit").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("digit")
+    shared = cut(stated.groupBy("digit").agg(_several(across).alias("several")).filter("several").select("digit"), "digits")
     kept = cut(stated.join(shared, "digit"), "runs")
-    classes = cut(kept.groupBy("digit", "span").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("tag", "place", "low", "high")).alias("one")), "classes")
-    known = kept.join(classes.filter("n > 1").select("digit", "span"), ["digit", "span"]).select(
+    discard(shared)
+    classes = cut(kept.groupBy("digit", "span").agg(_several(across).alias("several"), F.min(F.struct("tag", "place", "low", "high")).alias("one")), "classes")
+    known = kept.join(classes.filter("several").select("digit", "span"), ["digit", "span"]).select(
         "tag", (F.col("place") - F.col("high")).alias("a"), (F.col("place") - F.col("low") + width).alias("b"))
-    mixed = classes.groupBy("digit").agg(F.count(F.lit(1)).alias("spans"), F.min("n").alias("least")).filter("spans > 1 and least = 1").select("digit", "spans")
-    wanted = classes.join(mixed, "digit").select("digit", "one.*", (F.col("n") == 1).alias("alone"), (F.col("spans") > LOCAL_SPANS).alias("many"))
+    mixed = cut(classes.groupBy("digit").agg(F.count(F.lit(1)).alias("spans"), F.bool_or(~F.col("several")).alias("open")).filter("spans > 1 and open").select("digit", "spans"), "mixed")
+    wanted = classes.join(mixed, "digit").select("digit", "one.*", (~F.col("several")).alias("alone"), (F.col("spans") > LOCAL_SPANS).alias("many"))
     spans = cut(_spans(docs, wanted, width), "spans")
-    return known.union(_sorted_locally(spans, width)).union(_counted(spans, width))
+    return known.union(_sorted_locally(spans, width, across)).union(_counted(spans, width, across))
+
+
+def _worded(text: str = "text"):
+    """A column with each word of the texts (runs of characters but white space) as CODE bytes."""
+    @arrow_udf("binary")
+    def code(column: pa.Array) -> pa.Array:
+        out = []
+        for part in slices(iter([pa.RecordBatch.from_arrays([column], names=["text"])]), "text"):
+            data, bounds = flat(part.column("text"))
+            start, end, first = words(data, bounds, NON_SPACE)
+            made = (RangeHash(data)(start, end) >> _U(64 - 8 * CODE)).astype(np.uint32)
+            out.append(pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(first) - 1, [None, pa.py_buffer((first * CODE).astype(np.int64)), pa.py_buffer(made)]).cast(pa.binary()))
+        return pa.concat_arrays(out) if out else pa.array([], pa.binary())
+
+    return code(text)
+
+
+def passage_sharers(tagged: DataFrame, passage: int = PASSAGE) -> DataFrame:
+    """(tag): the rows of (tag, text) that have a run of `passage` words which another row has as well."""
+    ranges = repeated_ranges(tagged.select("tag", _worded().alias("text")), passage * CODE, across=True)
+    begins = F.ceil(F.col("a") / CODE) * CODE  # a range is a run of repeated windows: does one of them begin with a word?
+    return ranges.filter(begins + passage * CODE <= F.col("b")).select("tag").distinct()
 
 
 def _merged(ranges) -> list[list[int]]:
@@ -231,20 +275,24 @@ def _rest(text: bytes, gone: list[list[int]]) -> bytes:
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
-    """One row for each row of docs: id_col, n_bytes, removed (merged ranges as begin, end, begin, end ..), kept (the remaining bytes)."""
+    """One row for each row of docs: id_col, n_bytes, removed (merged ranges as begin, end, begin, end ..), kept (the remaining bytes), shares_passage
+    (whether another row has a run of PASSAGE words of this one; such a run may be shorter than `width` bytes)."""
     kind = docs.schema[id_col].dataType.simpleString()
     tagged = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("tag"))
-    ranges = repeated_ranges(tagged, width).groupBy("tag").agg(F.collect_list(F.struct("a", "b")).alias("ranges"))
+    ranges = repeated_ranges(tagged, width).select("tag", F.struct("a", "b").alias("range"), F.lit(False).alias("shares"))
+    both = ranges.union(passage_sharers(tagged).select("tag", F.lit(None).cast("struct<a:bigint,b:bigint>").alias("range"), F.lit(True).alias("shares")))
+    ranges = both.groupBy("tag").agg(F.collect_list("range").alias("ranges"), F.bool_or("shares").alias("shares"))
 
     def remove(batches):
-        for batch in batches:
+        for batch in slices(batches, "text"):
             sizes, gone, kept = [], [], []
             for text, mine in zip(as_binary(batch.column("text")), batch.column("ranges").to_pylist()):
                 text, mine = text.as_buffer().to_pybytes(), _merged(mine or ())
                 sizes.append(len(text))
                 gone.append([e for r in mine for e in r])
                 kept.append(_rest(text, mine))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sizes, pa.int64()), pa.array(gone, pa.list_(pa.int64())), pa.array(kept, pa.binary())], names=["id", "n_bytes", "removed", "kept"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sizes, pa.int64()), pa.array(gone, pa.list_(pa.int64())), pa.array(kept, pa.binary()), pc.fill_null(batch.column("shares"), False)],
+                                             names=["id", "n_bytes", "removed", "kept", "shares_passage"])
 
-    return tagged.join(ranges, "tag", "left").select("id", "text", "ranges").mapInArrow(
-        remove, f"id {kind}, n_bytes bigint, removed array<bigint>, kept binary").withColumnRenamed("id", id_col)
+    return tagged.join(ranges, "tag", "left").select("id", "text", "ranges", "shares").mapInArrow(
+        remove, f"id {kind}, n_bytes bigint, removed array<bigint>, kept binary, shares_passage boolean").withColumnRenamed("id", id_col)
