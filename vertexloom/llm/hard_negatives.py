@@ -147,12 +147,12 @@ class Index:
         return out
 
 
-#: An anchor on its way: what it looks for (low, high, k), what it has, how many cells it has been to, and how many rows it may ask for next.
-STATE = "anchor long, label string, x array<bigint>, wants array<bigint>, visited long, next double"
+#: An anchor on its way: what it looks for, each with the score of the k-th row that it has so far, how many cells it has been to, and the bound of the next one.
+STATE = "anchor long, label string, x array<bigint>, wants array<struct<want:bigint,kth:bigint>>, visited long, next double"
 
 
 def _asking(index: Index, rows: int, low: int, same: bool):
-    """From (anchor, .., kth: score of each want's last row or null) to the blocks that are asked for, and the state after these.
+    """From anchors on their way to the blocks that are asked for, and the state after these.
 
     The state is a row with block -1; `next` is the bound of the first cell that wasn't asked for, or null when there is none.
     """
@@ -167,8 +167,9 @@ def _asking(index: Index, rows: int, low: int, same: bool):
             for anchor, label, x, wants, visited in zip(*(batch.column(n).to_pylist() for n in ("anchor", "label", "x", "wants", "visited"))):
                 full = np.zeros(index.width)
                 full[:len(x)] = x
-                least = -math.inf if same else min(low * p / 100.0 for p in wants)
-                most = math.inf if same else max(wants)
+                floors = [-math.inf if same else low * p["want"] / 100.0 for p in wants]
+                least = min(f if p["kth"] is None else max(f, p["kth"]) for f, p in zip(floors, wants))
+                most = math.inf if same else max(p["want"] for p in wants)
                 taken, seen, after = 0, 0, None
                 for upper, lower, cell in index.order(full):
                     seen += 1
@@ -187,7 +188,7 @@ def _asking(index: Index, rows: int, low: int, same: bool):
                         put((cell << 32) + part, anchor, label, x, wants, None, None)
                 put(-1, anchor, label, x, wants, visited, after)
             yield pa.RecordBatch.from_arrays([pa.array(out["block"], pa.int64()), pa.array(out["anchor"], pa.int64()), pa.array(out["label"], pa.string()), pa.array(out["x"], pa.list_(pa.int64())),
-                                              pa.array(out["wants"], pa.list_(pa.int64())), pa.array(out["visited"], pa.int64()), pa.array(out["next"], pa.float64())], names=list(out))
+                                              pa.array(out["wants"], batch.schema.field("wants").type), pa.array(out["visited"], pa.int64()), pa.array(out["next"], pa.float64())], names=list(out))
 
     return run
 
@@ -196,7 +197,7 @@ FOUND = "anchor long, want long, id long, score long"
 
 
 def _meeting(width: int, k: int, low: int, high: int, same: bool):
-    """The first k rows of a block for each want of each anchor that asks for it."""
+    """The first k rows of a block for each want of each anchor that asks for it, but for rows that score less than the k-th it has."""
     def run(asked: pa.Table, rows: pa.Table) -> pa.Table:
         asked, rows = asked.combine_chunks(), rows.combine_chunks()
         out = []
@@ -211,15 +212,16 @@ def _meeting(width: int, k: int, low: int, high: int, same: bool):
             order = np.argsort(-scores, axis=1, kind="stable")  # rows go by id, so equal scores do
             ranked, open_ = np.take_along_axis(scores, order, 1), np.take_along_axis(fits, order, 1)
             for w in range(max(map(len, wants))):
-                p = np.array([v[w] if w < len(v) else -1 for v in wants], object)
-                has = np.array([w < len(v) for v in wants])
-                good = open_ & has[:, None]
+                p = [v[w]["want"] if w < len(v) else -1 for v in wants]
+                has = [w < len(v) for v in wants]
+                least = np.array([v[w]["kth"] if h and v[w]["kth"] is not None else np.iinfo(np.int64).min for v, h in zip(wants, has)], np.int64)
+                good = open_ & np.array(has)[:, None] & (ranked >= least[:, None])
                 if not same:
                     floor = np.array([-(-low * v // 100) if h else 0 for v, h in zip(p, has)], np.int64)
                     ceil = np.array([high * v // 100 if h else 0 for v, h in zip(p, has)], np.int64)
                     good &= (ranked >= floor[:, None]) & (ranked <= ceil[:, None])
                 a, b = np.nonzero(good & (np.cumsum(good, axis=1) <= k))
-                out.append((anchors[a], p[a].astype(np.int64), ids[order[a, b]], ranked[a, b]))
+                out.append((anchors[a], np.array(p, np.int64)[a], ids[order[a, b]], ranked[a, b]))
         columns = [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, np.int64)] * 4
         return pa.table(dict(zip(("anchor", "want", "id", "score"), map(pa.array, columns))))
 
@@ -235,7 +237,7 @@ def search(index: Index, anchors: DataFrame, k: int, low: int = 0, high: int = 1
     """(anchor, want, id, score, rank) for anchors (anchor, label, x, wants): for each want p the first k rows of the same label, whatever p is, or
     of other labels with low * p <= 100 * score <= high * p."""
     spark, rows = anchors.sparkSession, FIRST
-    state = anchors.withColumn("visited", F.lit(0).cast("long"))
+    state = anchors.withColumn("wants", F.transform("wants", lambda w: F.struct(w.alias("want"), F.lit(None).cast("long").alias("kth")))).withColumn("visited", F.lit(0).cast("long"))
     found = spark.createDataFrame([], FOUND + ", rank int")
     searcher, groups = index.searcher(), None
     while True:
@@ -250,13 +252,13 @@ def search(index: Index, anchors: DataFrame, k: int, low: int = 0, high: int = 1
             members = members.join(cut(asking.select("block", F.col("_group")).distinct(), "asked-blocks"), "block")
         met = asking.groupBy("block", "_group").cogroup(members.groupBy("block", "_group")).applyInArrow(_meeting(index.width, k, low, high, same), FOUND)
         found = cut(_first(found.drop("rank").unionByName(met), k), "found")
-        ends = asked.filter("block = -1 AND next IS NOT NULL").select("anchor", "label", "x", F.explode("wants").alias("want"), "visited", "next")
+        ends = asked.filter("block = -1 AND next IS NOT NULL").select("anchor", "label", "x", F.explode("wants.want").alias("want"), "visited", "next")
         last = found.filter(F.col("rank") == k).select("anchor", "want", F.col("score").alias("kth"))
         # a want goes on until its k-th row is above all that is left, or all that is left is below its window
         left = ends.join(last, ["anchor", "want"], "left").filter(F.col("kth").isNull() | (F.col("kth") <= F.col("next")))
         if not same:
             left = left.filter(F.col("next") * 100 >= F.col("want") * low)
-        state = cut(left.groupBy("anchor").agg(F.first("label").alias("label"), F.first("x").alias("x"), F.collect_set("want").alias("wants"), F.first("visited").alias("visited")), "going-on")
+        state = cut(left.groupBy("anchor").agg(F.first("label").alias("label"), F.first("x").alias("x"), F.sort_array(F.collect_list(F.struct("want", "kth"))).alias("wants"), F.first("visited").alias("visited")), "going-on")
         if state.isEmpty():
             return found
         rows *= GROWTH
