@@ -5,6 +5,8 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -131,6 +133,72 @@ def test_learned_insults_and_held_out_scores(spark):
     assert kept.columns == ["doc_id", "text", "toxic", "score"] and kept.count() == sum(not t for *_, t in rows)
 
 
+def plain_features(text, insults, threats):
+    """The features of a text, clause by clause and word by word."""
+    sums, n = [0.0] * len(toxicity.KINDS), 0
+    for part in re.split(r"[.!?;:,\n]", (text or "").lower()):
+        words = re.findall(r"(?:[0-9a-z]|[^\x00-\x7f])+", part)
+        n, symbols, weights = n + len(words), "", []
+        for w in words:
+            of = lambda learned: max((v for k, v in learned.items() if (w == k[:-1] if k.endswith("$") else w.startswith(k))), default=None)
+            insult, threat = of(insults), of(threats)
+            symbols += "I" if insult is not None else "T" if threat is not None else "N" if w in toxicity.NEGATIONS else "R" if w in toxicity.REPORTS else "Y" if w in toxicity.TARGETS else "o"
+            weights.append(insult if insult is not None else threat or 0.0)
+        found, negated, said, best, target = None, 0, False, "", False
+        for s in symbols:
+            out = s.lower() if negated and s in "IT" else s
+            negated = 3 if s == "N" else max(negated - 1, 0)
+            out = {"I": "J", "i": "J", "T": "U", "t": "U"}.get(out, out) if said else out
+            said, target = said or s == "R", target or s == "Y"
+            best = max(best, out if out in "tiUJTI" else "", key=["", "t", "i", "U", "J", "T", "I"].index)
+        if best:
+            found = {"I": "insult", "T": "threat"}[best] + "_at" * target if best in "IT" else "negated" if best in "it" else "reported"
+            of = "T" if found.startswith("threat") or "I" not in symbols else "I"
+            sums[toxicity.KINDS.index(found)] += sum(w for s, w in zip(symbols, weights) if s == of)
+    return np.log1p([*sums, n])
+
+
+INSULTS, LEARNED = {"idio": 3.0, "zu$": 1.5, "trottel": 2.0}, {"kill$": 0.5, "zerreiß": 2.5, **{w + "$": 0.5 for w in toxicity.THREATS}}
+
+
+def test_texts_against_a_plain_version():
+    rng = random.Random(4)
+    words = ["idiot", "Idiotic", "zu", "zumal", "Trottel", "kill", "zerreiße", "you", "not", "nie", "said", "dit", "the", "über", "x9", "."]
+    texts = [" ".join(rng.choice(words) + rng.choice(["", "", ",", "!", "\n"]) for _ in range(rng.randrange(0, 40))) for _ in range(300)] + [None, "", "idiot " * 200_000, "?!"]
+    got = toxicity.Lexicon(INSULTS, LEARNED).features(pa.array(texts))
+    assert np.allclose(got, [plain_features(t, INSULTS, LEARNED) for t in texts])
+    weights, bias = np.arange(1.0, len(toxicity.KINDS) + 2), -3.0
+    model = toxicity.Model(INSULTS, LEARNED, weights, bias)
+    assert np.allclose(model.scores(pa.array(texts)), [1 / (1 + np.exp(-np.clip(plain_features(t, INSULTS, LEARNED) @ weights + bias, -30, 30))) for t in texts])
+
+
+def test_denied_and_quoted_insults():
+    """Words alone don't count: with a model in which insults tell, a text that denies or quotes one scores as the kinds' weights say, and not as the insult."""
+    weights = np.zeros(len(toxicity.KINDS) + 1)
+    for k, w in (("insult", 4.0), ("insult_at", 5.0), ("threat", 4.0), ("threat_at", 5.0), ("negated", -1.0), ("reported", 0.5)):
+        weights[toxicity.KINDS.index(k)] = w
+    model = toxicity.Model(INSULTS, LEARNED, weights, -3.0)
+    insult, at, denied, quoted, threat, none = model.scores(pa.array(["what an idiot", "you idiot", "you are not an idiot", "she said he was an idiot", "ich zerreiße dich", "what a day"]))
+    assert min(insult, at, threat) > 0.7 and max(denied, quoted, none) < 0.3 and denied < none < quoted
+
+
+def test_learned_threats(spark):
+    """A word that toxic texts have after words of intent is a threat, another one an insult; a word of two letters counts as a whole."""
+    rng = random.Random(6)
+    fill = ["".join(rng.choice("bcdfgaeiou") for _ in range(6)) for _ in range(60)]
+    rows = []
+    for i in range(400):
+        text = [rng.choice(fill) for _ in range(12)]
+        if i % 2:
+            text += [rng.choice(toxicity.FRAMES), "smurdle", rng.choice(fill), "grobnik", rng.choice(fill), "qx"]
+        rows.append((i, " ".join(text), i % 2))
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string, toxic int")
+    model = toxicity.fit(frame.select("doc_id", "text"), frame.select("doc_id", "toxic"))
+    fits = lambda word, learned: any(word == k[:-1] if k.endswith("$") else word.startswith(k) for k in learned)
+    assert fits("smurdle", model.threats) and not fits("smurdle", model.insults)
+    assert fits("grobnik", model.insults) and not fits("grobnik", model.threats) and "qx$" in model.insults and not fits("qxy", model.insults)
+
+
 def test_toxicity_edge_tables(spark):
     docs = spark.createDataFrame([(1, None), (2, ""), (None, "fine"), (1, None)], "doc_id bigint, text string")
     for labels in ([], [(1, 0)], [(1, 1), (2, None)]):

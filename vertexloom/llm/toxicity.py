@@ -3,16 +3,18 @@
 A clause is a sequence of word classes: insult, threat, target, negation, report, other. Three transducers are composed:
 negation turns the insults and threats of the next words into negated ones, reported speech turns those after it into
 reported ones, and the last remembers the clause's strongest match and whether a target was named. Its final states
-are the kinds of matched clauses; a text's score is a logistic function of how often each kind occurs.
+are the kinds of matched clauses. A text's score is a logistic function of the logarithms of its clauses' weights by kind and of its number of words:
+a word counts through the clause it stands in, and nothing goes round the grammar.
 
-What is learned, from labelled texts: the insult acceptor, a set of word beginnings (or whole words) in the training
-texts that toxic ones use in many contexts and others hardly ever, so that other forms of a word match as well; and the
-weights of the kinds. The word lists of the other classes are fixed. Fitting takes a sample of at most SAMPLE labelled
+What is learned, from labelled texts: the insult and threat acceptors, word beginnings (or whole words) in the training
+texts that toxic ones use in many contexts and others hardly ever, so that other forms of a word match as well; a beginning is a threat when most
+of its contexts in toxic texts are words of intent (FRAMES), else an insult. The THREATS weigh what they tell in the sample, and at least LEAST. Then
+the weights of the kinds. The word lists of the other classes are fixed. Fitting takes a sample of at most SAMPLE labelled
 rows, in expectation, of each label, chosen by a hash of the id; equal texts count once in it. Scores read every whole text.
 
 Null and empty texts have no clauses and get the score of a text without matches. Rows without a label, or with a null
 one, aren't learned from. With labels of one kind only, all scores are the share of that kind, smoothed. Each row of the input
-gives one row.
+gives one row; a table without rows gives none. Columns but the id, the text and the label aren't read, whatever their names.
 """
 
 import math
@@ -27,16 +29,17 @@ from .buffers import WORD, RangeHash, flat, row_of, slices, words
 
 #: Labelled rows for fitting: toxic, others.
 SAMPLE = {1: 6000, 0: 12000}
-#: What a word beginning needs: the log odds ratio of its contexts (distinct words before it), the chance of an accident, characters.
+#: What a word beginning needs: the log odds ratio of its contexts (distinct words before it), the chance of an accident, characters. A shorter word counts as a whole.
 MIN_ODDS, CHANCE, SHORTEST = 3.0, 0.02, 3
-#: What the matches of one kind can weigh in a text.
-MOST = 60.0
+#: What a word of THREATS weighs at least.
+LEAST = 0.5
 THRESHOLD = 0.7
 
 # Words of the classes that aren't learned, in English, German, French and Spanish.
 TARGETS = "you your yours yourself u he she they them him her his their du dich dir dein deine ihr euch euer sie er tu te toi ton ta vous votre vos il elle ils elles usted ustedes tú ti vosotros él ella ellos ellas".split()
 NEGATIONS = "not no never neither nor without don doesn didn isn aren wasn weren won nicht kein keine keinen niemals nie ohne ne pas jamais aucun aucune sans nunca jamás tampoco sin ningún ninguna".split()
 REPORTS = "said says say saying told tells wrote writes quoted quotes called calls claimed claims reported reportedly allegedly sagte sagt schrieb nannte behauptet angeblich dit disait écrit appelé selon dijo dice escribió llamó según".split()
+FRAMES = "will would gonna shall ll d going should must werde wird werden würde soll muss vais va allons vas ira doit voy va vamos vas debe i ich je yo te vous dich euch".split()
 THREATS = "kill kills murder hurt harm destroy beat strangle shoot stab töten umbringen verletzen zerstören schlagen tuer frapper détruire blesser matar golpear destruir herir".split()
 
 CLASSES = "oITNRY"  # other, insult, threat, negation, report, target
@@ -120,13 +123,14 @@ def _lowered(column: pa.Array):
 
 
 class Lexicon:
-    """Word classes by hash; insults are beginnings of words, or whole words where they end in '$', with their weights."""
+    """Word classes by hash; insults and threats are beginnings of words, or whole words where they end in '$', with their weights."""
 
-    def __init__(self, insults: dict[str, float]):
+    def __init__(self, insults: dict[str, float], threats: dict[str, float]):
         self.by_length: dict[tuple[int, bool], list] = {}
-        for stem, weight in insults.items():
-            self._add(stem.rstrip("$"), stem.endswith("$"), 1, weight)
-        for code, listed in ((2, THREATS), (3, NEGATIONS), (4, REPORTS), (5, TARGETS)):
+        for code, learned in ((1, insults), (2, threats)):
+            for stem, weight in learned.items():
+                self._add(stem.rstrip("$"), stem.endswith("$"), code, weight)
+        for code, listed in ((3, NEGATIONS), (4, REPORTS), (5, TARGETS)):
             for w in listed:
                 self._add(w, True, code, 1.0)
 
@@ -154,39 +158,33 @@ class Lexicon:
         return code, weight
 
     def features(self, column: pa.Array) -> np.ndarray:
-        """(rows, kinds + 3): weight of the clauses of each kind and of all insults together, up to MOST, the greatest weight of an insult, and the
-        log of the number of words."""
+        """(rows, kinds + 1): log of 1 and the weight of the clauses of each kind, and of 1 and the number of words."""
         data, bounds, start, end, first = _lowered(column)
-        out = np.zeros((len(bounds) - 1, len(KINDS) + 3))
-        out[:, -1] = np.log1p(np.diff(first))
-        if not len(start):
-            return out
-        (code, weight), row = self.classes(data, start, end), row_of(first)
-        breaks = np.cumsum(_BREAK[data])[start]
-        new = np.ones(len(start), bool)
-        new[1:] = (row[1:] != row[:-1]) | (breaks[1:] != breaks[:-1])
-        clause = np.cumsum(new) - 1
-        begins = np.append(np.flatnonzero(new), len(start))
-        symbols = np.frombuffer(CLASSES.encode(), np.uint8)[code].tobytes().decode()
-        matched = (code == 1) | (code == 2)
-        for c in np.unique(clause[matched]).tolist():
-            a, b = begins[c], begins[c + 1]
-            found = kind(symbols[a:b])
-            of = 2 if found.startswith("threat") or 1 not in code[a:b] else 1
-            out[row[a], KINDS.index(found)] += weight[a:b][code[a:b] == of].sum()
-            out[row[a], -3] += weight[a:b][code[a:b] == 1].sum()
-        np.maximum.at(out[:, -2], row[code == 1], weight[code == 1])
-        out[:, :-1] = np.minimum(out[:, :-1], MOST) / 10
-        return out
+        out = np.zeros((len(bounds) - 1, len(KINDS) + 1))
+        if len(start):
+            (code, weight), row = self.classes(data, start, end), row_of(first)
+            breaks = np.cumsum(_BREAK[data])[start]
+            new = np.ones(len(start), bool)
+            new[1:] = (row[1:] != row[:-1]) | (breaks[1:] != breaks[:-1])
+            clause = np.cumsum(new) - 1
+            begins = np.append(np.flatnonzero(new), len(start))
+            symbols = np.frombuffer(CLASSES.encode(), np.uint8)[code].tobytes().decode()
+            for c in np.unique(clause[(code == 1) | (code == 2)]).tolist():
+                a, b = begins[c], begins[c + 1]
+                found = kind(symbols[a:b])
+                of = 2 if found.startswith("threat") or 1 not in code[a:b] else 1
+                out[row[a], KINDS.index(found)] += weight[a:b][code[a:b] == of].sum()
+        out[:, -1] = np.diff(first)
+        return np.log1p(out)
 
 
 class Model:
-    def __init__(self, insults: dict[str, float], weights: np.ndarray, bias: float):
-        self.insults, self.weights, self.bias = insults, weights, bias
-        self.lexicon = Lexicon(insults)
+    def __init__(self, insults: dict[str, float], threats: dict[str, float], weights: np.ndarray, bias: float):
+        self.insults, self.threats, self.weights, self.bias = insults, threats, weights, bias
+        self.lexicon = Lexicon(insults, threats)
 
     def __reduce__(self):
-        return Model, (self.insults, self.weights, self.bias)
+        return Model, (self.insults, self.threats, self.weights, self.bias)
 
     def scores(self, column: pa.Array) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.lexicon.features(column) @ self.weights + self.bias, -30, 30)))
@@ -219,20 +217,23 @@ def _contexts(texts: DataFrame) -> DataFrame:
 
 def _stems(words: DataFrame) -> DataFrame:
     """The rows of each word once for each of its beginnings, and for the whole word, which ends in '$'."""
-    ends = F.concat(F.transform(F.sequence(F.lit(SHORTEST), F.length("word")), lambda k: F.substring("word", F.lit(1), k)), F.array(F.concat("word", F.lit("$"))))
-    return words.filter(F.length("word") >= SHORTEST).select("*", F.explode(ends).alias("stem"))
+    size = F.length("word")
+    sizes = F.when(size >= SHORTEST, F.sequence(F.lit(SHORTEST), F.greatest(size, F.lit(SHORTEST)))).otherwise(F.array().cast("array<int>"))
+    ends = F.concat(F.transform(sizes, lambda k: F.substring("word", F.lit(1), k)), F.array(F.concat("word", F.lit("$"))))
+    return words.select("*", F.explode(ends).alias("stem"))
 
 
-def learn_insults(texts: DataFrame) -> dict[str, float]:
-    """Beginnings of words that tell toxic texts, with their log odds; of a chain of beginnings the longest that keeps nearly all contexts.
+def learn_words(texts: DataFrame) -> tuple[dict[str, float], dict[str, float]]:
+    """(insults, threats): beginnings of words that tell toxic texts, with their log odds; of a chain of beginnings the longest that keeps nearly all contexts.
 
     A beginning counts when toxic texts have it in at least exp(MIN_ODDS) times their share of all contexts, and so often that
-    by chance (a Chernoff bound, for all beginnings together) this would happen with probability CHANCE.
+    by chance (a Chernoff bound, for all beginnings together) this would happen with probability CHANCE. It is a threat if it stands after FRAMES more often than not.
     """
     pairs = cut(_contexts(texts), "contexts")
     total = dict(pairs.groupBy("toxic").count().collect())
+    seeds = {w + "$": LEAST for w in THREATS}
     if not total.get(1) or not total.get(0):
-        return {}
+        return {}, seeds
     counted = pairs.groupBy("word").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c"))
     stems = cut(_stems(counted).groupBy("stem").agg(F.sum("t").alias("t"), F.sum("c").alias("c")), "stems")
     share, needed = total[1] / (total[1] + total[0]), math.log(max(1, stems.count()) / CHANCE)
@@ -241,10 +242,14 @@ def learn_insults(texts: DataFrame) -> dict[str, float]:
     surprise = F.col("t") * F.log(mine / share) + F.when(F.col("c") > 0, F.col("c") * F.log((1 - mine) / (1 - share))).otherwise(0.0)
     likely = stems.filter("t > 0").filter(odds >= MIN_ODDS).filter(surprise >= needed).select("stem", "c")
     # the words of a stem may share their contexts; those of the few likely stems are counted once each
-    once = _stems(pairs.filter("toxic = 1")).join(likely, "stem").groupBy("stem").agg(F.count_distinct("before").alias("t"), F.first("c").alias("c"))
+    once = _stems(pairs.filter("toxic = 1")).join(likely, "stem").groupBy("stem").agg(
+        F.count_distinct("before").alias("t"), F.first("c").alias("c"), F.count_distinct(F.when(F.col("before").isin(FRAMES), F.col("before"))).alias("framed"))
     # at most (contexts in the sample's toxic texts) / (the least count that is surprising) of each length, and the sample is bounded
-    found = {r["stem"]: r for r in once.filter(surprise >= needed).select("stem", "t", odds.alias("odds")).collect()}
-    return {stem: found[stem]["odds"] for stem in _longest({stem: r["t"] for stem, r in found.items()})}
+    found = {r["stem"]: r for r in once.filter(surprise >= needed).select("stem", "t", "framed", odds.alias("odds")).collect()}
+    chosen = {stem: found[stem] for stem in _longest({stem: r["t"] for stem, r in found.items()})}
+    told = {r["stem"]: max(LEAST, r["odds"]) for r in stems.filter(F.col("stem").isin(list(seeds))).select("stem", odds.alias("odds")).collect()}
+    threats = {stem: r["odds"] for stem, r in chosen.items() if 2 * r["framed"] > r["t"]}
+    return {stem: r["odds"] for stem, r in chosen.items() if stem not in threats}, {**seeds, **told, **threats}
 
 
 def _longest(pure: dict[str, int]) -> list[str]:
@@ -285,8 +290,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """Learns from the labelled rows given; `labels` has id_col and label_col (0 or 1)."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     texts = sample(rows, labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("toxic")))
-    insults = learn_insults(texts)
-    lexicon = Lexicon(insults)
+    insults, threats = learn_words(texts)
+    lexicon = Lexicon(insults, threats)
 
     def measured(batches):
         for part in slices(batches, "text"):
@@ -297,8 +302,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     y = np.array([r[0] for r in rows], np.int64)
     if len(set(y.tolist())) < 2:
         share = (y.sum() + 1) / (len(y) + 2)
-        return Model(insults, np.zeros(len(KINDS) + 3), float(np.log(share / (1 - share))))
-    return Model(insults, *_weights(np.array([r[1] for r in rows]), y))
+        return Model(insults, threats, np.zeros(len(KINDS) + 1), float(np.log(share / (1 - share))))
+    return Model(insults, threats, *_weights(np.array([r[1] for r in rows]), y))
 
 
 def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
