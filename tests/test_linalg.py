@@ -52,3 +52,19 @@ def test_twenty_thousand_labels(spark):
     weights[1, 2:] = -20.0
     row = E.f1_scores(E.nc_chosen(df.select("id", "vector").limit(200), lists, weights), "class").first()
     assert row.micro == pytest.approx(0.5, abs=0.01)
+
+
+def test_flat_spectrum_of_wide_rows(spark, monkeypatch):
+    """Singular values that fall slowly: the axes settle to the tolerance, or there is an error."""
+    rng = np.random.default_rng(5)
+    u, v = np.linalg.qr(rng.normal(size=(300, 60)))[0], np.linalg.qr(rng.normal(size=(2000, 60)))[0]
+    x = (u * (10 - 0.05 * np.arange(60))) @ v.T
+    attrs = spark.createDataFrame([(str(i), row.tolist()) for i, row in enumerate(x)], "id string, features array<double>").repartition(4).cache()
+    monkeypatch.setattr(linalg, "GRAM_COLUMNS", 100)
+    got, values = linalg.truncated_svd(attrs, 6)
+    assert np.allclose(values, np.linalg.svd(x, compute_uv=False)[:6], rtol=1e-8)
+    rows = by_id(got, "vector")
+    mine = np.array([rows[str(i)] for i in range(300)])
+    assert np.allclose(np.abs((mine / values).T @ u[:, :6]), np.eye(6), atol=1e-4)
+    with pytest.raises(ValueError, match="residual"):
+        linalg._wide_axes(attrs, "features", 2000, 6, np.zeros(2000), oversample=0, tolerance=1e-14, passes=2)

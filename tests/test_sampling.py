@@ -120,3 +120,35 @@ def test_skipgram_window(spark):
     walks = spark.createDataFrame([(["a", "b", "c", "d"],)], "path array<string>")
     assert pairs(K.skipgram_pairs(walks, 1), "centre", "context") == [("a", "b"), ("b", "a"), ("b", "c"), ("c", "b"), ("c", "d"), ("d", "c")]
     assert K.skipgram_pairs(walks, 10).count() == 12
+
+
+def test_returns_in_bounded_passes(spark, monkeypatch):
+    """With p = 0.001 nearly every step goes back, and no proposal is refused for that; with p = 1000 the way back isn't proposed again and again."""
+    passes = []
+    real = K._moves
+    monkeypatch.setattr(K, "_nowhere", lambda f=K._nowhere: passes.append(1) or f())
+    edges = [("a", "b"), ("b", "c"), ("a", "c"), ("b", "d"), ("d", "e")]
+    for p in (0.001, 1000.0):
+        passes.clear()
+        walks = [r.path for r in K.node2vec_walks(graph(spark, edges), p, 1.0, 20, 12, seed=2).collect()]
+        assert legal(walks, edges) and all(len(w) == 12 for w in walks) and len(passes) <= 3 * 12
+        back = sum(w[i] == w[i - 2] for w in walks for i in range(2, 12)) / sum(10 for _ in walks)
+        assert back > 0.95 if p < 1 else back < 0.3  # e has no other way
+    assert real is K._moves
+
+
+def test_a_step_shuffles_the_walkers_only(spark):
+    """No exchange stands between the step table's scan and a join, with joins that can't be broadcast."""
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        g = graph(spark, [(str(i), str((i * 7 + k) % 60)) for i in range(60) for k in (1, 2, 5) if i != (i * 7 + k) % 60])
+        walks = K.deepwalk_walks(g, 2, 6, seed=1)
+        steps, totals = K.uniform_steps(g.adj)
+        moves = K._moves(K._with_next(steps, totals, K._arrivals(g.adj)))
+        asked = g.nodes.select(F.col("id").alias("_at_key"), F.length("id").cast("bigint").alias("_at_slot"), F.length("id").cast("bigint").alias("_t"))
+        plan = asked.join(moves, F.expr(K.MEETS), "left")._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 1 and "Bucketed: true" in plan
+        assert walks.count() == 2 * g.nodes.count()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)

@@ -7,7 +7,7 @@ Two graphs are made from the given tables:
 The edges are written once, as a user would have them on disk, where a query reads them several times. Random choices are md5 draws, so each query can be stated in SQL as well.
 """
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..operators.graph import Graph
 from ..plans.lineage import cut
@@ -49,6 +49,24 @@ def vectors(spark: SparkSession, sf: str, directed: bool = False, store: bool =
     return Graph(nodes, cut(edges, "edges") if store else edges, directed)
 
 
+def communities(spark: SparkSession, sf: str) -> tuple[Graph, DataFrame]:
+    """(graph, attributes): a graph that methods can learn from. An order links the row its customer number falls on with the row its own number falls on
+    among those with the same label, and one order in ten with the row it falls on among all. Attributes have 0.5 more in the place of the label."""
+    rows = table(spark, sf, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v"))
+    n = rows.count()
+    placed = cut(rows.select("vec_id", "label", (F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1).alias("place"),
+                             F.count(F.lit(1)).over(Window.partitionBy("label")).alias("size")), "placed")
+    ends = table(spark, sf, "orders").select("o_orderkey", (F.col("o_custkey") % n).alias("a"))
+    astray = F.xxhash64("o_orderkey") % 10 == 0
+    mine = ends.join(placed.select(F.col("vec_id").alias("a"), "label", "size"), "a")
+    near = mine.filter(~astray).select("a", "label", (F.col("o_orderkey") % F.col("size")).alias("place")).join(placed.select("label", "place", F.col("vec_id").alias("b")), ["label", "place"]).select("a", "b")
+    pairs = near.union(mine.filter(astray).select("a", (F.col("o_orderkey") % n).alias("b"))).filter("a <> b")
+    src, dst = F.col("a").cast("string"), F.col("b").cast("string")
+    edges = pairs.groupBy(F.least(src, dst).alias("src"), F.greatest(src, dst).alias("dst")).agg(F.count(F.lit(1)).cast("double").alias("weight"))
+    attrs = rows.select(F.col("vec_id").cast("string").alias("id"), F.transform("v", lambda x, i: x + F.when(i == F.col("label"), 0.5).otherwise(0.0)).alias("features"))
+    return Graph(rows.select(F.col("vec_id").cast("string").alias("id")), cut(edges, "edges")), attrs
+
+
 def vector_attrs(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "embeddings").select(F.col("vec_id").cast("string").alias("id"), F.col("embedding").cast("array<double>").alias("features"))
 

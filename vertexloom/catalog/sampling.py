@@ -47,35 +47,39 @@ w AS (SELECT r AS round, id AS start, 0::BIGINT AS i, id AS node FROM {nodes}, (
     AND p.pos = floor({u('w.round', 'w.start', 'w.i + 1', seed=seed)} * p.n)::BIGINT WHERE w.i + 1 < {length})"""
 
 
-@query("deepwalk_walks", f"WITH RECURSIVE {V}, {uniform_walk_sql('v_adj', 'v_nodes', 2, 20, 3)} SELECT round, start, i, node FROM w")
+@query("deepwalk_walks", f"WITH RECURSIVE {V}, {uniform_walk_sql('v_adj', 'v_nodes', 10, 80, 3)} SELECT round, start, i, node FROM w")
 def deepwalk_walks(spark, sf):
-    return path_rows(K.deepwalk_walks(vectors(spark, sf), 2, 20, seed=3))
+    return path_rows(K.deepwalk_walks(vectors(spark, sf), seed=3))
 
 
-@query("node2vec_walks", f"""WITH RECURSIVE {P}, {line_sql('line', 'p_adj', 'weight')},
-w AS (SELECT 0::BIGINT AS round, id AS start, 1::BIGINT AS step, 0::BIGINT AS attempt, NULL::VARCHAR AS prev, id AS cur, true AS moved FROM p_nodes
+@query("node2vec_walks", f"""WITH RECURSIVE {V}, {line_sql('line', 'v_adj', 'weight')}, totals AS (SELECT DISTINCT grp, total FROM line),
+w AS (SELECT r::BIGINT AS round, id AS start, 1::BIGINT AS step, 0::BIGINT AS attempt, NULL::VARCHAR AS prev, id AS cur, true AS moved FROM v_nodes, (SELECT unnest(range(0, 10)) AS r)
   UNION ALL
   SELECT round, start, CASE WHEN ok THEN step + 1 ELSE step END, CASE WHEN ok THEN 0 ELSE attempt + 1 END,
          CASE WHEN ok THEN cur ELSE prev END, CASE WHEN ok THEN x ELSE cur END, ok
-  FROM (SELECT w.round, w.start, w.step, w.attempt, w.prev, w.cur, l.dst AS x,
-          {u('w.round', 'w.start', 'w.step', 'w.attempt', "'accept'", seed=4)} * 2.0::DOUBLE <
-          CASE WHEN w.prev IS NULL THEN 2.0 WHEN l.dst = w.prev THEN 1 / 0.5 WHEN k.src IS NOT NULL THEN 1.0 ELSE 1 / 0.8 END AS ok
-        FROM w JOIN line l ON l.grp = w.cur AND {hit('l', u('w.round', 'w.start', 'w.step', 'w.attempt', seed=4))}
-        LEFT JOIN p_adj k ON k.src = l.dst AND k.dst = w.prev WHERE w.step < 8))
+  FROM (SELECT c.round, c.start, c.step, c.attempt, c.prev, c.cur, l.dst AS x,
+          c.prev IS NULL OR c.goes_back OR {u('c.round', 'c.start', 'c.step', 'c.attempt', "'accept'", seed=4)} * 1.25::DOUBLE < CASE WHEN k.src IS NOT NULL THEN 1.0 ELSE 1 / 0.8::DOUBLE END AS ok
+        FROM (SELECT *, CASE WHEN goes_back THEN lo WHEN drawn >= lo THEN drawn + gap ELSE drawn END AS point
+              FROM (SELECT *, gap > 0 AND (total <= gap OR {u('round', 'start', 'step', 'attempt', "'back'", seed=4)} * (gap / 0.5::DOUBLE + (total - gap) * 1.25::DOUBLE) < gap / 0.5::DOUBLE) AS goes_back,
+                      floor({u('round', 'start', 'step', 'attempt', seed=4)} * (total - gap)::DOUBLE)::BIGINT AS drawn
+                    FROM (SELECT w.*, t.total, b.hi - b.mass AS lo, coalesce(b.mass, 0) AS gap FROM w JOIN totals t ON t.grp = w.cur
+                          LEFT JOIN line b ON b.grp = w.cur AND b.dst = w.prev WHERE w.step < 80))) c
+        JOIN line l ON l.grp = c.cur AND l.hi - l.mass <= c.point AND c.point < l.hi
+        LEFT JOIN v_adj k ON k.src = l.dst AND k.dst = c.prev))
 SELECT round, start, step - 1 AS i, cur AS node FROM w WHERE moved""")
 def node2vec_walks(spark, sf):
-    return path_rows(K.node2vec_walks(purchases(spark, sf), 0.5, 0.8, 1, 8, seed=4))
+    return path_rows(K.node2vec_walks(vectors(spark, sf), 0.5, 0.8, seed=4))
 
 
 @query("weighted_walks", f"""WITH RECURSIVE {biased_sql(BETAS[1])}, {line_sql('line', 't', 'value', '"row"', ('col',))},
-w AS (SELECT r AS round, id AS start, 0::BIGINT AS i, id AS node FROM v_nodes, (SELECT unnest(range(0, 2)) AS r)
+w AS (SELECT r AS round, id AS start, 0::BIGINT AS i, id AS node FROM v_nodes, (SELECT unnest(range(0, 10)) AS r)
   UNION ALL SELECT w.round, w.start, w.i + 1, l.col FROM w JOIN line l ON l.grp = w.node
-    AND {hit('l', u('w.round', 'w.start', 'w.i + 1', seed=6))} WHERE w.i + 1 < 10)
+    AND {hit('l', u('w.round', 'w.start', 'w.i + 1', seed=6))} WHERE w.i + 1 < 80)
 SELECT round, start, i, node FROM w""")
 def weighted_walks(spark, sf):
     cells, even = biased(spark, sf, 1)
     g = vectors(spark, sf)
-    return path_rows(K.weighted_walks(g.nodes, cells, even, G.node_index(g.nodes), 2, 10, seed=6))
+    return path_rows(K.weighted_walks(g.nodes, cells, even, G.node_index(g.nodes), seed=6))
 
 
 SPLIT = node_flags(0.1, 0.2, 11)
@@ -91,12 +95,12 @@ def walk_pairs(spark, sf):
     return pairs.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("skipgram_pairs", f"""WITH RECURSIVE {V}, {uniform_walk_sql('v_adj', 'v_nodes', 1, 12, 9)}
+@query("skipgram_pairs", f"""WITH RECURSIVE {V}, {uniform_walk_sql('v_adj', 'v_nodes', 10, 80, 9)}
 SELECT a.node AS centre, b.node AS context, count(*) AS n FROM w a JOIN w b ON a.round = b.round AND a.start = b.start
-AND a.i <> b.i AND abs(a.i - b.i) <= 4 GROUP BY 1, 2""")
+AND a.i <> b.i AND abs(a.i - b.i) <= 10 GROUP BY 1, 2""")
 def skipgram_pairs(spark, sf):
-    walks = K.deepwalk_walks(vectors(spark, sf), 1, 12, seed=9)
-    return K.skipgram_pairs(walks, 4).groupBy("centre", "context").agg(F.count(F.lit(1)).alias("n"))
+    walks = K.deepwalk_walks(vectors(spark, sf), seed=9)
+    return K.skipgram_pairs(walks).groupBy("centre", "context").agg(F.count(F.lit(1)).alias("n"))
 
 
 def sample_sql(name: str, adj: str, k: int, seed) -> str:

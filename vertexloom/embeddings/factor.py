@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions import vectors as V
 from ..operators.graph import Graph
-from ..operators.linalg import flipped, matrix_sums, multiply, svd_cells, svd_features, zero_filled
+from ..operators.linalg import flipped, matrix_sums, multiply, svd_cells, svd_features, truncated_svd, zero_filled
 from ..operators.matrix import row_probdist
 from ..plans.lineage import cut
 from ..plans.skew import counted, lookup
@@ -52,20 +52,35 @@ def tadw(graph: Graph, attrs: DataFrame, dim: int = 128, lamb: float = 0.2, maxi
     return Embedding(rows.select("id", both("f", "features").alias("vector")), history)
 
 
+def _attribute_axes(attrs: DataFrame, dim: int, seed) -> DataFrame:
+    """(id, vector): left singular vectors of at most 10 dim columns of the attributes."""
+    m = V.width(attrs, "features")
+    columns = sorted(np.random.default_rng(seed).permutation(m)[:10 * dim].tolist())
+    part = attrs.select("id", V.row_map(lambda x: x[:, columns])(F.col("features").cast("array<double>")).alias("features"))
+    scaled, values = truncated_svd(part, min(dim, len(columns)))
+    return scaled.select("id", V.row_map(lambda x: x / np.where(values > 0, values, 1.0))("vector").alias("vector"))
+
+
 def aane(graph: Graph, attrs: DataFrame | None, dim: int = 128, lambd: float = 0.05, rho: float = 5.0, maxiter: int = 10,
-         mode: str = "comb", seed: int = 0) -> Embedding:
+         mode: str = "comb", start: str = "structure", seed: int = 0) -> Embedding:
     """ADMM on |S - HZ'|^2 + lambd * sum a_ij |h_i - z_j| with S the cosine similarity of the attributes.
 
     S is never formed: SZ = X(X'Z) with unit rows X. A node's update needs its own row, sums over its
     neighbours and dim x dim matrices, and (2Z'Z + c)^-1 for every c follows from one eigen
-    decomposition. Mode pure takes the rows of the adjacency matrix as attributes.
+    decomposition. Mode pure takes the rows of the adjacency matrix as attributes. The vectors start from the left singular vectors of the 10 dim
+    columns of the adjacency matrix with the largest sums, or (start "attributes") of 10 dim columns of the attributes, chosen by seed.
     """
+    if start not in ("structure", "attributes") or (start == "attributes" and mode == "pure"):
+        raise ValueError("start is structure, or attributes where there are some")
     cells = graph.adj.filter("src <> dst").select(F.col("src").alias("row"), F.col("dst").alias("col"), F.col("weight").alias("value"))
     cells = cut(cells, "cells")
     by_row, by_col = counted(cells, "row"), counted(cells, "col")
-    best = (cells.groupBy("col").agg(F.sum("value").alias("s")).orderBy(F.col("s").desc(), "col").limit(10 * dim).select("col"))
-    start, _ = svd_cells(cells.join(F.broadcast(best), "col", "left_semi"), dim, power=0.0, seed=seed)
-    state = zero_filled(graph.nodes, start, dim).select("id", F.col("vector").alias("h"), F.col("vector").alias("z"),
+    if start == "attributes":
+        first = _attribute_axes(attrs, dim, seed)
+    else:
+        best = (cells.groupBy("col").agg(F.sum("value").alias("s")).orderBy(F.col("s").desc(), "col").limit(10 * dim).select("col"))
+        first, _ = svd_cells(cells.join(F.broadcast(best), "col", "left_semi"), dim, power=0.0, seed=seed)
+    state = zero_filled(graph.nodes, first, dim).select("id", F.col("vector").alias("h"), F.col("vector").alias("z"),
                                                         F.array_repeat(F.lit(0.0), dim).alias("u"))
     if mode == "pure":
         norms = cells.groupBy("row").agg(F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("_len"))

@@ -6,6 +6,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.hashing import draw
+from ..plans.lineage import cut
 from ..plans.ranks import first_k, with_row_index
 from ..plans.skew import lookup, salted_join
 
@@ -37,8 +38,8 @@ class Graph:
 
     @cached_property
     def out_counts(self) -> DataFrame:
-        """(src, n): rows of adj for each node that has any."""
-        return self.adj.groupBy("src").agg(F.count(F.lit(1)).alias("n"))
+        """(src, n): rows of adj for each node that has any. Written once: a join with an aggregate of the same stage can't be split at a hub."""
+        return cut(self.adj.groupBy("src").agg(F.count(F.lit(1)).alias("n")), "counts")
 
     def with_edges(self, edges: DataFrame) -> "Graph":
         return Graph(self.nodes, edges, self.directed)

@@ -13,8 +13,10 @@ from ..functions.hashing import draw
 from ..plans.lineage import cut
 from ..plans.skew import counted, lookup
 
-#: Up to this many columns the whole Gram matrix is summed up; wider rows go through subspace iteration.
+#: Up to this many columns the whole Gram matrix is summed up; wider rows go through block Lanczos steps.
 GRAM_COLUMNS = 1024
+#: These go on until the residual of each axis is below this part of the largest value; after so many passes without that they raise an error.
+TOLERANCE, PASSES = 1e-7, 80
 _TILE = 1 << 16
 
 
@@ -73,25 +75,36 @@ def _checked_width(df: DataFrame, column: str, k: int) -> int:
     return cols
 
 
-def _wide_axes(attrs: DataFrame, column: str, cols: int, k: int, mean: np.ndarray, iterations: int = 12, oversample: int = 20, seed: int = 0):
-    """Squared singular values and right vectors of the rows less `mean`, by randomised subspace iteration.
+def _wide_axes(attrs: DataFrame, column: str, cols: int, k: int, mean: np.ndarray, oversample: int = 20, seed: int = 0, tolerance: float | None = None, passes: int | None = None):
+    """Squared singular values and right vectors of the rows less `mean`, by block Lanczos steps with restarts.
 
-    A pass multiplies the columns-by-columns product with a few vectors: sum of x (x Q) over the rows. Only that
-    columns-by-(k + oversample) sum reaches the driver.
+    A pass multiplies the columns-by-columns product with a block of vectors: sum of x (x Q) over the rows, a columns-by-(k + oversample) sum.
+    The block joins a basis of at most eight, whose best axes are known with their residuals |A v - value v|; the next block is made of these
+    residuals. When the basis is full, its best axes alone go on.
     """
+    tolerance, passes = TOLERANCE if tolerance is None else tolerance, passes or PASSES
     width = min(k + oversample, cols)
     q = np.linalg.qr(np.random.default_rng(seed).standard_normal((cols, width)))[0]
-    values = vectors = None
-    for _ in range(iterations):
-        product = matrix_sums(attrs, [column], lambda x, q=q: [(x - mean).T @ ((x - mean) @ q)], [(cols, width)])[0]
-        small = q.T @ product
+    basis, image, worst = np.zeros((cols, 0)), np.zeros((cols, 0)), np.inf
+    for _ in range(passes):
+        product = matrix_sums(attrs, [column], lambda x, q=q: [(x - mean).T @ ((x - mean) @ q)], [(cols, q.shape[1])])[0]
+        basis, image = np.hstack([basis, q]), np.hstack([image, product])
+        small = basis.T @ image
         found, mix = np.linalg.eigh((small + small.T) / 2)
-        order = np.argsort(-found)[:k]
-        before, values, vectors = values, np.maximum(found[order], 0.0), q @ mix[:, order]
-        if before is not None and np.allclose(before, values, rtol=1e-12, atol=0):
-            break
-        q = np.linalg.qr(product)[0]
-    return values, _fixed_signs(vectors)
+        order = np.argsort(-found)[:width]
+        axes, moved, values = basis @ mix[:, order], image @ mix[:, order], found[order]
+        rest = moved - axes * values
+        worst = np.linalg.norm(rest[:, :k], axis=0).max() / max(values[0], 1e-300)
+        if worst <= tolerance or values[0] <= 0:
+            return np.maximum(values[:k], 0.0), _fixed_signs(axes[:, :k])
+        if basis.shape[1] + width > min(8 * width, cols):
+            basis, image = axes, moved
+        for _ in range(2):
+            rest = rest - basis @ (basis.T @ rest)
+        q, size = np.linalg.qr(rest)
+        q = q[:, np.abs(np.diag(size)) > 1e-13 * values[0]]
+        q = np.linalg.qr(q - basis @ (basis.T @ q))[0]
+    raise ValueError(f"{passes} passes leave a residual of {worst:.1e} of the largest value; {tolerance:.1e} is wanted")
 
 
 def truncated_svd(attrs: DataFrame, k: int, column: str = "features") -> tuple[DataFrame, np.ndarray]:

@@ -3,13 +3,14 @@
 The neighbours of a node are rows, not an array. Each row carries what the next step needs to know
 about the node it leads to, and a step asks for one (node, slot) only, so the walkers that stand on a
 hub are spread over as many keys as the hub has neighbours. Where very heavy weights hold many walkers
-on one edge, adaptive execution splits that key (the step row is the single-row side).
+on one edge, adaptive execution splits that key (the step row is the single-row side). The step table is written in
+buckets by (node, slot) once: a step shuffles the walkers only.
 """
 
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.hashing import unit
-from ..plans.lineage import cut
+from ..plans.lineage import bucketed, cut
 from ..plans.skew import lookup
 from .graph import Graph, induced_subgraph
 from .sampling import pick_table, positions, slot_of
@@ -44,6 +45,12 @@ def _nowhere():
     return -1 - F.pmod(F.xxhash64("round", "start"), F.lit(1 << 40))
 
 
+def _moves(steps: DataFrame) -> DataFrame:
+    """The step table by (node, slot)."""
+    known = steps.select(F.col("src").alias("_key"), F.col("slot").cast("bigint").alias("_slot"), "dst", "lo", "hi", *[c for c in steps.columns if c.startswith(("next_", "back_"))])
+    return bucketed(known, ["_key", "_slot"], "steps")
+
+
 def _walk(nodes: DataFrame, steps: DataFrame, totals: DataFrame, num_walks: int, walk_length: int, seed: int,
           index_size: int = 0) -> DataFrame:
     """(round, start, path). Each path is kept in segments that are joined at the end."""
@@ -52,8 +59,7 @@ def _walk(nodes: DataFrame, steps: DataFrame, totals: DataFrame, num_walks: int,
              .withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(num_walks - 1))))
              .select("round", "start", F.col("start").alias("cur"), "total", "slots", *extra, F.array("start").alias("seg")))
     done = []
-    moves = steps.select(F.col("src").alias("_key"), F.col("slot").alias("_slot"), "dst", "lo", "hi",
-                         *[c for c in steps.columns if c.startswith("next_")])
+    moves = _moves(steps)
     for step in range(1, walk_length):
         u = unit("round", "start", F.lit(step), seed=seed)
         point = F.floor(u * F.col("total")).cast("bigint")
@@ -92,7 +98,7 @@ def _arrivals(adj: DataFrame) -> DataFrame:
 def deepwalk_walks(graph: Graph, num_walks: int = 10, walk_length: int = 80, seed: int = 0) -> DataFrame:
     """Uniform walks from every node; a walk stops early at a node without neighbours."""
     table, totals = uniform_steps(graph.adj)
-    steps = cut(_with_next(table, totals, _arrivals(graph.adj)), "steps")
+    steps = _with_next(table, totals, _arrivals(graph.adj))
     return _walk(graph.nodes, steps, totals, num_walks, walk_length, seed)
 
 
@@ -114,8 +120,7 @@ def weighted_walks(nodes: DataFrame, cells: DataFrame, even: DataFrame | None =
                                 F.lit(0).cast("bigint").alias("lo"), F.lit(1).cast("bigint").alias("hi"))
         table = table.select("src", "slot", "dst", "lo", "hi").unionByName(anywhere)
         into = None
-    steps = cut(_with_next(table, totals, into), "steps")
-    return _walk(nodes, steps, totals, num_walks, walk_length, seed, size)
+    return _walk(nodes, _with_next(table, totals, into), totals, num_walks, walk_length, seed, size)
 
 
 def node2vec_walks(graph: Graph, p: float = 0.5, q: float = 0.5, num_walks: int = 10, walk_length: int = 80,
@@ -123,44 +128,49 @@ def node2vec_walks(graph: Graph, p: float = 0.5, q: float = 0.5, num_walks: int
     """Second-order walks: from prev over cur to x with weight w/p if x = prev, w if x has an edge to
     prev, else w/q.
 
-    A step proposes x by w and accepts it with probability bias / largest bias; a refused walk proposes
-    again in the next pass. This draws from the stated distribution exactly and looks at one
+    A step first chooses between the way back and all other neighbours, as if each of these had the larger of 1 and 1/q as bias. The way back is
+    then taken; another neighbour is drawn by w from the line of cur without prev, and accepted with its bias / the largest; a refused
+    walk chooses again in the next pass. This draws from the stated distribution exactly, whatever p is, and looks at one
     neighbour of cur and one edge to prev at a time, never at whole neighbour lists.
     """
     table, totals = weighted_steps(graph.adj)
-    moves = cut(_with_next(table, totals, _arrivals(graph.adj)), "steps").select(
-        F.col("src").alias("_key"), F.col("slot").alias("_slot"), "dst", "lo", "hi", "next_total", "next_slots")
-    links = cut(graph.adj.select(F.col("src").alias("_from"), F.col("dst").alias("_to")).distinct(), "links")
-    top = max(1.0 / p, 1.0, 1.0 / q)
+    table = cut(table, "line")
+    # a step row also knows where the edge back lies on the line of the node it leads to
+    back = table.select(F.col("src").alias("dst"), F.col("dst").alias("src"), F.col("lo").alias("back_lo"), F.col("hi").alias("back_hi")).distinct()
+    moves = _moves(_with_next(table.join(back, ["src", "dst"], "left"), totals, _arrivals(graph.adj)))
+    links = bucketed(graph.adj.select(F.col("src").alias("_from"), F.col("dst").alias("_to")).distinct(), ["_from", "_to"], "links")
+    top = max(1.0, 1.0 / q)
     state = (graph.nodes.select(F.col("id").alias("start")).join(totals.withColumnRenamed("src", "start"), "start", "left")
              .withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(num_walks - 1))))
              .select("round", "start", F.lit(1).alias("step"), F.lit(0).alias("attempt"), F.lit(None).cast("string").alias("prev"),
-                     F.col("start").alias("cur"), "total", "slots", F.array("start").alias("seg")))
+                     F.col("start").alias("cur"), "total", "slots", F.lit(None).cast("bigint").alias("b_lo"), F.lit(None).cast("bigint").alias("b_hi"), F.array("start").alias("seg")))
     done, passes = [], 0
     while True:
         passes += 1
         keys = ("round", "start", "step", "attempt")
         active = F.col("slots").isNotNull() & (F.col("step") < walk_length)
-        point = F.floor(unit(*keys, seed=seed) * F.col("total")).cast("bigint")
-        asked = state.select("*", point.alias("_t"), F.col("cur").alias("_at_key"),
+        gap = F.coalesce(F.col("b_hi") - F.col("b_lo"), F.lit(0))
+        rest, mass = F.col("total") - gap, gap / F.lit(float(p))
+        returns = (gap > 0) & ((rest <= 0) | (unit(*keys, F.lit("back"), seed=seed) * (mass + rest * top) < mass))
+        drawn = F.floor(unit(*keys, seed=seed) * rest).cast("bigint")
+        point = F.when(returns, F.col("b_lo")).when(drawn >= F.col("b_lo"), drawn + gap).otherwise(drawn)
+        asked = state.select("*", returns.alias("_back"), point.alias("_t"), F.col("cur").alias("_at_key"),
                              F.when(active, slot_of(point, F.col("total"), F.col("slots"))).otherwise(_nowhere()).alias("_at_slot"))
         met = asked.join(moves, F.expr(MEETS), "left")
         # a walk that has no edge to look up asks for a key of its own, so these do not meet in one task
         alone = F.concat(F.lit("\u0000"), F.xxhash64("round", "start").cast("string"))
-        met = (met.select("*", F.coalesce("dst", alone).alias("_x"), F.coalesce("prev", alone).alias("_want"))
+        sure = F.col("_back") | F.col("prev").isNull()
+        met = (met.select("*", F.coalesce("dst", alone).alias("_x"), F.when(sure, alone).otherwise(F.col("prev")).alias("_want"))
                .join(links, (F.col("_x") == F.col("_from")) & (F.col("_want") == F.col("_to")), "left"))
-        bias = (F.when(F.col("prev").isNull(), F.lit(top)).when(F.col("dst") == F.col("prev"), F.lit(1.0 / p))
-                .when(F.col("_to").isNotNull(), F.lit(1.0)).otherwise(F.lit(1.0 / q)))
-        taken = F.col("dst").isNotNull() & (unit(*keys, F.lit("accept"), seed=seed) * top < bias)
+        bias = F.when(F.col("_to").isNotNull(), F.lit(1.0)).otherwise(F.lit(1.0 / q))
+        taken = F.col("dst").isNotNull() & (sure | (unit(*keys, F.lit("accept"), seed=seed) * top < bias))
         refused = F.col("dst").isNotNull() & ~taken
         met = met.select("*", taken.alias("_ok"), refused.alias("_no"))
         state = met.select(
             "round", "start", F.when(F.col("_ok"), F.col("step") + 1).otherwise(F.col("step")).alias("step"),
             F.when(F.col("_no"), F.col("attempt") + 1).otherwise(F.lit(0)).alias("attempt"),
-            F.when(F.col("_ok"), F.col("cur")).otherwise(F.col("prev")).alias("prev"),
-            F.when(F.col("_ok"), F.col("dst")).otherwise(F.col("cur")).alias("cur"),
-            F.when(F.col("_ok"), F.col("next_total")).otherwise(F.col("total")).alias("total"),
-            F.when(F.col("_ok"), F.col("next_slots")).otherwise(F.col("slots")).alias("slots"),
+            *[F.when(F.col("_ok"), F.col(new)).otherwise(F.col(old)).alias(old) for old, new in (
+                ("prev", "cur"), ("cur", "dst"), ("total", "next_total"), ("slots", "next_slots"), ("b_lo", "back_lo"), ("b_hi", "back_hi"))],
             F.when(F.col("_ok"), F.concat("seg", F.array("dst"))).otherwise(F.col("seg")).alias("seg"))
         if passes % SEGMENT == 0 or passes == walk_length - 1:
             state = cut(state, "walk")
