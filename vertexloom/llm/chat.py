@@ -10,10 +10,11 @@ window of its own, over the budget and without history. Only the assistant turns
 loss mask; repeated ones aren't, so each is learned once.
 
 A long conversation is no group: turns are numbered by ranges of (conversation, turn), then dealt out by
-blocks of BLOCK turns, each with copies of the system turn and of the last turns of the block before (as many as the history can
-use). Windows end at the end of a block. Within a task, rows are read in order, one block at a time.
+blocks of BLOCK turns, each with copies of the system turn and of as many turns before the block as the history has tokens (a turn has one at least, so
+these are all that it can use). Windows end at the end of a block. Within a task, rows are read in order, one block at a time, and each turn is
+tokenised there.
 
-Turns are in order of turn (null first), then role and text; repeated rows are turns of their own. A null role or text
+Turns are in order of turn (null first), then by the first FRONT characters of role and text, then by a hash of them; repeated rows are turns of their own. A null role or text
 counts as empty; rows with a null conversation id are one conversation. No rows give no windows.
 """
 
@@ -23,12 +24,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from ..plans.lineage import cut
 from ..plans.ranks import with_row_index
-from .token_counts import token_count
+from .token_counts import counter
 
 BUDGET, HISTORY = 1024, 256
-#: Turns dealt out together, and the most history turns of a window.
-BLOCK, HISTORY_TURNS = 256, 16
+#: Turns dealt out together, and characters that take part in sorting.
+BLOCK, FRONT = 256, 64
 END = "|end|\n"
 
 
@@ -55,12 +57,6 @@ def read_turns(formatted: str) -> list[tuple[str, str]]:
     return out
 
 
-def _formatted(role: str, text: str) -> Column:
-    """turn_text in SQL, for counting."""
-    safe = [F.replace(F.replace(F.col(c), F.lit("\\"), F.lit("\\\\")), F.lit("|"), F.lit("\\p")) for c in (role, text)]
-    return F.concat(F.lit("<|"), safe[0], F.lit("|>\n"), safe[1], F.lit(END))
-
-
 _WINDOW = T.StructType([T.StructField("block", T.LongType()), T.StructField("window", T.IntegerType()), T.StructField("formatted", T.StringType()),
                         T.StructField("n_repeated", T.IntegerType()), T.StructField("n_new", T.IntegerType()), T.StructField("n_tokens", T.LongType()),
                         T.StructField("loss", T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("length", T.IntegerType())])))])
@@ -73,15 +69,19 @@ def windows(turns: DataFrame, path: str, budget: int = BUDGET, history: int = HI
     kind = turns.schema[conv_col].dataType
     rows = turns.select(F.col(conv_col).alias("conv"), F.col(turn_col).alias("turn"), F.coalesce(role_col, F.lit("")).alias("role"), F.coalesce(text_col, F.lit("")).alias("text"))
     rows = rows.withColumn("none", F.col("conv").isNull())
-    numbered = with_row_index(rows.withColumn("tokens", token_count(_formatted("role", "text"), path)), ["none", "conv", "turn", "role", "text"], "place")
-    begins = numbered.groupBy("none", "conv").agg(F.min("place").alias("begin"), F.count(F.lit(1)).alias("turns"))
+    order = ["none", "conv", "turn", F.substring("role", 1, FRONT), F.substring("text", 1, FRONT), F.xxhash64("role", "text")]
+    numbered = with_row_index(rows, order, "place")
+    # written first: a join with an aggregate of the same stage can't be split where one conversation has most turns
+    begins = cut(numbered.groupBy("none", "conv").agg(F.min("place").alias("begin"), F.count(F.lit(1)).alias("turns")), "begins")
     same = (F.col("l.none") == F.col("r.none")) & F.col("l.conv").eqNullSafe(F.col("r.conv"))
-    placed = numbered.alias("l").join(begins.alias("r"), same).select("l.conv", "l.none", "role", "text", "tokens", "turns", (F.col("place") - F.col("begin")).alias("at"))
-    block = F.floor(F.col("at") / BLOCK).cast("bigint")
+    placed = numbered.alias("l").join(begins.alias("r"), same).select("l.conv", "l.none", "role", "text", "turns", (F.col("place") - F.col("begin")).alias("at"))
+    block, last = F.floor(F.col("at") / BLOCK).cast("bigint"), F.floor((F.col("turns") - 1) / BLOCK).cast("bigint")
     own = placed.withColumns({"block": block, "copy": F.lit(0)})
-    tail = placed.filter((F.col("at") % BLOCK >= BLOCK - HISTORY_TURNS) & ((block + 1) * BLOCK < F.col("turns"))).withColumns({"block": block + 1, "copy": F.lit(1)})
+    reach = F.least(last, F.floor((F.col("at") + history) / BLOCK).cast("bigint"))  # the last block that may use the turn as history
+    tail = placed.withColumns({"_from": block + 1, "_to": reach}).filter("_to >= _from").withColumns(
+        {"block": F.explode(F.sequence("_from", "_to")), "copy": F.lit(1)}).drop("_from", "_to")
     system = placed.filter((F.col("at") == 0) & (F.col("role") == "system") & (F.col("turns") > BLOCK)).withColumns(
-        {"block": F.explode(F.sequence(F.lit(1).cast("bigint"), F.floor((F.col("turns") - 1) / BLOCK).cast("bigint"))), "copy": F.lit(2)})
+        {"block": F.explode(F.sequence(F.lit(1).cast("bigint"), last)), "copy": F.lit(2)})
     dealt = own.unionByName(tail).unionByName(system)
     dealt = dealt.repartition(F.xxhash64("conv", "block")).sortWithinPartitions("none", "conv", "block", "at", "copy")
 
@@ -89,7 +89,9 @@ def windows(turns: DataFrame, path: str, budget: int = BUDGET, history: int = HI
         group, key = [], None
         for batch in batches:
             made = []
-            for row in batch.select(["none", "conv", "block", "at", "copy", "role", "text", "tokens"]).to_pylist():
+            rows = batch.select(["none", "conv", "block", "at", "copy", "role", "text"]).to_pylist()
+            for row, tokens in zip(rows, counter(path).count([turn_text(r["role"], r["text"]) for r in rows])):
+                row["tokens"] = tokens
                 mine = row["none"], row["conv"], row["block"]
                 if group and mine != key:
                     made += of_block(group)
@@ -106,7 +108,7 @@ def windows(turns: DataFrame, path: str, budget: int = BUDGET, history: int = HI
 
     def of_block(group):
         head = [r for r in group if r["role"] == "system" and r["at"] == 0]
-        system, before = head[:1], [r for r in group if r["copy"] == 1 and r not in head]
+        system, before = head[:1], [r for r in group if r["copy"] == 1 and not (head and r["at"] == 0)]
         new = [r for r in group if r["copy"] == 0]
         turns = before + new
         first = len(before)
@@ -144,7 +146,7 @@ def spans(sizes: np.ndarray, first: int, system: int, budget: int, history: int,
         fixed = 0 if own_system and start == 0 else system
         room = budget - fixed
         share = min(history, max(0, room - int(sizes[start])))
-        back = max(int(np.searchsorted(sums[: start + 1], sums[start] - share)), start - HISTORY_TURNS, 1 if own_system and start else 0)
+        back = max(int(np.searchsorted(sums[: start + 1], sums[start] - share)), 1 if own_system and start else 0)
         end = max(start + 1, int(np.searchsorted(sums, sums[back] + room, "right")) - 1)
         out.append((min(back, start), start, end))
         start = end
