@@ -27,14 +27,14 @@ def brute_verdicts(urls, rules, order=url_filter.ORDER):
         fits = [(len(h + p), h + p, v) for h, p, v in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
         return max(fits)[1:] if fits else (None, None)
 
-    known = {u or "": rule(*split(u)) for u in urls}
+    known, rows = {u or "": rule(*split(u)) for u in urls}, Counter(u or "" for u in urls)
     counts = {v: [Counter() for _ in range(order + 1)] for v in ("allow", "block")}
     for u, (_, v) in known.items():
         if v:
             padded = " " * order + u
             for i in range(order, len(padded)):
                 for k in range(order + 1):
-                    counts[v][k][padded[i - k:i], padded[i]] += 1
+                    counts[v][k][padded[i - k:i], padded[i]] += rows[u]
 
     def log_p(v, run):
         p = 1 / url_filter.ALPHABET
@@ -59,7 +59,7 @@ def brute_verdicts(urls, rules, order=url_filter.ORDER):
     scores = {u: score(u) for u in known}
     stats = {}
     for v in ("allow", "block"):
-        mine = [scores[u] for u, (_, w) in known.items() if w == v]
+        mine = [scores[u] for u, (_, w) in known.items() if w == v for _ in range(rows[u])]
         if mine:
             mean = sum(mine) / len(mine)
             stats[v] = mean, max(sum(x * x for x in mine) / len(mine) - mean**2, 1e-12) ** 0.5

@@ -1,7 +1,7 @@
 """URL filter: rules by host and path, and for the rest two character language models, in DataFrame operations only.
 
 Rules (host, path, allow or block): a rule fits its host and all hosts below it, if the path starts with the rule's;
-the longest wins. URLs that a rule decides are the examples: one variable-order Markov model of the characters of
+the longest wins. Rows whose URL a rule decides are the examples: one variable-order Markov model of the characters of
 the accepted ones, one of the rejected ones. The probability of a character after a context of up to ORDER characters
 is smoothed by Witten and Bell's rule down to shorter contexts: (count + kinds * p of the shorter context) /
 (total + kinds), so a context that the model hasn't seen leaves all to the shorter one. A URL's score is the difference
@@ -9,13 +9,13 @@ of the two log-likelihoods for each character. The threshold is calibrated on th
 classes' mean scores at which both are as many standard deviations away. Scores at or over it are accepted.
 
 Every model is a table of distinct character runs, so what is joined grows with their number; an URL's own runs are counted
-within the URL before they meet the models, and equal URLs are scored once. A run that nearly all URLs share is hot in
+within the URL before they meet the models, and equal URLs are scored once; in the models and in the calibration an URL counts as often as it has rows. A run that nearly all URLs share is hot in
 that join only, a plain equi-join which adaptive execution splits. Log probabilities are rounded to 1e-9 and summed as
 whole numbers, so that results don't depend on the order of the rows.
 
 Null URLs and those without '://' have an empty host and path and no rule; the method sees them as they are (null:
 empty). Without examples of both kinds, all URLs that no rule decides are accepted when there are accepted examples or none,
-and blocked otherwise. Each row of the input gives one row.
+and blocked otherwise. Each row of the input gives one row, a table without rows none; columns but the id and the URL aren't read, whatever their names.
 """
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -49,7 +49,9 @@ def _runs(texts: DataFrame, order: int) -> DataFrame:
     """(text's columns, run, times): the character runs of order + 1 of each text, which begins with order blanks, counted in the text."""
     padded = F.concat(F.lit(" " * order), F.col("text"))
     runs = F.transform(F.sequence(F.lit(1), F.length("text")), lambda i: F.substring(padded, i, F.lit(order + 1)))
-    exploded = texts.filter("length(text) > 0").select("*", F.explode(runs).alias("run"))
+    # the table of URLs is small and its runs are many: spread it before
+    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    exploded = texts.filter("length(text) > 0").repartition(parts, "text").select("*", F.explode(runs).alias("run"))
     return exploded.groupBy(*texts.columns, "run").agg(F.count(F.lit(1)).alias("times"))
 
 
@@ -76,18 +78,19 @@ def _log_probabilities(wanted: DataFrame, counts: DataFrame, order: int) -> Data
 def verdicts(urls: DataFrame, rules: list[tuple[str, str, str]], id_col: str = "page_id", url_col: str = "url", order: int = ORDER) -> DataFrame:
     """One row for each row of urls: id_col, host, path, rule, verdict, score (null where a rule decides)."""
     known = decided(urls.select(F.col(id_col).alias("id"), F.coalesce(url_col, F.lit("")).alias("text")), rules, "text")
-    texts = cut(known.select("text", "ruled").distinct(), "urls")
+    texts = cut(known.groupBy("text", "ruled").agg(F.count(F.lit(1)).alias("rows")), "urls")
     pieces = cut(_runs(texts, order), "runs")
+    uses = F.col("times") * F.col("rows")
     counts = cut(pieces.filter("ruled is not null").groupBy("run").agg(
-        F.sum(F.when(F.col("ruled") == "allow", F.col("times")).otherwise(0)).alias("accepted"), F.sum(F.when(F.col("ruled") == "block", F.col("times")).otherwise(0)).alias("rejected")), "counts")
+        F.sum(F.when(F.col("ruled") == "allow", uses).otherwise(0)).alias("accepted"), F.sum(F.when(F.col("ruled") == "block", uses).otherwise(0)).alias("rejected")), "counts")
     logs = cut(_log_probabilities(pieces, counts, order), "logs")
-    scored = cut(pieces.join(logs, "run").groupBy("text", "ruled").agg(
+    scored = cut(pieces.join(logs, "run").groupBy("text", "ruled", "rows").agg(
         F.sum(F.col("times") * (F.col("accepted") - F.col("rejected"))).alias("log_ratio"))
         .withColumn("score", F.col("log_ratio") / F.length("text") / SCALE), "scores")
 
     kinds = {r["ruled"]: r for r in scored.filter("ruled is not null").groupBy("ruled").agg(
-        F.count(F.lit(1)).alias("n"), F.sum(F.round(F.col("score") * SCALE).cast("decimal(38,0)")).alias("s"),
-        F.sum((F.round(F.col("score") * 10**6).cast("decimal(38,0)") * F.round(F.col("score") * 10**6).cast("decimal(38,0)"))).alias("q")).collect()}
+        F.sum("rows").alias("n"), F.sum(F.round(F.col("score") * SCALE).cast("decimal(20,0)") * F.col("rows")).alias("s"),
+        F.sum(F.round(F.col("score") * 10**6).cast("decimal(10,0)") * F.round(F.col("score") * 10**6).cast("decimal(10,0)") * F.col("rows")).alias("q")).collect()}
     if len(kinds) == 2:
         accept = F.coalesce("score", F.lit(0.0)) >= _threshold(kinds["allow"], kinds["block"])
     else:
