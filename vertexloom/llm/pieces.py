@@ -11,7 +11,7 @@ takes every segment's best candidate, skips or merges it and states the two new
 have no candidate left drop out; the few very long ones run one by one. Memory goes with the slice, not with the
 number of different words.
 
-Defined cases: a null text has null pieces, which decode to null; an empty one has none and decodes to an empty one;
+Defined cases: both functions make a column from a column, so a table keeps its rows, none or repeated ones, and other columns, whatever their names; a null text has null pieces, which decode to null; an empty one has none and decodes to an empty one;
 characters without a piece, and the space mark itself when it stands in a text, become byte pieces. Ids that the
 model doesn't have, or null, decode like the unknown piece; bytes that aren't UTF-8 decode to U+FFFD.
 """

@@ -6,7 +6,8 @@ stretches (white space and what follows it up to the next), its count is the sum
 counted before needn't be counted again. New stretches go to the library in batches of about equal bytes; one that is
 itself longer goes alone. Other tokenizers get whole texts, in batches of equal bytes too.
 
-Null texts count as empty, empty ones have no tokens. The strings of special tokens inside a text are read as the library
+Null texts count as empty, empty ones have no tokens; each row has its own count, repeated rows too, and a table without rows has none. Only the text is
+read: a column function doesn't meet other columns, whatever their names. The strings of special tokens inside a text are read as the library
 reads them by default; no begin, end or added tokens, no truncation, no padding.
 """
 
@@ -29,14 +30,15 @@ _STRETCH = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
 
 
 def balanced(texts: list[str], limit: int = BATCH_BYTES):
-    """Runs of texts of about `limit` bytes (of code points, which are near enough) in all; a longer one is alone."""
+    """Runs of texts of about `limit` bytes in all; a longer one is alone."""
     batch, size = [], 0
     for text in texts:
-        if batch and size + len(text) > limit:
+        more = len(text) if text.isascii() else len(text.encode())
+        if batch and size + more > limit:
             yield batch
             batch, size = [], 0
         batch.append(text)
-        size += len(text)
+        size += more
     if batch:
         yield batch
 
