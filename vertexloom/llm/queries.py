@@ -45,8 +45,8 @@ def op2(spark, sf):
     return counted.withColumn("over_limit", F.col("n_tokens") > 512)
 
 
-#: Bytes of text in a shard.
-SHARD_BYTES = 64 << 20
+#: Bytes of text in a shard: so few that tables of every size are split.
+SHARD_BYTES = 128 << 10
 
 
 def sharding_sql(limit: int) -> str:
