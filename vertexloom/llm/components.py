@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..plans.lineage import cut
+from ..plans.lineage import cut, discard
 
 
 def _state(links: DataFrame) -> tuple:
@@ -19,11 +19,15 @@ def components(links: DataFrame) -> DataFrame:
     before = _state(links)
     while before[0]:
         both = links.select(F.col("a").alias("u"), F.col("b").alias("v")).union(links.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("m").alias("a"), F.col("v").alias("b")).distinct()
-        least = large.groupBy("b").agg(F.min("a").alias("m"))
+        # minima are written first: a join with an aggregate of the same stage can't be split at a node with very many links
+        least = cut(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
+        large = cut(both.filter("v > u").join(least, "u").select(F.col("m").alias("a"), F.col("v").alias("b")).distinct(), "large")
+        discard(least)
+        least = cut(large.groupBy("b").agg(F.min("a").alias("m")), "least")
         small = large.join(least, "b").select(F.explode(F.array(F.struct(F.col("m").alias("a"), F.col("b")), F.struct(F.col("m").alias("a"), F.col("a").alias("b")))).alias("x"))
-        links = cut(small.select("x.a", "x.b").filter("a <> b").distinct(), "links")
+        links, old = cut(small.select("x.a", "x.b").filter("a <> b").distinct(), "links"), links
+        for table in (least, large, old):
+            discard(table)
         now = _state(links)
         if now == before:
             break

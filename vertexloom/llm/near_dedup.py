@@ -151,7 +151,8 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     classes = cut(signed.filter("n > 0 and id is not null").groupBy("set_a", "set_b").agg(F.min("id").alias("rep")), "classes")
     reps = signed.join(classes.withColumnRenamed("rep", "id"), ["set_a", "set_b", "id"])
     entries = reps.select(F.explode("bands").alias("key"), "id", "n")
-    firsts = entries.groupBy("key").agg(F.min("id").alias("head"), F.count(F.lit(1)).alias("size")).filter("size > 1")
+    # aggregates are written before they are joined on their key, so that the join can be split at a bucket with very many members
+    firsts = cut(entries.groupBy("key").agg(F.min("id").alias("head"), F.count(F.lit(1)).alias("size")).filter("size > 1"), "firsts")
     buckets = cut(entries.join(firsts, "key").distinct(), "buckets")
     sizes = cut(buckets.select("id", "n").distinct(), "sizes")
     sets = cut(_sets(docs.join(sizes, "id", "left_semi"), width).dropDuplicates(["id"]), "sets")
@@ -162,7 +163,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     groups = components(_confirmed(first, sets, similarity))
 
     held = _still_apart(buckets, groups, 1)
-    chief = held.groupBy("key", "part").agg(F.min(F.struct(F.xxhash64("id", "key"), F.col("id").alias("a"), F.col("n").alias("m"), F.col("up").alias("a_up"))).alias("c")).select("key", "part", "c.a", "c.m", "c.a_up")
+    chief = cut(held.groupBy("key", "part").agg(F.min(F.struct(F.xxhash64("id", "key"), F.col("id").alias("a"), F.col("n").alias("m"), F.col("up").alias("a_up"))).alias("c")).select("key", "part", "c.a", "c.m", "c.a_up"), "chief")
     heads = held.filter("id = head").select("key", F.col("id").alias("a"), F.col("n").alias("m"), F.col("up").alias("a_up"))
     met = held.join(chief, ["key", "part"]).select("id", "n", "up", "a", "m", "a_up").union(held.join(heads, "key").select("id", "n", "up", "a", "m", "a_up"))
     second = met.filter("up <> a_up").filter(close).select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
@@ -184,7 +185,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def _still_apart(buckets: DataFrame, groups: DataFrame, least: int) -> DataFrame:
     """(key, head, size, id, n, up, part) of the buckets of more than `least` members that hold several groups; up is a member's group."""
     member = buckets.join(groups.select(F.col("b").alias("id"), F.col("a").alias("up")), "id", "left").withColumn("up", F.coalesce("up", "id"))
-    several = member.groupBy("key").agg(F.min("up").alias("low"), F.max("up").alias("high")).filter("low <> high").select("key")
+    several = cut(member.groupBy("key").agg(F.min("up").alias("low"), F.max("up").alias("high")).filter("low <> high").select("key"), "several")
     parts = F.ceil(F.col("size") / PART).cast("int")
     return cut(member.filter(F.col("size") > least).join(several, "key").withColumn("part", F.pmod(F.xxhash64("id"), parts).cast("int")), "apart")
 
