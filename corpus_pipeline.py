@@ -11,32 +11,32 @@ from vertexloom.plans.lineage import cut
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Learns from the labelled rows that aren't held out, and drops every text that scores THRESHOLD or more."""
+    """Learns from the labelled rows that aren't held out, and drops every text that scores THRESHOLD or more. Null and empty texts score as texts without
+    matches; repeated rows score alike; no rows give none."""
     labels = table(spark, sf_dir, "labels").filter(~toxicity.is_held_out())
     return toxicity.drop_toxic(docs, toxicity.fit(docs, labels))
 
 
 def copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of texts that are equal but for white space, the row with the smallest id stays."""
+    """Of texts that are equal but for white space, the row with the smallest id stays (of rows with one id too, one stays). Null counts as empty."""
     return exact_dedup.drop_copies(docs)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group linked by a similarity of 0.8 on runs of five words, the document with the smallest id stays."""
+    """Of each group linked by a similarity of 0.8 on runs of five words (the rule for pipelines; op3's contract names two), the document with the smallest
+    id stays. Texts without words, null ones too, are linked with nothing and stay."""
     return near_dedup.drop_near_copies(docs)
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts go that have ten consecutive words of a benchmark item, or all of a shorter one."""
+    """Texts go that have ten consecutive words of a benchmark item, or all of a shorter one. Null texts have no words and stay; repeated rows go or stay together."""
     return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of each text with merge-dropout, and whether they decode to it."""
-    model = tokenizer("piece_bpe_32k.model")
-    coded = docs.withColumn("ids", pieces.encoded("text", "doc_id", model))
-    return coded.select("doc_id", "lang", "source", F.coalesce(F.size("ids"), F.lit(0)).cast("bigint").alias("n_tokens"), "ids",
-                        pieces.decoded("ids", model).eqNullSafe(F.col("text")).alias("lossless"))
+    """The pieces of each text with merge-dropout, and whether they decode to it. A null text has null pieces and 0 tokens; each row gives one row."""
+    coded = pieces.with_pieces(docs, tokenizer("piece_bpe_32k.model"), ["doc_id", "lang", "source"])
+    return coded.select("doc_id", "lang", "source", F.coalesce(F.array_size("ids"), F.lit(0)).cast("bigint").alias("n_tokens"), "ids", "lossless")
 
 
 STAGES = [("toxicity", toxic), ("exact dedup", copies), ("near dedup", near_copies), ("decontamination", benchmark_passages), ("encoding", encode)]

@@ -14,7 +14,7 @@ their group only in plain equi-joins, which adaptive execution splits.
 """
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..plans.lineage import cut
@@ -36,11 +36,12 @@ def build_filters(digests: DataFrame, n: int) -> tuple[DataFrame, int]:
     """Filters over the column `digest` of about n distinct rows: (range, seed, segment, segments, cells), and the number of ranges."""
     ranges = max(1, -(-n // FILTER_KEYS))
 
-    def build(rows: pd.DataFrame) -> pd.DataFrame:
-        f = FuseFilter.build(rows["key"].to_numpy(np.int64).view(np.uint64))
-        return pd.DataFrame({"range": [rows["range"].iloc[0]], "seed": [f.seed], "segment": [f.segment], "segments": [f.segments], "cells": [f.cells.tobytes()]})
+    def build(rows: pa.Table) -> pa.Table:
+        f = FuseFilter.build(rows.column("key").to_numpy().view(np.uint64))
+        return pa.table({"range": rows.column("range")[:1], "seed": pa.array([f.seed], pa.int32()), "segment": pa.array([f.segment], pa.int32()), "segments": pa.array([f.segments], pa.int32()),
+                         "cells": pa.array([f.cells.tobytes()], pa.binary())})
 
-    return _keyed(digests, ranges).select("range", "key").groupBy("range").applyInPandas(
+    return _keyed(digests, ranges).select("range", "key").groupBy("range").applyInArrow(
         build, "range bigint, seed int, segment int, segments int, cells binary"), ranges
 
 
@@ -53,17 +54,16 @@ def screen(digests: DataFrame, filters: DataFrame, ranges: int, n: int) -> DataF
     """The distinct digests that a filter lets pass; those of ranges without a filter don't."""
     parts = max(1, -(-n // (ranges * SCREEN_KEYS)))
 
-    def passed(rows: pd.DataFrame, have: pd.DataFrame) -> pd.DataFrame:
-        if rows.empty or have.empty:
-            return rows[["digest"]].iloc[:0]
-        f = have.iloc[0]
-        cells = np.frombuffer(f["cells"], np.uint16)
-        ok = FuseFilter(int(f["seed"]), int(f["segment"]), int(f["segments"]), cells).has(rows["key"].to_numpy(np.int64).view(np.uint64))
-        return rows.loc[ok, ["digest"]]
+    def passed(rows: pa.Table, have: pa.Table) -> pa.Table:
+        if not rows.num_rows or not have.num_rows:
+            return rows.select(["digest"]).slice(0, 0)
+        f = have.slice(0, 1).to_pylist()[0]
+        ok = FuseFilter(f["seed"], f["segment"], f["segments"], np.frombuffer(f["cells"], np.uint16)).has(rows.column("key").to_numpy().view(np.uint64))
+        return rows.select(["digest"]).filter(pa.array(ok))
 
     asked = _keyed(digests.select("digest"), ranges).withColumn("part", F.pmod("key", F.lit(parts)).cast("int"))
     copies = filters.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    return asked.groupBy("range", "part").cogroup(copies.groupBy("range", "part")).applyInPandas(passed, "digest binary")
+    return asked.groupBy("range", "part").cogroup(copies.groupBy("range", "part")).applyInArrow(passed, "digest binary")
 
 
 def _groups(rows: DataFrame, *keys: str) -> DataFrame:

@@ -21,7 +21,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pyspark.sql.functions import arrow_udf
 
 from .buffers import flat, list_array, mix, runs, slices
@@ -356,3 +356,27 @@ def decoded(ids: str | Column, path: str) -> Column:
         return pa.concat_arrays(out) if out else pa.array([], pa.string())
 
     return decode_ids(ids)
+
+
+def with_pieces(docs: DataFrame, path: str, keep: list[str], text_col: str = "text", key_col: str = "doc_id", rate: float = RATE, seed: int = SEED) -> DataFrame:
+    """The columns `keep` of docs with ids (as by `encoded`) and lossless, whether they decode to the text. A task holds the pieces of one slice of texts.
+
+    A column of docs named ids or lossless can't be kept, as the result has these names.
+    """
+    if {"ids", "lossless"} & set(keep):
+        raise ValueError("ids and lossless are names of the result")
+    rows = docs.select(*[F.col(c).alias(f"kept{i}") for i, c in enumerate(keep)], F.col(text_col).alias("text"), F.xxhash64(key_col).alias("key"))
+
+    def run(batches):
+        encoder, known = _encoder(path, rate, seed), vocabulary(path)
+        for part in slices(batches, "text"):
+            texts = part.column("text").to_pylist()
+            ids, first = encoder.encode([t or "" for t in texts], part.column("key").to_numpy(zero_copy_only=False))
+            back = decode(known, ids.astype(np.int64), first)
+            made, none = list_array(first, ids, pa.int32()), part.column("text").is_null()
+            yield pa.RecordBatch.from_arrays([*(part.column(f"kept{i}") for i in range(len(keep))), pa.ListArray.from_arrays(made.offsets, made.values, mask=none),
+                                              pa.array([a is None or a == b for a, b in zip(texts, back)])], names=[*(f"kept{i}" for i in range(len(keep))), "ids", "lossless"])
+
+    kinds = T.StructType([*(T.StructField(f"kept{i}", docs.schema[c].dataType) for i, c in enumerate(keep)), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("lossless", T.BooleanType())])
+    made = rows.mapInArrow(run, kinds)
+    return made.select(*[F.col(f"kept{i}").alias(c) for i, c in enumerate(keep)], "ids", "lossless")

@@ -31,10 +31,8 @@ def tokenizer(name: str) -> str:
 def op1(spark, sf):
     """Each document's pieces with merge-dropout, and whether they decode to the document."""
     docs = table(spark, sf, "documents").select("doc_id", "text", F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint").alias("n_bytes"))
-    model = tokenizer("piece_bpe_32k.model")
-    coded = docs.withColumn("ids", pieces.encoded("text", "doc_id", model))
-    return coded.select("doc_id", "n_bytes", F.coalesce(F.size("ids"), F.lit(0)).cast("bigint").alias("n_tokens"), "ids",
-                        pieces.decoded("ids", model).eqNullSafe(F.col("text")).alias("lossless"))
+    coded = pieces.with_pieces(docs, tokenizer("piece_bpe_32k.model"), ["doc_id", "n_bytes"])
+    return coded.select("doc_id", "n_bytes", F.coalesce(F.array_size("ids"), F.lit(0)).cast("bigint").alias("n_tokens"), "ids", "lossless")
 
 
 @query("op2_token_counts")
