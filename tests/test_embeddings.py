@@ -313,7 +313,7 @@ def test_sage_support_of_a_batch(spark, planted, monkeypatch):
     g, attrs, _ = planted
     seen = []
     real = sage.Samples.support
-    monkeypatch.setattr(sage.Samples, "support", lambda self, edges, negatives, seed: seen.append((edges.collect(), negatives.collect(), real(self, edges, negatives, seed).collect())) or real(self, edges, negatives, seed))
+    monkeypatch.setattr(sage.Samples, "support", lambda self, edges, negatives: seen.append((edges.collect(), negatives.collect(), real(self, edges, negatives).collect())) or real(self, edges, negatives))
     sage.sage(g, attrs, dim=4, epochs=1, samples=(4, 3), val_perc=0.0, batch_size=50, neg_sample_size=6)
     (edges, negatives, rows), n = seen[0], g.edges.count()
     assert len(edges) == n and len({r.batch_id for r in edges}) == -(-n // 50) and len(negatives) == 6 * -(-n // 50)

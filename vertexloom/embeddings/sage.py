@@ -17,7 +17,7 @@ from ..operators.graph import Graph, drop_isolated_edges, edge_train_mask, node_
 from ..operators.matrix import standard_scale
 from ..operators.sampling import minibatches, negative_sample, negative_table, neighbor_sample, neighbor_subsample, subset
 from ..plans.lineage import cut, discard
-from ..plans.skew import EVEN, counted, lookup
+from ..plans.skew import lookup
 from .gradient import adam_matrix, logistic
 from .result import Embedding
 
@@ -180,31 +180,34 @@ def _training(weights, moments, step: int, k: int, k_far: int, neg_weight: float
 
 
 class Samples:
-    """An epoch's samples: k neighbours of each node, and for each node its features beside the means over k and over k_far neighbours."""
+    """An epoch's samples: k neighbours of each node, and for each node its features beside the means over k and over k_far neighbours.
 
-    def __init__(self, feats: DataFrame, sampled: DataFrame, samples: tuple, seed):
+    With `keep`, when an epoch has several rounds, the features are written once.
+    """
+
+    def __init__(self, feats: DataFrame, sampled: DataFrame, samples: tuple, seed, keep: bool):
         self.near = cut(neighbor_subsample(sampled, samples[1], f"{seed}|0"), "near")
         far = neighbor_subsample(sampled, samples[0], f"{seed}|1")
         zeros = F.array_repeat(F.lit(0.0), V.width(feats, "vector"))
 
-        def beside(near, counts):
-            mean = over_neighbors(feats, near, V.mean_vectors, counts).withColumnRenamed("vector", "_mean")
-            return cut(feats.join(mean, "id", "left").select("id", F.concat("vector", F.coalesce("_mean", zeros)).alias("x")), "features")
-        self.root, self.leaf = beside(self.near, counted(self.near, "dst")), beside(far, None)
+        def beside(near):
+            mean = over_neighbors(feats, near, V.mean_vectors).withColumnRenamed("vector", "_mean")
+            made = feats.join(mean, "id", "left").select("id", F.concat("vector", F.coalesce("_mean", zeros)).alias("x"))
+            return cut(made, "features") if keep else made
+        self.root, self.leaf = beside(self.near), beside(far)
 
-    def support(self, batches: DataFrame, negatives: DataFrame, seed) -> DataFrame:
+    def support(self, batches: DataFrame, negatives: DataFrame) -> DataFrame:
         """Rows of ROWS from edges (batch_id, u, v) and draws (batch_id, slot, id)."""
         task = F.floor(F.col("batch_id") / STEPS).alias("task")
-        nodes = cut(batches.select("batch_id", F.col("u").alias("id")).union(batches.select("batch_id", F.col("v").alias("id"))).union(negatives.select("batch_id", "id")).distinct(), "batch-nodes")
-        # a node has k rows in `near`; a hub is in many batches, which spread it
-        met = cut(lookup_all(nodes, self.near), "batch-near")
+        nodes = batches.select("batch_id", F.col("u").alias("id")).union(batches.select("batch_id", F.col("v").alias("id"))).union(negatives.select("batch_id", "id")).distinct()
+        met = nodes.withColumnRenamed("id", "src").join(self.near, "src").select("batch_id", "src", "slot", "dst")  # k rows for a node of a batch
         leaves = met.select("batch_id", F.col("dst").alias("id")).distinct()
         none, no_x, no_slot = F.lit(None).cast("string"), F.lit(None).cast("array<double>"), F.lit(None).cast("bigint")
         parts = [
             batches.select(task, "batch_id", F.lit(EDGE).alias("kind"), F.col("u").alias("a"), F.col("v").alias("b"), no_slot.alias("slot"), no_x.alias("x")),
             negatives.select(task, "batch_id", F.lit(NEGATIVE).alias("kind"), F.col("id").alias("a"), none.alias("b"), "slot", no_x.alias("x")),
             met.select(task, "batch_id", F.lit(NEAR).alias("kind"), F.col("src").alias("a"), F.col("dst").alias("b"), "slot", no_x.alias("x")),
-            *[lookup(ids, "id", table, "id", {"x": "x"}, ["batch_id"], counts=EVEN).select(task, "batch_id", F.lit(kind).alias("kind"), F.col("id").alias("a"), none.alias("b"), no_slot.alias("slot"), "x")
+            *[lookup(ids, "id", table, "id", {"x": "x"}, ["batch_id"]).select(task, "batch_id", F.lit(kind).alias("kind"), F.col("id").alias("a"), none.alias("b"), no_slot.alias("slot"), "x")
               for ids, table, kind in ((nodes, self.root, ROOT), (leaves, self.leaf, LEAF))]]
         rows = parts[0]
         for p in parts[1:]:
@@ -216,11 +219,6 @@ class Samples:
             discard(table)
 
 
-def lookup_all(nodes: DataFrame, near: DataFrame) -> DataFrame:
-    """The sampled neighbours (batch_id, src, slot, dst) of the nodes of each batch."""
-    return nodes.withColumnRenamed("id", "src").join(near, "src").select("batch_id", "src", "slot", "dst")
-
-
 def sage(graph: Graph, attrs: DataFrame, kind: str = "mean", dim: int = 128, samples: tuple = (25, 10), max_degree: int = 100,
          epochs: int = 10, learning_rate: float = 0.01, dropout: float = 0.0, weight_decay: float = 1e-6, neg_sample_size: int = 20,
          val_perc: float = 0.1, batch_size: int = 512, validate_batch_size: int | None = None, seed: int = 0) -> Embedding:
@@ -256,9 +254,9 @@ def sage(graph: Graph, attrs: DataFrame, kind: str = "mean", dim: int = 128, sam
 
     def dealt(edges, n, epoch, key):
         """(batches, draws): edges with their batch, negatives with theirs."""
-        rows = cut(minibatches(edges, ["u", "v"], batch_size, epoch, seed).select("batch_id", "u", "v"), "batches")
+        rows = minibatches(edges, ["u", "v"], batch_size, epoch, seed).select("batch_id", "u", "v")
         slots = rows.sparkSession.range(-(-n // batch_size)).select(F.col("id").alias("batch_id"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(neg_sample_size - 1).cast("bigint"))).alias("number"))
-        return rows, cut(negative_sample(slots, degree, ["batch_id", "number"], f"{seed}|{key}", table=table).select("batch_id", F.col("number").alias("slot"), F.col("node").alias("id")), "draws")
+        return rows, negative_sample(slots, degree, ["batch_id", "number"], f"{seed}|{key}", table=table).select("batch_id", F.col("number").alias("slot"), F.col("node").alias("id"))
 
     def passed(rows, back, step=0, key=""):
         run = _training(weights, moments, step, k, k_far, neg_weight, learning_rate, weight_decay, dropout if back else 0.0, f"{seed}|{key}", back)
@@ -267,22 +265,20 @@ def sage(graph: Graph, attrs: DataFrame, kind: str = "mean", dim: int = 128, sam
 
     check = None
     if n_val:
-        held = Samples(feats, full, samples, f"{seed}|val")
-        check = cut(held.support(*dealt(val_edges, n_val, 0, "val"), f"{seed}|val"), "validation").repartition("task").sortWithinPartitions("task", "batch_id", "kind", "a", "slot")
+        held = Samples(feats, full, samples, f"{seed}|val", False)
+        check = cut(held.support(*dealt(val_edges, n_val, 0, "val")), "validation").repartition("task").sortWithinPartitions("task", "batch_id", "kind", "a", "slot")
         held.drop()
     history, val_history, best, best_weights, step = [], [], np.inf, weights, 0
     n_batches, each = -(-n_train // batch_size), STEPS * TASKS
     for epoch in range(1, epochs + 1):
-        drawn = Samples(feats, sampled, samples, f"{seed}|{epoch}")
+        drawn = Samples(feats, sampled, samples, f"{seed}|{epoch}", n_batches > each)
         edges, negatives = dealt(train_edges, n_train, epoch, epoch)
         loss = 0.0
         for first in range(0, n_batches, each):
             part = F.col("batch_id").between(first, first + each - 1)
-            got = passed(drawn.support(edges.filter(part), negatives.filter(part), f"{seed}|{epoch}"), True, step, epoch)
+            got = passed(drawn.support(edges.filter(part), negatives.filter(part)), True, step, epoch)
             weights, moments = _unflat(np.array(got.x), weights)
             loss, step = loss + got.loss, step + got.steps
-        for x in (edges, negatives):
-            discard(x)
         drawn.drop()
         history.append((epoch, loss / n_train))
         score = history[-1][1]
