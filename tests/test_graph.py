@@ -1,3 +1,7 @@
+import json
+import random
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -148,3 +152,60 @@ def test_non_edges(spark):
     assert pairs(S.sample_non_edges(g, index, 3, seed=1), "src", "dst") == [("a", "c"), ("a", "d"), ("b", "d")]
     with pytest.raises(ValueError):
         S.sample_non_edges(g, index, 4, seed=1)
+
+
+def test_one_large_document(spark, tmp_path, monkeypatch):
+    """A document of several ranges is read in as many tasks and equals json.load; braces in strings and nested objects send it to one task."""
+    rng = random.Random(3)
+    n = 20_000
+    doc = {"directed": False, "graph": {}, "nodes": [{"test": i % 7 == 0, "id": i, "val": i % 5 == 0} if i % 50 else {"id": i} for i in range(n)],
+           "links": [{"source": rng.randrange(n), "target": rng.randrange(n)} for _ in range(n)], "multigraph": False}
+    kept = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "200k")
+    try:
+        for k, indent in enumerate((None, 1)):
+            path = str(tmp_path / f"{k}-G.json")
+            with open(path, "w") as f:
+                json.dump({x: v for x, v in doc.items() if x != "multigraph"}, f, indent=indent)
+            assert R._flat_objects(spark, path).rdd.getNumPartitions() > 3
+            nodes, edges = R.read_node_link_json(spark, path)
+            want = {(str(x["id"]), x["val"], x["test"]) for x in doc["nodes"] if "val" in x}
+            assert {tuple(r) for r in nodes.collect()} == want
+            marks = {i: v or t for i, v, t in want}
+            pairs = {tuple(sorted((str(x["source"]), str(x["target"])))) for x in doc["links"]}
+            mine = {(r.src, r.dst): r.train_removed for r in edges.collect()}
+            assert all(mine[p] == (marks[p[0]] or marks[p[1]]) for p in pairs if p in mine and p[0] in marks and p[1] in marks) and set(mine) <= pairs
+        numbers, lists = {str(i): i * 2 for i in range(9000)}, {str(i): [i % 2, 1, 0] for i in range(9000)}
+        for k, value in enumerate((numbers, lists)):
+            for compact in (None, (",", ":")):
+                path = str(tmp_path / f"map{k}.json")
+                with open(path, "w") as f:
+                    json.dump(value, f, separators=compact)
+                assert {r.id: json.loads(r.value) for r in R.read_id_map(spark, path).collect()} == value
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", kept)
+    odd = {"nodes": [{"id": "a}b", "val": True, "test": False}, {"id": "c", "val": False, "test": False, "more": {"x": 1}}], "links": [{"source": "a}b", "target": "c"}]}
+    (tmp_path / "odd.json").write_text(json.dumps(odd))
+    assert R._flat_objects(spark, str(tmp_path / "odd.json")) is None
+    nodes, edges = R.read_node_link_json(spark, str(tmp_path / "odd.json"))
+    assert {r.id for r in nodes.collect()} == {"a}b", "c"} and edges.count() == 1
+    (tmp_path / "odd-map.json").write_text(json.dumps({"a,b": 1, "c": 2}))
+    assert {(r.id, r.value) for r in R.read_id_map(spark, str(tmp_path / "odd-map.json")).collect()} == {("a,b", "1"), ("c", "2")}
+
+
+def test_graph_data_as_one(spark, tmp_path):
+    """Graph, classes, scaled features by the id map, and walks; nodes without marks are left out."""
+    doc = {"nodes": [{"id": i, "val": i == 3, "test": i == 4} for i in range(5)] + [{"id": 9}], "links": [{"source": 0, "target": 1}, {"source": 1, "target": 3}]}
+    files = {"G": doc, "id_map": {str(i): 4 - i for i in range(5)} | {"9": 5}, "class_map": {str(i): [0, 1, i % 2] for i in range(5)} | {"9": [1, 0, 0]}}
+    for name, value in files.items():
+        (tmp_path / f"g-{name}.json").write_text(json.dumps(value))
+    (tmp_path / "g-walks.txt").write_text("0\t1\n1\t0\n")
+    feats = spark.createDataFrame([(k, [float(k), 1.0]) for k in range(6)], "place bigint, features array<double>")
+    got = R.read_graph_data(spark, str(tmp_path / "g"), feats, walks=True)
+    assert {r.id: r.labels for r in got.labels.collect()} == {str(i): ["1", "2"] if i % 2 else ["1"] for i in range(5)}
+    x = np.array([[4.0 - i, 1.0] for i in range(5)])
+    fit = x[:3]
+    want = (x - fit.mean(0)) / np.where(fit.std(0) == 0, 1, fit.std(0))
+    rows = {r.id: r.features for r in got.features.collect()}
+    assert np.allclose([rows[str(i)] for i in range(5)], want)
+    assert got.walks.count() == 2 and {(r.src, r.dst, r.train_removed) for r in got.edges.collect()} == {("0", "1", False), ("1", "3", True)}

@@ -41,6 +41,13 @@ def _method(name):
     return run
 
 
+def trained(name: str):
+    """The vectors alone, without a hold-out and its score, on the graph of the orders: what bench.py times."""
+    def run(spark, sf):
+        return X.embed(name, vectors(spark, sf), vector_attrs(spark, sf), dim=16, **OPTIONS[name]).vectors
+    return run
+
+
 for _name in OPTIONS:
     query(_name, _rows(32 if _name == "tadw" else 16))(_method(_name))
 
