@@ -125,3 +125,34 @@ def test_repeats_without_rows_or_ids(spark, tmp_path):
     assert repeats.remove_repeats(frame(spark, []), width=200).count() == 0
     docs = [(None, "x" * 150 + "y" * 150), (None, "x" * 150 + "y" * 150), (None, None)]
     assert sorted((r.n_bytes, len(r.kept)) for r in repeats.remove_repeats(table(spark, docs, tmp_path), width=200).collect()) == [(0, 0), (300, 0), (300, 0)]
+
+
+def plain_sharers(texts, passage):
+    """Numbers of the texts with a run of words that another text has."""
+    seen, runs = {}, []
+    for i, t in enumerate(texts):
+        w = (t or "").encode().split()
+        runs.append({b" ".join(w[k:k + passage]) for k in range(len(w) - passage + 1)})
+        for r in runs[-1]:
+            seen.setdefault(r, set()).add(i)
+    return {i for i, mine in enumerate(runs) if any(len(seen[r]) > 1 for r in mine)}
+
+
+@pytest.mark.parametrize("many", [repeats.LOCAL_SPANS, 3])
+def test_shared_passages(spark, tmp_path, monkeypatch, many):
+    """Short words, so that passages are far below the bytes of a removed string; repeats within one text don't count, one word less doesn't either."""
+    monkeypatch.setattr(repeats, "LOCAL_SPANS", many)
+    rng = random.Random(8)
+    words = ["a", "b", "cc", "é", "日", "de"]
+    said = lambda n: " ".join(rng.choice(words) + str(rng.randrange(60)) for _ in range(n))
+    common, short = said(51), said(50)
+    texts = [said(rng.randrange(0, 150)) for _ in range(60)]
+    for i in range(0, 30, 3):
+        texts[i] = f"{texts[i]} {common}\t\n{said(rng.randrange(3))}"
+        texts[i + 1] = f"{said(5)} {short} x{i} {said(60)}"
+    lines = said(60)
+    texts += [f"{lines} {lines} {lines}", None, "", said(3), "w " * 40, "v " * 51, "v  " * 60, "y " * 300_000, "z " * 400_000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    docs.write.parquet(str(tmp_path / "t"))
+    got = repeats.remove_repeats(spark.read.parquet(str(tmp_path / "t"))).filter("shares_passage").collect()
+    assert {r.doc_id for r in got} == plain_sharers(texts, 51)

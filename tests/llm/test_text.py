@@ -175,3 +175,17 @@ def test_shards_in_sql(spark):
     from tests.oracle import compare, connect
     sf = "/root/testdata/sf0.001"
     assert compare(spark, connect(sf), lambda s, d: op4(s, d, limit=30_000), sharding_sql(30_000), sf) is None
+
+
+def test_rows_with_pieces(spark):
+    """Columns of any name are kept, nulls stay null, a very long text is whole, no rows give none."""
+    rows = [(1, None, "t", 5), (2, "", "u", None), (3, "ab cd " * 400_000, None, 7), (3, "twice", "v", 8), (3, "twice", "v", 8), (None, "日本▁x\U0001f600", "w", 9)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, body string, text string, key int")
+    got = pieces.with_pieces(docs, MODEL, ["doc_id", "text", "key", "body"], "body").collect()
+    assert [(r.doc_id, r.body, r.text, r.key) for r in sorted(got, key=lambda r: r.key or 6)] == [(r[0], r[1], r[2], r[3]) for r in sorted(rows, key=lambda r: r[3] or 6)]
+    assert all(r.lossless and (r.ids is None) == (r.body is None) and (r.body != "" or r.ids == []) for r in got)
+    want = {r.k: r.ids for r in docs.filter("body = 'twice'").select(F.col("key").alias("k"), pieces.encoded("body", "doc_id", MODEL).alias("ids")).collect()}
+    assert [r.ids for r in got if r.key == 8] == [want[8]] * 2
+    assert pieces.with_pieces(docs.limit(0), MODEL, ["doc_id"], "body").count() == 0
+    with pytest.raises(ValueError):
+        pieces.with_pieces(docs.withColumn("ids", F.lit(1)), MODEL, ["ids"], "body")
