@@ -7,7 +7,8 @@ block with very many pairs (a hub's, say) is used in several rounds, so that the
 
 Negatives come from all nodes: a round draws a pool of POOL nodes, and every task gets these with their vectors. A batch
 draws its negatives from the pool. Those of the task's own buckets are the rows themselves; of the others the task changes a copy, and
-the changes that the tasks of a round made to a node are averaged, by their pairs, and added to it after the round.
+the changes that the tasks of a round made to a node are added to it after the round: their sum, as each comes from pairs of its own, but where
+that is longer than a part REACH of the row (many tasks pushed it the same way) no more than that or their mean.
 
 Steps are row-wise Adagrad: each row has one number, the sum of its mean squared gradients. When both ends share one
 table, the rounds pair the buckets off as in a tournament, with one more round for the pairs within a bucket.
@@ -27,6 +28,7 @@ from ..plans.lineage import cut, discard, scratch_path
 NODES, PAIRS = 20_000, 1_000_000
 #: Draws of a round's pool of negatives, which every task gets.
 POOL = 2048
+REACH = 0.25
 SCHEMA = "g bigint, kind int, id string, other string, bucket bigint, w double, x array<double>"
 LEFT, RIGHT, PAIR, LOSS, MATRIX, MOVED = range(6)
 
@@ -192,11 +194,13 @@ class Pool:
 
 
 def settled(state: DataFrame, kind: int) -> DataFrame:
-    """The rows of both tables, those of `kind` with the mean of what the tasks of the last round did to their copies."""
-    moved = state.filter(F.col("kind") == MOVED).groupBy("id").agg(V.mean_vectors("x", F.col("w")).alias("_by"))
+    """The rows of both tables, those of `kind` with what the tasks of the last round did to their copies."""
+    moved = state.filter(F.col("kind") == MOVED).groupBy("id").agg(V.sum_vectors("x").alias("_by"), F.count(F.lit(1)).alias("_tasks"))
     rows = state.filter(F.col("kind") <= RIGHT).join(F.broadcast(moved), "id", "left")  # at most POOL ids
-    change = F.when((F.col("kind") == kind) & F.col("_by").isNotNull(), F.zip_with("x", "_by", lambda a, b: a + b)).otherwise(F.col("x"))
-    return rows.select("kind", "id", "other", "bucket", "w", change.alias("x"))
+    part = F.least(F.lit(1.0), F.greatest(1.0 / F.col("_tasks"), REACH * V.norm(F.col("x")) / F.greatest(V.norm(F.col("_by")), F.lit(1e-300))))
+    added = F.zip_with("x", F.transform("_by", lambda b: b * F.col("_part")), lambda a, b: a + b)
+    change = F.when((F.col("kind") == kind) & F.col("_by").isNotNull(), added).otherwise(F.col("x"))
+    return rows.withColumn("_part", part).select("kind", "id", "other", "bucket", "w", change.alias("x"))
 
 
 def run_blocks(state: DataFrame, blocks: Blocks, visits: int, work, seed, matrix: np.ndarray | None = None, pool: Pool | None = None, on_visit=None):
