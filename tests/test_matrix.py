@@ -77,6 +77,18 @@ def test_recall_of_nine_tenths_without_clusters(spark):
     assert shares[0] < 0.9 <= shares[1], shares
 
 
+def test_knn_copies_a_vector_for_few_blocks(spark, monkeypatch):
+    """However many cells there are, a vector goes to a block of candidates once, and blocks are few."""
+    rows = [(f"n{i}", list(map(float, v))) for i, v in enumerate(np.random.default_rng(5).normal(size=(600, 8)))]
+    seen, kept = {}, knn.cut
+    monkeypatch.setattr(knn, "cut", lambda df, name="cut": seen.__setitem__(name, kept(df, name)) or seen[name])
+    got = {(r.row, r.col) for r in knn.attr_knn(attr_table(spark, rows), 2, block_rows=16).collect()}
+    assert got == set(brute_knn(rows, 2))
+    assert seen["points"].select("cell").distinct().count() > 30
+    assert seen["queries"].selectExpr("max(size(to))").first()[0] <= 8
+    assert seen["tasks"].count() <= 32 * 8  # with a task for two cells there were over 900
+
+
 def test_beta_of_lone_and_blank_nodes(spark):
     g = graph(spark, [("a", "b")], lone=["c", "d"])
     sims = knn.attr_knn(attr_table(spark, [("a", [1, 0]), ("b", [1, 1]), ("c", [0, 1]), ("d", [0, 0])]), 4)
