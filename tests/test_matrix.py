@@ -160,3 +160,39 @@ def test_width_is_checked(spark):
 def test_weighted_vector_sum(spark):
     df = spark.createDataFrame([(0, [1.0, -2.0], 2.0), (0, [3.0, 5.0], 0.5)], "k int, v array<double>, w double")
     assert df.groupBy("k").agg(V.sum_vectors("v", df.w).alias("s")).first().s == pytest.approx([3.5, -1.5])
+
+
+def test_cells_meet_vectors_in_blocks(spark, monkeypatch):
+    """Sums over the cells of a row, and over those of a column, agree with the joins: repeated ids, ids without a vector, nulls and zeros too."""
+    from vertexloom.operators import cells as C, linalg
+    monkeypatch.setattr(C, "FEW_CELLS", 10)
+    monkeypatch.setattr(C, "PIECE_CELLS", 20)
+    rng = np.random.default_rng(3)
+    rows = [(f"r{a}", f"c{b}", float(x)) for a, b, x in zip(rng.integers(0, 25, 300), rng.integers(0, 20, 300), rng.normal(size=300))]
+    rows += [("r1", "c1", 0.0), (None, "c2", 2.0), ("r2", None, 3.0), ("lone", "c19", 1.0)]
+    cells = spark.createDataFrame(rows, "row string, col string, value double")
+    far = spark.createDataFrame([(f"c{i}", [float(v) for v in rng.normal(size=3)]) for i in [*range(19), 4]], "id string, vector array<double>")
+    near = spark.createDataFrame([(f"r{i}", [float(v) for v in rng.normal(size=3)]) for i in [*range(24), 7]], "id string, vector array<double>")
+    kept = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "8")
+    blocks = C.cell_blocks(cells, len(rows), 25)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", kept)
+    assert blocks.parts == 2 and blocks.table.count() > 4
+    for got, want in ((C.multiply_blocks(blocks, far), linalg.multiply(cells, far)), (C.multiply_blocks(blocks.flipped(), near), linalg.multiply(linalg.flipped(cells), near))):
+        got, want = ({r.id: np.array(r.vector) for r in d.collect()} for d in (got, want))
+        assert set(got) == set(want) and all(np.allclose(got[k], want[k]) for k in want)
+    got = {r.id: r.vector for r in C.cell_sums(blocks, far, lambda v, x, y: (v * np.abs(x - y).sum(1))[:, None], near).collect()}
+    both = cells.join(near.toDF("row", "a"), "row").join(far.toDF("col", "b"), "col").collect()
+    want = {}
+    for r in both:
+        want[r.row] = want.get(r.row, 0.0) + r.value * np.abs(np.array(r.a) - np.array(r.b)).sum()
+    assert set(got) == {k for k in want} and all(np.isclose(got[k][0], want[k]) for k in want)
+
+
+def test_a_pass_shuffles_no_cells(spark):
+    """The packed cells are dealt as a block needs them: the vectors and the partial sums are what is shuffled."""
+    from vertexloom.operators import cells as C
+    cells = spark.createDataFrame([(str(i), str(j), 1.0) for i in range(9) for j in range(9)], "row string, col string, value double")
+    vectors = cells.select("row").distinct().selectExpr("row AS id", "array(1.0D) AS vector")
+    plan = C.multiply_blocks(C.cell_blocks(cells, 81, 9), vectors)._jdf.queryExecution().executedPlan().toString()
+    assert "Bucketed: true" in plan and plan.count("Exchange hashpartitioning(_bu") == 1
