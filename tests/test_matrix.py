@@ -196,3 +196,33 @@ def test_a_pass_shuffles_no_cells(spark):
     vectors = cells.select("row").distinct().selectExpr("row AS id", "array(1.0D) AS vector")
     plan = C.multiply_blocks(C.cell_blocks(cells, 81, 9), vectors)._jdf.queryExecution().executedPlan().toString()
     assert "Bucketed: true" in plan and plan.count("Exchange hashpartitioning(_bu") == 1
+
+
+def test_float_vectors_are_shuffled_as_floats(spark):
+    """Blocks of pairs get the vectors as they are and widen them in the task: the scores are those of doubles."""
+    rng = np.random.default_rng(5)
+    vectors = [(f"n{i}", [float(v) for v in rng.normal(size=4).astype(np.float32)]) for i in range(12)]
+    pairs = spark.createDataFrame([(f"n{i}", f"n{j}") for i in range(12) for j in range(12) if i != j], "u string, v string")
+    short = spark.createDataFrame(vectors, "id string, features array<float>")
+    wide = spark.createDataFrame(vectors, "id string, features array<double>")
+    for metric in ("cosine", "euclidean", "manhattan", "dot"):
+        got, want = (M.pair_similarity(pairs, a, metric) for a in (short, wide))
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+        assert "CoGroup" in plan and "array<double>" not in plan
+        one, two = ({(r.u, r.v): r.sim for r in d.collect()} for d in (got, want))
+        assert one == two and len(one) == 132
+
+
+def test_log_ppmi_of_a_power_writes_no_power(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    dense = np.where(rng.random((20, 20)) < 0.2, rng.random((20, 20)), 0.0)
+    cells = spark.createDataFrame([(str(i), str(j), float(dense[i, j])) for i, j in zip(*dense.nonzero())], "row string, col string, value double")
+    written, cut = [], M.cut
+    monkeypatch.setattr(M, "cut", lambda df, *a: written.append(cut(df, *a)) or written[-1])
+    for k in (1, 2, 3):
+        want = {(r.row, r.col): r.value for r in M.log_ppmi(M.matpow(cells, k), 20).collect()}
+        written.clear()
+        got = {(r.row, r.col): r.value for r in M.log_ppmi_of_power(cells, k, 20).collect()}
+        assert set(got) == set(want) and all(np.isclose(got[c], want[c], atol=1e-12) for c in want)
+        if k == 2:
+            assert len(want) > cells.count() and max(d.count() for d in written) <= cells.count()
