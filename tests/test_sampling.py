@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vertexloom.functions.hashing import unit
-from vertexloom.operators import graph as G, sampling as S, walks as K
+from vertexloom.operators import graph as G, sampling as S, steps, walks as K
 
 from .graphs import PATH4, STAR5, TRIANGLE, graph, pairs
 
@@ -152,3 +152,28 @@ def test_a_step_shuffles_the_walkers_only(spark):
         assert walks.count() == 2 * g.nodes.count()
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+
+
+def test_packed_steps_walk_the_same(spark, monkeypatch):
+    """Packed blocks, each node's moves in chunks of three slots, and joined step rows give equal walks."""
+    ends = {tuple(sorted((str(i), str((i * 7 + k) % 40)))) for i in range(40) for k in (1, 2, 5) if i != (i * 7 + k) % 40}
+    g = graph(spark, sorted(ends) + [("hub", str(i)) for i in range(0, 40, 2)], lone=["z"])
+    joined = sorted(map(tuple, K.deepwalk_walks(g, 2, 10, seed=1).collect()))
+    monkeypatch.setattr(K, "PACKED_ROWS", 0)
+    monkeypatch.setattr(steps, "CHUNK", 3)
+    monkeypatch.setattr(steps, "LEAST_ROWS", 20)
+    assert sorted(map(tuple, K.deepwalk_walks(g, 2, 10, seed=1).collect())) == joined
+
+
+def test_large_step_tables_are_packed(spark, monkeypatch):
+    """A step over many moves reads packed blocks and shuffles the walkers only: step rows were read and sorted again for each step."""
+    monkeypatch.setattr(K, "PACKED_ROWS", 0)
+    g = graph(spark, PATH4 + TRIANGLE)
+    table, totals = K.uniform_steps(g.adj)
+    meet = K._meeting(K._with_next(table, totals, None), totals, True)
+    asked = g.nodes.select("id", F.col("id").alias("_at_key"), F.lit(0).cast("bigint").alias("_at_slot"), F.lit(0).cast("bigint").alias("_t"))
+    met = meet(asked)
+    plan = met._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "SortMergeJoin" not in plan and "Bucketed: true" in plan
+    ends = {(r.src, r.dst) for r in g.adj.collect()}
+    assert all((r.id, r.dst) in ends for r in met.collect())
