@@ -63,6 +63,25 @@ def test_negatives_in_rounds(spark, monkeypatch, copies):
     assert got == plain_negatives(floors(rows)) and got
 
 
+def test_asks_leave_a_task_in_slices(spark, monkeypatch):
+    """Anchors that ask for every cell go to a bundle once each, and no batch holds more than about SLICE numbers."""
+    import pyarrow as pa
+    for name, value in (("BLOCK", 4), ("BUNDLE_BITS", 5), ("SLICE", 200), ("SAMPLE", 100)):
+        monkeypatch.setattr(H, name, value)
+    rows = floors(clustered(600, 3))
+    index = H.Index(spark.createDataFrame([(i, l, v) for i, l, v in rows], "id long, label string, x array<long>"))
+    blocks = {(r.bundle, r.block) for r in index.rows.collect()}
+    wants = pa.array([[{"want": 0, "kth": None}]] * 40, pa.list_(pa.struct([("want", pa.int64()), ("kth", pa.int64())])))
+    batch = pa.RecordBatch.from_arrays([pa.array([i for i, _, _ in rows[:40]]), pa.array([str(l) for _, l, _ in rows[:40]]), pa.array([v for _, _, v in rows[:40]]), wants, pa.array([0] * 40)],
+                                       names=["anchor", "label", "x", "wants", "visited"])
+    made = list(H._asking(index.searcher(), 10 ** 9, 0, True)([batch]))
+    assert len(made) > 40 and max(sum(len(b or []) + len(x) for b, x in zip(m.column("blocks").to_pylist(), m.column("x").to_pylist())) for m in made) < 400
+    asked = [(a, g, b) for m in made for a, g, b in zip(*(m.column(c).to_pylist() for c in ("anchor", "bundle", "blocks")))]
+    assert len({(a, g) for a, g, _ in asked}) == len(asked)
+    for anchor, _, _ in rows[:40]:
+        assert {(g, b) for a, g, bs in asked if a == anchor and g >= 0 for b in bs} >= blocks  # a part of a cell may have no rows
+
+
 def test_negatives_of_odd_rows(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.5], 1), (1, [1.0, 0.5], 1), (2, [0.9, 0.5], 2), (3, [1.0, 0.5], 2), (4, None, 1), (5, [nan, 1.0], 1), (6, [inf, 1.0], 2), (7, [1.0, None], 2), (8, [1.0, 0.4], None),

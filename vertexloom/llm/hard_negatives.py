@@ -10,8 +10,9 @@ decide how many cells are visited. In rounds, an anchor asks for the next cells,
 First each anchor's positives are searched (first k of the same label), then for each of their scores p the first k rows of other labels with
 low * p <= 100 * score <= high * p. Cells whose lower bound lies above the greatest p are skipped.
 
-Cells are kept in blocks of about BLOCK rows, and anchors in groups of about GROUP; a task meets one block with the anchors of one group that ask for it. A cell of
-very many equal vectors is so many blocks, and each hands on k rows for an anchor at most.
+Cells are kept in blocks of at most about BLOCK rows, blocks in bundles (BUNDLE_BITS), and anchors in groups of about GROUP; a task meets one bundle with the
+anchors of one group that ask for blocks of it. An anchor goes to a bundle once, with the numbers of the blocks that it asks for: not once for each block, which may
+have a few rows only. A cell of very many equal vectors is so many blocks, and each hands on k rows for an anchor at most.
 
 Defined cases: rows with a null id, label or vector, or with a null or non-finite component take no part; of vectors of different length, missing components are 0; an id is
 a key (a row with the anchor's id is never its partner); components and scores (an anchor's with itself included) that leave the range of a long raise an error; equal scores go by the smaller id; anchors
@@ -29,6 +30,8 @@ from ..plans.lineage import cut, discard
 
 SAMPLE, CODEWORDS, STEPS = 20_000, 256, 8
 BLOCK, GROUP = 512, 2048
+BUNDLE_BITS = 13  # a bundle has about 2 ** 13 rows, and in small tables fewer: 64 bundles are made until they have 2 ** 9
+ANCHORS, SLICE = 64, 65_536  # anchors read at once, and blocks asked for that leave a task in one batch, about
 FIRST, GROWTH = 2048, 8
 POSITIVES, NEGATIVES = 5, 5
 _SLACK = 1e-9
@@ -86,7 +89,10 @@ def nearest(x: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Index:
-    """Codebooks, radii and the rows of each cell (at most CODEWORDS ** 2), and the table (block, id, label, x) of all rows."""
+    """Codebooks, radii and the rows of each cell (at most CODEWORDS ** 2), and the table (bundle, block, id, label, x) of all rows.
+
+    A block's number is its cell * 2 ** 32 and its number in the cell; `before` counts the rows of the cells before a cell and tells the bundle of a block.
+    """
 
     def __init__(self, rows: DataFrame):
         rows = cut(rows, "vectors")
@@ -113,11 +119,26 @@ class Index:
         self.size[cell] = cells.column("n").to_numpy()
         np.maximum.at(self.radii[0], cell // k, cells.column("r1").to_numpy())
         np.maximum.at(self.radii[1], cell % k, cells.column("r2").to_numpy())
-        parts = at.sparkSession.createDataFrame(pa.table({"cell": np.arange(len(self.size)), "_parts": -(-self.size // BLOCK)})).filter("_parts > 1")
-        split = at.join(F.broadcast(parts), "cell", "left")  # CODEWORDS ** 2 rows at most
-        self.rows = cut(split.select((F.col("cell") * (1 << 32) + F.pmod(F.xxhash64("id"), F.coalesce("_parts", F.lit(1)))).alias("block"), "id", "label", "x"), "index")
+        self.block, self.bits = BLOCK, min(BUNDLE_BITS, max(9, (n // 64).bit_length() - 1))
+        parts = -(-self.size // BLOCK)
+        self.before = np.cumsum(self.size) - self.size
+        known = at.sparkSession.createDataFrame(pa.table({"cell": np.arange(len(self.size)), "_parts": parts, "_before": self.before})).filter("_parts > 0")
+        split = at.join(F.broadcast(known), "cell").withColumn("_part", F.pmod(F.xxhash64("id"), F.col("_parts")))  # CODEWORDS ** 2 rows at most
+        self.rows = cut(split.select(F.shiftright(F.col("_before") + F.col("_part") * BLOCK, self.bits).alias("bundle"), (F.col("cell") * (1 << 32) + F.col("_part")).alias("block"),
+                                     "id", "label", "x"), "index")
         discard(at)
 
+    def blocks_of(self, cells: list[int]):
+        """(bundle, its blocks) of the blocks of the given cells."""
+        cells = np.array(cells, np.int64)
+        parts = -(-self.size[cells] // self.block)
+        cells, part = np.repeat(cells, parts), np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+        blocks = np.sort((cells << 32) + part)
+        # blocks are numbered in the order of their rows, and so are bundles
+        bundles = np.sort((self.before[cells] + part * self.block) >> self.bits)
+        starts = np.flatnonzero(np.r_[True, np.diff(bundles) != 0]) if len(bundles) else np.zeros(0, np.int64)
+        yield from zip(bundles[starts].tolist(), np.split(blocks, starts[1:]))
+
     def order(self, x: np.ndarray):
         """(upper, lower, cell) of the cells that have rows, greatest upper bound first."""
         half = self.width // 2
@@ -143,7 +164,7 @@ class Index:
     def searcher(self):
         """The same without the table, for the tasks."""
         out = object.__new__(Index)
-        out.width, out.words, out.radii, out.size = self.width, self.words, self.radii, self.size
+        out.width, out.words, out.radii, out.size, out.before, out.block, out.bits = self.width, self.words, self.radii, self.size, self.before, self.block, self.bits
         return out
 
 
@@ -152,43 +173,59 @@ STATE = "anchor long, label string, x array<bigint>, wants array<struct<want:big
 
 
 def _asking(index: Index, rows: int, low: int, same: bool):
-    """From anchors on their way to the blocks that are asked for, and the state after these.
+    """From anchors on their way to the bundles whose blocks are asked for, and the state after these.
 
-    The state is a row with block -1; `next` is the bound of the first cell that wasn't asked for, or null when there is none.
+    The state is a row with bundle -1; `next` is the bound of the first cell that wasn't asked for, or null when there is none. Rows leave by slices, as an
+    anchor may ask for every block.
     """
+    names = ("bundle", "blocks", "anchor", "label", "x", "wants", "visited", "next")
+
+    def slices(batch):
+        out, held = {n: [] for n in names}, 0
+        kinds = {"bundle": pa.int64(), "blocks": pa.list_(pa.int64()), "visited": pa.int64(), "next": pa.float64(), **{n: batch.schema.field(n).type for n in ("anchor", "label", "x", "wants")}}
+
+        def put(*row):
+            for column, value in zip(out.values(), row):
+                column.append(value)
+
+        def made():
+            return pa.RecordBatch.from_arrays([pa.array(column, kinds[n]) for n, column in out.items()], names=list(names))
+
+        for anchor, label, x, wants, visited in zip(*(batch.column(n).to_pylist() for n in ("anchor", "label", "x", "wants", "visited"))):
+            full = np.zeros(index.width)
+            full[:len(x)] = x
+            floors = [-math.inf if same else low * p["want"] / 100.0 for p in wants]
+            least = min(f if p["kth"] is None else max(f, p["kth"]) for f, p in zip(floors, wants))
+            most = math.inf if same else max(p["want"] for p in wants)
+            taken, seen, after, cells = 0, 0, None, []
+            for upper, lower, cell in index.order(full):
+                seen += 1
+                if seen <= visited:
+                    continue
+                if upper < least:
+                    break
+                if taken >= rows:
+                    after = upper
+                    break
+                visited = seen
+                if lower > most:
+                    continue
+                taken += int(index.size[cell])
+                cells.append(cell)
+            for bundle, blocks in index.blocks_of(cells):
+                put(bundle, blocks, anchor, label, x, wants, None, None)
+                held += len(blocks) + len(x)
+                if held >= SLICE:
+                    yield made()
+                    out, held = {n: [] for n in names}, 0
+            put(-1, None, anchor, label, x, wants, visited, after)
+            held += 1 + len(x)
+        yield made()
+
     def run(batches):
         for batch in batches:
-            out = {n: [] for n in ("block", "anchor", "label", "x", "wants", "visited", "next")}
-
-            def put(*row):
-                for column, value in zip(out.values(), row):
-                    column.append(value)
-
-            for anchor, label, x, wants, visited in zip(*(batch.column(n).to_pylist() for n in ("anchor", "label", "x", "wants", "visited"))):
-                full = np.zeros(index.width)
-                full[:len(x)] = x
-                floors = [-math.inf if same else low * p["want"] / 100.0 for p in wants]
-                least = min(f if p["kth"] is None else max(f, p["kth"]) for f, p in zip(floors, wants))
-                most = math.inf if same else max(p["want"] for p in wants)
-                taken, seen, after = 0, 0, None
-                for upper, lower, cell in index.order(full):
-                    seen += 1
-                    if seen <= visited:
-                        continue
-                    if upper < least:
-                        break
-                    if taken >= rows:
-                        after = upper
-                        break
-                    visited = seen
-                    if lower > most:
-                        continue
-                    taken += int(index.size[cell])
-                    for part in range(-(-int(index.size[cell]) // BLOCK)):
-                        put((cell << 32) + part, anchor, label, x, wants, None, None)
-                put(-1, anchor, label, x, wants, visited, after)
-            yield pa.RecordBatch.from_arrays([pa.array(out["block"], pa.int64()), pa.array(out["anchor"], pa.int64()), pa.array(out["label"], pa.string()), pa.array(out["x"], pa.list_(pa.int64())),
-                                              pa.array(out["wants"], batch.schema.field("wants").type), pa.array(out["visited"], pa.int64()), pa.array(out["next"], pa.float64())], names=list(out))
+            for at in range(0, batch.num_rows, ANCHORS):
+                yield from slices(batch.slice(at, ANCHORS))
 
     return run
 
@@ -196,33 +233,67 @@ def _asking(index: Index, rows: int, low: int, same: bool):
 FOUND = "anchor long, want long, id long, score long"
 
 
+def _met(asked: pa.Table, rows: pa.Table, width: int, k: int, low: int, high: int, same: bool) -> list:
+    """(anchor, want, id, score) of the first k rows of a block, which come by id, for each want of each anchor."""
+    out = []
+    ids, anchors = rows.column("id").to_numpy(), asked.column("anchor").to_numpy()
+    scores = products(_padded(asked.column("x"), width), _padded(rows.column("x"), width))
+    names, codes = np.unique(np.concatenate([rows.column("label").to_numpy(zero_copy_only=False).astype(str), asked.column("label").to_numpy(zero_copy_only=False).astype(str)]), return_inverse=True)
+    alike = codes[len(ids):, None] == codes[None, :len(ids)]
+    fits = (alike if same else ~alike) & (anchors[:, None] != ids[None, :])
+    wants = asked.column("wants").to_pylist()
+    order = np.argsort(-scores, axis=1, kind="stable")  # rows go by id, so equal scores do
+    ranked, open_ = np.take_along_axis(scores, order, 1), np.take_along_axis(fits, order, 1)
+    for w in range(max(map(len, wants))):
+        p = [v[w]["want"] if w < len(v) else -1 for v in wants]
+        has = [w < len(v) for v in wants]
+        least = np.array([v[w]["kth"] if h and v[w]["kth"] is not None else np.iinfo(np.int64).min for v, h in zip(wants, has)], np.int64)
+        good = open_ & np.array(has)[:, None] & (ranked >= least[:, None])
+        if not same:
+            floor = np.array([-(-low * v // 100) if h else 0 for v, h in zip(p, has)], np.int64)
+            ceil = np.array([high * v // 100 if h else 0 for v, h in zip(p, has)], np.int64)
+            good &= (ranked >= floor[:, None]) & (ranked <= ceil[:, None])
+        a, b = np.nonzero(good & (np.cumsum(good, axis=1) <= k))
+        out.append((anchors[a], np.array(p, np.int64)[a], ids[order[a, b]], ranked[a, b]))
+    return out
+
+
+def _best(out: list, k: int) -> list:
+    """Of rows (anchor, want, id, score) the first k for each anchor and want."""
+    anchor, want, ids, score = (np.concatenate(c) for c in zip(*out))
+    order = np.lexsort((ids, -score, want, anchor))
+    anchor, want, ids, score = anchor[order], want[order], ids[order], score[order]
+    first = np.flatnonzero(np.r_[True, (np.diff(anchor) != 0) | (np.diff(want) != 0)]) if len(anchor) else np.zeros(0, np.int64)
+    rank = np.arange(len(anchor)) - np.repeat(first, np.diff(np.r_[first, len(anchor)]))
+    return [(anchor[rank < k], want[rank < k], ids[rank < k], score[rank < k])]
+
+
 def _meeting(width: int, k: int, low: int, high: int, same: bool):
-    """The first k rows of a block for each want of each anchor that asks for it, but for rows that score less than the k-th it has."""
+    """The first k rows of a bundle for each want of each anchor, among the blocks that it asks for, but for rows that score less than the k-th it has."""
     def run(asked: pa.Table, rows: pa.Table) -> pa.Table:
         asked, rows = asked.combine_chunks(), rows.combine_chunks()
-        out = []
+        out, held = [(np.zeros(0, np.int64),) * 4], 0
         if asked.num_rows and rows.num_rows:
-            rows = rows.take(pa.array(np.argsort(rows.column("id").to_numpy(), kind="stable")))
-            ids, anchors = rows.column("id").to_numpy(), asked.column("anchor").to_numpy()
-            scores = products(_padded(asked.column("x"), width), _padded(rows.column("x"), width))
-            names, codes = np.unique(np.concatenate([rows.column("label").to_numpy(zero_copy_only=False).astype(str), asked.column("label").to_numpy(zero_copy_only=False).astype(str)]), return_inverse=True)
-            alike = codes[len(ids):, None] == codes[None, :len(ids)]
-            fits = (alike if same else ~alike) & (anchors[:, None] != ids[None, :])
-            wants = asked.column("wants").to_pylist()
-            order = np.argsort(-scores, axis=1, kind="stable")  # rows go by id, so equal scores do
-            ranked, open_ = np.take_along_axis(scores, order, 1), np.take_along_axis(fits, order, 1)
-            for w in range(max(map(len, wants))):
-                p = [v[w]["want"] if w < len(v) else -1 for v in wants]
-                has = [w < len(v) for v in wants]
-                least = np.array([v[w]["kth"] if h and v[w]["kth"] is not None else np.iinfo(np.int64).min for v, h in zip(wants, has)], np.int64)
-                good = open_ & np.array(has)[:, None] & (ranked >= least[:, None])
-                if not same:
-                    floor = np.array([-(-low * v // 100) if h else 0 for v, h in zip(p, has)], np.int64)
-                    ceil = np.array([high * v // 100 if h else 0 for v, h in zip(p, has)], np.int64)
-                    good &= (ranked >= floor[:, None]) & (ranked <= ceil[:, None])
-                a, b = np.nonzero(good & (np.cumsum(good, axis=1) <= k))
-                out.append((anchors[a], np.array(p, np.int64)[a], ids[order[a, b]], ranked[a, b]))
-        columns = [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, np.int64)] * 4
+            rows = rows.take(pa.array(np.lexsort((rows.column("id").to_numpy(), rows.column("block").to_numpy()))))
+            block = rows.column("block").to_numpy()
+            lists = asked.column("blocks").combine_chunks()
+            lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
+            wanted = lists.flatten().to_numpy()
+            who = np.repeat(np.arange(asked.num_rows), np.diff(lists.offsets.to_numpy()))
+            order = np.argsort(wanted, kind="stable")
+            wanted, who, asked = wanted[order], who[order], asked.drop_columns("blocks")
+            starts = np.flatnonzero(np.r_[True, np.diff(wanted) != 0])
+            for start, end in zip(starts, np.r_[starts[1:], len(wanted)]):
+                a, b = np.searchsorted(block, wanted[start]), np.searchsorted(block, wanted[start], "right")
+                if a == b:
+                    continue
+                out += _met(asked.take(pa.array(who[start:end])), rows.slice(a, b - a), width, k, low, high, same)
+                held += len(out[-1][0])
+                if held >= SLICE:
+                    out = _best(out, k)
+                    held = 0
+            out = _best(out, k)
+        columns = [np.concatenate(c) for c in zip(*out)]
         return pa.table(dict(zip(("anchor", "want", "id", "score"), map(pa.array, columns))))
 
     return run
@@ -241,18 +312,18 @@ def search(index: Index, anchors: DataFrame, k: int, low: int = 0, high: int = 1
     found = spark.createDataFrame([], FOUND + ", rank int")
     searcher, groups = index.searcher(), None
     while True:
-        asked = cut(state.repartition(F.col("anchor")).mapInArrow(_asking(searcher, rows, low, same), f"block long, {STATE}"), "asked")
+        asked = cut(state.repartition(F.col("anchor")).mapInArrow(_asking(searcher, rows, low, same), f"bundle long, blocks array<bigint>, {STATE}"), "asked")
         if groups is None:
-            groups = max(1, -(-asked.filter("block = -1").count() // GROUP))
-        asking = asked.filter("block >= 0").select("block", F.pmod(F.xxhash64("anchor"), F.lit(groups)).alias("_group"), "anchor", "label", "x", "wants")
-        members = index.rows.select("block", "id", "label", "x")
+            groups = max(1, -(-asked.filter("bundle = -1").count() // GROUP))
+        asking = asked.filter("bundle >= 0").select("bundle", "blocks", F.pmod(F.xxhash64("anchor"), F.lit(groups)).alias("_group"), "anchor", "label", "x", "wants")
+        members = index.rows.select("bundle", "block", "id", "label", "x")
         if groups == 1:
             members = members.withColumn("_group", F.lit(0).cast("long"))
         else:
-            members = members.join(cut(asking.select("block", F.col("_group")).distinct(), "asked-blocks"), "block")
-        met = asking.groupBy("block", "_group").cogroup(members.groupBy("block", "_group")).applyInArrow(_meeting(index.width, k, low, high, same), FOUND)
+            members = members.join(cut(asking.select("bundle", F.col("_group")).distinct(), "asked-bundles"), "bundle")
+        met = asking.groupBy("bundle", "_group").cogroup(members.groupBy("bundle", "_group")).applyInArrow(_meeting(index.width, k, low, high, same), FOUND)
         found = cut(_first(found.drop("rank").unionByName(met), k), "found")
-        ends = asked.filter("block = -1 AND next IS NOT NULL").select("anchor", "label", "x", F.explode("wants.want").alias("want"), "visited", "next")
+        ends = asked.filter("bundle = -1 AND next IS NOT NULL").select("anchor", "label", "x", F.explode("wants.want").alias("want"), "visited", "next")
         last = found.filter(F.col("rank") == k).select("anchor", "want", F.col("score").alias("kth"))
         # a want goes on until its k-th row is above all that is left, or all that is left is below its window
         left = ends.join(last, ["anchor", "want"], "left").filter(F.col("kth").isNull() | (F.col("kth") <= F.col("next")))
