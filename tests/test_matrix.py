@@ -226,3 +226,42 @@ def test_log_ppmi_of_a_power_writes_no_power(spark, monkeypatch):
         assert set(got) == set(want) and all(np.isclose(got[c], want[c], atol=1e-12) for c in want)
         if k == 2:
             assert len(want) > cells.count() and max(d.count() for d in written) <= cells.count()
+
+
+def test_blocks_of_a_product(spark, monkeypatch):
+    """Repeated cells, null ids, zeros and sums of 0, on a grid of several tasks; products aren't shuffled: no join, no sum by cells."""
+    from vertexloom.operators import products
+    monkeypatch.setattr(products, "TASK_CELLS", 40)
+    rng = np.random.default_rng(3)
+    ids = [None, *[f"n{k}" for k in range(14)]]
+    a = [(ids[i], ids[j], float(x)) for i, j, x in zip(rng.integers(0, 15, 150), rng.integers(0, 15, 150), rng.integers(-2, 3, 150))]
+    b = [(ids[i], ids[j], float(x)) for i, j, x in zip(rng.integers(0, 15, 90), rng.integers(0, 15, 90), rng.integers(-2, 3, 90))]
+    want = {}
+    for i, m, x in a:
+        for n, j, y in b:
+            if m is not None and m == n:
+                want[i, j] = want.get((i, j), 0.0) + x * y
+    left, right = (spark.createDataFrame(x, "row string, col string, value double") for x in (a, b))
+    made = M.matmul(left, right)
+    assert {(r.row, r.col): r.value for r in made.collect()} == want and made.count() == len(want)
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "HashAggregate" not in plan
+    assert M.matmul(left.limit(0), right).count() == M.matmul(left, right.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("dense", [False, True])
+def test_ways_to_sum_products(dense, monkeypatch):
+    """Both ways of a task's product against a dense one, in several groups of rows, with negative values."""
+    from vertexloom.operators import products
+    monkeypatch.setattr(products, "BUFFER", 60)
+    rng = np.random.default_rng(4)
+    a, b = (np.where(rng.random((17, 17)) < 0.4, rng.normal(size=(17, 17)), 0.0) for _ in range(2))
+    (r, m), (n, c) = np.nonzero(a), np.nonzero(b)
+    if dense:
+        order = np.argsort(c, kind="stable")
+        made = products._whole(r, m, a[r, m], products._starts(c[order], 17), n[order], b[n, c][order], 17, 17, 17)
+    else:
+        made = products._gathered(r, m, a[r, m], products._starts(n, 17), c, b[n, c], 17, 17)
+    place, value = (np.concatenate(x) for x in zip(*made))
+    assert sorted(place.tolist()) == np.flatnonzero(((a != 0).astype(int) @ (b != 0).astype(int)).ravel()).tolist()
+    assert np.allclose((a @ b).ravel()[place], value)
