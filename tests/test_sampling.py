@@ -177,3 +177,30 @@ def test_large_step_tables_are_packed(spark, monkeypatch):
     assert plan.count("Exchange") == 1 and "SortMergeJoin" not in plan and "Bucketed: true" in plan
     ends = {(r.src, r.dst) for r in g.adj.collect()}
     assert all((r.id, r.dst) in ends for r in met.collect())
+
+
+@pytest.mark.parametrize("kind", ["uniform", "second", "even"])
+def test_walks_in_tasks_that_hold_the_table(spark, monkeypatch, kind):
+    """The same rows as step by step, with starts that come several times, null and lone ones, edges of no weight and a loop; and no join for a step."""
+    from vertexloom.operators import carried
+    rng = np.random.default_rng(1)
+    ids = [f"n{k}" for k in range(16)]
+    ends = sorted({tuple(sorted(rng.choice(14, 2, replace=False).tolist())) for _ in range(40)})
+    edges = spark.createDataFrame([(ids[a], ids[b], [0.0, 1.0, 2.5, None][k % 4]) for k, (a, b) in enumerate(ends)] + [("n1", "n1", 3.0)], "src string, dst string, weight double")
+    nodes = spark.createDataFrame([(i,) for i in [*ids, "n3", "n15", "n3", None]], "id string")
+    even = spark.createDataFrame([("n5", 0.5), ("n15", 1.0)], "row string, mass double")
+    g = G.Graph(nodes, edges)
+    cells = g.adj.select(F.col("src").alias("row"), F.col("dst").alias("col"), F.col("weight").alias("value"))
+
+    def made():
+        if kind == "even":
+            return K.weighted_walks(nodes, cells, even, G.node_index(nodes), 2, 12, 6)
+        return K.node2vec_walks(g, 0.5, 0.8, 2, 12, 4) if kind == "second" else K.deepwalk_walks(g, 2, 12, 5)
+
+    def rows(df):
+        return sorted((r["round"], r.start or "", [x or "" for x in r.path]) for r in df.collect())
+    held = made()
+    assert "Join" not in held._jdf.queryExecution().executedPlan().toString()
+    got = rows(held)
+    monkeypatch.setattr(carried, "CARRIED", -1)
+    assert got == rows(made()) and len(got) == 34
