@@ -204,3 +204,19 @@ def test_walks_in_tasks_that_hold_the_table(spark, monkeypatch, kind):
     got = rows(held)
     monkeypatch.setattr(carried, "CARRIED", -1)
     assert got == rows(made()) and len(got) == 34
+
+
+@pytest.mark.parametrize("held", [40, 10 ** 6])
+def test_pair_counts(spark, monkeypatch, held):
+    """As many as the pairs listed one by one; walks of one and no place, null nodes, nodes that repeat; pairs leave a task packed."""
+    from vertexloom.operators import pair_counts as P
+    monkeypatch.setattr(P, "HELD", held)
+    rng = np.random.default_rng(5)
+    paths = [[f"n{x}" if x else None for x in rng.integers(0, 9, size)] for size in (0, 1, 2, 12, 30, 30, 400)] + [None, ["a"] * 600]
+    walks = spark.createDataFrame([(p,) for p in paths], "path array<string>").repartition(3)
+    for window in (1, 3, 10):
+        want = Counter((r.centre, r.context) for r in K.skipgram_pairs(walks, window).collect())
+        made = P.pair_counts(walks, window)
+        got = [(r.centre, r.context, r.n) for r in made.collect()]
+        assert len(got) == len(want) and {(a, b): n for a, b, n in got} == want
+        assert "Generate" not in made._jdf.queryExecution().executedPlan().toString()
