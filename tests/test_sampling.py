@@ -220,3 +220,15 @@ def test_pair_counts(spark, monkeypatch, held):
         got = [(r.centre, r.context, r.n) for r in made.collect()]
         assert len(got) == len(want) and {(a, b): n for a, b, n in got} == want
         assert "Generate" not in made._jdf.queryExecution().executedPlan().toString()
+
+
+def test_masses_of_a_guide_table_are_deleted(spark):
+    """What the lines were made from isn't kept, and totals and slots agree with the lines."""
+    import glob
+    from vertexloom.plans.lineage import scratch_dir
+    before = set(glob.glob(f"{scratch_dir(spark)}/vertexloom-masses-*"))
+    rows = spark.createDataFrame([("a", f"x{k}", float(k % 4)) for k in range(30)] + [("b", "y", 2.0), (None, "z", 1.0), ("c", "y", 0.0)], "g string, x string, w double")
+    table, totals = S.pick_table(rows, ["g"], ["x"], "w")
+    ends = {r.g: (r.hi, r.slots) for r in table.groupBy("g").agg(F.max("hi").alias("hi"), (F.max("slot") + 1).alias("slots")).collect()}
+    assert ends == {r.g: (r.total, r.slots) for r in totals.collect() if r.g is not None} and set(ends) == {"a", "b"}
+    assert set(glob.glob(f"{scratch_dir(spark)}/vertexloom-masses-*")) == before
